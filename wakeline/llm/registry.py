@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, warc
+from . import decontaminate, exact_dedup, langid, mixing, warc
 
-MODULES = [exact_dedup, mixing, langid, warc]
+MODULES = [exact_dedup, mixing, langid, decontaminate, warc]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
