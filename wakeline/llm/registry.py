@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, toxicity, warc
+from . import decontaminate, exact_dedup, langid, licenses, mixing, toxicity, warc
 
-MODULES = [exact_dedup, mixing, langid, decontaminate, toxicity, warc]
+MODULES = [exact_dedup, mixing, langid, decontaminate, toxicity, warc, licenses]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
