@@ -20,9 +20,11 @@ document's first token to its end, across windows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,20 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a class, and classes; the last class holds the hashes of other words.
-CLASS = CLASSES = 64
+CLASS = CLASSES = 32
 OUTPUTS = CLASS * CLASSES
 START = OUTPUTS
 #: Units of the recurrent state.
-HIDDEN = 24
+HIDDEN = 16
 #: Tokens whose counts are broadcast.
 FREQUENT = 100_000
 #: Parts of the documents by a hash of their id, and the parts of each round of training.
 PARTS, ROUNDS = 16, ((0, 1), (1, 5), (5, 16))
 #: Streams and steps of a training window; streams and steps of a scoring window.
-STREAMS, STEPS = 128, 16
-LANES, WINDOW = 256, 32
+STREAMS, STEPS = 256, 16
+LANES, WINDOW = 512, 16
 #: Adagrad's rate in each round.
-RATES = (0.15, 0.08, 0.04)
+RATES = (0.5, 0.3, 0.15)
 #: Tokens held at once by a task.
 HELD = 1 << 21
 #: Different tokens a counting task holds before it hands them on.
@@ -61,8 +63,6 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def tail(token: bytes) -> int:
     """The output of a word that is none itself: the last class, by the last two bytes."""
-    import zlib
-
     return OUTPUTS - CLASS + zlib.crc32(token[-2:]) % CLASS
 
 
@@ -72,10 +72,11 @@ def tail_column(token: Column) -> Column:
 
 @dataclass
 class Vocabulary:
-    """Counts of the frequent tokens, the outputs, and what the tail's classes hold."""
+    """The frequent tokens by number with their counts and outputs, the outputs' counts, and what the tail's classes hold."""
 
-    count: dict[bytes, int]
-    output: dict[bytes, int]
+    number: dict[bytes, int]
+    count: np.ndarray
+    output: np.ndarray
     output_counts: np.ndarray
     tail_size: np.ndarray
     total: int
@@ -117,7 +118,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     output_counts = np.zeros(OUTPUTS)
     output_counts[: len(words)] = [n for _, n in words]
     output_counts[OUTPUTS - CLASS :] = held[:, 0]
-    return Vocabulary(dict(top), {w: i for i, (w, _) in enumerate(words)}, output_counts, held.sum(1) + 1, total, distinct)
+    output = np.array([i if i < len(words) else tail(w) for i, (w, _) in enumerate(top)], np.int32)
+    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top]), output, output_counts, held.sum(1) + 1, total, distinct)
 
 
 class Network:
@@ -247,25 +249,29 @@ class Trainer:
         return last
 
 
-def encode(text: bytes | None, output: dict[bytes, int]) -> list[int]:
-    own = tokens(text)
-    return [i if i is not None else tail(t) for t, i in zip(own, map(output.get, own), strict=True)]
+def encode(own: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The output of each token, and its number among the frequent ones (-1 for the others)."""
+    number = np.fromiter(map(words.number.get, own, repeat(-1)), np.int64, len(own))
+    rare = np.flatnonzero(number < 0)
+    out = words.output[number] if len(words.output) else np.zeros(len(own), np.int32)
+    out[rare] = [tail(own[i]) for i in rare]
+    return out, number
 
 
-def _replica(shared, output, rate: float):
+def _replica(shared, words, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, ids, n = Trainer(Network(shared.value), rate), [], 0
-        known = output.value.output
+        trainer, ids, held, n = Trainer(Network(shared.value), rate), [], 0, 0
+        mark = np.array([START], np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids.append(START)
-                ids.extend(encode(text, known))
-                if len(ids) >= HELD:
-                    trainer.run(np.array(ids))
-                    n, ids = n + len(ids), []
+                ids += [mark, encode(tokens(text), words.value)[0]]
+                held += len(ids[-1]) + 1
+                if held >= HELD:
+                    trainer.run(np.concatenate(ids))
+                    n, held, ids = n + held, 0, []
         if ids:
-            trainer.run(np.array(ids))
-            n += len(ids)
+            trainer.run(np.concatenate(ids))
+            n += held
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([trainer.net.flat().tobytes()], pa.binary())], ["n", "weights"])
 
@@ -347,7 +353,10 @@ def _scorer(shared, words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, v = Network(shared.value), words.value
-        base, size, count, output = v.base(), np.log10(v.tail_size), v.count, v.output
+        base, size = v.base(), np.log10(v.tail_size)
+        gain = np.log10(v.count + 1.0)
+        # what a frequent token adds to the model's score beside its output's probability
+        extra = np.where(v.output >= OUTPUTS - CLASS, gain - size[v.output - OUTPUTS + CLASS], 0.0) if len(v.output) else gain
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             begin = 0
@@ -355,22 +364,10 @@ def _scorer(shared, words):
                 rows, held, end = [], 0, begin
                 while end < len(texts) and held < HELD:
                     own = tokens(texts[end])
-                    codes = np.empty(len(own), np.int32)
-                    known, base_sum, tail_sum, rare = 0, 0.0, 0.0, Counter()
-                    for i, t in enumerate(own):
-                        k = output.get(t)
-                        c = count.get(t)
-                        if k is None:
-                            k = tail(t)
-                            if c is None:
-                                rare[t] += 1
-                            else:
-                                tail_sum += math.log10(c + 1) - size[k - OUTPUTS + CLASS]
-                        codes[i] = k
-                        if c is not None:
-                            known += 1
-                            base_sum += math.log10(c + 1) - base
-                    rows.append((codes, known, base_sum, tail_sum, [(t, n, float(size[tail(t) - OUTPUTS + CLASS])) for t, n in rare.items()]))
+                    codes, number = encode(own, v)
+                    rare = Counter(own[i] for i in np.flatnonzero(number < 0))
+                    number = number[number >= 0]
+                    rows.append((codes, len(number), float(gain[number].sum()) - base * len(number), float(extra[number].sum()), [(t, n, float(size[tail(t) - OUTPUTS + CLASS])) for t, n in rare.items()]))
                     held += len(own)
                     end += 1
                 model = likelihood(net, [r[0] for r in rows]) / math.log(10)
