@@ -356,7 +356,7 @@ def _scorer(shared, words):
         base, size = v.base(), np.log10(v.tail_size)
         gain = np.log10(v.count + 1.0)
         # what a frequent token adds to the model's score beside its output's probability
-        extra = np.where(v.output >= OUTPUTS - CLASS, gain - size[v.output - OUTPUTS + CLASS], 0.0) if len(v.output) else gain
+        extra = np.where(v.output >= OUTPUTS - CLASS, gain - size[np.maximum(v.output - OUTPUTS + CLASS, 0)], 0.0) if len(v.output) else gain
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             begin = 0
