@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import reachability
+from . import facts, reachability
 
-MODULES = [reachability]
+MODULES = [reachability, facts]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
