@@ -23,7 +23,7 @@ def idempotency_key(delivery: Column, event: Column, action: Column, repo: Colum
 
 def bucket(moment: Column, seconds: int = 300) -> Column:
     """The number of the tumbling bucket that a moment falls in."""
-    return F.floor(F.unix_millis(moment) / (seconds * 1000)).cast("long")
+    return F.floor(F.unix_millis(moment.cast("timestamp")) / (seconds * 1000)).cast("long")
 
 
 def json_digest(*fields: Column) -> Column:

@@ -79,8 +79,8 @@ def deepest_root_owner(spark, sf):
 
 
 def _roots(pages):
-    """Directories that hold at least three pages, and the empty root."""
-    return pages.select(paths.dirname(F.col("path")).alias("root_path")).groupBy("root_path").count().filter("count >= 3 or root_path = ''").select("root_path").union(pages.limit(1).select(F.lit(""))).distinct()
+    """Directories that hold at least forty pages, and the empty root."""
+    return pages.select(paths.dirname(F.col("path")).alias("root_path")).groupBy("root_path").count().filter("count >= 40 or root_path = ''").select("root_path").union(pages.limit(1).select(F.lit(""))).distinct()
 
 
 def uncovered_roots(spark, sf):
@@ -154,7 +154,7 @@ _PAGES = "p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^
 _ROOTS = (
     _PAGES
     + """,
-roots AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM p GROUP BY 1 HAVING count(*) >= 3 UNION SELECT '' FROM p)"""
+roots AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM p GROUP BY 1 HAVING count(*) >= 40 UNION SELECT '' FROM p)"""
 )
 _HUMAN = "array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g'), ' '), lambda s: upper(s[1:1]) || s[2:]), ' ')"
 ORACLES = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, reachability
+from . import documents, facts, reachability, state
 
-MODULES = [reachability, facts]
+MODULES = [reachability, facts, state, documents]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
