@@ -102,6 +102,7 @@ class RepositorySource(DataSource):
 
 
 def _scan(spark: SparkSession, root: str, sha: str, content: bool) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else a reader that takes filters is refused
     spark.dataSource.register(RepositorySource)
     return spark.read.format("repository").option("sha", sha).option("content", str(content).lower()).load(root)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import classify
 
@@ -51,39 +51,34 @@ def _back(job: tuple, kind: str, at: int) -> tuple:
     return "failed", attempts, available, None, None, kind
 
 
-class JobProcessor(StatefulProcessor):
-    """T3-T6 for one job id; events are applied in order of their time."""
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["id", "event", "status", "attempts", "available_ms", "token", "outcome"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", JOB)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
-        state = tuple(self.job.get()) if self.job.exists() else (None, 0, 0, None, None, None)
-        out = []
-        for e in events.itertuples():
-            state, outcome = step(state, e.event, int(e.at_ms), e.token if isinstance(e.token, str) else None, e.kind if isinstance(e.kind, str) else None)
-            out.append((key[0], e.event, state[0], state[1], state[2], state[3], outcome))
-        if state[0] is not None:
-            self.job.update(state)
-        if state[0] == "running":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + classify.LEASE * 1000)
-        yield pd.DataFrame(out, columns=["id", "event", "status", "attempts", "available_ms", "token", "outcome"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = int(timerValues.getCurrentProcessingTimeInMs())
-        state, outcome = step(tuple(self.job.get()), "tick", now, None, None)
-        self.job.update(state)
-        yield pd.DataFrame([(key[0], "tick", state[0], state[1], state[2], state[3], outcome)], columns=["id", "event", "status", "attempts", "available_ms", "token", "outcome"])
-
-    def close(self) -> None:
-        pass
+def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """T3-T6 for one job id: its events in order of their time, or the end of its lease."""
+    text = lambda x: x if isinstance(x, str) else None
+    job = tuple(state.get) if state.exists else (None, 0, 0, None, None, None)
+    out = []
+    if state.hasTimedOut:
+        job, outcome = step(job, "tick", state.getCurrentProcessingTimeMs(), None, None)
+        out.append((key[0], "tick", *job[:4], outcome))
+    else:
+        for e in pd.concat(list(batches)).sort_values(["at_ms", "seq"]).itertuples():
+            job, outcome = step(job, e.event, int(e.at_ms), text(e.token), text(e.kind))
+            out.append((key[0], e.event, *job[:4], outcome))
+    state.update(job)
+    if job[0] == "running":
+        state.setTimeoutDuration(classify.LEASE * 1000)
+    yield _frame(out)
 
 
 def jobs(events: DataFrame) -> DataFrame:
-    """The outcome of each event of a stream (id, seq, event, at_ms, token, kind); needs the RocksDB state store."""
-    return events.groupBy("id").transformWithStateInPandas(JobProcessor(), OUTPUT, "Append", "ProcessingTime")
+    """The outcome of each event of a stream (id, seq, event, at_ms, token, kind); leases end by a processing-time timer.
+
+    As timers are always awaited, the stream runs until it is stopped, or one batch with ``trigger(once=True)``.
+    """
+    return events.groupBy("id").applyInPandasWithState(_apply, OUTPUT, JOB, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(requests: DataFrame) -> DataFrame:
