@@ -44,10 +44,12 @@ FREQUENT = 100_000
 #: Parts of the documents by a hash of their id, and the parts of each round of training.
 PARTS, ROUNDS = 16, ((0, 1), (1, 5), (5, 16))
 #: Streams and steps of a training window; streams and steps of a scoring window.
-STREAMS, STEPS = 256, 16
+STREAMS, STEPS = 384, 16
 LANES, WINDOW = 512, 16
 #: Adagrad's rate in each round.
-RATES = (0.5, 0.3, 0.15)
+RATES = (0.6, 0.4, 0.2)
+#: Logits stay within so much, so that their exponentials need no scaling.
+LIMIT = np.float32(60)
 #: Tokens held at once by a task.
 HELD = 1 << 21
 #: Different tokens a counting task holds before it hands them on.
@@ -66,6 +68,12 @@ def tail(token: bytes) -> int:
     return OUTPUTS - CLASS + zlib.crc32(token[-2:]) % CLASS
 
 
+def tails(words: list[bytes]) -> np.ndarray:
+    """tail() of each word."""
+    crc = zlib.crc32
+    return OUTPUTS - CLASS + np.fromiter((crc(w[-2:]) for w in words), np.int64, len(words)) % CLASS
+
+
 def tail_column(token: Column) -> Column:
     return (F.crc32(F.substring(token, -2, 2)) % CLASS).cast("int")
 
@@ -150,7 +158,12 @@ class Network:
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple:
         gates, back = self.x[inputs], h @ self.u
-        rz = 0.5 * (np.tanh(0.5 * (gates[:, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])) + 1)
+        rz = gates[:, : 2 * HIDDEN]
+        rz += back[:, : 2 * HIDDEN]
+        rz *= 0.5
+        np.tanh(rz, out=rz)
+        rz += 1
+        rz *= 0.5
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
         new = np.tanh(gates[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
         return new + z * (h - new), (inputs, h, r, z, new, back[:, 2 * HIDDEN :])
@@ -159,10 +172,11 @@ class Network:
         """Natural log-probability of each target, class by class; with gradients, those of the outputs are added and that of h returned."""
         n = len(targets)
         kind, word = targets // CLASS, targets % CLASS
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
+        logits = h @ self.wc
+        logits += self.bc
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
         p = np.exp(logits)
-        norm = p.sum(1)
+        norm = p @ np.ones(CLASSES, np.float32)
         out = logits[np.arange(n), kind] - np.log(norm)
         dh = None
         if gradients is not None:
@@ -178,10 +192,11 @@ class Network:
             if not len(own):
                 continue
             part = h[own]
-            logits = part @ self.wo[c] + self.bo[c]
-            logits -= logits.max(1, keepdims=True)
+            logits = part @ self.wo[c]
+            logits += self.bo[c]
+            np.clip(logits, -LIMIT, LIMIT, out=logits)
             q = np.exp(logits)
-            norm, at = q.sum(1), np.arange(len(own))
+            norm, at = q @ np.ones(CLASS, np.float32), np.arange(len(own))
             out[own] += logits[at, word[own]] - np.log(norm)
             if gradients is not None:
                 q /= norm[:, None]
@@ -214,7 +229,8 @@ class Trainer:
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> np.ndarray:
         net, kept, states = self.net, [], []
         for row in inputs:
-            h = np.where((row == START)[:, None], np.float32(0), h)
+            if (begins := row == START).any():
+                h = np.where(begins[:, None], np.float32(0), h)
             h, cache = net.step(row, h)
             kept.append(cache)
             states.append(h)
@@ -254,7 +270,7 @@ def encode(own: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     number = np.fromiter(map(words.number.get, own, repeat(-1)), np.int64, len(own))
     rare = np.flatnonzero(number < 0)
     out = words.output[number] if len(words.output) else np.zeros(len(own), np.int32)
-    out[rare] = [tail(own[i]) for i in rare]
+    out[rare] = tails([own[i] for i in rare])
     return out, number
 
 
@@ -334,12 +350,15 @@ def likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
             inputs[at + 1 : end, i] = texts[k][:-1]
             at = end
     h = np.zeros((len(lanes), HIDDEN), np.float32)
+    alive = np.searchsorted(-sizes, -np.arange(len(targets)))
+    fresh = (inputs == START).any(1)
     for begin in range(0, len(targets), WINDOW):
         states, said, own = [], [], []
         for t in range(begin, min(begin + WINDOW, len(targets))):
-            live = int(np.searchsorted(-sizes, -t))
-            row = inputs[t, :live]
-            h = np.where((row == START)[:, None], np.float32(0), h[:live])
+            live = alive[t]
+            row, h = inputs[t, :live], h[:live]
+            if fresh[t]:
+                h = np.where((row == START)[:, None], np.float32(0), h)
             h, _ = net.step(row, h)
             states.append(h), said.append(targets[t, :live]), own.append(owner[t, :live])
         got, _ = net.output(np.concatenate(states), np.concatenate(said))
@@ -349,7 +368,6 @@ def likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 
 def _scorer(shared, words):
     names = ["doc_id", "n_tokens", "known", "base", "score", "rare"]
-    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32()), ("tail", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, v = Network(shared.value), words.value
@@ -361,16 +379,20 @@ def _scorer(shared, words):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             begin = 0
             while begin < len(texts):
-                rows, held, end = [], 0, begin
+                rows, rares, times, held, end = [], [], [], 0, begin
                 while end < len(texts) and held < HELD:
                     own = tokens(texts[end])
                     codes, number = encode(own, v)
                     rare = Counter(own[i] for i in np.flatnonzero(number < 0))
                     number = number[number >= 0]
-                    rows.append((codes, len(number), float(gain[number].sum()) - base * len(number), float(extra[number].sum()), [(t, n, float(size[tail(t) - OUTPUTS + CLASS])) for t, n in rare.items()]))
+                    rows.append((codes, len(number), float(gain[number].sum()) - base * len(number), float(extra[number].sum()), len(rare)))
+                    rares += rare.keys()
+                    times += rare.values()
                     held += len(own)
                     end += 1
                 model = likelihood(net, [r[0] for r in rows]) / math.log(10)
+                own = [pa.array(rares, pa.binary()), pa.array(times, pa.int32()), pa.array(size[tails(rares) - OUTPUTS + CLASS])]
+                rare = pa.StructArray.from_arrays(own, ["token", "times", "tail"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(begin, end - begin),
@@ -378,7 +400,7 @@ def _scorer(shared, words):
                         pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.float64()),
                         pa.array([m + r[3] for m, r in zip(model, rows, strict=True)], pa.float64()),
-                        pa.array([[{"token": t, "times": n, "tail": s} for t, n, s in r[4]] for r in rows], rare_type),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), rare),
                     ],
                     names,
                 )
