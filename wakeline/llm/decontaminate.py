@@ -147,8 +147,9 @@ def _verify(item: np.ndarray, doc: np.ndarray, places: np.ndarray, diagonals: np
         if got is None:  # a window of the stretch may do where the whole doesn't
             for s in places[run]:
                 s = int(s)
-                for a in {max(0, min(s, len(item) - window)), max(0, min(s + Q - 1, len(item)) - window), max(0, s - k)}:
-                    got = got or test(a, min(len(item), a + window), k)
+                for a in (s, s - k, s + Q - window):
+                    a = max(0, min(a, len(item) - window))
+                    got = got or test(a, a + window, k)
         if got and (found is None or got[3] - got[2] > found[3] - found[2]):
             found = got
     return found

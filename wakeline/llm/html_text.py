@@ -152,7 +152,8 @@ def content(lines: list[Line]) -> list[Line]:
     own = [x for x in lines if not x.other]
     if not own:
         return []
-    ratio = smooth([len(x.text) / max(x.tags, 1) for x in own])
+    plain = [len(x.text) / max(x.tags, 1) for x in own]
+    ratio = smooth(plain)
     mean = sum(ratio) / len(ratio)
     least = SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     chosen = [i for i, r in enumerate(ratio) if r >= least]
@@ -160,7 +161,9 @@ def content(lines: list[Line]) -> list[Line]:
     marked = {x.region for x in own} - {0}
     if marked:
         return [x for x in own if x.region in (regions or marked)]
-    first, last = chosen[0], chosen[-1]
+    # the stretch begins and ends at lines that reach the threshold by themselves, not by their neighbours
+    edges = [i for i in chosen if plain[i] >= least] or chosen
+    first, last = edges[0], edges[-1]
     while first and own[first - 1].heading:
         first -= 1
     return own[first : last + 1]
