@@ -44,10 +44,10 @@ FREQUENT = 100_000
 #: Parts of the documents by a hash of their id, and the parts of each round of training.
 PARTS, ROUNDS = 16, ((0, 1), (1, 5), (5, 16))
 #: Streams and steps of a training window; streams and steps of a scoring window.
-STREAMS, STEPS = 384, 16
+STREAMS, STEPS = 512, 16
 LANES, WINDOW = 512, 16
 #: Adagrad's rate in each round.
-RATES = (0.6, 0.4, 0.2)
+RATES = (0.7, 0.45, 0.2)
 #: Logits stay within so much, so that their exponentials need no scaling.
 LIMIT = np.float32(60)
 #: Tokens held at once by a task.
