@@ -34,10 +34,10 @@ def citation_integrity(spark, sf):
 
 
 def product_text_sanitize(spark, sf):
-    turns = b.table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    words = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Updates the "), F.col("text"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("the component , "), F.col("text"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("lint "), F.col("text"))).otherwise("updates cart.")
-    rows = turns.select("conv_id", "turn", F.substring(F.regexp_replace(words, "[^A-Za-z ,.]", ""), 1, 80).alias("text"))
-    return rows.select("conv_id", "turn", text.sanitize(F.col("text")).alias("sanitized"))
+    """The whole text of each turn (conv_id, turn) and of each document (doc_id), sanitized."""
+    turns = b.table(spark, sf, "conversations").select("conv_id", "turn", F.lit(None).cast("long").alias("doc_id"), "text")
+    docs = b.table(spark, sf, "documents").select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), "doc_id", "text")
+    return turns.unionByName(docs).select("conv_id", "turn", "doc_id", text.sanitize(F.col("text")).alias("sanitized"))
 
 
 def line_diff_hunks(spark, sf):
