@@ -35,3 +35,9 @@ def test_sanitize_reads_whole_texts(spark, tmp_path):
     want = {((7, i), None): sanitized(t) for i, t in enumerate(texts)} | {((None, None), i): sanitized(t) for i, t in enumerate(texts)}
     assert got == want
     assert want[(7, 0), None] is None and want[(None, None), 2] is None and len(want[(7, 3), None]) > 1000 and " hook" not in want[(7, 1), None]
+
+
+def test_citations_of_all_documents_are_checked(spark, tmp_path):
+    put(tmp_path, spark, "documents", [(i,) for i in range(9)], "doc_id long")
+    put(tmp_path, spark, "labels", [(i,) for i in (0, 1, 2, 4, 5, 7)], "doc_id long")
+    assert sorted(r.doc_id for r in documents.citation_integrity(spark, str(tmp_path)).collect()) == [0, 1, 4]
