@@ -97,3 +97,18 @@ def test_blocks_of_items(docs, spark, monkeypatch):
 def test_lemma_never_dismisses(monkeypatch):
     assert x.budget(80) == (80, 4, 31) and x.budget(30)[2] >= 1
     assert len(x.grams(x.codes("short"))) == 0 and x.grams(np.zeros(0, np.uint32)).size == 0
+
+
+def test_short_items_are_found_word_for_word(docs, spark, monkeypatch):
+    items = [(1, "Two plus two?"), (2, "four"), (3, "two plus"), (None, "The  capital, of France"), (None, "the capital of FRANCE"), (4, "..."), (5, "日本語"), (2, "Four!"), (None, "no id, but " + "z y" * 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10, "He asks: TWO plus -- two, and four"), (11, "two plus twofour fourteen"), (12, "It is the capital of France."), (13, "capital of France"), (14, None), (15, "... 日本語"), (16, "x no id, but " + "z y" * 30)]
+    want = {10: {1, 2, 3}, 11: {3}, 12: {None}, 13: set(), 14: set(), 15: {5}, 16: {None}}
+    for most in (x.BLOCK_CHARS, 40):
+        monkeypatch.setattr(x, "BLOCK_CHARS", most)
+        got = x.matches(docs(rows), bench).collect()
+        assert sorted((r.doc_id, repr(r.item_id)) for r in got) == sorted((d, repr(i)) for d, ids in want.items() for i in ids)
+        for r in got:
+            if r.doc_id < 16:
+                assert x.normalise(dict(rows)[r.doc_id])[r.doc_start : r.doc_end] in {x.normalise(t) for i, t in items if i == r.item_id} and r.edits == 0
+        assert sorted(r.doc_id for r in x.keep_clean(docs(rows), bench).collect()) == [13, 14]

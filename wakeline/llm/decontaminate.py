@@ -8,6 +8,9 @@ differ by at most k. So shared q-grams are counted in overlapping bands of
 diagonals, k + 1 apart and 2 (k + 1) wide; regions that reach the bound in one
 band are retained and verified by an alignment inside that band.
 
+Items of fewer than SHORTEST characters leak where a document has them whole,
+word for word; these are looked up by their words.
+
 The index of the items is broadcast in blocks of at most BLOCK_CHARS
 characters, one pass over the documents for each block; the documents are
 never shuffled.
@@ -32,7 +35,7 @@ Q = 10
 WINDOW = 80
 #: Edits allowed for a character of the window.
 EDITS = 0.05
-#: Items with fewer characters than this are no evidence and aren't searched.
+#: Items with fewer characters than this are searched by their exact words, without edits.
 SHORTEST = 30
 #: Characters of benchmark items in one broadcast index.
 BLOCK_CHARS = 1 << 21
@@ -74,18 +77,20 @@ def budget(item: int) -> tuple[int, int, int]:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items, by hash, and a filter of them."""
+    """The q-grams of a block of items, by hash, and a filter of them; short items by their first word and numbers of words."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
     least: int
+    short: dict[str, list[int | None]]
+    counts: dict[str, list[int]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Index:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Index:
         kept = [(i, codes(t)) for i, t in rows if len(t) >= SHORTEST]
         hashed = [grams(c) for _, c in kept]
         all_ = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
@@ -94,7 +99,14 @@ class Index:
         place = np.concatenate([np.arange(len(h)) for h in hashed])[order] if hashed else np.zeros(0, np.int64)
         bits = np.zeros(1 << 20, bool)
         bits[all_ >> np.uint64(44)] = True
-        return cls([i for i, _ in kept], [c for _, c in kept], all_[order], item, place, bits, min((budget(len(c))[2] for _, c in kept), default=1))
+        short: dict[str, list[int | None]] = {}
+        counts: dict[str, set[int]] = {}
+        for i, t in rows:
+            if 0 < len(t) < SHORTEST:
+                short.setdefault(t, []).append(i)
+                counts.setdefault(t.partition(" ")[0], set()).add(t.count(" ") + 1)
+        least = min((budget(len(c))[2] for _, c in kept), default=1)
+        return cls([i for i, _ in kept], [c for _, c in kept], all_[order], item, place, bits, least, short, {w: sorted(n) for w, n in counts.items()})
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> int:
@@ -155,11 +167,30 @@ def _verify(item: np.ndarray, doc: np.ndarray, places: np.ndarray, diagonals: np
     return found
 
 
-def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int, int, int]]:
+def _quoted(text: str, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
+    """The short items that a normalised text holds word for word, each at its first place."""
+    first: dict[str, int] = {}
+    words, at = text.split(" "), 0
+    for i, word in enumerate(words):
+        for n in index.counts.get(word, ()):
+            found = " ".join(words[i : i + n])
+            if i + n <= len(words) and found in index.short:
+                first.setdefault(found, at)
+        at += len(word) + 1
+    return [(i, at, at + len(t), 0, len(t), 0) for t, at in first.items() for i in index.short[t]]
+
+
+def leaks(text: str | None, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
     """The leaked items of a text, each with its longest confirmed region (offsets in the normalised texts)."""
-    if not len(index.hashes):
-        return []
-    whole = codes(normalise(text))
+    text = normalise(text)
+    found = _quoted(text, index) if index.short else []
+    if len(index.hashes):
+        found += _aligned(codes(text), index)
+    return sorted(found, key=lambda m: (m[0] is None, m[0] or 0, m[1:]))
+
+
+def _aligned(whole: np.ndarray, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
+    """The leaked items of SHORTEST characters and more."""
     over = 2 * max(map(len, index.items)) + 2 * Q
     best: dict[int, tuple] = {}
     for begin in range(0, max(1, len(whole) - over), PIECE):
@@ -197,18 +228,20 @@ def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int, int,
                     row = (index.ids[i], got[0] + begin, got[1] + begin, got[2], got[3], got[4])
                     if i not in best or (row[4] - row[3], -row[5], -row[1]) > (best[i][4] - best[i][3], -best[i][5], -best[i][1]):
                         best[i] = row
-    return sorted(best.values())
+    return list(best.values())
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
     """An index for each block of items; a block has at most BLOCK_CHARS characters, or one item."""
-    rows = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
+    rows = benchmark.filter("text is not null").select("item_id", "text")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-2 * total // BLOCK_CHARS)) if total > BLOCK_CHARS else 1
-    out = []
+    out, nameless = [], set()
     for part in range(parts):
-        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        out.append(Index.of(sorted({(r.item_id, normalise(r.text)) for r in mine.collect()})))
+        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(parts)) == part)
+        items = {(r.item_id, normalise(r.text)) for r in mine.collect()} - nameless
+        nameless |= {x for x in items if x[0] is None}  # equal ones may come in several blocks
+        out.append(Index.of(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
     return out
 
 
@@ -217,8 +250,9 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Case, and what is neither letter nor digit, don't count. Null or empty texts
     and documents without a leak give no row; repeated rows give theirs again.
-    Null items and items of fewer than SHORTEST characters are not searched; an
-    empty benchmark finds nothing. Further columns are not read.
+    Items without a letter or digit are not searched; an item without an id gives
+    rows with a null item_id, one for each text. An empty benchmark finds
+    nothing. Further columns are not read.
     """
     context = documents.sparkSession.sparkContext
     out = None
