@@ -87,3 +87,18 @@ def test_awkward_rows(docs):
     assert x.similar(docs([]), 80).count() == 0
     kept = x.keep_one(docs(AWKWARD), 80)
     assert kept.columns == docs([]).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_keep_one_keeps_one_row_of_each_group(docs):
+    rng = random.Random(9)
+    a, b, c, d, e = (family(rng, 4, 150, 2) for _ in range(5))
+    rows = [(None, a[0]), (None, a[1]), (None, b[0]), (1, b[1]), (2, c[0]), (3, c[1]), (3, d[0]), (None, d[1]), (4, e[0]), (4, e[1]), (4, e[0]), (4, e[2]), (None, ""), (None, None), (5, " "), (6, None)]
+    kept = x.keep_one(docs(rows), 80)
+    assert kept.columns == docs([]).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = [[i for i, f in enumerate((a, b, c, d, e)) if t in f] for _, t in got]
+    assert sorted(g[0] for g in groups if g) == [0, 1, 2, 3, 4]
+    assert {(i, g[0]) for (i, _), g in zip(got, groups, strict=True) if g} == {(None, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
+    assert sorted(map(repr, (r for r, g in zip(got, groups, strict=True) if not g))) == sorted(map(repr, rows[-4:]))
+    many = x.keep_one(docs([(7, a[0])] * 5 + [(8, a[1])]), 80).collect()
+    assert [(r.doc_id, r.text) for r in many] == [(7, a[0])]

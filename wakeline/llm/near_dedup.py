@@ -102,7 +102,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "node", "bands", "slots"]
+    names = ["doc_id", "n", "node", "bands", "slots", "hash"]
     for batch in batches:
         n, node, bands, slots = [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -116,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(band_keys(signature))
             slots.append((mix(signature) >> np.uint64(56)).astype(np.uint8).tobytes())
         arrays = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, batch.column(2)], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,17 +239,9 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides").cast("int") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")).drop("o", "sides")
 
 
-def similar(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
-
-    Documents are linked when 100 * intersection >= percent * union of their
-    sets; groups are the connected components. A null or empty text has an empty
-    set and stands alone. Rows that repeat a document belong to its group, and
-    are kept as it is. A null doc_id counts after all others: it is the
-    component_id only of groups without any other. Empty tables give no rows;
-    further columns are not read.
-    """
-    signed = common.cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_signed, "doc_id long, n long, node binary, bands array<long>, slots binary"), "signed")
+def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document: doc_id, hash (of its text), n, node (null without words) and more; a row per node: root (of its group), component_id."""
+    signed = common.cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(_signed, "doc_id long, n long, node binary, bands array<long>, slots binary, hash long"), "signed")
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     classes = common.cut(classes, "classes")
     places = classes.select("node", F.explode("bands").alias("key"))
@@ -282,7 +274,21 @@ def similar(documents: DataFrame, percent: int = 80) -> DataFrame:
 
     rooted = classes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = common.cut(rooted.join(least, "root").select("node", "component_id"), "known")
+    known = common.cut(rooted.join(least, "root").select("node", "root", "component_id"), "known")
+    return signed, known
+
+
+def similar(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
+
+    Documents are linked when 100 * intersection >= percent * union of their
+    sets; groups are the connected components. A null or empty text has an empty
+    set and stands alone. Rows that repeat a document belong to its group, and
+    are kept as it is. A null doc_id counts after all others: it is the
+    component_id only of groups without any other. Empty tables give no rows;
+    further columns are not read.
+    """
+    signed, known = _grouped(documents, percent)
     return signed.join(known, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -298,9 +304,23 @@ def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, whole and with their own columns, that are the first of their group."""
-    kept = similar(documents, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, documents["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents, whole and with their own columns, that are the first of their group: one row of each.
+
+    Of rows that share the first doc_id (or have none) but not a text, that with
+    the least hash of its text stays. Texts without words all stay.
+    """
+    signed, known = _grouped(documents, percent)
+    rows = signed.filter("node is not null").groupBy("doc_id", "hash", "node").agg(F.count("*").alias("n")).join(known.select("node", "root"), "node")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "n")).alias("p"))
+    first = common.cut(first.select(F.col("p.doc_id").alias("_id"), F.col("p.hash").alias("_hash"), F.col("p.n").alias("_n")), "first")
+    alone = signed.filter("node is null").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+
+    def of(keys: DataFrame) -> DataFrame:
+        return documents.join(keys, documents["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(documents["text"]) == keys["_hash"]), "left_semi")
+
+    kept = of(first.filter("_n = 1").select("_id", "_hash").union(alone))
+    several = first.filter("_n > 1").select("_id", "_hash")
+    return kept if several.isEmpty() else kept.union(of(several).dropDuplicates(["doc_id", "text"]))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
