@@ -41,3 +41,16 @@ def test_citations_of_all_documents_are_checked(spark, tmp_path):
     put(tmp_path, spark, "documents", [(i,) for i in range(9)], "doc_id long")
     put(tmp_path, spark, "labels", [(i,) for i in (0, 1, 2, 4, 5, 7)], "doc_id long")
     assert sorted(r.doc_id for r in documents.citation_integrity(spark, str(tmp_path)).collect()) == [0, 1, 4]
+
+
+def test_budget_trim_takes_every_seventh_document_and_no_blank_one(spark, tmp_path):
+    texts = {0: "a" * 3000, 1: " " * 50, 2: "", 7: "b" * 100, 14: "c " * 40, 15: "d", 21: " " * 1600 + "e", 28: None}
+    put(tmp_path, spark, "documents", [(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    want, left = [], 9000
+    for path in sorted(map(str, texts)):
+        cut = (texts[int(path)] or "")[: min(1600, left)]
+        if len(want) < 8 and left > 0 and cut.strip(" "):
+            want.append((len(want), path, "entrypoint", len(cut)))
+            left -= len(cut)
+    got = sorted((r.pos, r.path, r.kind, r.n_chars) for r in documents.budget_trim(spark, str(tmp_path)).collect())
+    assert got == want and [w[1] for w in want] == ["0", "14", "15", "7"]
