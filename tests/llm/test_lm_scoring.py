@@ -1,4 +1,5 @@
 import math
+import resource
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,38 @@ def test_lanes_carry_the_state_over_whole_texts():
         x.LANES = few
 
 
+def test_one_long_text_takes_memory_for_its_own_tokens_only():
+    net, rng = network(), np.random.default_rng(5)
+    texts = [rng.integers(0, x.OUTPUTS, 5).astype(np.int32) for _ in range(600)]
+    apart = x.likelihood(net, texts)
+    long = rng.integers(0, x.OUTPUTS, 1_000_000).astype(np.int32)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    together = x.likelihood(net, [*texts[:300], long, *texts[300:]])
+    more = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+    assert np.allclose(np.delete(together, 300), apart, rtol=1e-4) and together[300] < -1_000_000
+    assert more < 128 << 10  # kilobytes; dense lanes of that length would take gigabytes
+
+
+def test_replicas_are_averaged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(x, "FAN", 3)
+    rows = [(n, np.full(4, float(n), np.float32).tobytes()) for n in range(1, 21)]
+    frame = spark.createDataFrame(rows, "n long, weights binary").repartition(20)
+    (got,) = x.average(frame, 20).collect()
+    assert got.n == 210 and np.allclose(np.frombuffer(got.weights, np.float32), sum(n * n for n in range(1, 21)) / 210)
+
+
+def test_vocabulary_takes_whole_levels_of_counts(spark, monkeypatch):
+    counts = spark.createDataFrame([(b"w%03d" % i, n) for i, n in enumerate([1] * 50 + [2] * 9 + [40, 41, 90])], "token binary, n long")
+    monkeypatch.setattr(x, "FREQUENT", 20)
+    words = x.vocabulary(counts)
+    assert sorted(words.count.tolist(), reverse=True) == words.count.tolist() == [90, 41, 40, *[2] * 9]
+    assert words.total == 50 + 18 + 171 and words.distinct == 62
+    monkeypatch.setattr(x, "FREQUENT", 2)
+    assert x.vocabulary(counts).count.tolist() == [90]  # 40 and 41 are of one level
+    assert x.vocabulary(counts.filter("n = 1")).count.tolist() == []
+    assert x.vocabulary(counts.filter("n < 0")).total == 0
+
+
 def test_gradients_by_differences():
     net, rng = network(), np.random.default_rng(2)
     ids = rng.integers(0, x.OUTPUTS, (5, 3))
@@ -65,7 +98,9 @@ def test_gradients_by_differences():
     before = [p.copy() for p in trainer.net.parts]
     trainer.seen = [np.ones_like(p) * 1e12 for p in trainer.net.parts]
     trainer.window(inputs, targets, h)
-    for k, at in ((0, (int(inputs[0, 0]), 5)), (0, (int(inputs[1, 2]), 2 * x.HIDDEN + 1)), (1, (2, 3)), (1, (4, 2 * x.HIDDEN + 2)), (2, (1, 7)), (3, (4,)), (5, (int(targets[0, 0]) // x.CLASS, 1))):
+    kind = int(targets[0, 0]) // x.CLASS
+    places = ((0, (0, int(inputs[0, 0]), 5)), (0, (1, int(inputs[0, 1]), 2)), (0, (2, int(inputs[1, 2]), 1)), (1, (0, 2, 3)), (1, (1, 3, 1)), (1, (2, 4, 2)), (2, (1, 7)), (2, (x.HIDDEN, 4)), (3, (kind, 3, 2)), (3, (kind, x.HIDDEN, 1)))
+    for k, at in places:
         step = (before[k][at] - trainer.net.parts[k][at]) * 1e6
         up, down = [p.astype(float).copy() for p in before], [p.astype(float).copy() for p in before]
         up[k][at] += 1e-2
@@ -100,6 +135,11 @@ def test_tail_hash_is_the_same_in_sql(spark):
     assert {bytes(r.token): r.t for r in frame.collect()} == {w: x.tail(w) - x.OUTPUTS + x.CLASS for w in words}
 
 
+def test_other_columns_are_not_read(docs):
+    clash = docs([(1, "a b", "en", "s", 2, 9, 9, 9), (2, "a c", "en", "s", 2, 9, 9, 9)], ", row long, n_tokens long, token long")
+    assert sorted(x.score(clash, F.lit(False)).collect()) == sorted(x.score(clash.select("doc_id", "text"), F.lit(False)).collect())
+
+
 def test_awkward_rows(docs):
     got = x.score(docs(AWKWARD), F.lit(False)).collect()
     assert len(got) == len(AWKWARD) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}

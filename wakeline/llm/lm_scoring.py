@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a class, and classes; the last class holds the hashes of other words.
-CLASS = CLASSES = 32
+CLASS = CLASSES = 64
 OUTPUTS = CLASS * CLASSES
 START = OUTPUTS
 #: Units of the recurrent state.
@@ -50,10 +50,14 @@ LANES, WINDOW = 512, 16
 RATES = (0.6, 0.4, 0.2)
 #: Logits stay within so much, so that their exponentials need no scaling.
 LIMIT = np.float32(60)
+#: Replicas averaged by one task.
+FAN = 16
 #: Tokens held at once by a task.
 HELD = 1 << 21
 #: Different tokens a counting task holds before it hands them on.
 COUNTED = 1 << 20
+#: Steps of a doubling by which counts are told apart where the frequent tokens end.
+LEVELS = 16
 #: The end of a text; no word is empty.
 END = b""
 
@@ -115,8 +119,17 @@ def count(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.token), r.n) for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
+    """What tasks are told of the counts. The driver takes the numbers of tokens by count (in LEVELS steps to a doubling)
+    and then only the tokens above the count that FREQUENT tokens reach."""
+    level = F.floor(F.log2("n") * LEVELS)
+    total, distinct, least = 0, 0, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).orderBy(F.desc("level")).collect():
+        total, distinct = total + r.n, distinct + r.v
+        if distinct <= FREQUENT:
+            least = r.level
+        elif distinct == r.v:  # not even the first level fits
+            least = r.level + 1
+    top = sorted(((bytes(r.token), r.n) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
     words = top[: OUTPUTS - CLASS]
     held = np.zeros((CLASS, 2))
     for r in counts.groupBy(tail_column(F.col("token")).alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -130,10 +143,29 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary({w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top]), output, output_counts, held.sum(1) + 1, total, distinct)
 
 
+class Space:
+    """Float arrays that are used again in each window, so that no memory is asked for or given back in between."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
 class Network:
-    """Parameters: input rows of the gates, recurrent weights, and the two levels of the output."""
+    """Parameters: input rows of the three gates, recurrent weights, and the two levels of the output, their biases in the last row.
 
-    SHAPES = ((OUTPUTS + 1, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASS), (CLASSES, CLASS))
+    The gates (reset, update, new) are blocks of their own, so that all work on
+    them is on contiguous rows.
+    """
+
+    SHAPES = ((3, OUTPUTS + 1, HIDDEN), (3, HIDDEN, HIDDEN), (HIDDEN + 1, CLASSES), (CLASSES, HIDDEN + 1, CLASS))
+    KIND = (np.arange(OUTPUTS) // CLASS).astype(np.uint8)
+    WORD = np.arange(OUTPUTS) % CLASS
 
     def __init__(self, flat: np.ndarray):
         self.parts, at = [], 0
@@ -141,7 +173,8 @@ class Network:
             size = int(np.prod(shape))
             self.parts.append(flat[at : at + size].reshape(shape).astype(np.float32))
             at += size
-        self.x, self.u, self.wc, self.bc, self.wo, self.bo = self.parts
+        self.x, self.u, self.wc, self.wo = self.parts
+        self.space = Space()
 
     @classmethod
     def start(cls, output_counts: np.ndarray) -> Network:
@@ -149,61 +182,67 @@ class Network:
         net = cls(np.random.default_rng(7).normal(0, 0.1, sum(int(np.prod(s)) for s in cls.SHAPES)))
         smooth = output_counts.reshape(CLASSES, CLASS) + 0.5
         net.wc[:], net.wo[:] = 0, 0
-        net.bc[:] = np.log(smooth.sum(1) / smooth.sum())
-        net.bo[:] = np.log(smooth / smooth.sum(1, keepdims=True))
+        net.wc[-1] = np.log(smooth.sum(1) / smooth.sum())
+        net.wo[:, -1] = np.log(smooth / smooth.sum(1, keepdims=True))
         return net
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
     def step(self, inputs: np.ndarray, h: np.ndarray) -> tuple:
-        gates, back = self.x[inputs], h @ self.u
-        rz = gates[:, : 2 * HIDDEN]
-        rz += back[:, : 2 * HIDDEN]
+        gates, back = self.x.take(inputs, axis=1), h @ self.u
+        rz = gates[:2]
+        rz += back[:2]
         rz *= 0.5
         np.tanh(rz, out=rz)
-        rz += 1
         rz *= 0.5
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        new = np.tanh(gates[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
-        return new + z * (h - new), (inputs, h, r, z, new, back[:, 2 * HIDDEN :])
-
-    def output(self, h: np.ndarray, targets: np.ndarray, gradients: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target, class by class; with gradients, those of the outputs are added and that of h returned."""
-        n = len(targets)
-        kind, word = targets // CLASS, targets % CLASS
-        logits = h @ self.wc
-        logits += self.bc
-        np.clip(logits, -LIMIT, LIMIT, out=logits)
-        p = np.exp(logits)
-        norm = p @ np.ones(CLASSES, np.float32)
-        out = logits[np.arange(n), kind] - np.log(norm)
-        dh = None
-        if gradients is not None:
-            p /= norm[:, None]
-            p[np.arange(n), kind] -= 1
-            gradients[2] += h.T @ p
-            gradients[3] += p.sum(0)
-            dh = p @ self.wc.T
+        rz += 0.5
+        r, z = rz
+        new = r * back[2]
+        new += gates[2]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, (h, r, z, new, back[2])
+
+    def output(self, states: np.ndarray, targets: np.ndarray, gradients: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probability of each target; with gradients, those of the outputs are added and that of the states returned.
+
+        Rows are put in the order of their targets' classes, so that a class is one product of a run of rows.
+        """
+        n, kind = len(targets), self.KIND[targets]
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[ends[c] : ends[c + 1]]
-            if not len(own):
-                continue
-            part = h[own]
-            logits = part @ self.wo[c]
-            logits += self.bo[c]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))]).tolist()
+        runs = [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+        kind, word, at = kind[order], self.WORD[targets[order]], np.arange(n)
+        of = self.space.of
+        part, classes, words, back = of("part", n, HIDDEN + 1), of("classes", n, CLASSES), of("words", n, CLASS), of("back", n, HIDDEN)
+        part[:, :HIDDEN], part[:, HIDDEN] = states.take(order, axis=0, out=back, mode="clip"), 1
+        np.matmul(part, self.wc, out=classes)
+        for c, a, b in runs:
+            np.matmul(part[a:b], self.wo[c], out=words[a:b])
+        got = np.zeros(n, np.float32)
+        for logits, index in ((classes, kind), (words, word)):
             np.clip(logits, -LIMIT, LIMIT, out=logits)
-            q = np.exp(logits)
-            norm, at = q @ np.ones(CLASS, np.float32), np.arange(len(own))
-            out[own] += logits[at, word[own]] - np.log(norm)
+            got += logits[at, index]
+            np.exp(logits, out=logits)
+            norm = logits @ np.ones(logits.shape[1], np.float32)
+            got -= np.log(norm)
             if gradients is not None:
-                q /= norm[:, None]
-                q[at, word[own]] -= 1
-                gradients[4][c] += part.T @ q
-                gradients[5][c] += q.sum(0)
-                dh[own] += q @ self.wo[c].T
+                logits *= (1 / norm)[:, None]
+                logits[at, index] -= 1
+        out = np.empty(n, np.float32)
+        out[order] = got
+        if gradients is None:
+            return out, None
+        gradients[2] += part.T @ classes
+        np.matmul(classes, self.wc[:HIDDEN].T, out=back)
+        for c, a, b in runs:
+            gradients[3][c] += part[a:b].T @ words[a:b]
+            back[a:b] += words[a:b] @ self.wo[c, :HIDDEN].T
+        dh = of("dh", n, HIDDEN)
+        dh[order] = back
         return out, dh
 
 
@@ -227,42 +266,73 @@ class Trainer:
             h = self.window(ids[places], ids[places + 1], h)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> np.ndarray:
-        net, kept, states = self.net, [], []
-        for row in inputs:
-            if (begins := row == START).any():
-                h = np.where(begins[:, None], np.float32(0), h)
-            h, cache = net.step(row, h)
+        net, kept = self.net, []
+        steps, width = inputs.shape
+        of = net.space.of
+        states, before = of("states", steps, width, HIDDEN), of("before", steps, width, HIDDEN)
+        begins = inputs == START
+        fresh = begins.any(1)
+        for t in range(steps):
+            if fresh[t]:
+                h = np.where(begins[t][:, None], np.float32(0), h)
+            before[t] = h
+            h, cache = net.step(inputs[t], h)
             kept.append(cache)
-            states.append(h)
-        last = h
+            states[t] = h
         gradients = [None, *[np.zeros_like(p) for p in net.parts[1:]]]
         live = (targets != START).ravel()  # behind a text's end nothing is predicted
-        flat = np.concatenate(states)
-        dflat = np.zeros_like(flat)
-        dflat[live] = net.output(flat[live], targets.ravel()[live], gradients)[1]
-        n, width = max(1, int(live.sum())), len(h)
-        dh, dx = np.zeros_like(h), np.empty((len(inputs), width, 3 * HIDDEN), np.float32)
-        for t in range(len(inputs) - 1, -1, -1):
-            row, before, r, z, new, back = kept[t]
-            dh = dh + dflat[t * width : (t + 1) * width]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * back * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dnew], 1)
-            pull = np.concatenate([dr, dz, dnew * r], 1)
-            gradients[1] += before.T @ pull
-            dh = dh * z + pull @ net.u.T
-            dh[row == START] = 0
+        flat, said = states.reshape(-1, HIDDEN), targets.ravel()
+        if live.all():
+            dflat = net.output(flat, said, gradients)[1]
+        else:
+            dflat = of("dflat", *flat.shape)
+            dflat[:] = 0
+            dflat[live] = net.output(flat[live], said[live], gradients)[1]
+        dflat = dflat.reshape(states.shape)
+        n = max(1, int(live.sum()))
+        # of each gate's sum, and of the new gate's recurrent part
+        d = of("gates", 4, steps, width, HIDDEN)
+        dh, (ur, uz, un) = np.zeros_like(h), net.u.transpose(0, 2, 1)
+        for t in range(steps - 1, -1, -1):
+            past, r, z, new, back = kept[t]
+            dr, dz, dnew, pull = d[:, t]
+            dh += dflat[t]
+            np.multiply(new, new, out=dnew)
+            np.subtract(1, dnew, out=dnew)
+            open_ = 1 - z
+            dnew *= open_
+            dnew *= dh
+            np.subtract(past, new, out=dz)
+            dz *= open_
+            dz *= z
+            dz *= dh
+            np.multiply(dnew, r, out=pull)
+            np.subtract(1, r, out=dr)
+            dr *= back
+            dr *= pull
+            dh *= z
+            dh += dr @ ur
+            dh += dz @ uz
+            dh += pull @ un
+            if fresh[t]:
+                dh[begins[t]] = 0
+        past = before.reshape(-1, HIDDEN).T
+        for gate, own in enumerate((0, 1, 3)):
+            np.matmul(past, d[own].reshape(-1, HIDDEN), out=gradients[1][gate])
         for p, g, s in zip(net.parts[1:], gradients[1:], self.seen[1:], strict=True):
             g /= n
             s += g * g
             p -= self.rate * g / np.sqrt(s)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        rows, first = np.unique(inputs.ravel()[order], return_index=True)
-        g = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0) / n
-        self.seen[0][rows] += g * g
-        net.x[rows] -= self.rate * g / np.sqrt(self.seen[0][rows])
-        return last
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
+        rows = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, sorted_ = rows[first], of("sorted", len(order), HIDDEN)
+        for gate in range(3):
+            g = np.add.reduceat(d[gate].reshape(-1, HIDDEN).take(order, axis=0, out=sorted_, mode="clip"), first, axis=0) / n
+            s = self.seen[0][gate, rows] + g * g
+            self.seen[0][gate, rows] = s
+            net.x[gate, rows] -= self.rate * g / np.sqrt(s)
+        return h
 
 
 def encode(own: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -304,17 +374,26 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
 
 
+def average(replicas: DataFrame, tasks: int) -> DataFrame:
+    """One row: the replicas' weights, each by its tokens; a tree of averages of FAN replicas or so, as many levels as it takes."""
+    shape = "n long, weights binary"
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
+        replicas = replicas.repartition(tasks).mapInArrow(_average, shape)
+    return replicas
+
+
 def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
     """The network's weights after all rounds over the training rows (doc_id, text binary)."""
     context, shape = rows.sparkSession.sparkContext, "n long, weights binary"
     output = context.broadcast(words)
     weights = Network.start(words.output_counts).flat()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    tasks = rows.rdd.getNumPartitions()
     for (low, high), rate in zip(ROUNDS, RATES, strict=True):
         mine = rows.filter((part >= low) & (part < high)).select("text")
         replicas = mine.mapInArrow(_replica(context.broadcast(weights), output, rate), shape)
-        middle = max(1, math.isqrt(mine.rdd.getNumPartitions()))
-        found = replicas.repartition(middle).mapInArrow(_average, shape).coalesce(1).mapInArrow(_average, shape).collect()
+        found = average(replicas, tasks).collect()
         if found:
             weights = np.frombuffer(found[0].weights, np.float32)
     return weights
@@ -324,11 +403,12 @@ def likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole text (its outputs, the end's last).
 
     Texts are dealt to lanes, longest first; lanes run side by side, and the
-    state of a lane goes on from window to window until its text ends.
+    state of a lane goes on from window to window until its text ends. Lanes
+    are runs of one flat row of tokens, so memory follows the tokens however
+    long the longest text is; where few lanes are left, windows grow longer.
     """
-    out = np.zeros(len(texts))
     if not texts:
-        return out
+        return np.zeros(0)
     import heapq
 
     lanes: list[list[int]] = [[] for _ in range(min(LANES, len(texts)))]
@@ -338,31 +418,34 @@ def likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         lanes[i].append(k)
         heapq.heappush(heap, (size + len(texts[k]), i))
     lanes.sort(key=lambda lane: -sum(len(texts[k]) for k in lane))
+    order = [k for lane in lanes for k in lane]
     sizes = np.array([sum(len(texts[k]) for k in lane) for lane in lanes])
-    targets = np.zeros((sizes[0], len(lanes)), np.int32)
-    inputs = np.full((sizes[0], len(lanes)), START, np.int32)
-    owner = np.zeros((sizes[0], len(lanes)), np.int32)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for k in lane:
-            end = at + len(texts[k])
-            targets[at:end, i], owner[at:end, i] = texts[k], k
-            inputs[at + 1 : end, i] = texts[k][:-1]
-            at = end
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
-    alive = np.searchsorted(-sizes, -np.arange(len(targets)))
-    fresh = (inputs == START).any(1)
-    for begin in range(0, len(targets), WINDOW):
-        states, said, own = [], [], []
-        for t in range(begin, min(begin + WINDOW, len(targets))):
-            live = alive[t]
-            row, h = inputs[t, :live], h[:live]
-            if fresh[t]:
-                h = np.where((row == START)[:, None], np.float32(0), h)
+    lengths = np.array([len(texts[k]) for k in order])
+    begins, starts = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+    targets = np.concatenate([texts[k] for k in order])
+    inputs = np.empty_like(targets)
+    inputs[1:] = targets[:-1]
+    inputs[begins] = START
+    said = np.empty(len(targets), np.float32)
+    h, begin = np.zeros((len(lanes), HIDDEN), np.float32), 0
+    while begin < sizes[0]:
+        live = int(np.searchsorted(-sizes, -begin))
+        end = min(int(sizes[0]), begin + max(WINDOW, LANES * WINDOW // live))
+        alive = np.searchsorted(-sizes, -np.arange(begin, end))
+        places = [starts[:n] + t for t, n in zip(range(begin, end), alive.tolist(), strict=True)]
+        states, at = net.space.of("states", int(alive.sum()), HIDDEN), 0
+        for own in places:
+            row, h = inputs[own], h[: len(own)]
+            if (fresh := row == START).any():
+                h = np.where(fresh[:, None], np.float32(0), h)
             h, _ = net.step(row, h)
-            states.append(h), said.append(targets[t, :live]), own.append(owner[t, :live])
-        got, _ = net.output(np.concatenate(states), np.concatenate(said))
-        out += np.bincount(np.concatenate(own), got, len(out))
+            states[at : at + len(own)] = h
+            at += len(own)
+        where = np.concatenate(places)
+        said[where], _ = net.output(states, targets[where])
+        begin = end
+    out = np.zeros(len(texts))
+    out[order] = np.add.reduceat(said, begins, dtype=np.float64)
     return out
 
 
@@ -414,8 +497,12 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
 
     Learns from the rows where held_out is false. A null or empty text is its
     end alone. Repeated rows are scored alike (and learned as often as they
-    occur). Without training rows every count is 0 and the model is the even
-    one it starts from. Empty tables give no rows; other columns are not read.
+    occur). Tokens of equal counts are ordered by their bytes; where not all of
+    a count's level (LEVELS to a doubling) fit among the FREQUENT, none of it is
+    broadcast. A very long text is one lane of a task's flat row of tokens: it
+    takes memory for its own tokens only, and time in proportion. Without
+    training rows every count is 0 and the model is the even one it starts from.
+    Empty tables give no rows; other columns, whatever their names, are not read.
     """
     context = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out.alias("held_out"))
