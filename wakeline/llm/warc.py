@@ -43,7 +43,8 @@ LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
-MANIFEST = "_manifest.json"
+#: Each commit adds a manifest of its own; a read takes all of them.
+MANIFEST = "_manifest-"
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -97,13 +98,17 @@ def decode_record(data: bytes) -> tuple:
     return number("warc-record-id"), url, "response", len(payload), digest, None, payload
 
 
-def members(source, start: int, stop: int, size: int) -> Iterator[bytes]:
-    """The unpacked WARC members that start in [start, stop) of an open file, read in pieces.
+def members(source, start: int, stop: int, size: int) -> Iterator[tuple[int, bytes | None]]:
+    """Place and unpacked bytes of the WARC members that start in [start, stop) of an open file, read in pieces; None for what is damaged.
 
-    Bytes that look like a member but don't decode to a WARC header, or fail
-    their checksum, are skipped by looking for the next magic behind them.
+    Before the first member of a range, bytes that look like one but don't
+    decode to a WARC header belong to a member that started earlier. Where a
+    member ends (and at the file's start) the next must begin: if it doesn't,
+    or if its header is right but the rest isn't, it is damaged, and the search
+    goes on behind it. A range looks at the header that follows its last member
+    too, so each damage is told once, by one range.
     """
-    at, held, base = start, b"", start
+    at, sure, held, base = start, start == 0, b"", start
 
     def fill(upto: int) -> None:
         """Hold the file's bytes from at to upto, if the file has them."""
@@ -114,43 +119,55 @@ def members(source, start: int, stop: int, size: int) -> Iterator[bytes]:
             source.seek(base + len(held))
             held += source.read(missing)
 
-    while at < stop:
-        fill(at + READ_BYTES)
-        found = held.find(MAGIC)
-        if found < 0:
-            at = max(at + 1, base + len(held) - len(MAGIC) + 1)
-            continue
-        at += found
-        if at >= stop:
-            return
-        unpack, parts, checked, fed = zlib.decompressobj(31), [], False, at
+    def unpack(header_only: bool) -> tuple[bool, bytes | None, int]:
+        """Of the member at ``at``: whether its header is right, its bytes if all of it is, and where it ends."""
+        packed, parts, checked, fed = zlib.decompressobj(31), [], False, at
         try:
-            while not unpack.eof:
+            while not packed.eof:
                 if fed < base + len(held):
                     chunk = held[fed - base :]
                 else:
                     source.seek(fed)
                     chunk = source.read(READ_BYTES)
                     if not chunk:
-                        raise zlib.error("the file ends in a member")
+                        break
                 fed += len(chunk)
-                if part := unpack.decompress(chunk):
+                if part := packed.decompress(chunk):
                     parts.append(part)
                 if not checked and sum(map(len, parts)) >= 7:
                     parts, checked = [b"".join(parts)], True
                     if not parts[0].startswith(b"WARC/1."):
-                        raise zlib.error("not a WARC header")
-            if not checked:
-                raise zlib.error("not a WARC header")
+                        return False, None, fed
+                    if header_only:
+                        return True, None, fed
         except zlib.error:
-            at += 1
-            continue
-        fed -= len(unpack.unused_data)
-        yield b"".join(parts)
-        if fed < base + len(held):
-            at = fed
+            return checked, None, fed
+        return checked, b"".join(parts) if checked and packed.eof else None, fed - len(packed.unused_data)
+
+    while at < size:
+        fill(at + READ_BYTES)
+        if at >= stop:
+            if sure and not unpack(True)[0]:
+                yield at, None
+            return
+        if not sure:
+            found = held.find(MAGIC)
+            if found < 0:
+                at = max(at + 1, base + len(held) - len(MAGIC) + 1)
+                continue
+            at += found
+            if at >= stop:
+                return
+        header, data, end = unpack(False)
+        if data is not None:
+            yield at, data
+            at, sure = end, True
+            if at > base + len(held):
+                held, base = b"", at
         else:
-            at, held, base = fed, b"", fed
+            if header or sure:
+                yield at, None
+            at, sure = at + 1, False
 
 
 @dataclass
@@ -170,11 +187,14 @@ class _Written(WriterCommitMessage):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.split, self.payload = options["path"], int(options.get("splitbytes", SPLIT_BYTES)), options.get("payload", "true") == "true"
+        self.skip = options.get("damaged", "fail") == "skip"
 
     def partitions(self):
         system, root = _open(self.path)
-        with system.open_input_stream(posixpath.join(root, MANIFEST)) as f:
-            names = json.loads(f.read())
+        names = []
+        for path in _manifests(system, root):
+            with system.open_input_stream(path) as f:
+                names += json.loads(f.read())
         out = []
         for info in system.get_file_info([posixpath.join(root, n) for n in names]):
             out += [_Range(info.path, s, min(s + self.split, info.size), info.size) for s in range(0, info.size, self.split)]
@@ -188,10 +208,17 @@ class _Reader(DataSourceReader):
         rows, held = [], 0
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         with system.open_input_file(partition.path) as f:
-            for data in members(f, partition.start, partition.stop, partition.size):
-                row = decode_record(data)
+            for at, data in members(f, partition.start, partition.stop, partition.size):
+                try:
+                    if data is None:
+                        raise ValueError("not a whole WARC record")
+                    row = decode_record(data)
+                except (ValueError, KeyError, StopIteration) as error:
+                    if not self.skip:
+                        raise ValueError(f"{partition.path}, byte {at}: {error}") from error
+                    row = (None, partition.path, "damaged", at, None, None, None)
                 rows.append(row if self.payload else (*row[:-1], None))
-                held += len(data) if self.payload else 100
+                held += len(data or b"") if self.payload else 100
                 if held > 16 << 20:
                     yield batch()
                     rows, held = [], 0
@@ -200,8 +227,8 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator):
         system, root = _open(self.path)
@@ -217,8 +244,11 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages):
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(posixpath.join(root, MANIFEST), compression=None) as out:
+        before = _manifests(system, root)
+        with system.open_output_stream(posixpath.join(root, f"{MANIFEST}{uuid.uuid4().hex}.json"), compression=None) as out:
             out.write(json.dumps(sorted(m.name for m in messages if m is not None and m.records)).encode())
+        for path in before if self.overwrite else ():
+            system.delete_file(path)
 
     def abort(self, messages):
         system, root = _open(self.path)
@@ -227,8 +257,18 @@ class _Writer(DataSourceArrowWriter):
                 system.delete_file(posixpath.join(root, m.name))
 
 
+def _manifests(system: fs.FileSystem, root: str) -> list[str]:
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in found if posixpath.basename(i.path).startswith(MANIFEST))
+
+
 class WarcSource(DataSource):
-    """Format ``warc``; options path, splitBytes, and payload=false to leave payloads where they are."""
+    """Format ``warc``; options path, splitBytes, payload=false to leave payloads where they are, and damaged=skip.
+
+    A record that can't be read whole is an error; with damaged=skip it is a row
+    of record_type ``damaged`` with its file as url and its place as
+    payload_bytes, so that a read tells how many it left out.
+    """
 
     @classmethod
     def name(cls):
@@ -241,7 +281,7 @@ class WarcSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
@@ -251,8 +291,9 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     bytes the record with the smallest page_id is the response (a row repeated
     under that id too, and null ids only among themselves); others revisit it.
     Only ids and digests are shuffled to decide this, and the payloads at most
-    once to meet the decisions. An empty table makes no record; other columns
-    are not read.
+    once to meet the decisions. A record is made and read whole, so a very long
+    payload takes memory for itself once. An empty table makes no record; other
+    columns, whatever their names, are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     slim = rows.filter(F.octet_length("payload") >= least).select("page_id", "digest")
@@ -264,13 +305,14 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
+    """Add the pages' records to the archives of a folder. Revisits are told within one write, not between writes."""
     pages.sparkSession.dataSource.register(WarcSource)
     records(pages, least).write.format("warc").mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT_BYTES) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT_BYTES, damaged: str = "fail") -> DataFrame:
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("splitBytes", split).option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("splitBytes", split).option("payload", str(payload).lower()).option("damaged", damaged).load(path)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
