@@ -7,6 +7,7 @@ import pytest
 from conftest import AWKWARD
 from pyspark.sql import functions as F
 
+from wakeline.llm import common
 from wakeline.llm import lm_scoring as x
 
 
@@ -57,11 +58,10 @@ def test_one_long_text_takes_memory_for_its_own_tokens_only():
     assert more < 128 << 10  # kilobytes; dense lanes of that length would take gigabytes
 
 
-def test_replicas_are_averaged_in_a_tree(spark, monkeypatch):
-    monkeypatch.setattr(x, "FAN", 3)
+def test_replicas_are_averaged_in_a_tree(spark):
     rows = [(n, np.full(4, float(n), np.float32).tobytes()) for n in range(1, 21)]
     frame = spark.createDataFrame(rows, "n long, weights binary").repartition(20)
-    (got,) = x.average(frame, 20).collect()
+    (got,) = common.gather(frame, 20, x._average, "n long, weights binary", 3).collect()
     assert got.n == 210 and np.allclose(np.frombuffer(got.weights, np.float32), sum(n * n for n in range(1, 21)) / 210)
 
 

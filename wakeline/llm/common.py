@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,15 +29,11 @@ def fold(column: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for all executors; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = tempfile.mkdtemp(prefix="wakeline-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own.rstrip("/")
+    """The folder, named by spark.checkpoint.dir or given to the context, that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return named.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -61,4 +56,21 @@ def cut(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = shared_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._wakeline_path = path
+    return out
+
+
+def drop(frame: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing that is still to run reads it."""
+    _remove(frame.sparkSession, frame._wakeline_path)
+
+
+def gather(frame: DataFrame, tasks: int, merge, schema: str, fan: int = 16) -> DataFrame:
+    """Rows of ``tasks`` partitions merged (by mapInArrow) in a tree: a merging task takes the rows of ``fan`` partitions or fewer."""
+    columns = frame.columns
+    while tasks > 1:
+        tasks = -(-tasks // fan)
+        to = F.least((F.spark_partition_id() / fan).cast("int"), F.lit(tasks - 1))
+        frame = frame.withColumn("_to", to).repartitionById(tasks, "_to").select(*columns).mapInArrow(merge, schema)
+    return frame

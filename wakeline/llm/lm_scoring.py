@@ -374,15 +374,6 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
 
 
-def average(replicas: DataFrame, tasks: int) -> DataFrame:
-    """One row: the replicas' weights, each by its tokens; a tree of averages of FAN replicas or so, as many levels as it takes."""
-    shape = "n long, weights binary"
-    while tasks > 1:
-        tasks = -(-tasks // FAN)
-        replicas = replicas.repartition(tasks).mapInArrow(_average, shape)
-    return replicas
-
-
 def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
     """The network's weights after all rounds over the training rows (doc_id, text binary)."""
     context, shape = rows.sparkSession.sparkContext, "n long, weights binary"
@@ -393,7 +384,7 @@ def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
     for (low, high), rate in zip(ROUNDS, RATES, strict=True):
         mine = rows.filter((part >= low) & (part < high)).select("text")
         replicas = mine.mapInArrow(_replica(context.broadcast(weights), output, rate), shape)
-        found = average(replicas, tasks).collect()
+        found = common.gather(replicas, tasks, _average, shape, FAN).collect()
         if found:
             weights = np.frombuffer(found[0].weights, np.float32)
     return weights
