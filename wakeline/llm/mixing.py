@@ -1,14 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Documents fall into blocks of their source by a seeded digest, so that the
-order of blocks is a permutation. A source gives every block as often as its
-target holds it whole, and the first blocks of the permutation once more for
-the rest; the last of these is split at a document. Which output shard gets
-how many blocks of which source is drawn by halving: the quotas of a range of
-shards are split between its halves by a multivariate hypergeometric draw,
-down to single shards, so the quotas are exact at every level. A shard then
-takes its own consecutive run of each source's permuted blocks, and shuffles
-the documents locally.
+order of blocks is a permutation. A source's quota is the number of blocks its
+target takes: every block as often as the target holds the source whole, and
+the first blocks of the permutation once more for the rest; the last of these
+is split at a document. Quotas are divided among the output shards by halving:
+those of a range of shards are split between its halves by a multivariate
+hypergeometric draw, down to single shards, so they are exact at every level.
+A shard then draws its own consecutive run of each source's permuted blocks; a
+document is taken once for each shard that drew its block. Last, each shard's
+rows are brought together and shuffled locally.
 
 The driver holds one row per source and the quotas of shards by source; rows
 of documents and blocks stay distributed.
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,6 +35,8 @@ MOST = 3
 BLOCK_DIGITS = 3
 #: Output shards.
 SHARDS = 64
+#: Rows of sources, or of drawn blocks, up to which they are broadcast; beyond, they meet the documents in a shuffle.
+FEW = 100_000
 SEED = "wakeline"
 
 
@@ -74,96 +78,127 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: str = SEED) -> np.ndarra
     return out
 
 
+def _runs(spark: SparkSession, names: list[str | None], quota: np.ndarray) -> DataFrame:
+    """The blocks at each place that a shard draws: of (source), shard, start, stop, from quotas of shape (shards, sources)."""
+    stop = np.cumsum(quota, axis=0)
+    shard, source = np.nonzero(quota)
+    rows = {"n": source, "shard": shard, "start": (stop - quota)[shard, source], "stop": stop[shard, source]}
+    of = spark.createDataFrame(list(enumerate(names)), "n long, of string")
+    return spark.createDataFrame(pd.DataFrame(rows), "n long, shard int, start long, stop long").join(of, "n").drop("n")
+
+
+def _extra(slim: DataFrame, split: DataFrame) -> DataFrame:
+    """Of each split block, which documents are drawn once more: all up to ``full``, and ``some`` rows of the document ``part``.
+
+    A row is drawn while its middle lies before what is left. Rows that repeat a document are numbered.
+    """
+    me = F.struct("place", "id", "size")
+    own = slim.join(split, slim["source"].eqNullSafe(split["s_source"]) & (slim["block"] == split["s_block"])).groupBy("source", "block", "left", me.alias("me")).agg(F.count("*").alias("n"))
+    order = W.partitionBy("source", "block").orderBy("me")
+    own = own.withColumn("before", F.sum(F.col("n") * F.col("me.size")).over(order) - F.col("n") * F.col("me.size"))
+    fits = F.floor((F.col("left") - F.col("before")) / F.greatest(F.col("me.size"), F.lit(1)) + 0.5)
+    own = own.withColumn("some", F.when(F.col("me.size") == 0, F.when(F.col("before") <= F.col("left"), F.col("n")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), fits))).cast("long"))
+    partly = (F.col("some") > 0) & (F.col("some") < F.col("n"))
+    return own.groupBy(F.col("source").alias("c_source"), F.col("block").alias("c_block")).agg(
+        F.max(F.when(F.col("some") == F.col("n"), F.col("me"))).alias("full"), F.max(F.when(partly, F.col("me"))).alias("part"), F.max(F.when(partly, F.col("some"))).alias("some")
+    )
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of a few documents, each repeated, with ``number`` from 1 within its document; no document's rows need meet in one task."""
+    held = common.cut(rows, "repeats").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    counted = held.groupBy("source", "place", "id", "size", "file").agg(F.count("*").alias("n"))
+    before = counted.withColumn("before", F.sum("n").over(W.partitionBy("source", "place", "id", "size").orderBy("file")) - F.col("n"))
+    before = before.select(*[F.col(c).alias(f"b_{c}") for c in ("source", "place", "id", "size", "file")], "before")
+    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in ("source", "place", "id", "size", "file")]
+    here = F.row_number().over(W.partitionBy("source", "place", "id", "size", "file").orderBy("row"))
+    return held.withColumn("here", here).join(before, same).withColumn("number", F.col("before") + F.col("here")).drop("here", "row", "before", "n", "file", *[f"b_{c}" for c in ("source", "place", "id", "size", "file")])
+
+
 def draws(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """The documents with size, source_size, target, copies and shards (one of the array for each copy).
 
-    A size is the number of white-space separated words; a null text has none.
-    Null sources form one source, the last by order. A document repeated in the
-    table is drawn like any other row. An empty table gives no rows. A source
-    without words has the target 0 and is not drawn. The other columns of the
-    input stay; those named like a result's column are replaced.
+    A size is the number of white-space separated words, however long the text;
+    a null text has none. Null sources form one source, the last by order. A
+    document repeated in the table is drawn like any other row; documents of one
+    place (repeated ids) are ordered by size. An empty table gives no rows. A
+    source without words has the target 0 and is not drawn. The other columns of
+    the input stay, whatever their names; those named like a result's column are
+    replaced.
     """
     spark = documents.sparkSession
-    own = ["size", "source_size", "target", "copies", "shards"]
+    own = ("size", "source_size", "target", "copies", "shards")
     place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), common.id_text(F.col("doc_id"))).cast("binary"))
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.NOT_SPACE + "+")).cast("long")
-    slim = common.cut(documents.select("doc_id", "source", place.alias("place"), words.alias("size")), "sizes")
-    slim = slim.withColumn("block", F.substring("place", 1, BLOCK_DIGITS))
+    kept = [c for c in documents.columns if c not in own]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), place.alias("place"), words.alias("size"))
+    rows = rows.withColumn("block", F.substring("place", 1, BLOCK_DIGITS))
+    slim = common.cut(rows.drop("d"), "sizes")
     blocks = common.cut(slim.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     sizes = {r.source: r.n for r in blocks.groupBy("source").agg(F.sum("words").alias("n")).collect()}
     goal = targets(sizes) if sizes else {}
     plan = [(s, sizes[s], goal[s], int(goal[s] // sizes[s]) if sizes[s] else 0) for s in goal]
     plan = [(s, n, t, e, t - e * n if n else 0.0) for s, n, t, e in plan]
-    sources = F.broadcast(spark.createDataFrame(plan, "source string, source_size long, target double, whole int, rest double"))
+    sources = spark.createDataFrame(plan, "t_source string, source_size long, target double, whole int, rest double")
+    sources = F.broadcast(sources) if len(plan) <= FEW else sources
 
     # Blocks in the permutation's order: whole once more, split, or not drawn again.
     order = W.partitionBy("source").orderBy("block")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    laid = blocks.join(sources, same(blocks, sources)).drop(sources["source"]).filter("source_size > 0")
+    laid = blocks.join(sources, blocks["source"].eqNullSafe(sources["t_source"])).filter("source_size > 0")
     laid = laid.withColumn("before", F.sum("words").over(order) - F.col("words"))
-    again = (F.col("before") < F.col("rest")).cast("int")
-    laid = laid.withColumn("most", F.col("whole") + again).withColumn("left", F.when(F.col("before") + F.col("words") > F.col("rest"), F.col("rest") - F.col("before")))
-    laid = laid.filter("most > 0").withColumn("first", F.sum("most").over(order) - F.col("most"))
-    laid = common.cut(laid.select("source", "block", "source_size", "target", "whole", "most", "left", "first"), "drawn")
+    laid = laid.withColumn("again", (F.col("before") < F.col("rest")).cast("int")).withColumn("left", F.when((F.col("again") == 1) & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before")))
+    laid = laid.withColumn("most", F.col("whole") + F.col("again")).filter("most > 0").withColumn("first", F.sum("most").over(order) - F.col("most"))
+    laid = common.cut(laid.select("source", "block", "whole", "most", "left", "first"), "laid")
 
-    # The shard of each of a source's block copies, by the quotas of the splitting tree.
+    # The quotas go down the splitting tree; each shard draws its run of every source's block copies.
     counted = {r.source: r.n for r in laid.groupBy("source").agg(F.sum("most").alias("n")).collect()}
     names = sorted(counted, key=lambda s: (s is None, s or ""))
-    quota = split_quotas(np.array([counted[s] for s in names], np.int64), shards, seed)
-    ends = np.cumsum(quota, axis=0)
-    runs = [(s, int(ends[k, i] - quota[k, i]), int(ends[k, i]), k) for i, s in enumerate(names) for k in range(shards) if quota[k, i]]
-    runs = spark.createDataFrame(runs, "of string, start long, stop long, shard int").select("of", "shard", F.explode(F.sequence("start", F.col("stop") - 1)).alias("at"))
-    copies = laid.select("source", "block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("most") - 1)).alias("at"))
-    placed = copies.join(runs, copies["source"].eqNullSafe(runs["of"]) & (copies["at"] == runs["at"])).groupBy(copies["source"], "block").agg(F.array_sort(F.collect_list(F.struct(copies["at"], "shard"))).alias("placed"))
-    placed = placed.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), F.col("placed.shard").alias("shards"))
-    drawn = laid.join(placed, laid["source"].eqNullSafe(placed["p_source"]) & (laid["block"] == placed["p_block"])).drop("p_source", "p_block")
-
-    # A split block's documents: once more while the middle of a document lies before what is left.
-    split = drawn.filter("left is not null and most > whole")
-    split = split.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "left")
-    inner = W.partitionBy("source", "block").orderBy("place", F.asc_nulls_last("doc_id"), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cutoff = (
-        slim.join(F.broadcast(split), slim["source"].eqNullSafe(split["s_source"]) & (slim["block"] == split["s_block"]))
-        .withColumn("upto", F.sum("size").over(inner))
-        .filter(F.col("upto") - F.col("size") / F.lit(2.0) <= F.col("left"))
-        .groupBy("source", "block")
-        .agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "size")).alias("last"))
-    )
-    cutoff = cutoff.select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "last")
-    drawn = drawn.join(cutoff, drawn["source"].eqNullSafe(cutoff["c_source"]) & (drawn["block"] == cutoff["c_block"]), "left").drop("c_source", "c_block")
-    drawn = drawn.select(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "whole", "most", "left", "last", "shards")
-
-    rest = documents.drop(*own).withColumn("_place", place).withColumn("size", words)
-    rest = rest.withColumn("_block", F.substring("_place", 1, BLOCK_DIGITS))
-    out = rest.join(drawn, rest["source"].eqNullSafe(drawn["d_source"]) & (rest["_block"] == drawn["d_block"]), "left")
-    out = out.join(sources.select(F.col("source").alias("t_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source")), "left")
-    me = F.struct(F.col("_place").alias("place"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("size"))
-    taken = (
-        F.when(F.col("d_block").isNull(), 0)
-        .when(F.col("left").isNull() | (F.col("most") == F.col("whole")), F.col("most"))
-        .when(F.col("last").isNotNull() & (me <= F.col("last")), F.col("most"))
-        .otherwise(F.col("whole"))
-    )
-    out = out.withColumn("copies", taken.cast("int"))
-    out = out.withColumn("shards", F.when(F.col("copies") > 0, F.slice("shards", 1, F.col("copies"))).otherwise(F.array().cast("array<int>")))
-    return out.drop("_place", "_block", "d_source", "d_block", "whole", "most", "left", "last", "t_source")
+    runs = _runs(spark, names, split_quotas(np.array([counted[s] for s in names], np.int64), shards, seed)).select("of", "shard", F.explode(F.sequence("start", F.col("stop") - 1)).alias("r_at"))
+    copies = laid.select("source", "block", "whole", "left", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("most") - 1)).alias("copy", "at"))
+    met = copies.join(runs, copies["source"].eqNullSafe(runs["of"]) & (copies["at"] == runs["r_at"]))
+    drawn = met.groupBy(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "whole", "left").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
+
+    split = laid.filter("left is not null").select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "left")
+    extra = common.cut(_extra(slim, F.broadcast(split) if len(plan) <= FEW else split), "extra")
+    drawn = drawn.join(extra, drawn["d_source"].eqNullSafe(extra["c_source"]) & (drawn["d_block"] == extra["c_block"]), "left").drop("c_source", "c_block")
+    drawn = common.cut(drawn, "drawn")
+    few = len(plan) <= FEW and drawn.count() <= FEW
+
+    out = rows.join(F.broadcast(drawn) if few else drawn, rows["source"].eqNullSafe(drawn["d_source"]) & (rows["block"] == drawn["d_block"]), "left")
+    me = F.struct("place", "id", "size")
+    partly = F.coalesce(me == F.col("part"), F.lit(False))
+
+    def finish(found: DataFrame, more: Column) -> DataFrame:
+        taken = F.transform(F.filter("drawn", lambda p: (p["copy"] < F.col("whole")) | F.col("left").isNull() | more), lambda p: p["shard"])
+        found = found.withColumn("shards", F.coalesce(taken, F.array().cast("array<int>")))
+        found = found.join(sources, found["source"].eqNullSafe(sources["t_source"]), "left")
+        return found.select(*[F.col(f"d.`{c}`") for c in kept], "size", "source_size", "target", F.size("shards").alias("copies"), "shards")
+
+    whole = F.coalesce(me <= F.col("full"), F.lit(False))
+    if extra.filter("part is not null").isEmpty():
+        return finish(out, whole)
+    repeated = _numbered(out.filter(partly))
+    return finish(out.filter(~partly), whole).unionByName(finish(repeated, F.col("number") <= F.col("some")))
 
 
 def mixture(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """The mixture itself: a row for each copy, with its shard and its position key in the shard's local shuffle.
+    """The mixture itself: a row for each copy with its copy, shard and position; the rows of a shard lie together, in the order of their positions.
 
-    Written with ``partitionBy("shard")`` after ``sortWithinPartitions("shard", "position")`` it is the training order.
+    The position is a digest, so the order within a shard is a seeded local
+    shuffle. A row that repeats a document, and its copies in one shard, are
+    ordered by copy. Columns of the input named copy, shard or position (or
+    like a result's column of ``draws``) are replaced; all others stay.
     """
     dealt = draws(documents, shards, seed)
-    keep = [c for c in documents.columns if c not in ("copy", "shard", "position")]
+    keep = [F.col(f"`{c}`") for c in documents.columns if c not in ("copy", "shard", "position", "size", "source_size", "target", "copies", "shards")]
     rows = dealt.select(*keep, F.posexplode("shards").alias("copy", "shard"))
     position = F.md5(F.concat_ws(":", F.lit(seed), F.col("shard"), F.col("copy"), common.id_text(F.col("doc_id"))).cast("binary"))
-    return rows.withColumn("position", position)
+    return rows.withColumn("position", position).repartitionById(shards, "shard").sortWithinPartitions("position")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = draws(common.table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return dealt.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return dealt.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
 QUERIES = {"op7_mixing": op7_mixing}
