@@ -56,6 +56,36 @@ def test_drop_duplicates_keeps_columns(docs):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_drop_duplicates_by_brute_force(docs, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 3))) for _ in range(200)] + ["hot hot"] * 100 + ["h othot"] * 50
+    rows = [(rng.choice([None, *range(120)]), t, "en", "s", 1, 7, "k") for t in texts]
+    frame = docs(rows, ", n long, _key string")
+    for k in (2, 1024):
+        for most in (x.DROPPED, 0):
+            monkeypatch.setattr(x, "DROPPED", most)
+            got = [tuple(r) for r in x.drop_duplicates(frame, k).collect()]
+            groups = {}
+            for r in rows:
+                groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append(r)
+            assert len(got) == len(groups) and {r[5:] for r in got} == {(7, "k")}
+            for r in got:
+                least = min((-len(m[1]), m[0] is None, m[0] or 0) for m in groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])])
+                assert (-len(r[1]), r[0] is None, r[0] or 0) == least and r in rows
+
+
+def test_texts_are_not_shuffled_to_drop_copies(docs, monkeypatch):
+    frame = docs([(i, f"text {i % 50}") for i in range(100)])
+    plan = x.drop_duplicates(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_frequent_digests_in_small_partitions(docs, spark):
+    values = [(f"d{i % 7}" if i % 3 == 0 else f"u{i}",) for i in range(900)]
+    frame = spark.createDataFrame(values, "digest string").repartition(300)
+    assert {f"d{i}" for i in range(7)} <= set(x.frequent_digests(frame, 100))
+
+
 def test_misra_gries_finds_what_is_frequent():
     counts = {f"k{i}": 1 for i in range(50)} | {"hot": 40}
     x.reduce_counters(counts, 4)
