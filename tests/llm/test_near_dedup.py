@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -69,6 +70,43 @@ def test_blocks_settle_what_pivots_leave(docs, monkeypatch):
     assert sorted(tuple(r) for r in x.similar(docs(rows), 85).collect()) == brute(rows, 85)
 
 
+def test_hot_keys_are_met_by_broadcast(docs, monkeypatch):
+    rng = random.Random(6)
+    rows = list(enumerate([*family(rng, 60, 120, 2), *family(rng, 40, 130, 3), "a b", "c d e f g h"]))
+    for name, value in (("HOT", 3), ("FEW", 1 << 40), ("IDS", 0)):
+        monkeypatch.setattr(x, name, value)
+    assert sorted(tuple(r) for r in x.similar(docs(rows), 85).collect()) == brute(rows, 85)
+
+
+def alike(n, seed=8):
+    """Texts that share 70 of their 100 words in a row, so that none is linked with another but for a few pairs."""
+    rng = random.Random(seed)
+    core = [f"k{i}" for i in range(90)]
+    texts = [" ".join(core + [f"v{i}x{rng.randrange(10**6)}x{j}" for j in range(22)]) for i in range(n)]
+    return [*texts, *[t + " end" for t in texts[:5]]]
+
+
+def test_large_open_buckets_are_dealt_by_prefixes(docs, monkeypatch):
+    rows = list(enumerate(alike(60)))
+    monkeypatch.setattr(x, "LARGE", 10)
+    monkeypatch.setattr(x, "SIDE", 8)
+    assert sorted(tuple(r) for r in x.similar(docs(rows), 80).collect()) == brute(rows, 80)
+
+
+@pytest.mark.parametrize("n", [300, 600])
+def test_prefixes_stay_linear_in_alike_but_unlinked_texts(spark, n):
+    sets = [(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), e) for e in (x.shingles(t.encode()) for t in alike(n))]
+    members = spark.createDataFrame([(7, node, node, len(e)) for node, e in sets], "key long, node binary, root binary, n long")
+    frame = spark.createDataFrame([(node, e.tobytes()) for node, e in sets], "node binary, own binary")
+    got = x._by_prefix(members, frame, 80).collect()
+    assert len(got) <= 2 * 5 * 23  # prefixes of the five linked pairs alone, however many texts are alike
+    buckets = {}
+    for r in got:
+        buckets.setdefault(r.key, set()).add(bytes(r.node))
+    for i in range(5):  # each linked pair shares a new bucket
+        assert any({sets[i][0], sets[n + i][0]} <= b for b in buckets.values())
+
+
 def test_signature_is_superminhash():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)
@@ -79,6 +117,11 @@ def test_signature_is_superminhash():
     one = x.superminhash(a[:1], 16)  # a single element fills every slot, each at a rank of its own
     assert sorted(one >> np.uint64(56)) == list(range(16))
     assert (x.superminhash(np.unique(np.concatenate([a, b]))) == np.minimum(s, t)).all()
+    many = [np.unique(a[i : i + 1 + i * 7]) for i in range(60)]  # sets ranked together have the signatures of each alone
+    x.BLOCK, block = 50, x.BLOCK
+    assert (x.superminhashes(many) == np.array([x.superminhash(e) for e in many])).all()
+    x.BLOCK = block
+    assert (x.superminhashes(many) == np.array([x.superminhash(e) for e in many])).all()
 
 
 def test_awkward_rows(docs):

@@ -9,9 +9,13 @@ of slots deal classes to buckets.
 No pairs of a bucket are listed. A pivot of each bucket is verified against
 its members on the full sets, and the links are grouped by union-find; this is
 repeated with other pivots in buckets that still hold several groups. What is
-then left open is settled exactly, in blocks of a bounded number of members:
-signatures tell which members can have a partner in another group at all, and
-only those have their sets compared.
+then left open is settled exactly. Buckets of more than LARGE members, which
+are alike but not linked, are dealt anew by prefixes: two sets that reach the
+threshold share one of the first shingles of each in any common order, and in
+the order of rarity those are the ones that hardly any other set has. The
+buckets are then worked in blocks of a bounded number of members: signatures
+tell which members can have a partner in another group at all, and only those
+have their sets compared.
 
 With ROWS slots a band and BANDS bands, a pair at the threshold shares no
 bucket with a probability below 1e-5.
@@ -35,9 +39,17 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Elements of a set that are ranked at once.
-BLOCK = 4096
+BLOCK = 16384
 #: Rounds of pivots before what is left is settled in blocks, and members of a block's side.
 PIVOTS, SIDE = 2, 128
+#: Open buckets of more members than this are dealt anew by prefixes of their sets.
+LARGE = 1024
+#: Rows of blocks that a task works on.
+DEALT = 4096
+#: A key counts as hot from so many rows on; at most FEW keys are hot, however many rows there are.
+HOT, FEW = 1000, 100_000
+#: Ids of documents that are broadcast at most; beyond, documents meet them in a shuffle.
+IDS = 2_000_000
 #: Standard errors by which an estimate may fall short of the threshold before a pair is dismissed.
 MARGIN = 7.0
 
@@ -60,62 +72,86 @@ def shingles(text: bytes | None) -> np.ndarray:
     out = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
         out = mix(out * _C + hashed[i : len(words) - size + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """The signature: for each slot the least (rank, random value) of an element whose permutation has that slot at that rank.
+    """The signature of one set; see superminhashes."""
+    return superminhashes([elements], slots)[0]
+
+
+def superminhashes(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """The signatures: for each slot the least (rank, random value) of an element whose permutation has that slot at that rank.
 
     Each element shuffles the slots by its own Fisher-Yates steps; step j sets
-    the slot of rank j. Slots hold the rank in the top byte. The ranks of a
-    block stop once every slot holds a smaller one.
+    the slot of rank j. Slots hold the rank in the top byte. Elements of several
+    sets are ranked together, about BLOCK at a time, and those of a set stop
+    once every slot of it holds a smaller rank.
     """
-    out = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
-    top = np.uint64(56)
-    for begin in range(0, len(elements), BLOCK):
-        block = elements[begin : begin + BLOCK]
-        order, rows = None, np.arange(len(block))
-        for rank in range(slots):
-            if out.max() >> top < rank:
-                break
-            value = mix(block + np.uint64(int(_C) * (rank + 1) & 0xFFFFFFFFFFFFFFFF))
-            pick = rank + (((mix(value ^ _B) >> np.uint64(32)) * np.uint64(slots - rank)) >> np.uint64(32)).astype(np.int64)
-            value = (value >> np.uint64(8)) | (np.uint64(rank) << top)
-            if rank == 0:
-                slot, first = pick, pick
-            else:
-                if order is None:
-                    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(block), 1))
-                    order[rows, first], order[:, 0] = 0, first
-                slot = order[rows, pick].astype(np.int64)
-                order[rows, pick] = order[:, rank]
-            np.minimum.at(out, slot, value)
+    out = np.full((len(sets), slots), np.iinfo(np.uint64).max, np.uint64)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for k, own in enumerate(sets):
+        for begin in range(0, len(own), BLOCK):
+            held.append((k, own[begin : begin + BLOCK]))
+            size += len(held[-1][1])
+            if size >= BLOCK:
+                _ranks(out, held, slots)
+                held, size = [], 0
+    if held:
+        _ranks(out, held, slots)
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band, its number mixed in."""
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in signature.reshape(BANDS, ROWS).T:
-        key = mix(key * _C + row)
+def _ranks(out: np.ndarray, held: list[tuple[int, np.ndarray]], slots: int) -> None:
+    """Bring pieces of sets (row of out, elements) into their signatures."""
+    top, flat = np.uint64(56), out.reshape(-1)
+    block = np.concatenate([e for _, e in held])
+    mine = np.array(sorted({k for k, _ in held}))
+    owner = np.repeat(np.searchsorted(mine, [k for k, _ in held]), [len(e) for _, e in held])
+    order = first = None
+    for rank in range(slots):
+        live = (out[mine].max(1) >> top) >= rank
+        if not live.all():
+            if not live.any():
+                return
+            kept = live[owner]
+            block, owner, mine = block[kept], (np.cumsum(live) - 1)[owner[kept]], mine[live]
+            order, first = (order[kept] if order is not None else None), (first[kept] if first is not None else None)
+        value = mix(block + np.uint64(int(_C) * (rank + 1) & 0xFFFFFFFFFFFFFFFF))
+        pick = rank + (((mix(value ^ _B) >> np.uint64(32)) * np.uint64(slots - rank)) >> np.uint64(32)).astype(np.int64)
+        value = (value >> np.uint64(8)) | (np.uint64(rank) << top)
+        rows = np.arange(len(block))
+        if rank == 0:
+            slot = first = pick
+        else:
+            if order is None:
+                order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(block), 1))
+                order[rows, first], order[:, 0] = 0, first
+            slot = order[rows, pick].astype(np.int64)
+            order[rows, pick] = order[:, rank]
+        np.minimum.at(flat, mine[owner] * slots + slot, value)
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature, the band's number mixed in."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(signatures), 1))
+    for row in range(ROWS):
+        key = mix(key * _C + signatures[:, row::ROWS])
     return key.view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "node", "bands", "slots", "hash"]
     for batch in batches:
-        n, node, bands, slots = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingles(text)
-            n.append(len(own))
-            if not len(own):
-                node.append(None), bands.append(None), slots.append(None)
-                continue
-            signature = superminhash(own)
-            node.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            bands.append(band_keys(signature))
-            slots.append((mix(signature) >> np.uint64(56)).astype(np.uint8).tobytes())
-        arrays = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())]
+        own = [shingles(text) for text in batch.column(1).to_pylist()]
+        signatures = superminhashes(own)
+        short = (mix(signatures) >> np.uint64(56)).astype(np.uint8)
+        node = [hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e in own]
+        bands = [b if len(e) else None for b, e in zip(band_keys(signatures), own, strict=True)]
+        slots = [s.tobytes() if len(e) else None for s, e in zip(short, own, strict=True)]
+        arrays = [pa.array([len(e) for e in own], pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, batch.column(2)], names)
 
 
@@ -180,25 +216,50 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterato
     yield links()
 
 
+def _many(rows: int) -> int:
+    """From how many rows on a key is hot, if there are so many rows: no more than FEW keys can be."""
+    return max(HOT, -(-rows // FEW))
+
+
+def meet(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows with the table's one row of their key. Hot keys (at most FEW, one column like the key) meet by broadcast: none of them fills a task."""
+    hot = F.broadcast(hot.toDF("_hot"))
+    frequent = table.join(hot, table[key] == hot["_hot"], "left_semi")
+    usual = rows.join(hot, rows[key] == hot["_hot"], "left_anti")
+    return usual.join(table, key).unionByName(rows.join(F.broadcast(frequent), key))
+
+
 def groups(links: DataFrame) -> DataFrame:
     """The least member (root) that each linked node can reach, from links (a, b).
 
     Links are contracted by union-find inside partitions; then labels pass along
     links, and along labels themselves, until none changes. The driver sees
-    counts only.
+    counts only, and nodes with many links or followers are met by broadcast.
     """
-    links = common.cut(links.mapInArrow(_contract, "a binary, b binary"), "links")
-    both = links.union(links.select("b", "a")).distinct()
-    labels = common.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    links = links.mapInArrow(_contract, "a binary, b binary")
+    both = common.cut(links.union(links.select("b", "a")).distinct(), "links")
+    many = _many(both.count())
+    first = common.cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), "d"), "labels")
+    wide, labels = first.filter(F.col("d") >= many).select("node"), first.select("node", "root")
+    ends = both.withColumnRenamed("b", "node")
+    held = [first]
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
-        step = step.join(jump, step["new"] == jump["at"], "left").select("node", F.least("new", F.coalesce("beyond", "new")).alias("root"), "root", F.col("root").alias("old"))
-        step = common.cut(step.toDF("node", "root", "_", "old").drop("_"), "labels")
-        if not step.filter("root != old").limit(1).count():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
+        near = meet(ends, "node", labels, wide).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = common.cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new")), "step")
+        followed = step.groupBy("new").agg(F.count("*").alias("d")).filter(F.col("d") >= many).select("new")
+        beyond = labels.select(F.col("node").alias("new"), F.col("root").alias("beyond"))
+        after = common.cut(meet(step, "new", beyond, followed).select("node", F.least("new", "beyond").alias("root"), "old"), "labels")
+        common.drop(step)
+        held.append(after)
+        labels = after.select("node", "root")
+        if after.filter("root != old").isEmpty():
+            for level in held[:-1]:
+                common.drop(level)
+            common.drop(both)
+            return labels
+        while len(held) > 2:
+            level = held.pop(0) if held[0] is not first else held.pop(1)
+            common.drop(level)
 
 
 def _blocks(percent: int, exact: bool):
@@ -233,10 +294,38 @@ def _blocks(percent: int, exact: bool):
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Members of a bucket dealt to pairs of sides (i <= j) of about SIDE members each."""
-    counted = members.groupBy("key").agg(F.ceil(F.count("*") / SIDE).alias("sides"))
-    dealt = members.join(counted, "key").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
-    return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides").cast("int") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")).drop("o", "sides")
+    """Members of a bucket dealt to pairs of sides (i <= j) of about SIDE members each, and the blocks dealt to tasks."""
+    counted = common.cut(members.groupBy("key").agg(F.count("*").alias("size")).withColumn("sides", F.ceil(F.col("size") / SIDE).cast("int")), "sides")
+    total = counted.agg(F.sum("size"), F.sum(F.col("size") * F.col("sides"))).first()
+    hot = counted.filter(F.col("size") >= _many(total[0] or 0)).select("key")
+    dealt = meet(members, "key", counted.select("key", "sides"), hot).withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")).drop("o", "sides")
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, (total[1] or 0) // DEALT)
+    return dealt.repartition(tasks, "key", "i", "j")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(e) for e in own])))
+        yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(own) if own else [], pa.int64())], ["node", "token"])
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of large buckets in new ones, whose key is a shingle in the prefix of their sets: two that reach the threshold share one.
+
+    A set of n shingles that has ceil(percent n / 100) of them in common with
+    another has one of those among its first n - ceil(percent n / 100) + 1, in
+    any order that both share; here rare ones come first.
+    """
+    nodes = members.select("node", "root", "n").distinct()
+    tokens = common.cut(nodes.select("node").join(sets, "node").mapInArrow(_tokens, "node binary, token long"), "tokens")
+    often = common.cut(tokens.groupBy("token").agg(F.count("*").alias("often")), "often")
+    hot = often.filter(F.col("often") >= _many(tokens.count())).select("token")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = meet(tokens, "token", often, hot).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own")).join(nodes, "node")
+    prefix = ranked.select(F.explode(F.filter(F.slice("own", F.lit(1), first.cast("int")), lambda t: t["often"] > 1)).alias("t"), "node", "n", "root")
+    return prefix.select(F.col("t.token").alias("key"), "node", "n", "root")
 
 
 def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -245,36 +334,54 @@ def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     classes = common.cut(classes, "classes")
     places = classes.select("node", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = common.cut(places.join(shared, "key"), "members")
+    shared = common.cut(places.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    hot = shared.filter(F.col("size") >= _many(BANDS * classes.count())).select("key")
+    members = common.cut(meet(places, "key", shared.select("key"), hot), "members")
     # Buckets with the same members are one.
     whole = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"))
-    members = common.cut(members.join(whole.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key"), "buckets")
+    distinct = common.cut(whole.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "distinct")
+    buckets = common.cut(meet(members, "key", distinct, hot), "buckets")
+    for level in (members, distinct, shared):
+        common.drop(level)
     info = classes.select("node", "n", "slots", "rep")
-    needed = members.select("node").distinct().join(classes.select("node", "rep"), "node").select("rep").distinct()
+    needed = common.cut(buckets.select("node").distinct().join(classes.select("node", "rep"), "node").select("rep").distinct(), "needed")
+    few = F.broadcast(needed) if needed.count() <= IDS else needed
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(needed, texts["doc_id"].eqNullSafe(needed["rep"]), "left_semi").select("text").mapInArrow(_sets, "node binary, own binary").filter("node is not null")
+    sets = texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]), "left_semi").select("text").mapInArrow(_sets, "node binary, own binary").filter("node is not null")
     sets = common.cut(sets.dropDuplicates(["node"]), "sets")
 
-    links = None
-    open_ = members.join(info.select("node", "n"), "node").withColumn("root", F.col("node"))
+    links, labels = None, None
+    open_ = buckets.join(info.select("node", "n"), "node").withColumn("root", F.col("node"))
     for turn in range(PIVOTS):
         order = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("n"), F.col("root"))
-        pivots = open_.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"))
-        pairs = open_.join(pivots, "key").filter(f"root != pivot_root and 100 * least(n, m) >= {percent} * greatest(n, m)").select("node", "pivot").distinct()
+        pivots = open_.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("size")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"), "size")
+        pivots = common.cut(pivots, "pivots")
+        hot = pivots.filter(F.col("size") >= _many(buckets.count())).select("key")
+        pairs = meet(open_, "key", pivots.drop("size"), hot).filter(f"root != pivot_root and 100 * least(n, m) >= {percent} * greatest(n, m)").select("node", "pivot").distinct()
         pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("own").alias("other")), "pivot").select("node", "pivot", "own", "other")
         new = common.cut(pairs.mapInArrow(_verifier(percent), "node binary, pivot binary").toDF("a", "b"), "verified")
         links = new if links is None else links.union(new)
         labels = groups(links)
         open_ = common.cut(_relabel(open_, labels), "open")
-    flagged = _in_blocks(open_.join(info.select("node", "slots"), "node")).groupBy("key", "i", "j").applyInPandas(_blocks(percent, False), "key long, node binary").distinct()
+        common.drop(pivots)
+    large = open_.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE).select("key")
+    large = common.cut(large, "large")
+    if not large.isEmpty():  # at most one of LARGE members
+        few = F.broadcast(large) if large.count() <= FEW else large
+        anew = _several_groups(_by_prefix(open_.join(few, "key", "left_semi"), sets, percent))
+        open_ = common.cut(open_.join(few, "key", "left_anti").unionByName(anew.select(*open_.columns)), "open")
+    blocks = _in_blocks(open_.join(info.select("node", "slots"), "node"))
+    flagged = blocks.groupBy("key", "i", "j").applyInPandas(_blocks(percent, False), "key long, node binary").distinct()
     left = common.cut(open_.join(flagged, ["key", "node"]).join(info.select("node", "slots"), "node").join(sets, "node"), "left")
     new = common.cut(_in_blocks(left).groupBy("key", "i", "j").applyInPandas(_blocks(percent, True), "a binary, b binary"), "verified")
     labels = groups(links.union(new))
 
     rooted = classes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = common.cut(rooted.join(least, "root").select("node", "root", "component_id"), "known")
+    least = common.cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "least")
+    hot = least.filter(F.col("size") >= _many(classes.count())).select("root")
+    known = common.cut(meet(rooted, "root", least.drop("size"), hot).select("node", "root", "component_id"), "known")
+    for level in (sets, buckets, left, open_, least, needed):
+        common.drop(level)
     return signed, known
 
 
@@ -282,11 +389,12 @@ def similar(documents: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
 
     Documents are linked when 100 * intersection >= percent * union of their
-    sets; groups are the connected components. A null or empty text has an empty
-    set and stands alone. Rows that repeat a document belong to its group, and
-    are kept as it is. A null doc_id counts after all others: it is the
-    component_id only of groups without any other. Empty tables give no rows;
-    further columns are not read.
+    sets; groups are the connected components. A text counts whole however long
+    it is. A null or empty text has an empty set and stands alone. Rows that
+    repeat a document belong to its group, and are kept as it is. A null doc_id
+    counts after all others: it is the component_id only of groups without any
+    other. Empty tables give no rows; further columns, whatever their names, are
+    not read.
     """
     signed, known = _grouped(documents, percent)
     return signed.join(known, "node", "left").select(
@@ -298,29 +406,39 @@ def similar(documents: DataFrame, percent: int = 80) -> DataFrame:
 
 def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their groups' roots, of buckets that hold more than one group."""
-    out = members.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = out.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    return out.join(several, "key")
+    return _several_groups(members.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def _several_groups(members: DataFrame) -> DataFrame:
+    members = common.cut(members, "members")
+    sizes = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low != high").select("key", "size")
+    hot = sizes.filter(F.col("size") >= _many(members.count())).select("key")
+    return meet(members, "key", sizes.select("key"), hot)
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     """The documents, whole and with their own columns, that are the first of their group: one row of each.
 
     Of rows that share the first doc_id (or have none) but not a text, that with
-    the least hash of its text stays. Texts without words all stay.
+    the least hash of its text stays. Texts without words all stay. Documents
+    are filtered where they lie, unless the rows to drop are too many to
+    broadcast; only rows that repeat a kept row's id and text meet in a shuffle.
     """
     signed, known = _grouped(documents, percent)
     rows = signed.filter("node is not null").groupBy("doc_id", "hash", "node").agg(F.count("*").alias("n")).join(known.select("node", "root"), "node")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "n")).alias("p"))
-    first = common.cut(first.select(F.col("p.doc_id").alias("_id"), F.col("p.hash").alias("_hash"), F.col("p.n").alias("_n")), "first")
-    alone = signed.filter("node is null").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-
-    def of(keys: DataFrame) -> DataFrame:
-        return documents.join(keys, documents["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(documents["text"]) == keys["_hash"]), "left_semi")
-
-    kept = of(first.filter("_n = 1").select("_id", "_hash").union(alone))
-    several = first.filter("_n > 1").select("_id", "_hash")
-    return kept if several.isEmpty() else kept.union(of(several).dropDuplicates(["doc_id", "text"]))
+    rows = common.cut(rows.select("root", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash").alias("p"), "n"), "judged")
+    first = common.cut(rows.groupBy("root").agg(F.min("p").alias("best"), F.count("*").alias("size")), "first")
+    hot = first.filter(F.col("size") >= _many(rows.count())).select("root")
+    judged = common.cut(meet(rows, "root", first.drop("size"), hot).filter("p != best or n > 1").select(F.col("p.doc_id").alias("_id"), F.col("p.hash").alias("_hash"), (F.col("p") == F.col("best")).alias("best")), "lost")
+    held = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+
+    def meets(keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if judged.count() <= IDS else keys
+        return held.join(keys, held["doc_id"].eqNullSafe(keys["_id"]) & (held["hash"] == keys["_hash"]), how)
+
+    kept = meets(judged.select("_id", "_hash"), "left_anti")
+    again = judged.filter("best").select("_id", "_hash")
+    return (kept if again.isEmpty() else kept.union(meets(again, "left_semi").dropDuplicates(["doc_id", "hash"]))).select("d.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
