@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 from conftest import AWKWARD
 
@@ -36,6 +40,51 @@ def test_score_is_naive_bayes(docs):
     assert lang == [langs[by_hand.argmax()]] and np.isclose(sure[0], 1 / np.exp(by_hand - by_hand.max()).sum())
 
 
+def mixed(gram):
+    """The bucket of an n-gram, character by character in plain integers."""
+    h = 0
+    for i in range(len(gram)):
+        h = ((h ^ ord(gram[i])) * 0x9E3779B1) & 0xFFFFFFFF
+        h ^= h >> 15
+    return ((h * ((0x85EBCA77 + 2 * len(gram)) & 0xFFFFFFFF)) & 0xFFFFFFFF) >> (32 - x.BITS)
+
+
+def grams(text):
+    """The n-grams from each place; behind the end there are zeros."""
+    padded = text.lower() + "\0" * (max(x.ORDERS) - 1)
+    return [padded[i : i + n] for n in x.ORDERS for i in range(len(text.lower()))]
+
+
+def test_predictions_by_brute_force(docs):
+    """Naive Bayes from counts of n-grams in plain dictionaries, over texts of three languages and awkward ones."""
+    rows = [(i, (EN, DE, "el veloz murciélago hindú comía feliz cardillo y kiwi")[i % 3][i % 11 : 20 + 2 * i], ("en", "de", "es")[i % 3], "s", 0) for i in range(45)]
+    rows += [(90, "ÜBER Straße", None), (91, "?!", "en"), (92, None, "de"), (93, "kiwi " * 3000, None)]
+    seen, count, total = Counter(), {}, Counter()
+    for i, text, lang, *_ in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            seen[lang] += 1
+            own = count.setdefault(lang, Counter())
+            for g in grams(text or ""):
+                own[mixed(g)] += 1
+                total[lang] += 1
+    langs = sorted(seen)
+    for r in x.identify(docs(rows)).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        said = [math.log(seen[k] / sum(seen.values())) + sum(math.log((count[k][mixed(g)] + x.SMOOTHING) / (total[k] + x.SMOOTHING * x.BUCKETS)) for g in grams(r.text)) for k in langs]
+        assert r.lang_pred == langs[said.index(max(said))]
+        assert abs(r.score - 1 / sum(math.exp(v - max(said)) for v in said)) < 1e-2
+
+
+def test_ties_go_to_the_first_language(docs):
+    rows = [(i, "abc", "qp"[i % 2], "s", 0) for i in range(40)]
+    even = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    n = min(sum(r[2] == k for r in even) for k in "pq")
+    same = [r for k in "pq" for r in [e for e in even if e[2] == k][:n]]
+    assert {r.lang_pred for r in x.identify(docs(same)).collect()} == {"p"}
+
+
 def test_awkward_rows(docs, spark):
     assert x.identify(docs(AWKWARD)).count() == len(AWKWARD)  # nothing to learn from: all unknown
     assert x.identify(docs([])).count() == 0

@@ -135,7 +135,9 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
     """The documents, whole, with lang_pred and score.
 
     A text that is null or without a letter is ``und`` with score 0, and so is
-    every text when nothing was learned. Repeated rows are judged alike.
+    every text when nothing was learned. A text counts whole however long it is;
+    of languages that are equally likely the first in order is told. Repeated
+    rows are judged alike; an empty table gives no rows.
     Columns of the input named lang_pred or score are replaced; all others stay.
     """
     held = documents.drop("lang_pred", "score")

@@ -103,53 +103,54 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def screen(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The buckets whose share among toxic documents differs from that among others beyond STRENGTH standard errors."""
-    if not len(words) or toxic.all() or not toxic.any():
-        return np.zeros(0, np.int64)
-    own = np.repeat(toxic, [len(w) for w in words])
-    flat = np.concatenate(words).astype(np.int64)
-    seen = np.bincount(flat, minlength=1 << BITS)
-    with_ = np.bincount(flat[own], minlength=1 << BITS)
-    at = np.flatnonzero(seen >= SUPPORT)
-    n, m = len(toxic), toxic.sum()
-    share = seen[at] / n
-    a, b = with_[at] / m, (seen[at] - with_[at]) / (n - m)
-    z = (a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / m + 1 / (n - m)))
-    return at[np.abs(z) >= STRENGTH]
-
-
-def fit(words: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Minimise cross-entropy + RIDGE |w|^2 + FAIRNESS mean (score - swapped score)^2 by Adam on the full sample."""
-    n = len(toxic)
-    if not n:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
-    rate = float(toxic.mean())
-    start = float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
-    at = np.union1d(screen(words, toxic), np.fromiter(sorted(IDENTITY_BUCKETS), np.int64))
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(at)), np.float32)
-        for i, row in enumerate(rows):
-            place = np.minimum(np.searchsorted(at, row), len(at) - 1)
-            out[i, place[at[place] == row]] = 1
-        return out
-
-    # Rows that look alike to the model count as one, with a weight.
-    x, index, weight = np.unique(np.column_stack([matrix(words), toxic]), axis=0, return_inverse=True, return_counts=True)
-    x, y, weight = x[:, :-1].astype(np.float64), x[:, -1].astype(np.float64), weight / n
-    said, swapped = (matrix([np.asarray(p[k], np.int64) for p in pairs]).astype(np.float64) for k in (0, 1))
-    w, base = np.zeros(len(at)), start
+@dataclass
+class Rows:
+    """Sets of features (places among the kept buckets) one after the other, and a weight for each set."""
+
+    flat: np.ndarray
+    size: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list, counts: list) -> Rows:
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.asarray(s, np.int64) for s in sets]) if len(sets) else np.zeros(0, np.int64)
+        weight = np.array(counts, float)
+        return cls(flat, size, weight / max(weight.sum(), 1.0))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self.size)), self.size), w[self.flat], len(self.size))
+
+    def back(self, error: np.ndarray, features: int) -> np.ndarray:
+        return np.bincount(self.flat, np.repeat(error, self.size), features)
+
+
+def sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+
+def loss(w: np.ndarray, base: float, x: Rows, toxic: np.ndarray, said: Rows, swapped: Rows) -> tuple[float, np.ndarray, float]:
+    """Cross-entropy + RIDGE |w|^2 + FAIRNESS mean (score - swapped score)^2, and its gradient by the weights and the intercept."""
+    p = sigmoid(x.dot(w) + base)
+    value = -(x.weight * np.where(toxic, np.log(p), np.log(1 - p))).sum() + RIDGE * (w * w).sum()
+    error = (p - toxic) * x.weight
+    grad, grad_base = x.back(error, len(w)) + 2 * RIDGE * w, error.sum()
+    if len(said.size):
+        p, q = sigmoid(said.dot(w) + base), sigmoid(swapped.dot(w) + base)
+        value += FAIRNESS * (said.weight * (p - q) ** 2).sum()
+        change = 2 * FAIRNESS * (p - q) * said.weight
+        dp, dq = change * p * (1 - p), change * q * (1 - q)
+        grad, grad_base = grad + said.back(dp, len(w)) - swapped.back(dq, len(w)), grad_base + (dp - dq).sum()
+    return value, grad, grad_base
+
+
+def fit(at: np.ndarray, x: Rows, toxic: np.ndarray, said: Rows, swapped: Rows) -> Model:
+    """Minimise the loss over the kept buckets ``at`` by Adam on all rows."""
+    rate = float((x.weight * toxic).sum())
+    w, base = np.zeros(len(at)), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
     m1, m2 = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for t in range(1, STEPS + 1):
-        error = (sigmoid(x @ w + base) - y) * weight
-        grad, grad_base = x.T @ error + 2 * RIDGE * w, error.sum()
-        if pairs:
-            p, q = sigmoid(said @ w + base), sigmoid(swapped @ w + base)
-            change = 2 * FAIRNESS * (p - q) / len(pairs)
-            dp, dq = change * p * (1 - p), change * q * (1 - q)
-            grad, grad_base = grad + said.T @ dp - swapped.T @ dq, grad_base + (dp - dq).sum()
+        _, grad, grad_base = loss(w, base, x, toxic, said, swapped)
         g = np.append(grad, grad_base)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
@@ -157,31 +158,64 @@ def fit(words: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray
     return Model(at, w, float(base))
 
 
+def screened(features: DataFrame, n: int, toxic: int) -> DataFrame:
+    """The buckets (word) whose share among toxic documents differs from that among others by STRENGTH standard errors or more."""
+    a, b = F.col("t") / toxic, (F.col("c") - F.col("t")) / (n - toxic)
+    share = F.col("c") / n
+    z = (a - b) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / toxic + 1 / (n - toxic)))
+    seen = features.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"), F.sum("toxic").alias("t"))
+    return seen.filter((F.col("c") >= SUPPORT) & (F.abs(z) >= STRENGTH)).select("word")
+
+
+def _places(at: np.ndarray, columns: int):
+    """Of arrays of buckets in the first columns, the places of those that are kept, sorted; further columns as they are."""
+
+    def kept(buckets_) -> list[int]:
+        own = np.unique(np.asarray(buckets_, np.int64))
+        place = np.minimum(np.searchsorted(at, own), len(at) - 1)
+        return place[at[place] == own].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [pa.array([kept(b) for b in batch.column(i).to_pylist()], pa.list_(pa.int32())) for i in range(columns)]
+            yield pa.RecordBatch.from_arrays([*told, *batch.columns[columns:]], batch.schema.names)
+
+    return run
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold; only their buckets come to the driver.
+    """Fit on at most ``sample`` labelled documents outside the held-out fold.
 
-    Null labels and ids are left out; labels other than 1 count as 0. A
-    document labelled twice counts as toxic if any of its labels says so.
+    Buckets are counted and screened where the documents are; the driver gets
+    the screened buckets, and each different set of them once with its number of
+    documents (or of swapped sentences), so long texts cost it nothing. Null
+    labels and ids are left out; labels other than 1 count as 0. A document
+    labelled twice counts as toxic if any of its labels says so.
     """
     known = labels.filter("toxic is not null and doc_id is not null").filter(common.fold(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    got = rows.mapInArrow(_features, "words array<int>, toxic int, said array<array<int>>, swapped array<array<int>>").toArrow()
-    flat = got.column("words").combine_chunks()
-    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-    values, offsets = flat.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(flat.offsets.to_numpy()))]) if len(flat) else np.zeros(1, np.int64)
-    words = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    pairs = [p for said, swapped in zip(got.column("said").to_pylist(), got.column("swapped").to_pylist(), strict=True) for p in zip(said, swapped, strict=True)]
-    return fit(words, got.column("toxic").to_numpy() == 1, [(np.unique(a), np.unique(b)) for a, b in pairs])
+    features = common.cut(rows.mapInArrow(_features, "words array<int>, toxic int, said array<array<int>>, swapped array<array<int>>"), "features")
+    n, toxic = features.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
+        return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
+    strong = [r.word for r in screened(features, n, toxic).collect()] if 0 < toxic < n else []
+    at = np.union1d(np.array(strong, np.int64), np.fromiter(sorted(IDENTITY_BUCKETS), np.int64))
+    told = features.select("words", "toxic").mapInArrow(_places(at, 1), "words array<int>, toxic int").groupBy("words", "toxic").count().collect()
+    pairs = features.select(F.explode(F.arrays_zip("said", "swapped")).alias("p")).select("p.said", "p.swapped").mapInArrow(_places(at, 2), "said array<int>, swapped array<int>").groupBy("said", "swapped").count().collect()
+    told, pairs = sorted(told), sorted(pairs)
+    counts = [r["count"] for r in pairs]
+    return fit(at, Rows.of([r.words for r in told], [r["count"] for r in told]), np.array([r.toxic == 1 for r in told]), Rows.of([r.said for r in pairs], counts), Rows.of([r.swapped for r in pairs], counts))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted of every document.
 
-    Null and empty texts get the score of a text without words. Repeated rows
-    are scored alike; an empty table gives no rows; other columns are not read.
-    Without labels every score is next to 0.
+    Null and empty texts get the score of a text without words; a text counts
+    whole however long it is. A score of exactly 0.5 is predicted toxic.
+    Repeated rows are scored alike; an empty table gives no rows; other columns,
+    whatever their names, are not read. Without labels every score is next to 0.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
