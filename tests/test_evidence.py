@@ -110,8 +110,8 @@ def test_comment_bodies(spark):
     states = spark.createDataFrame([("building", None), ("ready", "# Report\n"), ("insufficient_evidence", None), ("failed", None)], "status string, markdown string")
     body = text.comment_body(F.col("status"), F.lit("b1"), F.lit("h1"), text.marker(F.lit(7), F.lit(3)), F.col("markdown"))
     got = {r.status: r.body for r in states.select("status", body.alias("body")).collect()}
-    assert got["building"].startswith("## PR Impact Analysis\n\nAnalysis is running for `h1`.") and got["ready"].startswith("# Report\n\n---")
-    assert all(b.endswith("<!-- impact-analysis:repo=7:pr=3 -->") for b in got.values())
+    assert got["building"].startswith("## What this change reaches\n\nWorking on `h1`;") and got["ready"].startswith("# Report\n\n---")
+    assert all(b.endswith("<!-- wakeline:repository=7:change=3 -->") for b in got.values())
     with pytest.raises(Exception, match="no ready report"):
         states.filter("status = 'ready'").withColumn("markdown", F.lit(None).cast("string")).select(body).collect()
 
@@ -126,6 +126,42 @@ def test_report(spark):
     named = spark.createDataFrame([("lib/a.ts", "lib/a.ts:function:priceOf", "priceOf")], "file_path string, symbol_key string, name string")
     files = spark.createDataFrame([("lib/a.ts", "modified")], "path string, status string")
     got = report.render(items, symbols, files, named, "b", "h", unresolved=2).first().markdown
-    for line in ("## Change Impact Report", "Modified `priceOf`.", "flowchart LR", '  n1["X page (page)"]', '  n2["PriceOf (changed)"]', "  n2 --> n1", "  class n2 changed", "  class n1 entrypoint", "- 2 unresolved import(s)", "Analyzed base `b` → head `h`"):
+    for line in ("## Change Impact Report", "Modified `priceOf`.", "flowchart LR", '  n1["X page (page)"]', '  n2["Price Of (changed)"]', "  n2 --> n1", "  class n2 changed", "  class n1 entrypoint", "- 2 unresolved import(s)", "Analyzed base `b` → head `h`"):
         assert line in got.split("\n"), (line, got)
     assert "makes no impact claims because nothing" in report.render(items, symbols, files, named, "b", "h", reason="nothing").first().markdown
+
+
+def test_report_with_scenarios_and_details(spark):
+    path = "tier string, impact string, changed_seed_path string, technical_role string, dependency_path array<string>"
+    item = lambda p, route, tier, way: (p, "page", None, route, None, tier, "indirect", way[0], "application", way, [(tier, "indirect", way[0], "application", way)])
+    items = spark.createDataFrame(
+        [item("app/b.tsx", "/b", "primary", ["lib/z.ts", "app/b.tsx"]), item("app/a.tsx", "/a", "primary", ["lib/a.ts", "lib/m.ts", "app/a.tsx"]), item("app/c.tsx", "/c", "technical_only", ["lib/a.ts", "app/c.tsx"])],
+        f"path string, kind string, project_root string, route_path string, http_method string, {path}, supporting_paths array<struct<{path.replace(' array', ': array').replace(' string', ':string')}>>",
+    )
+    symbols = spark.createDataFrame([], "symbol_key string, change_kind string")
+    named = spark.createDataFrame([], "file_path string, symbol_key string, name string")
+    files = spark.createDataFrame([("lib/a.ts", "modified")], "path string, status string")
+    scenarios = spark.createDataFrame([("entry::page::/b", 1, "Second", None, ["go"], ["seen"], True), ("entry::page::/b", 0, "First", "log in", ["open", "click"], ["ok"], True)], "target string, ord int, title string, setup string, actions array<string>, expected array<string>, uses boolean")
+    chosen = spark.createDataFrame([("entry::page::/b",)], "target string")
+    headings = spark.createDataFrame([("entry::page::/b", 0, "The B")], "target string, ord int, heading string")
+    got = report.render(items, symbols, files, named, "b", "h", scenarios=scenarios, chosen=chosen, headings=headings).first().markdown
+    at = [got.index(x) for x in ("1. **First**\n   _Where: The B_", "   **First:** log in", "   - open\n   - click", "   - ok", "**Reason:** The page uses the changed Z module.", "2. **Second**", "### Impact map", "</details>")]
+    assert at == sorted(at)
+    assert "- 1 more reached entrypoint has too little" in got
+    # numbered by locale, arrows and classes as the ranked paths meet them: b's path first
+    lines = got.split("\n")
+    number = {x.split('["')[1]: x.strip().split("[")[0] for x in lines if x.startswith("  n") and '["' in x}
+    b, a, c, la, lm, lz = (number[k] for k in ('The B (page)"]', 'A page (page)"]', 'C page (page)"]', 'A module (changed)"]', 'M module"]', 'Z module (changed)"]'))
+    assert [x for x in lines if "-->" in x or "-.->" in x] == [f"  {lz} --> {b}", f"  {la} --> {lm}", f"  {lm} --> {a}", f"  {la} -.-> {c}"]
+    assert f"  class {lz},{la} changed" in lines and f"  class {b},{a},{c} entrypoint" in lines
+    none = report.render(items.limit(0), symbols, files, named, "b", "h").first().markdown
+    assert report.NO_PATH in none and "classDef" not in none
+
+
+def test_evidence_ids(spark):
+    items = spark.createDataFrame([("a.ts", "page", None, "/x", None, "direct", ["a.ts"]), ("b.ts", "api_route", "app", None, "GET", "direct", ["b.ts"])], "path string, kind string, project_root string, route_path string, http_method string, impact string, dependency_path array<string>")
+    symbols = spark.createDataFrame([("a.ts:function:f", "f", "added", "a.ts")], "symbol_key string, name string, change_kind string, file_path string")
+    own, told = report.evidence(items, symbols)
+    assert [r.id for r in own.collect()] == ["affected:app:api_route:GET:b.ts", "affected::page::/x"] and told.first().id == "symbol:a.ts:function:f"
+    with pytest.raises(Exception, match="no dependency path"):
+        report.evidence(items.withColumn("dependency_path", F.array().cast("array<string>")), symbols)[0].collect()

@@ -77,6 +77,7 @@ def impact_level(entrypoints: Column, route_changed: Column) -> Column:
 def policy_reason(tier_: Column, role: Column, seed: Column, entrypoint: Column, length: Column) -> Column:
     """why an entrypoint has its tier."""
     said = lambda text, *columns: F.format_string(text, *columns)
+    # The sentences are part of the result.
     return (
         F.when((tier_ == "primary") & (length == 1), said("Primary because `%s` is changed directly.", entrypoint))
         .when(tier_ == "primary", said("Primary because changed %s code `%s` reaches `%s` through a resolved import path.", role, seed, entrypoint))
@@ -111,12 +112,12 @@ def deadline_seconds(job_type: Column) -> Column:
     return out.otherwise(OTHER_DEADLINE)
 
 
-def guidance_failure(output_kind: Column, status: Column, message: Column) -> Column:
-    """The category of a failed guidance call; typed output errors first."""
+def guidance_failure(output_kind: Column, status: Column, message: Column, missing: str = r"key is not configured") -> Column:
+    """The category of a failed guidance call; typed output errors first. ``missing``: how a missing credential is told."""
     lower = F.lower(F.coalesce(message, F.lit("")))
     return (
         F.when(output_kind.isin("empty_output", "malformed_json", "schema_validation", "evidence_validation"), output_kind)
-        .when(lower.rlike(r"openai_api_key\s+is\s+not\s+configured"), "configuration")
+        .when(lower.rlike(missing), "configuration")
         .when(status.isin(401, 403) | lower.rlike("api[ _-]?key|authentication|unauthorized|forbidden"), "authentication")
         .when((status == 429) | lower.rlike("rate limit"), "rate_limited")
         .when((status >= 500) | lower.rlike("network|connection|timeout|unavailable"), "provider_unavailable")

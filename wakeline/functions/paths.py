@@ -18,7 +18,9 @@ CONFIG = (
     r"(^|/)jsconfig\.json$",
     r"(^|/)(?:next|vite|remix|tailwind|postcss|vitest)\.config\.(?:ts|tsx|js|jsx|mjs|cjs)$",
 )
-CONFIG_NAMES = ("pnpm-workspace.yaml", "turbo.json", "nx.json", "impact-analysis.config.json")
+#: The committed configuration of a repository: roots with their adapters and protocols.
+CONFIG_FILE = "wakeline.config.json"
+CONFIG_NAMES = ("pnpm-workspace.yaml", "turbo.json", "nx.json", CONFIG_FILE)
 TOOLING = (r"(^|/)(?:drizzle|next|tailwind|postcss|eslint|prettier|vite|vitest|remix)\.config\.(?:ts|js|mjs|cjs)$", r"(^|/)sentry\..+\.config\.(?:ts|js|mjs|cjs)$")
 DENIED = (
     r"(^|/)(?:\.env|env)(?:\.|/|$)",

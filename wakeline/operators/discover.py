@@ -46,7 +46,7 @@ def manifests(source: DataFrame) -> DataFrame:
 
 def committed(source: DataFrame) -> DataFrame:
     """root_path, adapter, protocols of the committed configuration; rows with an unknown adapter are dropped."""
-    rows = source.filter("path = 'impact-analysis.config.json'").select(json_object(F.col("content")).alias("v"))
+    rows = source.filter(F.col("path") == paths.CONFIG_FILE).select(json_object(F.col("content")).alias("v"))
     items = rows.select(F.explode(F.try_variant_get("v", "$.projects", "array<variant>")).alias("p"))
     out = items.select(F.try_variant_get("p", "$.root", "string").alias("root"), F.try_variant_get("p", "$.adapter", "string").alias("adapter"), F.try_variant_get("p", "$.protocols", "array<string>").alias("protocols"))
     out = out.filter(F.col("root").isNotNull() & (F.col("adapter").isNull() | F.col("adapter").isin(*ADAPTERS)))
@@ -100,7 +100,7 @@ def discover(tree: DataFrame, source: DataFrame) -> DataFrame:
     return rows.select(
         "root_path", "package_name", F.coalesce("package_type", F.lit("unspecified")).alias("package_type"), "config_path", chosen.alias("primary_framework"), protocols.alias("protocol_profiles"),
         F.when(ambiguous, "ambiguous").when(chosen == "generic", "graph_only").otherwise("supported").alias("status"),
-        F.when(ambiguous, F.concat(F.lit("multiple framework dependencies detected: "), F.array_join("candidates", ", "), F.lit("; select one in impact-analysis.config.json")))
+        F.when(ambiguous, F.concat(F.lit("multiple framework dependencies detected: "), F.array_join("candidates", ", "), F.lit(f"; select one in {paths.CONFIG_FILE}")))
         .when(chosen == "generic", "no supported framework adapter was detected").alias("reason"),
     )
 
