@@ -118,7 +118,7 @@ def test_workspace_and_adapters(spark):
 def test_ambiguous_and_override(spark):
     files = {"package.json": '{"dependencies": {"express": "1", "react-router": "1"}}', "src/a.ts": "export const a = 1;"}
     assert rows(build.build(*frames(spark, files)).graph.projects, "primary_framework", "status") == {("ambiguous", "ambiguous")}
-    files["impact-analysis.config.json"] = '{"projects": [{"root": "./", "adapter": "express"}, {"root": "x", "adapter": "bogus"}]}'
+    files["wakeline.config.json"] = '{"projects": [{"root": "./", "adapter": "express"}, {"root": "x", "adapter": "bogus"}]}'
     assert rows(build.build(*frames(spark, files)).graph.projects, "primary_framework", "status") == {("express", "supported")}
 
 

@@ -19,8 +19,11 @@ def _rows(found: DataFrame) -> DataFrame:
 
 def import_targets(facts: DataFrame, imports: DataFrame) -> DataFrame:
     """File, name, target: what a local name, or ``#specifier``, of a file is resolved to."""
-    resolved = imports.filter("to_path is not null").groupBy(F.col("from_path").alias("file"), "specifier").agg(F.max("to_path").alias("target"))
-    names = facts.select(F.col("path").alias("file"), F.inline("bindings")).join(resolved, ["file", "specifier"]).groupBy("file", "name").agg(F.max("target").alias("target"))
+    last = F.struct(*[F.col(c) for c in ("start_line", "start_column", "ordinal") if c in imports.columns], F.col("to_path"))
+    resolved = imports.filter("to_path is not null").groupBy(F.col("from_path").alias("file"), "specifier").agg(F.max_by("to_path", last).alias("target"))
+    named = facts.select(F.col("path").alias("file"), F.posexplode("bindings").alias("at", "b")).select("file", "at", "b.*")
+    # a name that is imported again is what the last statement says
+    names = named.join(resolved, ["file", "specifier"]).groupBy("file", "name").agg(F.max_by("target", "at").alias("target"))
     return names.unionByName(resolved.select("file", F.concat(F.lit("#"), F.col("specifier")).alias("name"), "target"))
 
 
@@ -67,10 +70,13 @@ def server_routes(files: DataFrame, facts: DataFrame, targets: DataFrame) -> Dat
 
 
 def procedures(files: DataFrame, facts: DataFrame, targets: DataFrame, projects: DataFrame) -> DataFrame:
-    """Operation and handler file of every procedure, references between routers followed to their end.
+    """Operation, handler file and first place of every procedure, references between routers followed to their end.
 
-    A loop of joins, one for each level of nesting; what was followed under the
-    same name before is not followed again.
+    A loop of joins, one for each level of nesting. The first reference may lead
+    to an imported router; from there on routers of the same file are followed.
+    A router that is among its own ancestors is not followed again. Places are
+    those of the walk: files by path, then the keys on the way by their order;
+    an operation that is declared again keeps its place and takes the last handler.
     """
     entries = facts.select(F.col("path").alias("file"), F.posexplode("entries").alias("ord", "e")).select("file", "ord", "e.router", "e.key", "e.ref", "e.is_procedure")
     speaking = files.join(F.broadcast(projects.filter(F.array_contains("protocol_profiles", "trpc")).select(F.col("root_path").alias("project_root"))), "project_root", "left_semi").select(F.col("path").alias("file"))
@@ -78,22 +84,22 @@ def procedures(files: DataFrame, facts: DataFrame, targets: DataFrame, projects:
     named = targets.select("file", F.col("name").alias("ref"), "target")
     local = entries.filter("ref is not null").join(routers.select("file", F.col("router").alias("ref")).withColumn("at", F.col("file")), ["file", "ref"], "left").join(named, ["file", "ref"], "left")
     same = routers.select(F.col("file").alias("target"), F.col("router").alias("ref")).withColumn("exact", F.lit(True))
-    only = routers.groupBy(F.col("file").alias("target")).agg(F.min("router").alias("any_router"))
+    only = entries.filter("router <> ''").groupBy(F.col("file").alias("target")).agg(F.min_by("router", "ord").alias("any_router"))
     refs = local.join(same, ["target", "ref"], "left").join(only, "target", "left")
-    refs = refs.select("file", "router", "key", F.coalesce("at", F.when(F.col("any_router").isNotNull(), F.col("target"))).alias("to_file"), F.when(F.col("at").isNotNull() | F.col("exact"), F.col("ref")).otherwise(F.col("any_router")).alias("to_router")).filter("to_file is not null")
+    refs = refs.select("file", "router", "key", "ord", F.col("at").isNotNull().alias("local"), F.coalesce("at", F.when(F.col("any_router").isNotNull(), F.col("target"))).alias("to_file"), F.when(F.col("at").isNotNull() | F.col("exact"), F.col("ref")).otherwise(F.col("any_router")).alias("to_router")).filter("to_file is not null")
     refs = cut(refs)
-    done = entries.filter("is_procedure").join(speaking, "file", "left_semi").select(F.col("key").alias("operation"), F.col("file").alias("handler"))
-    level = refs.join(speaking, "file", "left_semi").select(F.col("key").alias("prefix"), F.col("to_file").alias("file"), F.col("to_router").alias("router"))
-    seen = level = cut(level.distinct())
+    here = F.struct(F.col("file"), F.array("ord").alias("way"))
+    done = entries.filter("is_procedure").join(speaking, "file", "left_semi").select(F.col("key").alias("operation"), F.col("file").alias("handler"), here.alias("place"))
+    above, named_router = F.struct("file", "router"), F.struct(F.col("to_file").alias("file"), F.col("to_router").alias("router"))
+    step = [F.col("to_file").alias("file"), F.col("to_router").alias("router")]
+    level = cut(refs.join(speaking, "file", "left_semi").filter(above != named_router).select(F.col("key").alias("prefix"), *step, here.alias("place"), F.array(above, named_router).alias("met")))
     while not level.isEmpty():
-        inside = level.join(entries.filter("is_procedure"), ["file", "router"])
-        done = done.union(inside.select(F.concat_ws(".", "prefix", "key").alias("operation"), F.col("file").alias("handler")))
-        deeper = level.join(refs, ["file", "router"]).filter("not (file = to_file and router = to_router)")
-        deeper = deeper.select(F.concat_ws(".", "prefix", "key").alias("prefix"), F.col("to_file").alias("file"), F.col("to_router").alias("router")).distinct()
-        cycle = F.size(F.split("prefix", r"\.")) > 16
-        level = cut(deeper.filter(~cycle).join(seen, ["prefix", "file", "router"], "left_anti"))
-        seen = seen.union(level)
-    return done.groupBy("operation").agg(F.max("handler").alias("handler"))
+        on = F.struct(F.col("place.file").alias("file"), F.concat("place.way", F.array("ord")).alias("way"))
+        inside = level.join(entries.filter("is_procedure").select("file", "router", "key", "ord"), ["file", "router"])
+        done = done.union(inside.select(F.concat_ws(".", "prefix", "key").alias("operation"), F.col("file").alias("handler"), on.alias("place")))
+        deeper = level.join(refs.filter("local"), ["file", "router"]).filter(~F.array_contains("met", named_router))
+        level = cut(deeper.select(F.concat_ws(".", "prefix", "key").alias("prefix"), *step, on.alias("place"), F.concat("met", F.array(named_router)).alias("met")))
+    return done.groupBy("operation").agg(F.max_by("handler", "place").alias("handler"), F.min("place").alias("place"))
 
 
 def protocol_bindings(facts: DataFrame, known: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def protocol_bindings(facts: DataFrame, known: DataFrame) -> DataFrame:
     calls = facts.select(F.col("path").alias("caller_file_path"), F.inline("operations")).filter("operation <> ''")
     parts = F.split("operation", r"\.")
     suffixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    ends = known.filter(F.size(parts) > 1).select(F.explode(suffixes).alias("end"), "operation", "handler").groupBy("end").agg(F.min_by("handler", "operation").alias("other"))
-    rows = calls.join(known, "operation", "left").join(ends.withColumnRenamed("end", "operation"), "operation", "left")
+    ends = known.filter(F.size(parts) > 1).select(F.explode(suffixes).alias("end"), "place", "handler").groupBy("end").agg(F.min_by("handler", "place").alias("other"))
+    rows = calls.join(known.select("operation", "handler"), "operation", "left").join(ends.withColumnRenamed("end", "operation"), "operation", "left")
     rows = rows.withColumn("handler_file_path", F.coalesce("handler", "other")).filter("handler_file_path is not null")
     out = rows.select(F.lit("trpc").alias("protocol"), "caller_file_path", "handler_file_path", "operation", F.col("line").alias("start_line"), F.col("column").alias("start_column"), F.lit("static tRPC client procedure call matched to a router procedure").alias("reason"))
     key = ["caller_file_path", "handler_file_path", "operation"]

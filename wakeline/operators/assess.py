@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys
+from .impact import in_locale_order
 
 
 def seed_roles(base_files: DataFrame, head_files: DataFrame) -> DataFrame:
@@ -28,11 +29,12 @@ def assess(items: DataFrame, roles: DataFrame) -> DataFrame:
     rows = rows.withColumn("tier", classify.tier(F.col("technical_role"), F.col("impact") == "direct"))
     order = F.struct(
         classify.tier_rank(F.col("tier")).alias("tier_rank"), (F.col("impact") != "direct").cast("int").alias("indirect"), F.size("dependency_path").alias("length"),
-        F.col("changed_seed_path"), F.col("dependency_path"), F.col("tier"), F.col("impact"), F.col("technical_role"), F.col("technical_role_reason"),
+        F.col("dependency_path"), F.col("changed_seed_path"), F.col("tier"), F.col("impact"), F.col("technical_role"), F.col("technical_role_reason"),
     )
     key = [F.col("path"), F.col("kind"), *[c.alias(n) for c, n in zip(keys.or_empty("project_root", "route_path", "http_method"), ("project_root", "route_path", "http_method"), strict=True)]]
-    grouped = rows.select(*key, order.alias("o")).groupBy("path", "kind", "project_root", "route_path", "http_method").agg(F.array_sort(F.collect_set("o")).alias("all"))
-    grouped = grouped.withColumn("b", F.element_at("all", 1))
+    grouped = rows.select(*key, order.alias("o")).groupBy("path", "kind", "project_root", "route_path", "http_method").agg(F.collect_set("o").alias("all"))
+    order = ("tier_rank", "indirect", "length")
+    grouped = grouped.withColumn("b", F.element_at(in_locale_order(F.col("all"), *order), 1)).withColumn("all", in_locale_order(F.col("all"), *order, by_seed=True))
     out = grouped.select(
         "path", "kind", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("project_root", "route_path", "http_method")],
         "b.tier", "b.impact", "b.changed_seed_path", "b.technical_role", "b.technical_role_reason", "b.dependency_path",

@@ -41,7 +41,7 @@ def candidates(imports: DataFrame, options: DataFrame, packages: DataFrame) -> D
     local = spec.startswith(".") | spec.startswith("/")
     relative = F.when(spec.startswith("/"), spec).otherwise(F.concat_ws("/", paths.dirname(F.col("from_path")), spec))
     no = F.array().cast("array<string>")
-    aliased = F.when(F.col("aliases").isNotNull(), F.transform(alias_targets(spec, F.col("aliases")), lambda t: F.concat_ws("/", F.coalesce("base_url", F.lit("")), t))).otherwise(no)
+    aliased = F.when(F.col("aliases").isNotNull(), F.transform(alias_targets(spec, F.col("aliases")), lambda t: F.when(t.startswith("/"), t).otherwise(F.concat_ws("/", F.coalesce("base_url", F.lit("")), t)))).otherwise(no)
     sub = F.regexp_replace(F.substring(spec, F.length("package") + 1, F.length(spec)), "^/", "")
     root = F.col("package_root")
     inside = F.when(root.isNotNull(), F.array(*[paths.join_root(root, x) for x in (sub, F.concat(F.lit("src/"), sub), F.lit("src/index"), F.lit("index"))])).otherwise(no)

@@ -53,7 +53,7 @@ def symbol_diff(spark, sf):
     base = orders.filter("o_orderkey % 11 <> 0").select(key, path, F.sha2("o_orderpriority", 256).alias("source_hash"))
     changed = F.when(F.col("o_orderkey") % 13 == 0, F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))
     head = orders.filter("o_orderkey % 17 <> 0").select(key, path, F.sha2(changed, 256).alias("source_hash"))
-    return impact.symbol_diff(base, head)
+    return impact.symbol_diff(base, head).select("symbol_key", "file_path", "change_kind")
 
 
 def _change_set(spark, sf):
@@ -133,7 +133,7 @@ tiered AS (
     WHEN f.role IN ('analytics', 'infrastructure', 'styling', 'configuration', 'testing', 'ui_primitive') THEN 2 ELSE 3 END AS t
   FROM cands c JOIN files f ON f.path = c.seed WHERE c.kind IN ('page', 'api_route')),
 picked AS (SELECT *, ['primary', 'secondary', 'technical_only', 'evidence_only'][t + 1] AS tier FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, indirect, length, seed, p) AS r FROM tiered) WHERE r = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, indirect, length, array_to_string(p, '')) AS r FROM tiered) WHERE r = 1)"""
 )
 _CHANGES = (
     b.SQL
@@ -180,14 +180,14 @@ SELECT path, kind, tier, CASE WHEN indirect = 0 THEN 'direct' ELSE 'indirect' EN
 FROM picked""",
     "supporting_paths": _WITH
     + """
-SELECT path, (row_number() OVER (PARTITION BY path ORDER BY indirect, length, p) - 1)::BIGINT AS pos,
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY indirect, length, array_to_string(p, '')) - 1)::BIGINT AS pos,
        CASE WHEN indirect = 0 THEN 'direct' ELSE 'indirect' END AS impact, array_to_string(p, ' > ') AS dependency_path
 FROM (SELECT DISTINCT path, indirect, length, p FROM cands)""",
     "reverse_consumers_1hop": _WITH + " SELECT DISTINCT to_path, from_path FROM imports WHERE to_path IN (SELECT seed FROM seeds)",
     "symbol_diff": """
 WITH b AS (SELECT 'order/' || o_orderkey || ':function:run' AS k, o_orderpriority AS h FROM orders WHERE o_orderkey % 11 <> 0),
 h AS (SELECT 'order/' || o_orderkey || ':function:run' AS k, CASE WHEN o_orderkey % 13 = 0 THEN o_orderpriority || '!' ELSE o_orderpriority END AS h FROM orders WHERE o_orderkey % 17 <> 0)
-SELECT coalesce(b.k, h.k) AS symbol_key, CASE WHEN b.k IS NULL THEN 'added' WHEN h.k IS NULL THEN 'deleted' ELSE 'modified' END AS change_kind
+SELECT coalesce(b.k, h.k) AS symbol_key, split_part(coalesce(b.k, h.k), ':', 1) AS file_path, CASE WHEN b.k IS NULL THEN 'added' WHEN h.k IS NULL THEN 'deleted' ELSE 'modified' END AS change_kind
 FROM b FULL OUTER JOIN h ON b.k = h.k WHERE b.k IS NULL OR h.k IS NULL OR b.h <> h.h""",
     "reanalysis_frontier": "WITH RECURSIVE" + _CHANGES + " SELECT path FROM again",
     "incremental_merge": "WITH RECURSIVE"
