@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir (or given to the context) that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return named.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one, if the session still lives."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; only where that is unset, as in tests, in a folder of our own."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-"))
-    return frame.checkpoint()
+    """Write the rows once to the shared folder and read them back.
+
+    Nothing is computed twice, a lost executor loses no part of them, and the
+    files' sizes tell the optimizer what it may broadcast. The folder goes when
+    the driver ends.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/wakeline-cut-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -1,14 +1,18 @@
-"""Snapshots of graphs as tables: written whole, then made current by one pointer row.
+"""Snapshots of graphs as tables: written whole, then made current by one pointer file.
 
 A snapshot is a folder of Parquet tables that nothing changes once it is
-written. The pointer table names the current snapshot of each branch; its last
-row by version counts. A write that fails before the pointer leaves the
-current snapshot as it was.
+written; each publication has a folder of its own, so readers of an older one
+lose nothing. Every step of a branch is a small file named by the branch and
+a version. A file is made only where there is none of its name, so of two
+writers one takes the version and the other the next. A write that fails
+before its pointer leaves the current snapshot as it was.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +24,52 @@ POINTER = "repo_id long, branch string, commit_sha string, snapshot_id string, s
 
 
 def snapshot_id(repo_id: int, branch: str, sha: str) -> str:
-    return hashlib.sha256(f"{repo_id}:{branch}:{sha}".encode()).hexdigest()[:32]
+    """A new id: what the graph is of, and which publication of it."""
+    return hashlib.sha256(f"{repo_id}:{branch}:{sha}".encode()).hexdigest()[:32] + "-" + uuid.uuid4().hex[:8]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def pointers(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/pointers"
-    return spark.read.schema(POINTER).parquet(path) if _exists(spark, path) else spark.createDataFrame([], POINTER)
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, target = _system(spark, path)
+    return system.exists(target)
 
 
-def _note(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str, status: str) -> None:
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    path = f"{root}/pointers"
+    return spark.read.schema(POINTER).json(path) if _exists(spark, path) else spark.createDataFrame([], POINTER)
+
+
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file if there is none of its name; whether it was made."""
+    system, target = _system(spark, path)
+    if system.exists(target):
+        return False
+    try:
+        out = system.create(target, False)
+    except Exception as error:
+        if "AlreadyExists" in str(error) or "already exists" in str(error):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def _note(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str, status: str, snapshot: str | None = None) -> None:
     """K4: one more lifecycle row; the last by version counts."""
-    version = (pointers(spark, root).filter((F.col("repo_id") == repo_id) & (F.col("branch") == branch)).agg(F.max("version")).first()[0] or 0) + 1
-    row = [(repo_id, branch, sha, snapshot_id(repo_id, branch, sha), status, version)]
-    spark.createDataFrame(row, POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+    version = pointers(spark, root).filter((F.col("repo_id") == repo_id) & (F.col("branch") == branch)).agg(F.max("version")).first()[0] or 0
+    name = hashlib.sha256(f"{repo_id}:{branch}".encode()).hexdigest()[:32]
+    while True:
+        version += 1
+        row = {"repo_id": repo_id, "branch": branch, "commit_sha": sha, "snapshot_id": snapshot, "status": status, "version": version}
+        if _claim(spark, f"{root}/pointers/{name}-{version:012d}.json", json.dumps(row) + "\n"):
+            return
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -78,8 +110,8 @@ def publish(graph: Graph, root: str, repo_id: int, branch: str, sha: str) -> str
     spark = graph.files.sparkSession
     name = snapshot_id(repo_id, branch, sha)
     for table, rows in check(graph).tables().items():
-        rows.write.mode("overwrite").parquet(f"{root}/snapshots/{name}/{table}")
-    _note(spark, root, repo_id, branch, sha, "ready")
+        rows.write.mode("errorifexists").parquet(f"{root}/snapshots/{name}/{table}")
+    _note(spark, root, repo_id, branch, sha, "ready", name)
     return name
 
 

@@ -31,7 +31,7 @@ def step(job: tuple, event: str, at: int, token: str | None, kind: str | None) -
             return job, "not due"
         return ("running", attempts + 1, available, token, at + classify.LEASE * 1000, None), "ok"
     if event == "tick":
-        if status != "running" or lease > at:
+        if status != "running" or lease >= at:
             return job, "leased"
         return _back(job, "worker_lost", at), "ok"
     if status != "running" or held != token:
@@ -68,8 +68,8 @@ def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             job, outcome = step(job, e.event, int(e.at_ms), text(e.token), text(e.kind))
             out.append((key[0], e.event, *job[:4], outcome))
     state.update(job)
-    if job[0] == "running":
-        state.setTimeoutDuration(classify.LEASE * 1000)
+    if job[0] == "running":  # what is left of its lease, which later events don't make longer
+        state.setTimeoutDuration(max(1, job[4] + 1 - state.getCurrentProcessingTimeMs()))
     yield _frame(out)
 
 
