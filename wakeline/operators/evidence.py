@@ -51,6 +51,21 @@ def in_priority(anchors: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["a"])
 
 
+def nominees(anchors: DataFrame, *group: str) -> DataFrame:
+    """Of each group's anchors those that ``trim`` could keep, so that a group to gather is small however many anchors it has.
+
+    Whether an anchor fits depends on what is left and on the blanks it begins
+    with. Of anchors that begin with as many, a later one fits only if all
+    earlier ones did, so the first ANCHORS places of each number of blanks are
+    enough: at most ANCHORS * EXCERPT rows, and exact.
+    """
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair]), F.col("kind")), F.lit(-1))
+    place = ["kind", "path", "start_line", "end_line"]
+    shown = anchors.withColumn("excerpt", F.substring("excerpt", 1, EXCERPT)).withColumn("blanks", F.length("excerpt") - F.length(F.ltrim("excerpt"))).filter("blanks < length(excerpt)")
+    once = shown.groupBy(*group, "blanks", *place).agg(F.min("excerpt").alias("excerpt"))
+    return top_per_group(once, [*group, "blanks"], [rank, "path", "start_line", "kind", "end_line"], ANCHORS).drop("blanks")
+
+
 def top_per_group(rows: DataFrame, group: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")

@@ -13,11 +13,12 @@ def _anchors(spark, sf):
     """Documents as anchors of their source's target: the kind by language, the text as far as an excerpt goes."""
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("en", "entrypoint"), ("de", "interaction"), ("fr", "state"), ("es", "test")) for x in pair]), F.col("lang"))
     line = (F.col("doc_id") % 50).cast("int")
-    return b.table(spark, sf, "documents").select("source", F.struct(kind.alias("kind"), F.col("doc_id").cast("string").alias("path"), line.alias("start_line"), line.alias("end_line"), text.excerpt(F.col("text")).alias("excerpt")).alias("a"))
+    return b.table(spark, sf, "documents").select("source", kind.alias("kind"), F.col("doc_id").cast("string").alias("path"), line.alias("start_line"), line.alias("end_line"), text.excerpt(F.col("text")).alias("excerpt"))
 
 
 def budget_trim(spark, sf):
-    rows = _anchors(spark, sf).groupBy("source").agg(evidence.trim(evidence.in_priority(F.array_sort(F.collect_list("a")))).alias("kept"))
+    few = evidence.nominees(_anchors(spark, sf), "source").select("source", F.struct("kind", "path", "start_line", "end_line", "excerpt").alias("a"))
+    rows = few.groupBy("source").agg(evidence.trim(evidence.in_priority(F.array_sort(F.collect_list("a")))).alias("kept"))
     return rows.select("source", F.posexplode("kept").alias("pos", "a")).select("source", F.col("pos").cast("bigint").alias("pos"), F.col("a.path").alias("path"), F.col("a.kind").alias("kind"), F.length("a.excerpt").cast("bigint").alias("n_chars"))
 
 
@@ -51,7 +52,7 @@ ORACLES = {
     "budget_trim": """
 WITH RECURSIVE a AS (
   SELECT source, doc_id::VARCHAR AS path, CASE lang WHEN 'en' THEN 'entrypoint' WHEN 'de' THEN 'interaction' WHEN 'fr' THEN 'state' ELSE 'test' END AS kind,
-         CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 5 END AS rank, doc_id % 50 AS line, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text[1:2000] END AS excerpt FROM documents),
+         CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 5 END AS rank, doc_id % 50 AS line, coalesce(text, '')[1:1600] AS excerpt FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, path, line) AS i FROM a),
 f AS (
   SELECT source, 0::BIGINT AS i, 9000::BIGINT AS budget, 0::BIGINT AS kept, NULL::VARCHAR AS path, NULL::VARCHAR AS kind, 0::BIGINT AS n_chars FROM o WHERE i = 1
@@ -62,10 +63,9 @@ f AS (
   JOIN o ON o.source = f.source AND o.i = f.next)
 SELECT source, kept - 1 AS pos, path, kind, n_chars FROM f WHERE path IS NOT NULL""",
     "anchor_topk": "SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 2",
-    "citation_integrity": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id IN (SELECT doc_id FROM labels) AND doc_id + 1 IN (SELECT doc_id FROM labels)",
-    "product_text_sanitize": r"""
-WITH w AS (SELECT conv_id, turn, regexp_replace(CASE turn % 4 WHEN 0 THEN 'Updates the ' || text WHEN 1 THEN 'the component , ' || text WHEN 2 THEN 'lint ' || text ELSE 'updates cart.' END, '[^A-Za-z ,.]', '', 'g')[1:80] AS t FROM conversations),
-s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\b(?:imports?|exports?|analytics|telemetry|instrumentation|tracking|callbacks?|interfaces?|wiring|components?|hooks?|handlers?|functions?|props?)\b', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s{2,}', ' ', 'g')) AS x FROM w)
-SELECT conv_id, turn, CASE WHEN NOT regexp_matches(t, '(?i)\b(?:typescript|typecheck|compile|compil(?:e|es|ation)|build(?:\s+check)?|lint(?:ing)?|eslint|prettier)\b')
-  AND NOT regexp_matches(x, '(?i)^(?:updates?|changes?|modifies?)\s+(?:for\s+)?[a-z0-9_-]+\.?$') AND x <> '' THEN x END AS sanitized FROM s""",
+    "citation_integrity": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id + 1 IN (SELECT doc_id FROM labels)",
+    "product_text_sanitize": rf"""
+WITH w AS (SELECT conv_id, turn, NULL::BIGINT AS doc_id, text AS t FROM conversations UNION ALL SELECT NULL, NULL, doc_id, text FROM documents),
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{text.NOUNS}', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM w)
+SELECT conv_id, turn, doc_id, CASE WHEN NOT regexp_matches(t, '{text.MECHANICAL}') AND NOT regexp_matches(x, '{text.BARE_UPDATE}') AND x <> '' THEN x END AS sanitized FROM s""",
 }
