@@ -28,14 +28,19 @@ def _imports(facts: DataFrame, source: DataFrame, owned: DataFrame, tree: DataFr
     return resolve.resolve(raw, tree, discover.options(projects, configs), packages)
 
 
-def _assemble(mode: str, projects: DataFrame, owned: DataFrame, facts: DataFrame, imports: DataFrame) -> Build:
-    """Files, symbols, entrypoints and bindings from the facts of all files."""
+def classified(owned: DataFrame, facts: DataFrame) -> DataFrame:
+    """the files with their kind and technical role, each with its reason, before entrypoints are laid over."""
     shown = owned.join(extract.exports_component(facts), "path", "left").withColumn("k", classify.file_kind(F.col("path"), F.coalesce("exports_component", F.lit(False))))
     shown = shown.withColumn("r", classify.technical_role(F.col("path"), F.col("k.kind")))
-    files = shown.select(
+    return shown.select(
         "path", "project_root", "blob_sha", "k.kind", F.col("k.reason").alias("classification_reason"), F.col("r.role").alias("technical_role"),
         F.col("r.reason").alias("technical_role_reason"), F.col("r.strength").alias("technical_role_strength"),
     )
+
+
+def _assemble(mode: str, projects: DataFrame, owned: DataFrame, facts: DataFrame, imports: DataFrame) -> Build:
+    """Files, symbols, entrypoints and bindings from the facts of all files."""
+    files = classified(owned, facts)
     entrypoints, bindings = adapters.extract(owned, facts, imports, projects)
     entrypoints, bindings = graph.attached(entrypoints, bindings, files)
     entrypoints = cut(entrypoints)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, facts, reachability, state
+from . import documents, facts, reachability, state, trees
 
-MODULES = [reachability, facts, state, documents]
+MODULES = [reachability, facts, state, documents, trees]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
