@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys, paths, text
-from ..operators import graph, resolve
+from ..operators import discover, graph, resolve
 from . import bindings as b
 
 PATHS = (
@@ -22,41 +22,53 @@ SPECIFIERS = ("./util", "../lib/db", "react", "@scope/pkg/sub", "@/components/Bu
 NAMES = ("orderList", "user_profile-page", "XMLParser", "a", "getURL2Path", "")
 
 
-def _values(spark, name, rows):
-    return spark.createDataFrame([(r,) for r in rows], f"{name} string")
+def _values(spark, sf, name, rows):
+    """A text for each part: the rows in turn by its key."""
+    own = F.element_at(F.array(*map(F.lit, rows)), (F.col("p_partkey") % len(rows) + 1).cast("int"))
+    return b.table(spark, sf, "part").select("p_partkey", own.alias(name))
 
 
 def _sql(name, rows):
-    quoted = ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
-    return f"(VALUES {quoted}) v({name})"
+    quoted = ", ".join("'" + r.replace("'", "''") + "'" for r in rows)
+    return f"(SELECT p_partkey, [{quoted}][(p_partkey % {len(rows)} + 1)::INT] AS {name} FROM part)"
+
+
+def _paths(spark, sf):
+    """The paths in turn, and from the second turn on below a project of nine."""
+    below = F.concat(F.lit("apps/a"), (F.col("p_partkey") % 9).cast("string"), F.lit("/"), F.col("path"))
+    return _values(spark, sf, "path", PATHS).withColumn("path", F.when(F.col("p_partkey") < len(PATHS), F.col("path")).otherwise(below))
+
+
+_PATHS = f"(SELECT p_partkey, CASE WHEN p_partkey < {len(PATHS)} THEN path ELSE 'apps/a' || (p_partkey % 9) || '/' || path END AS path FROM {_sql('path', PATHS)})"
 
 
 def path_predicates(spark, sf):
     p = F.col("path")
-    return _values(spark, "path", PATHS).select("path", paths.is_source(p).alias("is_source"), paths.is_config(p).alias("is_config"), paths.is_shown(p).alias("is_shown"), paths.is_test(p).alias("is_test"), paths.is_under(p, F.lit("src")).alias("under_src"))
+    return _paths(spark, sf).select("p_partkey", "path", paths.is_source(p).alias("is_source"), paths.is_config(p).alias("is_config"), paths.is_shown(p).alias("is_shown"), paths.is_test(p).alias("is_test"), paths.is_under(p, F.lit("src")).alias("under_src"))
 
 
 def technical_role(spark, sf):
     p = F.col("path")
-    rows = _values(spark, "path", PATHS).withColumn("k", classify.file_kind(p, p.contains("spec")))
+    rows = _paths(spark, sf).withColumn("k", classify.file_kind(p, p.contains("spec")))
     rows = rows.withColumn("r", classify.technical_role(p, F.col("k.kind")))
-    return rows.select("path", "k.kind", F.col("k.reason").alias("kind_reason"), "r.role", F.col("r.reason").alias("role_reason"), "r.strength")
+    return rows.select("p_partkey", "path", "k.kind", F.col("k.reason").alias("kind_reason"), "r.role", F.col("r.reason").alias("role_reason"), "r.strength")
 
 
 def route_normalize(spark, sf):
-    joined = spark.createDataFrame(ROUTES, "a string, b string").select(F.concat_ws("|", "a", "b").alias("input"), F.lit("join").alias("rule"), paths.join_route(F.col("a"), F.col("b")).alias("route"))
-    nexts = _values(spark, "input", LOCALS).select("input", F.lit("next").alias("rule"), paths.next_route(F.col("input")).alias("route"))
-    remix = _values(spark, "input", REMIX).select("input", F.lit("remix").alias("rule"), paths.remix_route(F.col("input")).alias("route"))
+    a, c = (F.split_part("input", F.lit("|"), F.lit(i)) for i in (1, 2))
+    joined = _values(spark, sf, "input", ["|".join(r) for r in ROUTES]).select("p_partkey", "input", F.lit("join").alias("rule"), paths.join_route(a, c).alias("route"))
+    nexts = _values(spark, sf, "input", LOCALS).select("p_partkey", "input", F.lit("next").alias("rule"), paths.next_route(F.col("input")).alias("route"))
+    remix = _values(spark, sf, "input", REMIX).select("p_partkey", "input", F.lit("remix").alias("rule"), paths.remix_route(F.col("input")).alias("route"))
     return joined.union(nexts).union(remix)
 
 
 def import_classification(spark, sf):
     aliases = F.array(F.struct(F.lit("@/*").alias("pattern"), F.array(F.lit("/src/*")).alias("targets")))
     spec = F.col("specifier")
-    rows = _values(spark, "specifier", SPECIFIERS).withColumn("package", paths.package_of(spec))
+    rows = _values(spark, sf, "specifier", SPECIFIERS).withColumn("package", paths.package_of(spec))
     target = F.when(spec == "./util", "src/util.ts").when(spec == "../lib/db", "lib/db.svg")
     external = resolve.is_external(spec, F.col("package") == "@acme/ui", aliases)
-    return rows.select("specifier", "package", external.alias("external"), resolve.classify(target, external).alias("status"))
+    return rows.select("p_partkey", "specifier", "package", external.alias("external"), resolve.classify(target, external).alias("status"))
 
 
 def _page_paths(spark, sf):
@@ -73,9 +85,8 @@ def candidate_resolution(spark, sf):
 
 def deepest_root_owner(spark, sf):
     pages = _page_paths(spark, sf)
-    roots = _roots(pages)
-    above = pages.select("page_id", "path", F.explode(paths.prefixes(F.col("path"))).alias("root_path"))
-    return above.join(roots, "root_path").groupBy("page_id").agg(F.max_by("root_path", F.length("root_path")).alias("root_path"))
+    owned = discover.own(pages.select("path").distinct(), _roots(pages))
+    return pages.join(owned, "path").select("page_id", F.col("project_root").alias("root_path"))
 
 
 def _roots(pages):
@@ -111,8 +122,8 @@ def entrypoint_dedupe_last(spark, sf):
 
 
 def identifier_labels(spark, sf):
-    rows = _values(spark, "name", NAMES)
-    return rows.select("name", text.humanize(F.col("name")).alias("label"), text.path_label(F.concat(F.lit("src/"), F.col("name"), F.lit(".tsx"))).alias("module"))
+    rows = _values(spark, sf, "name", NAMES)
+    return rows.select("p_partkey", "name", text.humanize(F.col("name")).alias("label"), text.path_label(F.concat(F.lit("src/"), F.col("name"), F.lit(".tsx"))).alias("module"))
 
 
 def target_ids(spark, sf):
@@ -132,23 +143,32 @@ QUERIES = {
 }
 
 
-def _re(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-_ROLE = "CASE " + " ".join(
-    "WHEN "
-    + " OR ".join(([f"regexp_matches(lower(path), {_re(pattern)})"] if pattern else []) + ([f"kind IN ({', '.join(map(repr, kinds))})"] if kinds else []))
-    + f" THEN {{{i}}}"
-    for i, (_, _, _, pattern, kinds) in enumerate(classify.ROLE_RULES)
-) + " ELSE {9} END"
-_PICK = [_ROLE.format(*[f"'{r[k]}'" for r in classify.ROLE_RULES], f"'{classify.UNKNOWN_ROLE[k]}'") for k in range(3)]
-_CONFIG = " OR ".join(f"regexp_matches(path, {_re(p)})" for p in paths.CONFIG) + " OR path IN (" + ", ".join(map(repr, paths.CONFIG_NAMES)) + ")"
-_SHOWN = f"regexp_matches(lower(path), {_re(paths.SHOWN)})" + "".join(f" AND NOT regexp_matches(lower(path), {_re(p)})" for p in paths.DENIED)
+#: The rules in SQL, stated apart from the engine's own patterns: names of folders and suffixes in lists.
+_TOLD = f"""
+WITH t AS (
+  SELECT *, regexp_extract(path, '[^/]*$') AS base, lower(path) AS low, string_split(path, '/')[:-2] AS folders, string_split(lower(path), '/') AS names,
+         CASE WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN string_split(path, '.')[-1] ELSE '' END AS suffix FROM {_PATHS}),
+u AS (SELECT *, string_split(base, '.') AS dots FROM t)"""
+_TOOLS = "['drizzle', 'next', 'tailwind', 'postcss', 'eslint', 'prettier', 'vite', 'vitest', 'remix']"
 _KIND = (
-    f"CASE WHEN regexp_matches(path, {_re(paths.STYLE)}) THEN {{0}} WHEN path LIKE 'scripts/%' OR regexp_matches(path, {_re(paths.TOOLING[0])}) OR regexp_matches(path, {_re(paths.TOOLING[1])}) THEN {{1}} "
-    f"WHEN regexp_matches(path, {_re(paths.JSX)}) AND regexp_matches(path, '(^|/)(components|ui)/') THEN {{2}} WHEN regexp_matches(path, {_re(paths.JSX)}) AND contains(path, 'spec') THEN {{3}} ELSE {{4}} END"
+    "CASE WHEN suffix IN ('css', 'scss', 'sass', 'less') THEN {0} "
+    f"WHEN starts_with(path, 'scripts/') OR (len(dots) = 3 AND dots[2] = 'config' AND dots[3] IN ('ts', 'js', 'mjs', 'cjs') AND list_contains({_TOOLS}, dots[1])) "
+    "OR (len(dots) > 3 AND dots[1] = 'sentry' AND dots[-2] = 'config' AND dots[-1] IN ('ts', 'js', 'mjs', 'cjs')) THEN {1} "
+    "WHEN suffix IN ('tsx', 'jsx') AND list_has_any(folders, ['components', 'ui']) THEN {2} WHEN suffix IN ('tsx', 'jsx') AND contains(path, 'spec') THEN {3} ELSE {4} END"
+)
+_ANY = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words.split())
+_ROLES = (
+    ("kind = 'style'", "styling", "stylesheet graph role", "strong"),
+    ("kind = 'tooling' OR " + _ANY("config .env scripts/"), "configuration", "tooling/configuration path convention", "strong"),
+    ("len(list_filter(names, lambda x: string_split(x, '.')[1] IN ('test', 'tests', '__tests__', 'spec'))) > 0", "testing", "test path convention", "strong"),
+    (_ANY("components/ui /ui/ design-system primitives"), "ui_primitive", "UI primitive path convention", "strong"),
+    (_ANY("analytics telemetry tracking segment posthog mixpanel"), "analytics", "dedicated analytics path convention", "strong"),
+    ("list_has_any(names, ['db', 'database', 'cache', 'queue', 'transport', 'adapter', 'storage', 'cloudinary', 'provider', 'infra'])", "infrastructure", "infrastructure path convention", "strong"),
+    ("kind = 'component'", "presentation", "component graph role", "strong"),
+    (_ANY("util helper format constant"), "utility", "utility path convention", "heuristic"),
+    ("kind = 'module'", "application", "application code without a stronger technical role", "heuristic"),
 )
+_PICK = ["CASE " + " ".join(f"WHEN {r[0]} THEN '{r[k]}'" for r in _ROLES) + f" ELSE '{last}' END" for k, last in ((1, "unknown"), (2, "no deterministic technical-role rule"), (3, "unknown"))]
 _SEGMENTS = "'/' || array_to_string(list_filter(string_split({0}, '/'), lambda s: s <> ''), '/')"
 _PAGES = "p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path, html FROM pages)"
 _ROOTS = (
@@ -158,20 +178,32 @@ roots AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root FROM p GROUP BY
 )
 _HUMAN = "array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g'), ' '), lambda s: upper(s[1:1]) || s[2:]), ' ')"
 ORACLES = {
-    "path_predicates": f"""SELECT path, regexp_matches(path, {_re(paths.CODE)}) OR regexp_matches(path, {_re(paths.STYLE)}) AS is_source, {_CONFIG} AS is_config, {_SHOWN} AS is_shown,
-       regexp_matches(path, {_re(paths.TEST_DIR)}) OR regexp_matches(path, {_re(paths.TEST_FILE)}) AS is_test, path = 'src' OR starts_with(path, 'src/') AS under_src FROM {_sql('path', PATHS)}""",
-    "technical_role": f"""WITH k AS (SELECT path, {_KIND.format("'style'", "'tooling'", "'component'", "'component'", "'module'")} AS kind,
-       {_KIND.format("'stylesheet extension convention'", "'repository tooling/configuration convention'", "'component directory convention'", "'JSX module exports a component candidate'", "'generic JavaScript/TypeScript module'")} AS kind_reason FROM {_sql('path', PATHS)})
-SELECT path, kind, kind_reason, {_PICK[0]} AS role, {_PICK[1]} AS role_reason, {_PICK[2]} AS strength FROM k""",
+    "path_predicates": f"""{_TOLD}
+SELECT p_partkey, path, suffix IN ('ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs', 'css', 'scss', 'sass', 'less') AS is_source,
+       base IN ('package.json', 'tsconfig.json', 'jsconfig.json') OR (len(dots) > 2 AND dots[1] IN ('tsconfig', 'jsconfig') AND dots[-1] = 'json')
+         OR (len(dots) = 3 AND dots[1] IN ('next', 'vite', 'remix', 'tailwind', 'postcss', 'vitest') AND dots[2] = 'config' AND dots[3] IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'))
+         OR path IN ('pnpm-workspace.yaml', 'turbo.json', 'nx.json', 'wakeline.config.json') AS is_config,
+       lower(suffix) IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'css', 'scss', 'sass', 'less')
+         AND NOT list_has_any(names, ['.env', 'env', 'node_modules', 'dist', 'build', '.next', 'generated', 'scripts', 'drizzle', 'config', 'server', 'db', 'database', 'migration', 'migrations', 'infra', 'infrastructure',
+                                      'adapter', 'adapters', 'provider', 'providers'])
+         AND NOT starts_with(lower(base), '.env.') AND NOT starts_with(lower(base), 'env.')
+         AND NOT (len(dots) > 2 AND dots[2] = 'config' AND dots[1] IN ('next', 'tailwind', 'postcss', 'eslint', 'prettier', 'vite', 'vitest')) AS is_shown,
+       list_has_any(folders, ['__tests__', 'test', 'tests', 'e2e', 'cypress', 'playwright', 'stories']) OR (len(dots) > 2 AND dots[-2] IN ('test', 'spec', 'stories') AND suffix IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs')) AS is_test,
+       path = 'src' OR starts_with(path, 'src/') AS under_src
+FROM u""",
+    "technical_role": f"""{_TOLD},
+k AS (SELECT *, {_KIND.format("'style'", "'tooling'", "'component'", "'component'", "'module'")} AS kind,
+       {_KIND.format("'stylesheet extension convention'", "'repository tooling/configuration convention'", "'component directory convention'", "'JSX module exports a component candidate'", "'generic JavaScript/TypeScript module'")} AS kind_reason FROM u)
+SELECT p_partkey, path, kind, kind_reason, {_PICK[0]} AS role, {_PICK[1]} AS role_reason, {_PICK[2]} AS strength FROM k""",
     "route_normalize": f"""
-SELECT a || '|' || b AS input, 'join' AS rule, {_SEGMENTS.format("a || '/' || b")} AS route FROM (VALUES {', '.join(f"('{x}', '{y}')" for x, y in ROUTES)}) v(a, b)
-UNION ALL SELECT input, 'next', '/' || array_to_string(list_transform(list_filter(string_split(input, '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^\\(.+\\)$') AND NOT starts_with(s, '@')),
+SELECT p_partkey, input, 'join' AS rule, {_SEGMENTS.format("replace(input, '|', '/')")} AS route FROM {_sql('input', ['|'.join(r) for r in ROUTES])}
+UNION ALL SELECT p_partkey, input, 'next', '/' || array_to_string(list_transform(list_filter(string_split(input, '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^\\(.+\\)$') AND NOT starts_with(s, '@')),
   lambda s: CASE WHEN regexp_matches(s, '^\\[\\.\\.\\.(.+)\\]$') THEN ':' || regexp_extract(s, '^\\[\\.\\.\\.(.+)\\]$', 1) || '*' WHEN regexp_matches(s, '^\\[(.+)\\]$') THEN ':' || regexp_extract(s, '^\\[(.+)\\]$', 1) ELSE s END), '/')
 FROM {_sql('input', LOCALS)}
-UNION ALL SELECT input, 'remix', '/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(input, '(?:^|\\.)_index$', ''), '.'), lambda s: s <> ''),
+UNION ALL SELECT p_partkey, input, 'remix', '/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(input, '(?:^|\\.)_index$', ''), '.'), lambda s: s <> ''),
   lambda s: CASE WHEN starts_with(s, '$') THEN ':' || s[2:] ELSE s END), '/') FROM {_sql('input', REMIX)}""",
     "import_classification": f"""
-WITH s AS (SELECT specifier, array_to_string(string_split(specifier, '/')[1 : CASE WHEN starts_with(specifier, '@') THEN 2 ELSE 1 END], '/') AS package FROM {_sql('specifier', SPECIFIERS)}),
+WITH s AS (SELECT p_partkey, specifier, array_to_string(string_split(specifier, '/')[1 : CASE WHEN starts_with(specifier, '@') THEN 2 ELSE 1 END], '/') AS package FROM {_sql('specifier', SPECIFIERS)}),
 e AS (SELECT *, NOT (starts_with(specifier, '.') OR starts_with(specifier, '/')) AND package <> '@acme/ui' AND NOT starts_with(specifier, '@/') AS external FROM s)
 SELECT *, CASE WHEN specifier = './util' THEN 'resolved' WHEN specifier = '../lib/db' THEN 'asset' WHEN external THEN 'external' ELSE 'unresolved' END AS status FROM e""",
     "candidate_resolution": f"""
@@ -185,7 +217,7 @@ SELECT page_id, CASE WHEN t <> '' THEN t[1:120] END AS heading FROM (
   SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1(?:\\s[^>]*)?>(.*?)</h1>', 1, 'si'), '<[^>]+>', '', 'g'), '&apos;', ''''), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""",
     "import_dedupe_first": "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
     "entrypoint_dedupe_last": "SELECT max(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
-    "identifier_labels": f"""SELECT name, {_HUMAN.format('name')} AS label, {_HUMAN.format("CASE WHEN name = '' THEN 'module' ELSE name END")} || ' module' AS module FROM {_sql('name', NAMES)}""",
+    "identifier_labels": f"""SELECT p_partkey, name, {_HUMAN.format('name')} AS label, {_HUMAN.format("CASE WHEN name = '' THEN 'module' ELSE name END")} || ' module' AS module FROM {_sql('name', NAMES)}""",
     "target_ids": """
 WITH t AS (SELECT o_orderkey, 'order/' || o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'web' END AS root, CASE WHEN o_orderkey % 2 = 0 THEN '/order/' || o_orderkey END AS route,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'GET' END AS method FROM orders)

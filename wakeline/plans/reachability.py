@@ -47,6 +47,26 @@ def reverse_consumers_1hop(spark, sf):
     return reach.consumers(b.imports(spark, sf), b.seeds(spark, sf).select(F.col("seed").alias("path")))
 
 
+def impact_by_seed(spark, sf):
+    """The level of each changed file alone: the entrypoints it reaches, and whether it serves a route itself."""
+    rows = reach.candidates(_reached(spark, sf), b.files(spark, sf), b.entrypoints(spark, sf)).filter(F.col("kind").isin("page", "api_route"))
+    count = F.count_distinct("path")
+    reached = rows.groupBy("seed").agg(count.alias("n_entrypoints"), F.bool_or(F.col("impact") == "direct").alias("route"))
+    out = b.seeds(spark, sf).join(reached, "seed", "left").select("seed", F.coalesce("n_entrypoints", F.lit(0)).cast("bigint").alias("n_entrypoints"), F.coalesce("route", F.lit(False)).alias("route"))
+    return out.select("seed", "n_entrypoints", classify.impact_level(F.col("n_entrypoints"), F.col("route")).alias("impact_level"))
+
+
+def changed_files(spark, sf):
+    """The change set with its relevance, and the graph a file's walk starts in."""
+    changes, files = _change_set(spark, sf).withColumn("path", F.concat("path", F.lit(".ts"))), b.files(spark, sf).withColumn("path", F.concat("path", F.lit(".ts")))
+    changes = changes.withColumn("previous_path", F.concat("previous_path", F.when(F.col("previous_path").endswith("1"), ".md").otherwise(".ts")))
+    changes = changes.withColumn("path", F.when(F.col("status") == "modified", F.regexp_replace("path", r"\.ts$", ".md")).otherwise(F.col("path")))
+    head, base = reach.select_seeds(changes, files, files.filter("path not like '%2.ts'"))
+    told = impact.changed_files(changes)
+    rows = told.join(head.select(F.col("seed").alias("path"), F.lit(True).alias("in_head")), "path", "left").join(base.select(F.col("seed").alias("path"), F.lit(True).alias("in_base")), "path", "left")
+    return rows.select("path", "status", "previous_path", "graph_relevant", F.coalesce("in_head", F.lit(False)).alias("in_head"), F.coalesce("in_base", F.lit(False)).alias("in_base"))
+
+
 def symbol_diff(spark, sf):
     orders = b.table(spark, sf, "orders")
     key, path = F.concat(b.node("order", "o_orderkey"), F.lit(":function:run")).alias("symbol_key"), b.node("order", "o_orderkey").alias("file_path")
@@ -119,7 +139,7 @@ def report_text(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        impact_entrypoints, impact_assessment_ranked, supporting_paths, reverse_consumers_1hop, symbol_diff, reanalysis_frontier,
+        impact_entrypoints, impact_assessment_ranked, supporting_paths, reverse_consumers_1hop, impact_by_seed, changed_files, symbol_diff, reanalysis_frontier,
         incremental_merge, obsolete_facts, snapshot_counts, edge_kind_merge, impact_map_edges, report_text,
     )
 }
@@ -184,6 +204,15 @@ SELECT path, (row_number() OVER (PARTITION BY path ORDER BY indirect, length, ar
        CASE WHEN indirect = 0 THEN 'direct' ELSE 'indirect' END AS impact, array_to_string(p, ' > ') AS dependency_path
 FROM (SELECT DISTINCT path, indirect, length, p FROM cands)""",
     "reverse_consumers_1hop": _WITH + " SELECT DISTINCT to_path, from_path FROM imports WHERE to_path IN (SELECT seed FROM seeds)",
+    "impact_by_seed": _WITH
+    + """,
+c AS (SELECT seed, count(DISTINCT path) AS n, bool_or(indirect = 0) AS route FROM cands WHERE kind IN ('page', 'api_route') GROUP BY seed)
+SELECT seed, coalesce(n, 0)::BIGINT AS n_entrypoints, CASE WHEN n >= 2 THEN 'high' WHEN route THEN 'medium' ELSE 'low' END AS impact_level FROM seeds LEFT JOIN c USING (seed)""",
+    "changed_files": """
+WITH c AS (
+  SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'renamed' WHEN 1 THEN 'modified' ELSE 'removed' END AS status, CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 END AS o FROM customer WHERE c_custkey % 41 = 0)
+SELECT 'customer/' || k || CASE status WHEN 'modified' THEN '.md' ELSE '.ts' END AS path, status, 'customer/' || o || CASE WHEN abs(o) % 10 = 1 THEN '.md' ELSE '.ts' END AS previous_path,
+       status <> 'modified' AS graph_relevant, status <> 'modified' AND k % 10 <> 2 AS in_head, status = 'removed' AS in_base FROM c""",
     "symbol_diff": """
 WITH b AS (SELECT 'order/' || o_orderkey || ':function:run' AS k, o_orderpriority AS h FROM orders WHERE o_orderkey % 11 <> 0),
 h AS (SELECT 'order/' || o_orderkey || ':function:run' AS k, CASE WHEN o_orderkey % 13 = 0 THEN o_orderpriority || '!' ELSE o_orderpriority END AS h FROM orders WHERE o_orderkey % 17 <> 0)

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys
-from ..operators import evidence, status
+from ..operators import evidence, status, validate
+from ..sources import snapshots
 from ..streaming import ingest, transitions
 from . import bindings as b
 
@@ -90,8 +91,72 @@ def idempotent_ingest(spark, sf):
 
 
 def bucketed_dedupe(spark, sf):
-    e = b.table(spark, sf, "events").select("event_id", "user_id", keys.bucket(F.col("ts"), 86_400 * 7).alias("bucket"))
-    return e.groupBy("user_id", "bucket").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+    """Reconciliations asked for at each event, of which one for each branch, commit and five minutes stays."""
+    e = b.table(spark, sf, "events").select((F.col("user_id") % 3).alias("repo_id"), F.lit("main").alias("branch"), F.col("event_type").alias("sha"), "ts", "event_id")
+    asked = ingest.reconcile(e, F.col("ts"), "tracked")
+    return asked.groupBy("repo_id", "branch", "sha", "job_type", "idempotency_key", "payload_sha256").agg(F.count("*").alias("n"))
+
+
+def complete_jobs(spark, sf):
+    """T4: the running jobs of even ids are completed by their lease's token."""
+    jobs = _jobs(spark, sf)
+    done = jobs.filter("status = 'running' and id % 2 = 0").select("id", F.col("lease_token").alias("token"))
+    return transitions.complete(jobs, done, _now()).select("id", "status", *_plain("terminal_at"))
+
+
+def superseded_pushes(spark, sf):
+    """Each event pushes its own commit; a user's last one is the live head."""
+    e = b.table(spark, sf, "events")
+    pushes = e.select(F.col("user_id").alias("repo_id"), F.lit("main").alias("branch"), F.col("event_id").alias("after_sha"))
+    heads = pushes.groupBy("repo_id", "branch").agg(F.max("after_sha").alias("live_sha"))
+    return transitions.superseded(pushes, heads).select("repo_id", "after_sha")
+
+
+def fenced_outcomes(spark, sf):
+    """K7: outcomes of requests apply only where the pointer still desires that very request."""
+    requests = _requests(spark, sf)
+    null = [F.lit(None).cast("string").alias(f"last_delivered_{c}") for c in ("analysis_id", "head_sha", "state")]
+    pointers = transitions.latest(requests).select("*", F.lit("pending").alias("status"), *null)
+    told = requests.filter("requested_at % 2 = 0").select("repo_id", "pull_request_number", "desired_analysis_id", "desired_head_sha", "desired_state", F.when(F.col("requested_at") % 3 == 0, "failed").otherwise("delivered").alias("status"))
+    return transitions.fenced(pointers, told).select("repo_id", "pull_request_number", "desired_analysis_id", "status", "last_delivered_analysis_id", "last_delivered_state")
+
+
+def webhook_jobs(spark, sf):
+    """Deliveries as JSON texts, routed against tracked branches."""
+    e = b.table(spark, sf, "events")
+    branch = F.when(F.col("event_id") % 3 == 0, "dev").otherwise("main")
+    repo = F.struct(F.col("user_id").alias("id"), F.lit("main").alias("default_branch"))
+    sha = F.when(F.col("event_id") % 10 == 0, F.lit("0" * 40)).otherwise(F.concat(F.lit("s"), F.col("event_id").cast("string")))
+    push = F.to_json(F.struct(repo.alias("repository"), F.concat(F.lit("refs/heads/"), branch).alias("ref"), sha.alias("after")))
+    request = F.struct(F.struct(branch.alias("ref")).alias("base"), F.struct(sha.alias("sha")).alias("head"), (F.col("event_id") % 100).alias("number"))
+    pull = F.to_json(F.struct(F.when(F.col("event_id") % 5 == 0, "closed").otherwise("opened").alias("action"), repo.alias("repository"), request.alias("pull_request")))
+    name = F.when(F.col("event_type") == "view", "push").when(F.col("event_type") == "click", "pull_request").otherwise("ping")
+    deliveries = e.select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("delivery_id"), name.alias("event_name"), F.when(name == "push", push).otherwise(pull).alias("body"))
+    configs = e.select("user_id").distinct().filter("user_id % 4 < 2").select(F.col("user_id").alias("repo_id"), F.when(F.col("user_id") % 8 < 4, "dev").otherwise("main").alias("tracked_branch"), (F.col("user_id") % 4 == 0).alias("is_active"))
+    return ingest.route(deliveries, configs).select("delivery_id", "repo_id", "pull_request_number", "sha", "job_type", "idempotency_key")
+
+
+def account_upsert(spark, sf):
+    """K6, K2: customers of even keys are known, those of keys not divisible by three come again with new values."""
+    c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_mktsegment").alias("name"), (F.col("c_custkey") % 5 == 0).alias("assisted"))
+    old, new = c.filter("repo_id % 2 = 0"), c.filter("repo_id % 3 <> 0").select("repo_id", F.concat("name", F.lit("!")).alias("name"), F.lit(False).alias("assisted"))
+    rows = snapshots.upsert(old, new, ["repo_id"], ("assisted",))
+    projects = snapshots.upsert_projects(old.select(F.col("repo_id").cast("string").alias("root_path"), "name"), new.select(F.col("repo_id").cast("string").alias("root_path"), "name"))
+    return rows.join(projects.select(F.col("root_path").cast("bigint").alias("repo_id"), F.col("name").alias("project"), "is_active"), "repo_id")
+
+
+def target_order(spark, sf):
+    """An answer for each target in order, or none."""
+    targets = b.table(spark, sf, "nation").select(F.col("n_name").alias("target_id"), F.col("n_nationkey").alias("ord"))
+    found = b.table(spark, sf, "customer").join(b.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 50 = 0").groupBy(F.col("n_name").alias("target_id")).agg(F.count("*").alias("scenarios"))
+    return validate.in_target_order(targets, found)
+
+
+def insert_ignored(spark, sf):
+    """K5: of events that come again under their user and type, the first, unless the user is known."""
+    e = b.table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id")
+    known = e.filter("event_id % 7 = 0").select("key").distinct()
+    return snapshots.insert_ignore(known, e, "key", "event_id")
 
 
 def retry_transition(spark, sf):
@@ -104,12 +169,13 @@ def lease_reap(spark, sf):
 
 
 def job_claim(spark, sf):
-    return transitions.claim(_jobs(spark, sf), _now(), F.lit("new")).select("id", "job_type", "status", "attempts", "lease_token")
+    return transitions.claim(_jobs(spark, sf), _now(), F.lit("new")).select("id", "job_type", "status", "attempts", "lease_token", *_plain("lease_expires_at", "first_started_at"))
 
 
 def access_state_fold(spark, sf):
     e = b.table(spark, sf, "events")
     named = F.element_at(F.create_map(*[F.lit(x) for pair in (("signup", "created"), ("view", "suspend"), ("purchase", "unsuspend"), ("error", "deleted"), ("click", "noop")) for x in pair]), F.col("event_type"))
+    named = F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("added"), F.lit("removed"), F.lit("noop")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(named)
     return transitions.fold_access(e.select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("ordinal"), named.alias("event")))
 
 
@@ -130,6 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         queue_health, recent_status, stale_heads, latest_pointer, undelivered, stale_job_skip, idempotent_ingest, bucketed_dedupe,
+        complete_jobs, superseded_pushes, fenced_outcomes, webhook_jobs, account_upsert, target_order, insert_ignored,
         retry_transition, lease_reap, job_claim, access_state_fold, error_class, gap_hunks,
     )
 }
@@ -164,19 +231,46 @@ SELECT * FROM x WHERE error IS NOT NULL OR current_sha IS DISTINCT FROM live_sha
 WITH k AS (SELECT event_id, ts, sha256((event_id % 500)::VARCHAR || ':' || event_type || '::' || (user_id % 50)::VARCHAR || '::' || CASE WHEN event_id % 2 = 0 THEN (event_id % 10)::VARCHAR ELSE '' END) AS idempotency_key FROM events)
 SELECT event_id, ts, idempotency_key FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY event_id) AS r FROM k)
 WHERE r = 1 AND idempotency_key NOT IN (SELECT idempotency_key FROM k WHERE event_id % 10 = 0)""",
-    "bucketed_dedupe": "SELECT user_id, epoch_ms(ts) // 604800000 AS bucket, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY ALL",
+    "bucketed_dedupe": """
+WITH e AS (SELECT user_id % 3 AS repo_id, 'main' AS branch, event_type AS sha, epoch_ms(ts) // 300000 AS w FROM events),
+j AS (SELECT *, '{"repoId":' || repo_id || ',"branch":"main","sha":"' || sha || '","reason":"tracked"' AS t FROM e)
+SELECT repo_id, branch, sha, 'branch.reconcile' AS job_type, sha256(t || ',"window":' || w || '}') AS idempotency_key, sha256(t || '}') AS payload_sha256, count(*) AS n FROM j GROUP BY ALL""",
+    "complete_jobs": f"WITH {_JOBS} SELECT id, CASE WHEN status = 'running' AND id % 2 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN status = 'running' AND id % 2 = 0 THEN now END AS terminal_at FROM jobs",
+    "superseded_pushes": "SELECT user_id AS repo_id, event_id AS after_sha FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) WHERE event_id <> last",
+    "fenced_outcomes": f"""WITH {_POINTERS}
+SELECT repo_id, pull_request_number, desired_analysis_id, CASE WHEN requested_at % 2 = 1 THEN 'pending' WHEN requested_at % 3 = 0 THEN 'failed' ELSE 'delivered' END AS status,
+       CASE WHEN requested_at % 2 = 0 AND requested_at % 3 <> 0 THEN desired_analysis_id END AS last_delivered_analysis_id, CASE WHEN requested_at % 2 = 0 AND requested_at % 3 <> 0 THEN desired_state END AS last_delivered_state
+FROM pointers""",
+    "webhook_jobs": """
+WITH e AS (
+  SELECT *, 'd' || event_id AS delivery_id, CASE WHEN event_id % 3 = 0 THEN 'dev' ELSE 'main' END AS branch, CASE WHEN event_id % 10 = 0 THEN repeat('0', 40) ELSE 's' || event_id END AS sha,
+         CASE user_id % 4 WHEN 0 THEN CASE WHEN user_id % 8 < 4 THEN 'dev' ELSE 'main' END WHEN 1 THEN NULL ELSE 'main' END AS tracked FROM events),
+j AS (
+  SELECT *, event_type = 'view' AS push FROM e
+  WHERE branch = tracked AND ((event_type = 'view' AND event_id % 10 <> 0) OR (event_type = 'click' AND event_id % 5 <> 0)))
+SELECT delivery_id, user_id AS repo_id, CASE WHEN NOT push THEN (event_id % 100)::INT END AS pull_request_number, sha, CASE WHEN push THEN 'branch.push' ELSE 'pull_request.analyze' END AS job_type,
+       sha256(delivery_id || ':' || CASE WHEN push THEN 'push:' ELSE 'pull_request:opened' END || ':' || user_id || ':' || sha || ':' || CASE WHEN push THEN '' ELSE (event_id % 100)::VARCHAR END) AS idempotency_key FROM j""",
+    "account_upsert": """
+SELECT c_custkey AS repo_id, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS name, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 = 0 ELSE false END AS assisted,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS project, c_custkey % 3 <> 0 AS is_active FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0""",
+    "target_order": """
+SELECT n_name AS target_id, n_nationkey AS ord, s.scenarios FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS scenarios FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1) s ON c_nationkey = n_nationkey""",
+    "insert_ignored": """
+WITH e AS (SELECT user_id || ':' || event_type AS key, event_id FROM events)
+SELECT key, min(event_id) AS event_id FROM e WHERE key NOT IN (SELECT key FROM e WHERE event_id % 7 = 0) GROUP BY key""",
     "retry_transition": f"WITH {_JOBS}, k AS (SELECT *, CASE WHEN value % 3 < 1 THEN 'transient' WHEN value % 3 < 2 THEN 'timeout' ELSE 'permanent' END AS kind FROM jobs) SELECT id, "
     + _BACK.format(mine="status = 'running'", again="(kind <> 'permanent' AND attempts < 3)", kind="kind")
     + " FROM k",
     "lease_reap": f"WITH {_JOBS} SELECT id, attempts, " + _BACK.format(mine="(status = 'running' AND lease_expires_at < now)", again="attempts < 3", kind="'worker_lost'") + " FROM jobs",
     "job_claim": f"""WITH {_JOBS}, f AS (SELECT min(id) AS id FROM jobs WHERE status = 'pending' AND available_at <= now GROUP BY job_type)
-SELECT id, job_type, CASE WHEN id IN (FROM f) THEN 'running' ELSE status END AS status, (attempts + (id IN (FROM f))::INT)::INT AS attempts, CASE WHEN id IN (FROM f) THEN 'new' ELSE lease_token END AS lease_token FROM jobs""",
+SELECT id, job_type, CASE WHEN id IN (FROM f) THEN 'running' ELSE status END AS status, (attempts + (id IN (FROM f))::INT)::INT AS attempts, CASE WHEN id IN (FROM f) THEN 'new' ELSE lease_token END AS lease_token,
+       CASE WHEN id IN (FROM f) THEN now + to_seconds(600) ELSE lease_expires_at END AS lease_expires_at, CASE WHEN id IN (FROM f) THEN coalesce(first_started_at, now) ELSE first_started_at END AS first_started_at FROM jobs""",
     "access_state_fold": """
-WITH RECURSIVE e AS (SELECT user_id AS repo_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+WITH RECURSIVE e AS (SELECT user_id AS repo_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 f AS (
   SELECT repo_id, 0::BIGINT AS i, 'none' AS s, n FROM e WHERE i = 1
   UNION ALL
-  SELECT f.repo_id, e.i, CASE e.event_type WHEN 'signup' THEN 'active' WHEN 'error' THEN 'deleted' WHEN 'view' THEN CASE WHEN f.s = 'active' THEN 'suspended' ELSE f.s END
+  SELECT f.repo_id, e.i, CASE e.event_type WHEN 'signup' THEN 'active' WHEN 'error' THEN 'deleted' WHEN 'click' THEN CASE e.event_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'removed' ELSE f.s END WHEN 'view' THEN CASE WHEN f.s = 'active' THEN 'suspended' ELSE f.s END
     WHEN 'purchase' THEN CASE WHEN f.s = 'suspended' THEN 'active' ELSE f.s END ELSE f.s END, f.n
   FROM f JOIN e ON e.repo_id = f.repo_id AND e.i = f.i + 1)
 SELECT repo_id, s AS access_state, n AS n_events FROM f WHERE i = n""",
