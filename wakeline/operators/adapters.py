@@ -115,19 +115,23 @@ def protocol_bindings(facts: DataFrame, known: DataFrame) -> DataFrame:
     return last_of(out.withColumn("place", F.struct("start_line", "start_column")), key, "place").drop("place")
 
 
-def extract(files: DataFrame, facts: DataFrame, imports: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entrypoints and bindings of all supported projects. files: path, project_root."""
+#: What finds the entrypoints of a framework's files, from files, facts and import targets; others can be added.
+REGISTRY = {
+    "next": lambda files, facts, targets: next_routes(files, facts),
+    "remix": lambda files, facts, targets: remix_routes(files, facts),
+    "react_router": router_routes,
+    "express": server_routes,
+}
+
+
+def extract(files: DataFrame, facts: DataFrame, imports: DataFrame, projects: DataFrame, registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entrypoints and bindings of all supported projects, by the registry's adapters. files: path, project_root."""
     targets = cut(import_targets(facts, imports))
     code = files.filter(F.col("path").rlike(paths.CODE))
     out = None
-    for framework, rows in (
-        ("next", lambda f: next_routes(f, facts)),
-        ("remix", lambda f: remix_routes(f, facts)),
-        ("react_router", lambda f: router_routes(f, facts, targets)),
-        ("express", lambda f: server_routes(f, facts, targets)),
-    ):
+    for framework, rows in (registry or REGISTRY).items():
         roots = projects.filter((F.col("status") == "supported") & (F.col("primary_framework") == framework)).select(F.col("root_path").alias("project_root"))
-        own = rows(code.join(F.broadcast(roots), "project_root", "left_semi"))
+        own = rows(code.join(F.broadcast(roots), "project_root", "left_semi"), facts, targets)
         out = own if out is None else out.unionByName(own)
     out = out.withColumn("place", F.struct("file_path", "ord"))
     entrypoints = last_of(out, ["project_root", "kind", "http_method", "route_path"], "place").select(*COLUMNS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, keys
 from ..operators import evidence, status, validate
 from ..sources import snapshots
-from ..streaming import ingest, transitions
+from ..streaming import ingest, lifecycle, transitions
 from . import bindings as b
 
 NOW = "2026-01-01 00:00:00"
@@ -70,11 +70,7 @@ def latest_pointer(spark, sf):
 
 
 def undelivered(spark, sf):
-    rows = transitions.latest(_requests(spark, sf))
-    delivered = F.col("requested_at") % 4
-    last = lambda c: F.when(delivered == 0, F.col(f"desired_{c}")).when(delivered == 1, F.concat(F.col(f"desired_{c}"), F.lit("-old"))).alias(f"last_delivered_{c}")
-    rows = rows.withColumn("status", F.when(F.col("requested_at") % 5 == 0, "pending").otherwise("delivered"))
-    return transitions.undelivered(rows.select("*", *map(last, ("analysis_id", "head_sha", "state")))).select("repo_id", "pull_request_number", "desired_analysis_id")
+    return transitions.undelivered(_undelivered_pointers(spark, sf)).select("repo_id", "pull_request_number", "desired_analysis_id")
 
 
 def stale_job_skip(spark, sf):
@@ -152,6 +148,41 @@ def target_order(spark, sf):
     return validate.in_target_order(targets, found)
 
 
+def _undelivered_pointers(spark, sf):
+    rows = transitions.latest(_requests(spark, sf))
+    delivered = F.col("requested_at") % 4
+    last = lambda c: F.when(delivered == 0, F.col(f"desired_{c}")).when(delivered == 1, F.concat(F.col(f"desired_{c}"), F.lit("-old"))).alias(f"last_delivered_{c}")
+    rows = rows.withColumn("status", F.when(F.col("requested_at") % 5 == 0, "pending").otherwise("delivered"))
+    return rows.select("*", *map(last, ("analysis_id", "head_sha", "state")))
+
+
+def reconciler_round(spark, sf):
+    """What a round queues: deliveries of what wasn't delivered, and stale branches, unless the ledger has them."""
+    pointers = _undelivered_pointers(spark, sf)
+    jobs = _jobs(spark, sf)
+    ledger = lifecycle.undelivered(pointers).filter("repo_id % 2 = 0").select("idempotency_key")
+    return lifecycle.round_of(jobs, pointers, stale_heads(spark, sf), ledger, _now())[1]
+
+
+def terminal_pushes(spark, sf):
+    """Running jobs that fail for good are reconciliations of their branch."""
+    before = _jobs(spark, sf)
+    kind = F.when(F.col("id") % 3 == 0, "permanent").otherwise("transient")
+    after = transitions.retry(before, kind, _now()).select("*", F.col("user_id").alias("repo_id"), F.col("job_type").alias("branch"), F.col("lease_token").alias("_t"), F.col("id").cast("string").alias("sha"))
+    return lifecycle.terminal_pushes(before, after, _now()).select("repo_id", "branch", "sha", "job_type", "payload_sha256")
+
+
+def analysis_steps(spark, sf):
+    """Orders as analyses: finished ones of which some lost their assessment; jobs for every order, and their outcomes."""
+    o = b.table(spark, sf, "orders")
+    own = [F.col("o_custkey").alias("repo_id"), (F.col("o_orderkey") % 7).cast("int").alias("pull_request_number"), F.col("o_orderkey").cast("string").alias("head_sha")]
+    status_ = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "P", "insufficient_evidence").otherwise("building")
+    analyses = o.select(F.col("o_orderkey").alias("analysis_id"), *own, status_.alias("status"))
+    planned = lifecycle.plan_analyses(o.select(F.col("o_orderkey").alias("job_id"), *own), analyses, analyses.filter("analysis_id % 3 <> 0"))
+    results = o.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 5 == 0, "lost").alias("error"), (F.col("o_orderkey") % 2 == 0).alias("persisted"))
+    return planned.select("job_id", "step").join(lifecycle.settle_analyses(planned, results), "job_id").select("job_id", "step", "analysis_status", "delivery_state", "retry")
+
+
 def insert_ignored(spark, sf):
     """K5: of events that come again under their user and type, the first, unless the user is known."""
     e = b.table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id")
@@ -196,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         queue_health, recent_status, stale_heads, latest_pointer, undelivered, stale_job_skip, idempotent_ingest, bucketed_dedupe,
-        complete_jobs, superseded_pushes, fenced_outcomes, webhook_jobs, account_upsert, target_order, insert_ignored,
+        complete_jobs, superseded_pushes, fenced_outcomes, webhook_jobs, account_upsert, target_order, insert_ignored, reconciler_round, terminal_pushes, analysis_steps,
         retry_transition, lease_reap, job_claim, access_state_fold, error_class, gap_hunks,
     )
 }
@@ -255,6 +286,27 @@ SELECT c_custkey AS repo_id, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '
        CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS project, c_custkey % 3 <> 0 AS is_active FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0""",
     "target_order": """
 SELECT n_name AS target_id, n_nationkey AS ord, s.scenarios FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS scenarios FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1) s ON c_nationkey = n_nationkey""",
+    "reconciler_round": f"""WITH {_POINTERS},
+d AS (
+  SELECT 'pull_request.deliver' AS job_type, repo_id,
+         sha256('{{"repoId":' || repo_id || ',"number":' || pull_request_number || ',"analysisId":"' || desired_analysis_id || '","headSha":"' || desired_head_sha || '","state":"' || desired_state || '"}}') AS idempotency_key
+  FROM pointers WHERE (requested_at % 5 = 0 OR requested_at % 4 <> 0) AND repo_id % 2 = 1),
+c AS (SELECT DISTINCT user_id AS repo_id FROM events),
+v AS (SELECT user_id AS repo_id, max(event_id)::VARCHAR AS current_sha FROM events WHERE event_type = 'view' GROUP BY 1),
+l AS (SELECT user_id AS repo_id, max(event_id) AS live FROM events WHERE event_type = 'purchase' GROUP BY 1),
+s AS (SELECT repo_id, current_sha, live::VARCHAR AS sha FROM c JOIN l USING (repo_id) LEFT JOIN v USING (repo_id) WHERE live % 11 <> 0 AND current_sha IS DISTINCT FROM live::VARCHAR)
+SELECT job_type, idempotency_key, repo_id FROM d
+UNION ALL SELECT 'branch.reconcile', sha256('{{"repoId":' || repo_id || ',"branch":"main","sha":"' || sha || '","reason":"' || CASE WHEN current_sha IS NULL THEN 'no graph of the branch yet' ELSE 'the branch''s graph is of an older commit' END
+  || '","window":' || (epoch_ms(TIMESTAMP '{NOW}') // 300000) || '}}'), repo_id FROM s""",
+    "terminal_pushes": f"""WITH {_JOBS},
+k AS (SELECT j.*, e.user_id, CASE WHEN j.id % 3 = 0 THEN 'permanent' ELSE 'transient' END AS kind FROM jobs j JOIN events e ON e.event_id = j.id)
+SELECT user_id AS repo_id, job_type AS branch, id::VARCHAR AS sha, 'branch.reconcile' AS job_type,
+       sha256('{{"repoId":' || user_id || ',"branch":"' || job_type || '","sha":"' || id || '","reason":"terminal branch.push failure: ' || kind || '"}}') AS payload_sha256
+FROM k WHERE status = 'running' AND (kind = 'permanent' OR attempts >= 3)""",
+    "analysis_steps": """
+WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN 'build' WHEN o_orderkey % 3 <> 0 THEN 'reuse' ELSE 'repair' END AS step FROM orders),
+s AS (SELECT *, CASE WHEN k % 5 <> 0 THEN 'ready' WHEN k % 2 <> 0 AND step = 'build' THEN 'failed' END AS state FROM o)
+SELECT k AS job_id, step, state AS analysis_status, state AS delivery_state, k % 5 = 0 AS retry FROM s""",
     "insert_ignored": """
 WITH e AS (SELECT user_id || ':' || event_type AS key, event_id FROM events)
 SELECT key, min(event_id) AS event_id FROM e WHERE key NOT IN (SELECT key FROM e WHERE event_id % 7 = 0) GROUP BY key""",

@@ -2,8 +2,9 @@
 
 The format ``repository`` lists a directory of snapshots, ``<root>/<sha>/...``,
 on a file system that all executors see; a reader for another host has the
-same two tables. Listing and reading are separate scans, so a plan that needs
-paths only never opens a file.
+same two tables. Listing and reading are separate scans. A directory keeps no
+digests of its files, so a listing hashes their bytes, but keeps no content;
+where the wanted paths are known, only those files are opened.
 """
 
 from __future__ import annotations
@@ -112,11 +113,31 @@ def tree(spark: SparkSession, root: str, sha: str) -> DataFrame:
     return _scan(spark, root, sha, False).select("path", "blob_sha")
 
 
+def _opener(root: str, sha: str):
+    """Reads the files of a batch of paths; a path that the snapshot doesn't have gives no row."""
+
+    def run(batches):
+        system, top = _open(root)
+        for batch in batches:
+            rows = [[], [], []]
+            for name in batch.column(0).to_pylist():
+                place = posixpath.join(top, sha, name)
+                if system.get_file_info(place).type != fs.FileType.File:
+                    continue
+                with system.open_input_stream(place, compression=None) as f:
+                    data = f.read()
+                for column, value in zip(rows, (name, hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest(), data.decode("utf-8", "replace")), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], ["path", "blob_sha", "content"])
+
+    return run
+
+
 def source(spark: SparkSession, root: str, sha: str, wanted: DataFrame | None = None) -> DataFrame:
     """Contents of source and configuration files, or of the wanted paths (``path``)."""
-    rows = _scan(spark, root, sha, True).select("path", "blob_sha", "content")
     if wanted is not None:
-        return rows.join(wanted.select("path").distinct(), "path", "left_semi")
+        return wanted.select("path").distinct().mapInArrow(_opener(root, sha), "path string, blob_sha string, content string")
+    rows = _scan(spark, root, sha, True).select("path", "blob_sha", "content")
     return rows.filter(paths.is_source(F.col("path")) | paths.is_config(F.col("path")))
 
 

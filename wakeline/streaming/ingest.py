@@ -6,7 +6,7 @@ import hashlib
 import hmac
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, paths
@@ -71,9 +71,9 @@ def route(deliveries: DataFrame, configs: DataFrame) -> DataFrame:
     return rows.select("delivery_id", "event_name", "event_action", "repo_id", "pull_request_number", sha.alias("sha"), "job_type", "payload_sha256", key.alias("idempotency_key"))
 
 
-def reconcile(branches: DataFrame, now, reason: str) -> DataFrame:
+def reconcile(branches: DataFrame, now, reason: str | Column) -> DataFrame:
     """One reconciliation per payload and five-minute bucket, by the digest of both."""
-    payload = [F.col("repo_id").alias("repoId"), F.col("branch"), F.col("sha"), F.lit(reason).alias("reason")]
+    payload = [F.col("repo_id").alias("repoId"), F.col("branch"), F.col("sha"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")]
     digest = keys.json_digest(*payload, keys.bucket(now).alias("window"))
     return branches.select("repo_id", "branch", "sha", F.lit("branch.reconcile").alias("job_type"), digest.alias("idempotency_key"), keys.json_digest(*payload).alias("payload_sha256"))
 
