@@ -65,8 +65,9 @@ def test_blocks_settle_what_pivots_leave(docs, monkeypatch):
     """With no pivots and tiny blocks, the exact part alone finds every link."""
     rng = random.Random(4)
     rows = list(enumerate(family(rng, 40, 120, 3)))
-    monkeypatch.setattr(x, "PIVOTS", 1)
+    monkeypatch.setattr(x, "PIVOTS", (1,))
     monkeypatch.setattr(x, "SIDE", 4)
+    monkeypatch.setattr(x, "CHUNK", 7)
     assert sorted(tuple(r) for r in x.similar(docs(rows), 85).collect()) == brute(rows, 85)
 
 
@@ -93,6 +94,18 @@ def test_large_open_buckets_are_dealt_by_prefixes(docs, monkeypatch):
     assert sorted(tuple(r) for r in x.similar(docs(rows), 80).collect()) == brute(rows, 80)
 
 
+def test_blocks_of_a_bucket_with_one_large_group_stay_linear(spark):
+    """Nine in ten members are of one group already: the rows of the blocks are a few for each member, whatever the size."""
+    made = {}
+    for n in (2000, 4000):
+        members = spark.createDataFrame([(7, i.to_bytes(4), b"r" if i % 40 else i.to_bytes(4)) for i in range(n)], "key long, node binary, root binary")
+        rows = x._in_blocks(members)
+        made[n] = rows.count()
+        largest = rows.groupBy("key", "i", "k").count().agg({"count": "max"}).first()[0]
+        assert made[n] <= 2 * n and largest < 2 * (x.SIDE + x.CHUNK)
+    assert made[4000] <= 2.2 * made[2000]
+
+
 @pytest.mark.parametrize("n", [300, 600])
 def test_prefixes_stay_linear_in_alike_but_unlinked_texts(spark, n):
     sets = [(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), e) for e in (x.shingles(t.encode()) for t in alike(n))]

@@ -8,14 +8,15 @@ of slots deal classes to buckets.
 
 No pairs of a bucket are listed. A pivot of each bucket is verified against
 its members on the full sets, and the links are grouped by union-find; this is
-repeated with other pivots in buckets that still hold several groups. What is
-then left open is settled exactly. Buckets of more than LARGE members, which
-are alike but not linked, are dealt anew by prefixes: two sets that reach the
-threshold share one of the first shingles of each in any common order, and in
-the order of rarity those are the ones that hardly any other set has. The
-buckets are then worked in blocks of a bounded number of members: signatures
-tell which members can have a partner in another group at all, and only those
-have their sets compared.
+repeated with more pivots in buckets that still hold several groups. What is
+then left open is settled exactly. Of a bucket, only the members outside its
+largest group need be held against others. Where these are more than LARGE, as
+with texts that are alike but not linked, the bucket is dealt anew by prefixes:
+two sets that reach the threshold share one of the first shingles of each in
+any common order, and in the order of rarity those are the ones that hardly
+any other set has. The buckets are then worked in blocks of a bounded number
+of members: signatures tell which members can have a partner in another group
+at all, and only those have their sets compared.
 
 With ROWS slots a band and BANDS bands, a pair at the threshold shares no
 bucket with a probability below 1e-5.
@@ -40,9 +41,11 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Elements of a set that are ranked at once.
 BLOCK = 16384
-#: Rounds of pivots before what is left is settled in blocks, and members of a block's side.
-PIVOTS, SIDE = 2, 128
-#: Open buckets of more members than this are dealt anew by prefixes of their sets.
+#: Pivots of a bucket in each round, before what is left is settled in blocks.
+PIVOTS = (1, 4)
+#: Members of a block: of those outside the bucket's largest group, and of all.
+SIDE, CHUNK = 128, 512
+#: Open buckets with more members than this outside their largest group are dealt anew by prefixes of their sets.
 LARGE = 1024
 #: Rows of blocks that a task works on.
 DEALT = 4096
@@ -268,17 +271,15 @@ def _blocks(percent: int, exact: bool):
     floor = least - MARGIN * np.sqrt(least * (1 - least) / SLOTS)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         slots = np.vstack([np.frombuffer(s, np.uint8) for s in frame["slots"]])
-        nodes, roots, side, size = frame["node"].tolist(), frame["root"].tolist(), frame["side"].to_numpy(), frame["n"].to_numpy()
+        nodes, roots, size = frame["node"].tolist(), frame["root"].tolist(), frame["n"].to_numpy()
         code = pd.factorize(frame["root"])[0]
         own = [np.frombuffer(s, np.uint64) for s in frame["own"]] if exact else None
+        side = frame["side"].to_numpy()
+        every = np.flatnonzero(~side)
         found, links, flagged = Union(), [], np.zeros(len(frame), bool)
-        for x in range(len(frame)):
-            others = np.arange(x + 1, len(frame))
-            if left != right:
-                others = others[side[others] != side[x]]
-            others = others[(code[others] != code[x]) & (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x]))]
+        for x in np.flatnonzero(side):
+            others = every[(code[every] != code[x]) & (100 * np.minimum(size[every], size[x]) >= percent * np.maximum(size[every], size[x]))]
             others = others[(slots[others] == slots[x]).mean(1) >= floor] if len(others) else others
             if not exact:
                 flagged[x] |= bool(len(others))
@@ -293,15 +294,28 @@ def _blocks(percent: int, exact: bool):
     return run
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Of each bucket (key, node, root): its size, the root of its largest group, and how many members are outside that."""
+    roots = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    return roots.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("m")).select("key", "size", F.col("m.root").alias("major"), (F.col("size") - F.col("m.c")).alias("minor"))
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Members of a bucket dealt to pairs of sides (i <= j) of about SIDE members each, and the blocks dealt to tasks."""
-    counted = common.cut(members.groupBy("key").agg(F.count("*").alias("size")).withColumn("sides", F.ceil(F.col("size") / SIDE).cast("int")), "sides")
-    total = counted.agg(F.sum("size"), F.sum(F.col("size") * F.col("sides"))).first()
+    """Buckets dealt to blocks (key, i, k), and the blocks to tasks: about SIDE members (side) outside the largest group, and about CHUNK of all.
+
+    So a bucket's rows are as many as its members times its sides; those of a
+    group that is linked already don't meet each other.
+    """
+    counted = common.cut(_sized(members).withColumn("sides", F.ceil(F.col("minor") / SIDE).cast("int")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).filter("sides > 0"), "sides")
+    total = counted.agg(F.sum("size"), F.sum(F.col("size") * F.col("sides") + F.col("minor") * F.col("chunks"))).first()
     hot = counted.filter(F.col("size") >= _many(total[0] or 0)).select("key")
-    dealt = meet(members, "key", counted.select("key", "sides"), hot).withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")).drop("o", "sides")
+    dealt = meet(members, "key", counted.select("key", "major", "sides", "chunks"), hot)
+    i, k = F.pmod(F.xxhash64("node"), "sides").cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), "chunks").cast("int")
+    rest = [c for c in members.columns]
+    few = dealt.filter("root != major").select(*rest, F.lit(True).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    every = dealt.select(*rest, F.lit(False).alias("side"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"))
     tasks = max(members.sparkSession.sparkContext.defaultParallelism, (total[1] or 0) // DEALT)
-    return dealt.repartition(tasks, "key", "i", "j")
+    return few.unionByName(every).repartition(tasks, "key", "i", "k")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,28 +366,28 @@ def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     links, labels = None, None
     open_ = buckets.join(info.select("node", "n"), "node").withColumn("root", F.col("node"))
-    for turn in range(PIVOTS):
-        order = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("n"), F.col("root"))
-        pivots = open_.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("size")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"), "size")
-        pivots = common.cut(pivots, "pivots")
+    for turn, several in enumerate(PIVOTS):
+        orders = [F.min(F.struct(F.xxhash64(F.lit(10 * turn + i), "node").alias("at"), F.col("node"), F.col("n"), F.col("root"))) for i in range(several)]
+        pivots = common.cut(open_.groupBy("key").agg(F.array(*orders).alias("pivots"), F.count("*").alias("size")), "pivots")
         hot = pivots.filter(F.col("size") >= _many(buckets.count())).select("key")
-        pairs = meet(open_, "key", pivots.drop("size"), hot).filter(f"root != pivot_root and 100 * least(n, m) >= {percent} * greatest(n, m)").select("node", "pivot").distinct()
+        fits = lambda p: (p["root"] != F.col("root")) & (100 * F.least("n", p["n"]) >= percent * F.greatest("n", p["n"]))
+        pairs = meet(open_, "key", pivots.drop("size"), hot).select("node", F.explode(F.transform(F.filter("pivots", fits), lambda p: p["node"])).alias("pivot")).distinct()
         pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("own").alias("other")), "pivot").select("node", "pivot", "own", "other")
         new = common.cut(pairs.mapInArrow(_verifier(percent), "node binary, pivot binary").toDF("a", "b"), "verified")
         links = new if links is None else links.union(new)
         labels = groups(links)
         open_ = common.cut(_relabel(open_, labels), "open")
         common.drop(pivots)
-    large = open_.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE).select("key")
+    large = _sized(open_).filter(F.col("minor") > LARGE).select("key")
     large = common.cut(large, "large")
     if not large.isEmpty():  # at most one of LARGE members
         few = F.broadcast(large) if large.count() <= FEW else large
         anew = _several_groups(_by_prefix(open_.join(few, "key", "left_semi"), sets, percent))
         open_ = common.cut(open_.join(few, "key", "left_anti").unionByName(anew.select(*open_.columns)), "open")
     blocks = _in_blocks(open_.join(info.select("node", "slots"), "node"))
-    flagged = blocks.groupBy("key", "i", "j").applyInPandas(_blocks(percent, False), "key long, node binary").distinct()
+    flagged = blocks.groupBy("key", "i", "k").applyInPandas(_blocks(percent, False), "key long, node binary").distinct()
     left = common.cut(open_.join(flagged, ["key", "node"]).join(info.select("node", "slots"), "node").join(sets, "node"), "left")
-    new = common.cut(_in_blocks(left).groupBy("key", "i", "j").applyInPandas(_blocks(percent, True), "a binary, b binary"), "verified")
+    new = common.cut(_in_blocks(left).groupBy("key", "i", "k").applyInPandas(_blocks(percent, True), "a binary, b binary"), "verified")
     labels = groups(links.union(new))
 
     rooted = classes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
