@@ -226,6 +226,8 @@ def _many(rows: int) -> int:
 
 def meet(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame) -> DataFrame:
     """The rows with the table's one row of their key. Hot keys (at most FEW, one column like the key) meet by broadcast: none of them fills a task."""
+    if hot.isEmpty():
+        return rows.join(table, key)
     hot = F.broadcast(hot.toDF("_hot"))
     frequent = table.join(hot, table[key] == hot["_hot"], "left_semi")
     usual = rows.join(hot, rows[key] == hot["_hot"], "left_anti")
