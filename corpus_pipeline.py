@@ -7,7 +7,10 @@ its shard and its position in the shard.
 
 Nulls, empty texts, ties and repeated rows are what the operators say: a text
 without a letter has no language and goes; of equal texts the one with the most
-code points stays; an empty table stays empty through all stages.
+code points stays; an empty table stays empty through all stages. Texts count
+whole however long they are. Further columns go through all stages as they are,
+whatever their names; only the last stage replaces those named copy, shard or
+position, and leaves out those named like a result of ``mixing.draws``.
 """
 
 from __future__ import annotations

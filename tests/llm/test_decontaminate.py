@@ -112,3 +112,12 @@ def test_short_items_are_found_word_for_word(docs, spark, monkeypatch):
             if r.doc_id < 16:
                 assert x.normalise(dict(rows)[r.doc_id])[r.doc_start : r.doc_end] in {x.normalise(t) for i, t in items if i == r.item_id} and r.edits == 0
         assert sorted(r.doc_id for r in x.keep_clean(docs(rows), bench).collect()) == [13, 14]
+
+
+def test_clashing_columns_stay(docs, spark):
+    item = "an item of some length that stands in the benchmark and in one of the documents too"
+    bench = spark.createDataFrame([(7, item, "x")], "item_id long, text string, doc_id string")
+    frame = docs([(1, f"so {item}.", "en", "s", 1, 5, "a"), (2, "clean", "en", "s", 1, 6, "b"), (3, None, "en", "s", 1, 7, "c")], ", item_id long, edits string")
+    kept = x.keep_clean(frame, bench)
+    assert kept.columns == frame.columns and sorted((r.doc_id, r.item_id, r.edits) for r in kept.collect()) == [(2, 6, "b"), (3, 7, "c")]
+    assert [(r.doc_id, r.item_id) for r in x.matches(frame, bench).collect()] == [(1, 7)]

@@ -51,6 +51,16 @@ def test_awkward_rows(docs):
     assert x.scan(frame).columns.count("labels") == 1
 
 
+def test_long_texts_and_clashing_columns(docs):
+    long = "word " * 40_000 + TEXTS[1] + " word" * 40_000
+    check(docs, [(1, long), (2, long)])
+    frame = docs([(1, TEXTS[0], "en", "s", 3, "x", "y", "z")], ", _words string, word string, p string")
+    got = x.scan(frame)
+    assert set(frame.columns) <= set(got.columns)
+    (row,) = got.collect()
+    assert (row._words, row.word, row.p, row.n_base) == ("x", "y", "z", 4)
+
+
 def test_no_python_in_the_plan(docs):
     plan = x.scan(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

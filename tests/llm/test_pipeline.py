@@ -47,6 +47,27 @@ def test_empty_table(docs, spark, tmp_path):
     assert frame.count() == 0
 
 
+def test_long_texts_and_clashing_columns(docs, spark, tmp_path):
+    """Columns named like the operators' own go through, and a text of 100,000 words like any other."""
+    names = ["hash", "node", "keep_id", "text_sha256", "d", "best", "n", "root", "lang_pred2", "item_id", "left", "block", "whole", "_hash", "_id", "_key"]
+    rng = random.Random(3)
+    long = words(rng, 100_000)
+    spark.createDataFrame([(1, words(rng, 25))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = {1: long, 2: long + " ", 3: long + " end", 4: words(rng, 60), 5: words(rng, 60)}
+    frame = docs([(i, t, "en", "s", 1, *[i * 10 + k for k in range(len(names))]) for i, t in texts.items()], "".join(f", {n} long" for n in names))
+    before = frame.columns
+    for name, stage in p.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        frame.write.parquet(str(tmp_path / f"c-{name}"))
+        frame = spark.read.parquet(str(tmp_path / f"c-{name}"))
+        if name != "mix":
+            assert frame.columns == before
+        assert all(r[n] == r.doc_id * 10 + k for r in frame.collect() for k, n in enumerate(names))
+        if name == "benchmark":
+            assert sorted(r.doc_id for r in frame.collect()) == [2, 4, 5]
+    assert set(before) <= set(frame.columns)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
 def test_whole_run(spark):
     out = p.run(spark, DATA)

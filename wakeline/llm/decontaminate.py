@@ -252,7 +252,10 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     and documents without a leak give no row; repeated rows give theirs again.
     Items without a letter or digit are not searched; an item without an id gives
     rows with a null item_id, one for each text. An empty benchmark finds
-    nothing. Further columns are not read.
+    nothing, and an empty table gives no rows. A text counts whole however long
+    it is, PIECE by PIECE with enough of an overlap. Of an item's regions the
+    longest is told, then that with the fewest edits, then the first. Further
+    columns, whatever their names, are not read.
     """
     context = documents.sparkSession.sparkContext
     out = None
@@ -271,7 +274,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, whole and with their own columns, that leak no item."""
+    """The documents, whole and with their own columns (whatever their names), that leak no item; null and empty texts stay."""
     at = documents.columns.index("text")
     for index in indexes(benchmark):
         shared = documents.sparkSession.sparkContext.broadcast(index)

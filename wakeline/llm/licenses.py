@@ -80,8 +80,11 @@ def scan(documents: DataFrame) -> DataFrame:
 
     coverage is the share of the template's words that stand at their place
     around the key phrase; score is the largest, 0 without a place. Null and
-    empty texts have no words and no places. Repeated rows are scanned alike.
-    The other columns stay; those named like a result's column are replaced.
+    empty texts have no words and no places; a text counts whole however long
+    it is. Phrases at one place all count; of equally rare words the earlier is
+    looked up. Repeated rows are scanned alike; an empty table gives no rows.
+    The other columns stay, whatever their names; those named like a result's
+    column are replaced.
     """
     rows = templates()
     postings = index(rarity(documents))
@@ -97,7 +100,10 @@ def scan(documents: DataFrame) -> DataFrame:
         ]
     )
     looked = sorted({p[1] for p in postings})
-    w = F.col("_words")
+    hidden = "_words"
+    while hidden in documents.columns:
+        hidden += "_"
+    w = F.col(hidden)
     size = F.size(w)
 
     def at(place: Column) -> Column:
@@ -116,12 +122,12 @@ def scan(documents: DataFrame) -> DataFrame:
             (h["zero"] + h["p"]["key"]).cast("long").alias("start"), covered(h).alias("coverage"),
         ),
     )
-    out = documents.drop(*own).withColumn("_words", words(F.col("text")))
+    out = documents.drop(*own).withColumn(hidden, words(F.col("text")))
     out = out.withColumn("places", F.when(F.arrays_overlap(w, F.array(*map(F.lit, looked))), found).otherwise(F.array().cast(_PLACES)))
     base = F.filter("places", lambda p: p["base"])
     named = lambda p: F.array_join(F.array_sort(F.array_distinct(F.transform(p, lambda x: x["label"]))), ",")
     return out.select(
-        *[c for c in out.columns if c not in ("_words", "places")],
+        *[c for c in out.columns if c not in (hidden, "places")],
         size.cast("long").alias("n_words"),
         "places",
         F.size(base).cast("long").alias("n_base"),
