@@ -39,6 +39,8 @@ from . import common
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
+#: Rows whose sets are held at once.
+SLICE = 256
 #: Elements of a set that are ranked at once.
 BLOCK = 16384
 #: Pivots of a bucket in each round, before what is left is settled in blocks.
@@ -145,9 +147,16 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows, so that few sets are held at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "node", "bands", "slots", "hash"]
-    for batch in batches:
+    for batch in _slices(batches):
         own = [shingles(text) for text in batch.column(1).to_pylist()]
         signatures = superminhashes(own)
         short = (mix(signatures) >> np.uint64(56)).astype(np.uint8)
@@ -159,7 +168,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         own = [shingles(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "own"])
 
@@ -176,7 +185,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             own, other = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.select([0, 1]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(own, other, strict=True)], pa.bool_()))
 
@@ -321,7 +330,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         own = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
         nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(e) for e in own])))
         yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(own) if own else [], pa.int64())], ["node", "token"])
