@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,7 +32,7 @@ from . import common
 #: Characters that are handled at once; a longer text is cut where stretches meet.
 PIECE = 1 << 20
 #: Stretches that a worker remembers.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 #: Stretches that are merged side by side.
 ROWS = 1 << 14
 #: Longer stretches are merged with a heap, one by one.
@@ -487,6 +488,17 @@ def model(data: bytes) -> Model:
     return Model(data)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about PIECE bytes of a column, or of one row: results are several times as large."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + PIECE, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def encode(documents: DataFrame, data: bytes) -> DataFrame:
     """A row for each document: doc_id, ids, begins, ends; each packed, four bytes a value, little-endian.
 
@@ -503,7 +515,7 @@ def encode(documents: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(shared.value)
-        for batch in batches:
+        for batch in _slices(batches, 1):
             found = own.encode([t or "" for t in batch.column(1).to_pylist()])
             columns = [pa.array([row[i].tobytes() for row in found], pa.binary()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *packed])
@@ -521,7 +533,7 @@ def decode(encoded: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(shared.value)
-        for batch in batches:
+        for batch in _slices(batches, at):
             texts = [None if ids is None else own.decode(np.frombuffer(ids, "<u4")) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
