@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.functions import text
+from wakeline.functions import linediff, text
 from wakeline.operators import evidence, report, validate
 
 
@@ -23,7 +23,7 @@ def test_script_is_shortest_and_right():
     rng = random.Random(1)
     for _ in range(200):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        script = evidence.shortest_script(a, b)
+        script = linediff.script(a, b)
         assert [x for k, x in script if k != "insert"] == a and [x for k, x in script if k != "delete"] == b
         assert sum(k == "equal" for k, _ in script) == lcs(a, b)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import linediff, paths
 
 #: Context lines, characters of an excerpt and of a target, anchors of a target, and the order of anchor kinds.
 CONTEXT, EXCERPT, TARGET, ANCHORS = 3, 1600, 9000, 8
@@ -119,48 +119,6 @@ def related_tests(tree: DataFrame, hints: DataFrame, most: int = 8) -> DataFrame
     return tests.join(F.broadcast(hints.distinct()), F.contains(F.lower("path"), F.col("hint")), "left_semi").orderBy("ord").limit(most)
 
 
-def shortest_script(before: list[str], after: list[str]) -> list[tuple[str, str]]:
-    """A shortest edit script as (kind, line), deletions before insertions, by the greedy furthest-reaching walk."""
-    n, m = len(before), len(after)
-    head = 0
-    while head < min(n, m) and before[head] == after[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and before[n - 1 - tail] == after[m - 1 - tail]:
-        tail += 1
-    a, b = before[head : n - tail], after[head : m - tail]
-    far, trace = {1: 0}, []
-    for d in range(len(a) + len(b) + 1):
-        trace.append(dict(far))
-        done = False
-        for k in range(-d, d + 1, 2):
-            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
-                x += 1
-            far[k] = x
-            if x >= len(a) and x - k >= len(b):
-                done = True
-                break
-        if done:
-            break
-    out: list[tuple[str, str]] = []
-    x, y = len(a), len(b)
-    for d in range(len(trace) - 1, 0, -1):
-        past, k = trace[d], x - y
-        k_before = k + 1 if k == -d or (k != d and past[k - 1] < past[k + 1]) else k - 1
-        x0 = past[k_before]
-        y0 = x0 - k_before
-        while x > x0 and y > y0:
-            x, y = x - 1, y - 1
-            out.append(("equal", a[x]))
-        out.append(("insert", b[y0]) if x == x0 else ("delete", a[x0]))
-        x, y = x0, y0
-    while x:
-        x -= 1
-        out.append(("equal", a[x]))
-    return [("equal", s) for s in before[:head]] + out[::-1] + [("equal", s) for s in (before[n - tail :] if tail else [])]
-
-
 def script_hunks(script: list[tuple[str, str]]) -> list[tuple[int, int, int, int, str, str]]:
     """Before and after line ranges and excerpts of each group of changes with its context."""
     changed = [i for i, (kind, _) in enumerate(script) if kind != "equal"]
@@ -188,7 +146,11 @@ HUNK = "before_start_line int, before_end_line int, after_start_line int, after_
 
 
 def hunks(pairs: DataFrame) -> DataFrame:
-    """The hunks of each pair (path, revision, before, after): path, revision, ord and HUNK's columns."""
+    """The hunks of each pair (path, revision, before, after): path, revision, ord and HUNK's columns.
+
+    Of the shortest scripts that one counts whose every edit, from the last to
+    the first, comes from the diagonal that reached further, a deletion on ties.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "revision", "ord", *[c.split()[0] for c in HUNK.split(", ")]]
@@ -196,7 +158,7 @@ def hunks(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, revision, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                script = shortest_script(before.split("\n") if before else [], after.split("\n") if after else [])
+                script = linediff.script(before.split("\n") if before else [], after.split("\n") if after else [])
                 rows += [(path, revision, i, *h) for i, h in enumerate(script_hunks(script))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 

@@ -68,4 +68,38 @@ SELECT source, kept - 1 AS pos, path, kind, n_chars FROM f WHERE path IS NOT NUL
 WITH w AS (SELECT conv_id, turn, NULL::BIGINT AS doc_id, text AS t FROM conversations UNION ALL SELECT NULL, NULL, doc_id, text FROM documents),
 s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{text.NOUNS}', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM w)
 SELECT conv_id, turn, doc_id, CASE WHEN NOT regexp_matches(t, '{text.MECHANICAL}') AND NOT regexp_matches(x, '{text.BARE_UPDATE}') AND x <> '' THEN x END AS sanitized FROM s""",
+    # the grid of edit distances, row by row; far: the furthest line of each diagonal for each number of edits;
+    # back: from the end, the diagonal that reached further, a deletion on ties
+    "line_diff_hunks": """
+WITH RECURSIVE lines AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text IS NOT NULL),
+pairs AS MATERIALIZED (SELECT f.doc_id::VARCHAR AS path, f.l AS a, g.l AS b FROM lines f JOIN lines g ON g.doc_id = f.doc_id + 1),
+grid AS (
+  SELECT path, 0::BIGINT AS i, j, j AS d FROM pairs, unnest(range(len(b) + 1)) AS u(j)
+  UNION ALL
+  SELECT path, i, j, min(t - j) OVER (PARTITION BY path ORDER BY j) + j AS d FROM (
+    SELECT path, i + 1 AS i, j, CASE WHEN j > 0 AND a[i + 1] = b[j] THEN lag(d) OVER (PARTITION BY path ORDER BY j) ELSE d + 1 END AS t
+    FROM grid JOIN pairs USING (path) WHERE i < len(a))),
+far AS MATERIALIZED (SELECT path, d, i - j AS k, max(i) AS x FROM grid GROUP BY ALL),
+back AS (
+  SELECT path, d, i AS x, j AS y, NULL::BOOLEAN AS ins FROM grid JOIN pairs USING (path) WHERE i = len(a) AND j = len(b)
+  UNION ALL
+  SELECT path, d, CASE WHEN ins THEN above ELSE below END AS x, CASE WHEN ins THEN above - k - 1 ELSE below - k + 1 END AS y, ins FROM (
+    SELECT back.path, back.d - 1 AS d, back.x - back.y AS k, lower.x AS below, upper.x AS above, coalesce(lower.x, -2) < coalesce(upper.x, -2) AS ins
+    FROM back LEFT JOIN far AS lower ON lower.path = back.path AND lower.d = back.d - 1 AND lower.k = back.x - back.y - 1
+    LEFT JOIN far AS upper ON upper.path = back.path AND upper.d = back.d - 1 AND upper.k = back.x - back.y + 1 WHERE back.d > 0)),
+edits AS MATERIALIZED (SELECT path, x, y, ins, (x + y + d) // 2 AS spot FROM back WHERE ins IS NOT NULL),
+befores AS (SELECT path, x, a[x + 1] AS line, x + (SELECT count(*) FROM edits e WHERE e.path = p.path AND e.ins AND e.x <= u.x) AS spot FROM pairs p, unnest(range(len(a))) AS u(x)),
+afters AS (SELECT path, y, b[y + 1] AS line, y + (SELECT count(*) FROM edits e WHERE e.path = p.path AND NOT e.ins AND e.y <= u.y) AS spot FROM pairs p, unnest(range(len(b))) AS u(y)),
+groups AS (
+  SELECT path, g, min(spot) - 3 AS low, max(spot) + 3 AS high FROM (
+    SELECT path, spot, sum(new) OVER (PARTITION BY path ORDER BY spot) AS g FROM (
+      SELECT path, spot, (coalesce(spot - lag(spot) OVER (PARTITION BY path ORDER BY spot), 99) > 7)::INT AS new FROM edits)) GROUP BY ALL),
+hunks AS (
+  SELECT path, g, (SELECT count(*) FROM befores l WHERE l.path = q.path AND l.spot < low) + 1 AS b0, (SELECT count(*) FROM afters l WHERE l.path = q.path AND l.spot < low) + 1 AS a0,
+         coalesce((SELECT string_agg(line, chr(10) ORDER BY x) FROM befores l WHERE l.path = q.path AND l.spot BETWEEN low AND high), '')[1:1600] AS bx,
+         coalesce((SELECT string_agg(line, chr(10) ORDER BY y) FROM afters l WHERE l.path = q.path AND l.spot BETWEEN low AND high), '')[1:1600] AS ax
+  FROM groups q)
+SELECT path, 'head' AS revision, (row_number() OVER (PARTITION BY path ORDER BY g) - 1)::INTEGER AS ord, b0::INTEGER AS before_start_line,
+       (b0 + len(bx) - len(replace(bx, chr(10), '')))::INTEGER AS before_end_line, a0::INTEGER AS after_start_line, (a0 + len(ax) - len(replace(ax, chr(10), '')))::INTEGER AS after_end_line,
+       bx AS before_excerpt, ax AS after_excerpt FROM hunks WHERE bx <> '' OR ax <> ''""",
 }
