@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from conftest import AWKWARD
@@ -29,7 +30,9 @@ def test_alignment_is_the_edit_distance():
         for _ in range(rng.randint(0, 4)):
             b[rng.randrange(len(b))] = rng.choice(["", "x", "yz"])
         b = "".join(b)
-        assert x.align(x.codes(a), x.codes(b), -len(a), len(b)) == distance_in(a, b)
+        wide = np.full((1, 3 * len(a) + len(b)), -1)  # all diagonals
+        wide[0, len(a) : len(a) + len(b)] = x.codes(b)
+        assert x.align(x.codes(a)[None].astype(np.int64), wide)[0] == distance_in(a, b)
 
 
 def brute(doc, items):
@@ -60,6 +63,55 @@ def test_against_brute_force():
         assert {m[0] for m in x.leaks(doc, index)} == brute(doc, items), (trial, doc)
 
 
+def test_windows_inside_longer_stretches():
+    """Regions with more edits than a whole stretch may have, at every place of the items, and items shorter than a window."""
+    rng = random.Random(9)
+    items = [(i, words(rng, n)) for i, n in enumerate((7, 30, 30, 13))]
+    items.append((4, items[1][1][:100] + " " + items[2][1][:100]))
+    index = x.Index.of([(i, x.normalise(t)) for i, t in items])
+    for trial in range(40):
+        text = items[rng.randrange(5)][1]
+        begin = rng.randrange(max(1, len(text) - 60))
+        chars = list(text[begin : begin + rng.randint(60, 170)])
+        for _ in range(rng.randint(0, 9)):
+            chars[rng.randrange(len(chars))] = rng.choice(["", "q", "zz"])
+        doc = words(rng, 4) + "".join(chars) + words(rng, 4)
+        assert {m[0] for m in x.leaks(doc, index)} == brute(doc, items), (trial, doc)
+        assert bool(x.leaks(doc, index, first=True)) == bool(brute(doc, items))
+
+
+def test_shared_and_repeated_lines():
+    """Items that share an instruction, and a document that repeats it: the brute-force result in bounded time."""
+    rng = random.Random(10)
+    line = (words(rng, 30) + " ")[:76]
+    items = [(i, f"{line} {words(rng, 12)}" if i % 2 else f"{words(rng, 12)} {line}") for i in range(250)]
+    index = x.Index.of([(i, x.normalise(t)) for i, t in items])
+    began = time.perf_counter()
+    found = {m[0] for m in x.leaks((line + "\n") * 400, index)}
+    assert time.perf_counter() - began < 5
+    few = random.Random(11).sample(items, 12)
+    assert {i for i, _ in few} & found == brute((line + "\n") * 4, few)
+    part = line[:50]  # too short a piece for a leak
+    assert x.leaks((part + " xyzzy ") * 300, index) == [] and brute(part + " xyzzy " + part, few) == set()
+    copied = items[7][1]
+    doc = (line + "\n") * 30 + copied + "\n" + (line + "\n") * 30
+    best = [m for m in x.leaks(doc, index) if m[0] == 7]
+    norm, item = x.normalise(doc), x.normalise(copied)
+    assert len(best) == 1 and best[0][3:] == (0, len(item), 0) and norm[best[0][1] : best[0][2]].strip() == item
+
+
+def test_hits_in_turns_find_the_same(monkeypatch):
+    rng = random.Random(12)
+    line = words(rng, 14)
+    items = [(i, f"{words(rng, 9)} {line} {words(rng, 9)}") for i in range(20)]
+    doc = " ".join(t for _, t in items[:5]) + line
+    index = x.Index.of([(i, x.normalise(t)) for i, t in items])
+    whole = x.leaks(doc, index)
+    monkeypatch.setattr(x, "HITS", 300)
+    monkeypatch.setattr(x, "CELLS", 500)
+    assert x.leaks(doc, index) == whole and len(whole) == 20
+
+
 def test_pieces_find_the_same(monkeypatch):
     rng = random.Random(6)
     item = words(rng, 20)
@@ -89,7 +141,7 @@ def test_blocks_of_items(docs, spark, monkeypatch):
     items = [(i, words(rng, 20)) for i in range(12)]
     monkeypatch.setattr(x, "BLOCK_CHARS", 400)
     frame = spark.createDataFrame(items, "item_id long, text string")
-    assert len(x.indexes(frame)) > 3
+    assert len(list(x.indexes(frame))) > 3
     got = x.matches(docs([(i, f"{words(rng, 5)} {t}") for i, t in items]), frame).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(12)]
 

@@ -6,7 +6,9 @@ within the edit budget. By the q-gram lemma such a window shares at least
 ``w - q + 1 - k * q`` of its q-grams with the region, all on diagonals that
 differ by at most k. So shared q-grams are counted in overlapping bands of
 diagonals, k + 1 apart and 2 (k + 1) wide; regions that reach the bound in one
-band are retained and verified by an alignment inside that band.
+band are retained and verified by alignments inside that band, many at once.
+Places of a document with the same surroundings are looked at once, so that a
+text which a document repeats costs what it costs the first time.
 
 Items of fewer than SHORTEST characters leak where a document has them whole,
 word for word; these are looked up by their words.
@@ -41,6 +43,8 @@ SHORTEST = 30
 BLOCK_CHARS = 1 << 21
 #: Characters of a document handled at once.
 PIECE = 1 << 20
+#: Shared q-grams of a document, and cells of alignments, handled at once.
+HITS = CELLS = 1 << 20
 _GAP = re.compile(r"[\W_]+")
 MATCHES = "item_id long, doc_start long, doc_end long, item_start long, item_end long, edits int"
 
@@ -88,6 +92,10 @@ class Index:
     least: int
     short: dict[str, list[int | None]]
     counts: dict[str, list[int]]
+    lengths: np.ndarray
+    windows: np.ndarray
+    edits: np.ndarray
+    leasts: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]]) -> Index:
@@ -105,68 +113,113 @@ class Index:
             if 0 < len(t) < SHORTEST:
                 short.setdefault(t, []).append(i)
                 counts.setdefault(t.partition(" ")[0], set()).add(t.count(" ") + 1)
-        least = min((budget(len(c))[2] for _, c in kept), default=1)
-        return cls([i for i, _ in kept], [c for _, c in kept], all_[order], item, place, bits, least, short, {w: sorted(n) for w, n in counts.items()})
-
-
-def align(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> int:
-    """Edits that turn the whole item into some stretch of doc, on the diagonals low..high (doc place minus item place)."""
-    width = high - low + 1
-    steps = np.arange(width)
-    far = len(item) + len(doc) + 1
-    at = low + steps
-    row = np.where((at >= 0) & (at <= len(doc)), 0, far)
-    padded = np.full(len(doc) + 2 * width + len(item) + abs(low) + 2, -1, np.int64)
-    shift = width + abs(low) + 1
-    padded[shift : shift + len(doc)] = doc
-    for i, c in enumerate(item.astype(np.int64)):
-        at = i + low + steps
-        best = row + (padded[shift + i + low : shift + i + low + width] != c)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        best[(at + 1 < 0) | (at + 1 > len(doc))] = far
-        row = np.minimum.accumulate(best - steps) + steps
-        row[(at + 1 < 0) | (at + 1 > len(doc))] = far
-    return int(row.min())
-
-
-def _verify(item: np.ndarray, doc: np.ndarray, places: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int, int, int] | None:
-    """The longest stretch of retained q-grams that an alignment confirms: doc start and end, item start and end, edits.
-
-    places, diagonals: of the band's shared q-grams, by item place, each once.
+        limits = np.array([budget(len(c)) for _, c in kept], np.int64).reshape(-1, 3)
+        lengths = np.array([len(c) for _, c in kept], np.int64)
+        return cls([i for i, _ in kept], [c for _, c in kept], all_[order], item, place, bits, int(limits[:, 2].min(initial=Q * WINDOW)), short, {w: sorted(n) for w, n in counts.items()}, lengths, *limits.T)
+
+
+def align(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each row, the least edits that turn the whole item into a stretch of its doc that starts in the first columns.
+
+    items: characters, a window a row. docs: those of the document, with as many
+    more columns as there are diagonals; what is no character of the document matches
+    nothing, so that an edit there counts like a deletion.
     """
-    window, k, least = budget(len(item))
-    if len(places) < least:
-        return None
-    starts = np.flatnonzero(places[least - 1 :] - places[: len(places) - least + 1] <= window - Q)
-    if not len(starts):
-        return None
-    low, high = int(diagonals.min()) - k - 1, int(diagonals.max()) + k + 1
-
-    def test(a: int, b: int, most: int) -> tuple[int, int, int, int, int] | None:
-        d0, d1 = max(0, a + int(diagonals.min())), min(len(doc), b + int(diagonals.max()))
-        if diagonals.min() == diagonals.max() and d1 - d0 == b - a and np.array_equal(item[a:b], doc[d0:d1]):
-            return d0, d1, a, b, 0
-        base = max(0, a + low)
-        edits = align(item[a:b], doc[base : b + high], low + a - base, high + a - base)
-        return (d0, d1, a, b, edits) if edits <= most else None
-
-    found = None
-    runs = np.split(starts, np.flatnonzero(places[starts[1:]] > places[starts[:-1] + least - 1] + Q) + 1)
-    for run in runs:
-        a, b = int(places[run[0]]), int(places[run[-1] + least - 1]) + Q
-        a, b = (a, b) if b - a >= window else (max(0, min(a, len(item) - window)), max(b, min(len(item), a + window)))
-        got = test(a, b, max(k, int((b - a) * EDITS)))
-        if got is None:  # a window of the stretch may do where the whole doesn't
-            for s in places[run]:
-                s = int(s)
-                for a in (s, s - k, s + Q - window):
-                    a = max(0, min(a, len(item) - window))
-                    got = got or test(a, a + window, k)
-        if got and (found is None or got[3] - got[2] > found[3] - found[2]):
-            found = got
+    width = docs.shape[1] - items.shape[1]
+    steps = np.arange(width, dtype=np.int32)
+    row = np.zeros((len(items), width), np.int32)
+    for i in range(items.shape[1]):
+        best = row + (docs[:, i : i + width] != items[:, i, None])
+        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+    return row.min(axis=1)
+
+
+@dataclass
+class Run:
+    """A stretch of an item that may stand in the document near the diagonals of a band."""
+
+    item: int
+    start: int
+    end: int
+    low: int
+    first: int
+    last: int
+    diagonals: tuple[int, int]
+
+    @property
+    def length(self) -> int:
+        return self.end - self.start
+
+
+def _runs(hit_items: np.ndarray, places: np.ndarray, diagonals: np.ndarray, index: Index) -> list[Run]:
+    """The stretches of items with enough shared q-grams in a window and band; first and last: the windows' possible starts."""
+    step = index.edits[hit_items] + 1
+    bands = np.floor_divide(diagonals, step)
+    item, place, band, diagonal = (np.concatenate(x) for x in ((hit_items, hit_items), (places, places), (bands, bands - 1), (diagonals, diagonals)))
+    order = np.lexsort((diagonal, place, band, item))
+    item, place, band, diagonal = item[order], place[order], band[order], diagonal[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (place[1:] != place[:-1])
+    item, place, band, diagonal = item[new], place[new], band[new], diagonal[new]
+    window, least = index.windows[item], index.leasts[item]
+    at = np.arange(len(item))
+    far = np.minimum(at + least - 1, len(item) - 1)
+    good = np.flatnonzero((at + least <= len(item)) & (item[far] == item) & (band[far] == band) & (place[far] - place <= window - Q))
+    if not len(good):
+        return []
+    apart = (item[good[1:]] != item[good[:-1]]) | (band[good[1:]] != band[good[:-1]]) | (place[good[1:]] > place[far[good[:-1]]] + Q)
+    cuts = np.flatnonzero(apart) + 1
+    out = []
+    for first, last in zip(good[np.concatenate([[0], cuts])].tolist(), good[np.concatenate([cuts - 1, [len(good) - 1]])].tolist(), strict=True):
+        i = int(item[first])
+        size, w, own = int(index.lengths[i]), int(window[first]), diagonal[first : far[last] + 1]
+        a, b = int(place[first]), int(place[far[last]]) + Q
+        if b - a < w:
+            a, b = max(0, min(a, size - w)), max(b, min(size, a + w))
+        begin = max(0, int(place[far[first]]) + Q - w)
+        out.append(Run(i, a, b, int(band[first]) * (int(index.edits[i]) + 1), min(begin, size - w), max(0, min(int(place[last]), size - w)), (int(own.min()), int(own.max()))))
+    return out
+
+
+def _verified(runs: list[Run], doc: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int] | None]:
+    """Of each run (doc start and end, item start and end, edits): the whole stretch, else its window with the fewest edits, else None."""
+    found: list[tuple[int, int, int, int, int] | None] = [None] * len(runs)
+    todo: list[tuple[int, int, int, int]] = []  # run, item start and end, edits allowed
+    for n, run in enumerate(runs):
+        todo.append((n, run.start, run.end, max(int(index.edits[run.item]), int(run.length * EDITS))))
+    for n, a, b, _, edits in _aligned_ranges(todo, runs, doc, index):
+        found[n] = (*_place(runs[n], a, b, doc), a, b, edits)
+    todo = [(n, a, a + int(index.windows[run.item]), int(index.edits[run.item])) for n, run in enumerate(runs) if found[n] is None for a in range(run.first, run.last + 1)]
+    for n, a, b, _, edits in _aligned_ranges(todo, runs, doc, index):
+        if found[n] is None or (edits, a) < (found[n][4], found[n][2]):
+            found[n] = (*_place(runs[n], a, b, doc), a, b, edits)
     return found
 
 
+def _place(run: Run, a: int, b: int, doc: np.ndarray) -> tuple[int, int]:
+    """Where a stretch of the item stands in the document, as far as the run's diagonals tell."""
+    return max(0, min(a + run.diagonals[0], len(doc))), max(0, min(b + run.diagonals[1], len(doc)))
+
+
+def _aligned_ranges(todo: list[tuple[int, int, int, int]], runs: list[Run], doc: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """Those of the ranges (run, item start and end, edits allowed) that align with no more edits, with their edits; ranges of a length together."""
+    kinds: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for row in todo:
+        kinds.setdefault((row[2] - row[1], int(index.edits[runs[row[0]].item])), []).append(row)
+    for (length, k), rows in kinds.items():
+        width = 4 * (k + 1)
+        some = max(1, CELLS // (length + width))
+        for part in (rows[i : i + some] for i in range(0, len(rows), some)):
+            items = np.stack([index.items[runs[n].item][a:b] for n, a, b, _ in part]).astype(np.int64)
+            start = np.array([a + runs[n].low - k - 1 for n, a, _, _ in part])
+            at = start[:, None] + np.arange(length + width)
+            docs = np.where((at >= 0) & (at < len(doc)), doc[np.clip(at, 0, len(doc) - 1)].astype(np.int64), -1)
+            for row, edits in zip(part, align(items, docs).tolist(), strict=True):
+                if edits <= row[3]:
+                    yield (*row, edits)
+
+
 def _quoted(text: str, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
     """The short items that a normalised text holds word for word, each at its first place."""
     first: dict[str, int] = {}
@@ -180,69 +233,110 @@ def _quoted(text: str, index: Index) -> list[tuple[int | None, int, int, int, in
     return [(i, at, at + len(t), 0, len(t), 0) for t, at in first.items() for i in index.short[t]]
 
 
-def leaks(text: str | None, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
-    """The leaked items of a text, each with its longest confirmed region (offsets in the normalised texts)."""
+def leaks(text: str | None, index: Index, first: bool = False) -> list[tuple[int | None, int, int, int, int, int]]:
+    """The leaked items of a text, each with its longest confirmed region (offsets in the normalised texts); with first, one of them is enough."""
     text = normalise(text)
     found = _quoted(text, index) if index.short else []
-    if len(index.hashes):
-        found += _aligned(codes(text), index)
+    if len(index.hashes) and not (first and found):
+        found += _aligned(codes(text), index, first)
     return sorted(found, key=lambda m: (m[0] is None, m[0] or 0, m[1:]))
 
 
-def _aligned(whole: np.ndarray, index: Index) -> list[tuple[int | None, int, int, int, int, int]]:
+def _dense(places: np.ndarray, least: int, span: int) -> np.ndarray:
+    """Those of the ascending places that have least - 1 others within the span."""
+    if len(places) < least:
+        return places[:0]
+    first = np.flatnonzero(places[least - 1 :] - places[: len(places) - least + 1] <= span)
+    mark = np.zeros(len(places) + 1, np.int64)
+    np.add.at(mark, first, 1)
+    np.add.at(mark, first + least, -1)
+    return places[np.cumsum(mark)[:-1] > 0]
+
+
+def _once(doc: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first of the places whose surroundings are the same.
+
+    Surroundings reach over any window that holds the place. So of a text that occurs
+    again and again, all places of its first occurrence stay, and whether a window
+    of an item stands in the document doesn't depend on the others.
+    """
+    around = WINDOW + int(WINDOW * EDITS) + Q
+    padded = np.concatenate([np.zeros(around, np.uint64), doc.astype(np.uint64) + np.uint64(1), np.zeros(around + Q, np.uint64)])
+    hashed = np.zeros(len(places), np.uint64)
+    for i in range(2 * around + Q):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + padded[places + i]
+        hashed ^= hashed >> np.uint64(31)
+    return places[np.sort(np.unique(hashed, return_index=True)[1])]
+
+
+def _aligned(whole: np.ndarray, index: Index, any_: bool) -> list[tuple[int | None, int, int, int, int, int]]:
     """The leaked items of SHORTEST characters and more."""
-    over = 2 * max(map(len, index.items)) + 2 * Q
+    over = 2 * int(index.lengths.max()) + 2 * Q
     best: dict[int, tuple] = {}
+    span = WINDOW + int(WINDOW * EDITS)
     for begin in range(0, max(1, len(whole) - over), PIECE):
         doc = whole[begin : begin + PIECE + over]
         hashed = grams(doc)
-        maybe = np.flatnonzero(index.filter[hashed >> np.uint64(44)])
-        span = WINDOW + int(WINDOW * EDITS)
-        if len(maybe) < index.least or not np.any(maybe[index.least - 1 :] - maybe[: len(maybe) - index.least + 1] <= span):
+        maybe = _dense(np.flatnonzero(index.filter[hashed >> np.uint64(44)]), index.least, span)
+        left, right = np.searchsorted(index.hashes, hashed[maybe]), np.searchsorted(index.hashes, hashed[maybe], "right")
+        maybe = _dense(maybe[left < right], index.least, span)
+        if not len(maybe):
             continue
-        near = np.zeros(len(maybe), bool)  # only places with enough others in reach
-        first = np.flatnonzero(maybe[index.least - 1 :] - maybe[: len(maybe) - index.least + 1] <= span)
-        mark = np.zeros(len(maybe) + 1, np.int64)
-        np.add.at(mark, first, 1)
-        np.add.at(mark, first + index.least, -1)
-        near = np.cumsum(mark)[:-1] > 0
-        maybe = maybe[near]
+        maybe = _once(doc, maybe)
         left, right = np.searchsorted(index.hashes, hashed[maybe]), np.searchsorted(index.hashes, hashed[maybe], "right")
-        n = right - left
-        posting = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(maybe, n)
-        item, place = index.item[posting], index.place[posting]
-        diagonal = at - place
-        for i in np.unique(item):
-            own = item == i
-            places, diagonals = place[own], diagonal[own]
-            step = budget(len(index.items[i]))[1] + 1
-            if len(places) < budget(len(index.items[i]))[2]:
-                continue
-            bands = np.floor_divide(diagonals, step)
-            for band in np.unique(np.concatenate([bands, bands - 1])):
-                inside = (bands == band) | (bands == band + 1)
-                p, first = np.unique(places[inside], return_index=True)
-                got = _verify(index.items[i], doc, p, diagonals[inside][first])
-                if got is not None:
-                    row = (index.ids[i], got[0] + begin, got[1] + begin, got[2], got[3], got[4])
-                    if i not in best or (row[4] - row[3], -row[5], -row[1]) > (best[i][4] - best[i][3], -best[i][5], -best[i][1]):
-                        best[i] = row
+        parts = max(1, -(-int((right - left).sum()) // HITS))  # items in turns, so that shared q-grams of many take bounded memory
+        for part in range(parts):
+            runs = _runs(*_hits(maybe, left, right, index, part, parts), index)
+            for run in _confirmed(runs, doc, index):
+                i = run[0]
+                row = (index.ids[i], run[1] + begin, run[2] + begin, *run[3:])
+                if i not in best or (row[4] - row[3], -row[5], -row[1]) > (best[i][4] - best[i][3], -best[i][5], -best[i][1]):
+                    best[i] = row
+                if any_:
+                    return [row]
     return list(best.values())
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """An index for each block of items; a block has at most BLOCK_CHARS characters, or one item."""
+def _hits(maybe: np.ndarray, left: np.ndarray, right: np.ndarray, index: Index, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, place in the item and diagonal of each shared q-gram, for every parts-th item."""
+    out = []
+    n = right - left
+    rows = np.concatenate([[0], np.cumsum(n)])
+    cuts = np.unique(np.concatenate([np.searchsorted(rows, np.arange(0, rows[-1], HITS)), [len(n)]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        posting = np.repeat(left[a:b] - (rows[a:b] - rows[a]), n[a:b]) + np.arange(rows[b] - rows[a])
+        own = index.item[posting] % parts == part
+        posting = posting[own]
+        out.append((index.item[posting], index.place[posting], np.repeat(maybe[a:b], n[a:b])[own] - index.place[posting]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _confirmed(runs: list[Run], doc: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The confirmed region of each item: its longest run first, all items' next ones together, until none could be longer."""
+    waiting: dict[int, list[Run]] = {}
+    for run in sorted(runs, key=lambda r: (r.length, -r.start - r.low)):
+        waiting.setdefault(run.item, []).append(run)
+    done: dict[int, int] = {}
+    while waiting:
+        turn = [own.pop() for own in waiting.values()]
+        for run, got in zip(turn, _verified(turn, doc, index), strict=True):
+            if got is not None:
+                done[run.item] = max(done.get(run.item, 0), got[3] - got[2])
+                yield (run.item, *got)
+        waiting = {i: own for i, own in waiting.items() if own and own[-1].length > done.get(i, 0)}
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """An index for each block of items, one at a time; a block has about BLOCK_CHARS characters, or one item."""
     rows = benchmark.filter("text is not null").select("item_id", "text")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-2 * total // BLOCK_CHARS)) if total > BLOCK_CHARS else 1
-    out, nameless = [], set()
+    nameless: set[tuple[None, str]] = set()
     for part in range(parts):
         mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(parts)) == part)
         items = {(r.item_id, normalise(r.text)) for r in mine.collect()} - nameless
         nameless |= {x for x in items if x[0] is None}  # equal ones may come in several blocks
-        out.append(Index.of(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
-    return out
+        yield Index.of(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -281,7 +375,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not leaks(t, shared.value) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not leaks(t, shared.value, first=True) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents
