@@ -173,3 +173,10 @@ def test_clashing_columns_stay(docs, spark):
     kept = x.keep_clean(frame, bench)
     assert kept.columns == frame.columns and sorted((r.doc_id, r.item_id, r.edits) for r in kept.collect()) == [(2, 6, "b"), (3, 7, "c")]
     assert [(r.doc_id, r.item_id) for r in x.matches(frame, bench).collect()] == [(1, 7)]
+
+
+def test_columns_of_any_name_stay(docs, spark):
+    bench = spark.createDataFrame([(7, "an item of some length that stands in the benchmark and in a document")], "item_id long, text string")
+    frame = docs([(1, "clean", "en", "s", 1, 5, 6)], ", `a.b` long, `c``d` long")
+    kept = x.keep_clean(frame, bench)
+    assert kept.columns == frame.columns and (kept.first()["a.b"], kept.first()["c`d"]) == (5, 6)

@@ -90,3 +90,9 @@ def test_awkward_rows(docs, spark):
     assert x.identify(docs([])).count() == 0
     frame = docs([(1, "abc", "en", "s", 3, "x")], ", score string")
     assert x.identify(frame).columns.count("score") == 1
+
+
+def test_columns_of_any_name_stay(docs):
+    frame = docs([(i, t, "en", "s", 1, 1, 2) for i, t in enumerate(["some text here", None, "..."])], ", `a.b` long, `c``d` long")
+    kept = x.keep_identified(frame)
+    assert kept.columns == frame.columns and [(r.doc_id, r["a.b"], r["c`d"]) for r in kept.collect()] == [(0, 1, 2)]

@@ -70,3 +70,9 @@ def test_rare_words_come_from_the_key_phrase():
     frequency = {w: i for i, w in enumerate(sorted({w for t in x.templates() for w in t[3]}))}
     for (i, word, at, other, far), (_, _, _, text, start, n) in zip(x.index(frequency), x.templates(), strict=True):
         assert text[at] == word and text[far] == other and start <= min(at, far) and max(at, far) < start + n
+
+
+def test_columns_of_any_name_stay(docs):
+    frame = docs([(1, "all rights reserved", "en", "s", 1, 7, 8)], ", `a.b` long, `c``d` long")
+    got = x.scan(frame).first()
+    assert (got["a.b"], got["c`d"], got.base_labels) == (7, 8, "reserved")

@@ -110,3 +110,13 @@ def test_mixture_is_laid_out_by_shard(docs):
     assert all([tuple(r) for r in p] == sorted(tuple(r) for r in p) for p in parts)
     where = [s for p in parts for s in {r.shard for r in p}]
     assert sorted(where) == list(range(4))  # no shard is spread over tasks
+
+
+def test_more_blocks_than_are_drawn_at_once(monkeypatch):
+    quotas = np.full(250_000, 4096)
+    got = x.split_quotas(quotas, 2)
+    assert (got.sum(0) == quotas).all() and abs(int(got[0].sum()) - int(got[1].sum())) <= 1
+    small = np.random.default_rng(1).integers(0, 40, 300)
+    monkeypatch.setattr(x, "DRAWN", 500)
+    got = x.split_quotas(small, 7)
+    assert (got.sum(0) == small).all() and got.min() >= 0 and got.sum(1).max() - got.sum(1).min() <= 7

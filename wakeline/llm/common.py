@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def named(frame: DataFrame, *but: str) -> list[Column]:
+    """The columns of a table as they are, whatever their names, without those told."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns if c not in but]
+
+
 def id_text(column: Column) -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -369,7 +369,8 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, whole and with their own columns (whatever their names), that leak no item; null and empty texts stay."""
-    at = documents.columns.index("text")
+    at, names = documents.columns.index("text"), documents.columns
+    documents = documents.toDF(*[f"c{i}" for i in range(len(names))])  # Python functions don't take every name
     for index in indexes(benchmark):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -378,7 +379,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not leaks(t, shared.value, first=True) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    return documents.toDF(*names)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,16 +140,18 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
     rows are judged alike; an empty table gives no rows.
     Columns of the input named lang_pred or score are replaced; all others stay.
     """
-    held = documents.drop("lang_pred", "score")
+    rows = documents.select(*common.named(documents, "lang_pred", "score"))
+    held = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])  # Python functions don't take every name
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    at = held.columns.index("text")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, sure = score(batch.column(at).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return held.mapInArrow(run, StructType([*held.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    out = held.mapInArrow(run, StructType([*held.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return out.toDF(*rows.columns, "lang_pred", "score")
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -158,8 +160,8 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with their own columns, whose language could be told with at least this probability."""
-    return identify(documents).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*documents.columns)
+    """The documents, with their own columns (whatever their names), whose language could be told with at least this probability."""
+    return identify(documents).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*common.named(documents))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def scan(documents: DataFrame) -> DataFrame:
     base = F.filter("places", lambda p: p["base"])
     named = lambda p: F.array_join(F.array_sort(F.array_distinct(F.transform(p, lambda x: x["label"]))), ",")
     return out.select(
-        *[c for c in out.columns if c not in (hidden, "places")],
+        *common.named(out, hidden, "places"),
         size.cast("long").alias("n_words"),
         "places",
         F.size(base).cast("long").alias("n_base"),

@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Hex digits of the digest that name the block: 16 ** 3 blocks per source.
 BLOCK_DIGITS = 3
+#: Blocks that NumPy draws from at once; its own limit is 10 ** 9.
+DRAWN = 500_000_000
 #: Output shards.
 SHARDS = 64
 #: Rows of sources, or of drawn blocks, up to which they are broadcast; beyond, they meet the documents in a shuffle.
@@ -59,7 +61,9 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: str = SEED) -> np.ndarra
     """Blocks of each source by shard, shape (shards, sources): a tree of multivariate hypergeometric halvings.
 
     Each node draws from a generator seeded by its own place in the tree, so
-    reruns agree and any subtree can be drawn alone.
+    reruns agree and any subtree can be drawn alone. NumPy draws from at most
+    DRAWN blocks at once: of more, sources in order are taken together up to as
+    many, and each such stratum gives its share.
     """
     if shards == 1:
         return quotas[None, :]
@@ -72,8 +76,16 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: str = SEED) -> np.ndarra
             continue
         middle = (low + high) // 2
         place = int.from_bytes(hashlib.sha256(f"{seed}:{low}:{high}".encode()).digest()[:8], "big")
-        n = int(q.sum()) * (middle - low) // (high - low)
-        first = np.random.default_rng(place).multivariate_hypergeometric(q, n, method="marginals") if len(q) else q
+        rng = np.random.default_rng(place)
+        total = np.cumsum(q)
+        cuts = np.searchsorted(total, np.arange(DRAWN, total[-1], DRAWN)) if len(q) else []
+        first, before, taken = [], 0, 0
+        for stratum in np.split(q, cuts):
+            before += int(stratum.sum())
+            n = before * (middle - low) // (high - low) - taken
+            taken += n
+            first.append(rng.multivariate_hypergeometric(stratum, n, method="marginals") if len(stratum) else stratum)
+        first = np.concatenate(first)
         stack += [(low, middle, first), (middle, high, q - first)]
     return out
 
