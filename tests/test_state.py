@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,57 @@ def test_comment_sink():
 def test_icu_order(spark):
     rows = spark.createDataFrame([(w,) for w in ("b", "B", "a", "Z", "ä")], "w string")
     assert [r.w for r in rows.orderBy(keys.icu(F.col("w"))).collect()] == ["a", "ä", "b", "B", "Z"]
+
+
+def test_streamed_claims_follow_the_batch(spark, tmp_path):
+    """Random events of three types: each claim takes what the batch query claims of the jobs as they are then."""
+    shape = "job_type string, seq long, event string, id long, at_ms long, token string, kind string"
+    rng = random.Random(5)
+    jobs, events, want = {}, [], []
+    for seq in range(240):
+        kind, at = rng.choice("abc"), seq * 7000
+        event = rng.choice(["enqueue", "enqueue", "claim", "claim", "complete", "fail", "tick"])
+        running = sorted(i for i, j in jobs.items() if j["type"] == kind and j["status"] == "running")
+        own = rng.choice(running) if running else 10_000
+        if event == "enqueue":
+            own = rng.randrange(900)
+            if own in jobs:
+                continue
+            jobs[own] = {"type": kind, "status": "pending", "attempts": 0, "at": at}
+        elif event == "claim":
+            due = [i for i, j in jobs.items() if j["type"] == kind and j["status"] == "pending" and j["at"] <= at]
+            own = min(due) if due else None
+            if due:
+                jobs[own] |= {"status": "running", "attempts": jobs[own]["attempts"] + 1, "token": f"t{seq}", "lease": at + 600_000}
+        elif own in jobs and (event != "tick" or jobs[own]["lease"] < at):
+            j = jobs[own]
+            if event == "complete":
+                j["status"] = "completed"
+            elif j["attempts"] < 3:
+                j |= {"status": "pending", "at": at + (30_000 if j["attempts"] <= 1 else 120_000)}
+            else:
+                j["status"] = "failed"
+        events.append((kind, seq, event, None if event == "claim" else own, at, f"t{seq}" if event == "claim" else jobs.get(own, {}).get("token"), "timeout" if event == "fail" else None))
+        want.append((seq, own, jobs[own]["status"] if own in jobs else None))
+    out = []
+    for i in range(2):
+        part = events[: len(events) // 2] if i == 0 else events[len(events) // 2 :]
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = queue.claimed(spark.readStream.schema(shape).parquet(str(tmp_path / "in")))
+        stream.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.seq, r.id, r.status) for r in out) == want
+
+
+def test_a_batch_reads_its_own_keys_only(spark, tmp_path):
+    """The first row by ordinal wins, across batches and restarts, and the ledger's files are never read."""
+    shape = "idempotency_key string, at long"
+    for i, rows in enumerate([[("a", 3), ("a", 2), ("b", 9)], [("a", 1), ("c", 4), ("c", 5)]]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.once_streamed(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), "at")
+        sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "ledger")).option("checkpointLocation", str(tmp_path / "cp"))
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        if i == 0:
+            for f in (tmp_path / "ledger").glob("*.parquet"):
+                assert f.rename(tmp_path / f.name)  # out of reach
+    assert sorted((r.idempotency_key, r.at) for r in spark.read.parquet(str(tmp_path / "*.parquet")).collect()) == [("a", 2), ("b", 9)]
+    assert [tuple(r) for r in spark.read.parquet(*[str(f) for f in (tmp_path / "ledger").glob("*.parquet")]).collect()] == [("c", 4)]

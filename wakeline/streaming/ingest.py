@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import keys, paths
 
 #: Pull-request actions that start an analysis.
 ANALYZED_ACTIONS = ("opened", "synchronize", "reopened")
+#: The state store that keeps keys on disk.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def once(batch: DataFrame, ledger: DataFrame, ordinal: str, key: str = "idempotency_key") -> DataFrame:
     """The first row of each key of the batch that the ledger doesn't have.
 
-    Keys are never forgotten, as a watermark would; the ledger is met by an
-    anti-join, so nothing is kept in streaming state.
+    Keys are never forgotten, as a watermark would; the ledger is met by an anti-join.
     """
     rest = [c for c in batch.columns if c != key]
     fresh = batch.join(ledger.select(key).distinct(), key, "left_anti")
@@ -78,20 +81,37 @@ def reconcile(branches: DataFrame, now, reason: str | Column) -> DataFrame:
     return branches.select("repo_id", "branch", "sha", F.lit("branch.reconcile").alias("job_type"), digest.alias("idempotency_key"), keys.json_digest(*payload).alias("payload_sha256"))
 
 
-def start(deliveries: DataFrame, configs: DataFrame, ledger: str, checkpoint: str, **trigger):
-    """T1 as a stream: each micro-batch is routed, met with the ledger table, and appended once."""
+class First(StatefulProcessor):
+    """Lets the first row of a key through, once and for all: a key's state is a mark that it was seen."""
+
+    def __init__(self, ordinal: str):
+        self.ordinal = ordinal
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda r: r[self.ordinal])
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield first
 
-    def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        jobs = route(rows, configs)
-        try:
-            seen = spark.read.schema("idempotency_key string").parquet(ledger)
-        except Exception as error:  # the ledger's folder comes with its first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            seen = spark.createDataFrame([], "idempotency_key string")
-        once(jobs, seen, "delivery_id").write.mode("append").parquet(ledger)
+    def close(self) -> None:
+        pass
 
-    return deliveries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+def once_streamed(rows: DataFrame, ordinal: str, key: str = "idempotency_key") -> DataFrame:
+    """T1, T2 as a stream: the first row of each key, by ``ordinal`` within its batch.
 
+    Keys live in the state store, never forgotten: a batch looks up its own keys
+    only, however many went before. The store is RocksDB, which keeps them on
+    disk and writes what changed.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(key).transformWithState(First(ordinal), rows.schema, "append", "none")
+
+
+def start(deliveries: DataFrame, configs: DataFrame, ledger: str, checkpoint: str, **trigger):
+    """T1 as a stream: deliveries are routed, and each key's first job is appended to the ledger's folder once, whatever restarts."""
+    jobs = once_streamed(route(deliveries, configs), "delivery_id")
+    return jobs.writeStream.format("parquet").option("path", ledger).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import classify
 
 JOB = "status string, attempts int, available_ms long, token string, lease_ms long, error string"
+CLAIMED = "id long, event string, status string, attempts int, available_ms long, token string, outcome string, seq long"
+#: Ids of a block of pending jobs.
+BLOCK = 256
 OUTPUT = "id long, event string, status string, attempts int, available_ms long, token string, outcome string"
 
 
@@ -81,6 +85,89 @@ def jobs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").applyInPandasWithState(_apply, OUTPUT, JOB, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class Claims(StatefulProcessor):
+    """T3, O6 on a stream: the jobs of a type; a claim takes the due one with the lowest id.
+
+    Pending jobs lie in blocks of BLOCK ids, each an entry of a map: a claim
+    looks through the blocks in order, and stops at the first due job; other events
+    read and write one block. ``blocks`` lists those that hold jobs.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pending = handle.getMapState("pending", "block long", "jobs array<struct<id: long, available_ms: long, attempts: int>>")
+        self.blocks = handle.getValueState("blocks", "blocks array<long>")
+        self.running = handle.getMapState("running", "id long", JOB)
+        self.known = handle.getMapState("known", "id long", "known boolean")
+
+    def close(self) -> None:
+        pass
+
+    def _put(self, id_: int, available: int, attempts: int) -> None:
+        block = id_ // BLOCK
+        held = [tuple(j) for j in self.pending.getValue((block,))[0]] if self.pending.containsKey((block,)) else []
+        self.pending.updateValue((block,), (sorted([*held, (id_, available, attempts)]),))
+        blocks = list(self.blocks.get()[0]) if self.blocks.exists() else []
+        if block not in blocks:
+            self.blocks.update((sorted([*blocks, block]),))
+
+    def _take(self, at: int) -> tuple[int, int, int] | None:
+        blocks = list(self.blocks.get()[0]) if self.blocks.exists() else []
+        for block in blocks:
+            held = [tuple(j) for j in self.pending.getValue((block,))[0]]
+            due = next((j for j in held if j[1] <= at), None)
+            if due is None:
+                continue
+            held.remove(due)
+            if held:
+                self.pending.updateValue((block,), (held,))
+            else:
+                self.pending.removeKey((block,))
+                self.blocks.update(([b for b in blocks if b != block],))
+            return due
+        return None
+
+    def _one(self, e: Row) -> tuple[int | None, tuple, str]:
+        if e.event == "enqueue":
+            if self.known.containsKey((e.id,)):
+                return e.id, (None,) * 4, "known"
+            self.known.updateValue((e.id,), (True,))
+            self._put(e.id, e.at_ms, 0)
+            return e.id, ("pending", 0, e.at_ms, None), "ok"
+        if e.event == "claim":
+            due = self._take(e.at_ms)
+            if due is None:
+                return None, (None,) * 4, "nothing due"
+            job, outcome = step(("pending", due[2], due[1], None, None, None), "claim", e.at_ms, e.token, None)
+            self.running.updateValue((due[0],), job)
+            return due[0], job[:4], outcome
+        if not self.running.containsKey((e.id,)):
+            return e.id, (None,) * 4, "lost lease"
+        job, outcome = step(tuple(self.running.getValue((e.id,))), e.event, e.at_ms, e.token, e.kind)
+        if job[0] == "running":
+            return e.id, job[:4], outcome
+        self.running.removeKey((e.id,))
+        if job[0] == "pending":
+            self._put(e.id, job[2], job[1])
+        return e.id, job[:4], outcome
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for e in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
+            id_, job, outcome = self._one(e)
+            yield Row(id=id_, event=e.event, status=job[0], attempts=job[1], available_ms=job[2], token=job[3], outcome=outcome, seq=e.seq)
+
+
+def claimed(events: DataFrame) -> DataFrame:
+    """The outcome of each event of a stream (job_type, seq, event, id, at_ms, token, kind): enqueue, claim (without an id), tick, complete, fail.
+
+    A type's events follow one another, as claims of its lowest due job must.
+    The end of a lease is a ``tick`` of the job, which its worker's caller sends.
+    """
+    from .ingest import ROCKSDB
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.groupBy("job_type").transformWithState(Claims(), CLAIMED, "append", "none")
+
+
 def latest(requests: DataFrame) -> DataFrame:
     """T7 as a stream: the desired state of each pointer, the latest request by version winning."""
     from pyspark.sql import functions as F
