@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +264,65 @@ def test_a_batch_reads_its_own_keys_only(spark, tmp_path):
                 assert f.rename(tmp_path / f.name)  # out of reach
     assert sorted((r.idempotency_key, r.at) for r in spark.read.parquet(str(tmp_path / "*.parquet")).collect()) == [("a", 2), ("b", 9)]
     assert [tuple(r) for r in spark.read.parquet(*[str(f) for f in (tmp_path / "ledger").glob("*.parquet")]).collect()] == [("c", 4)]
+
+
+def test_an_index_saves_opening(spark, tmp_path):
+    """With an index a tree opens nothing, and a source scan nothing but what it wants."""
+    rows = [("a.ts", "1"), ("lib/b.ts", "2"), ("big.bin", "x"), ("package.json", "{}"), ("doc.md", "d")]
+    root = str(tmp_path)
+    assert repository.write(spark.createDataFrame(rows, "path string, content string"), root, "s1") == 5
+    hashed = {tuple(r) for r in repository.tree(spark, root, "s1").collect()}
+    (tmp_path / "s1" / "big.bin").write_bytes(b"\xff\xfe")
+    names = {r.path for r in repository.source(spark, root, "s1").collect()}  # without an index, too, no other file is read
+    assert names == {"a.ts", "lib/b.ts", "package.json"}
+    (tmp_path / "s1" / "big.bin").write_text("x")
+    repository.publish(spark, root, "s1")
+    for gone in ("big.bin", "doc.md"):
+        (tmp_path / "s1" / gone).unlink()
+    assert {tuple(r) for r in repository.tree(spark, root, "s1").collect()} == hashed
+    assert {(r.path, r.content) for r in repository.source(spark, root, "s1").collect()} == {("a.ts", "1"), ("lib/b.ts", "2"), ("package.json", "{}")}
+    assert repository.tree(spark, root, "s1").select("path")._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<path:string>") == 1
+    with pytest.raises(ValueError, match="published already"):
+        repository.publish(spark, root, "s1")
+    (tmp_path / "s1" / "a.ts").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="a.ts is not UTF-8"):
+        repository.source(spark, root, "s1").collect()
+
+
+def test_publications_as_a_stream(spark, tmp_path):
+    root, seen = str(tmp_path / "root"), []
+
+    def run():
+        stream = repository.stream(spark, root).writeStream.foreachBatch(lambda rows, _: seen.extend((r.sha, r.path, r.content) for r in rows.collect()))
+        stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    for sha in ("s2", "s1"):
+        repository.write(spark.createDataFrame([("a.ts", sha), ("b.ts", "same")], "path string, content string"), root, sha)
+        repository.publish(spark, root, sha)
+        (tmp_path / "root" / "loose").mkdir(exist_ok=True)  # a folder that isn't published
+        (tmp_path / "root" / "loose" / "a.ts").write_text("no")
+        run()
+        run()
+    assert seen == [("s2", "a.ts", "s2"), ("s2", "b.ts", "same"), ("s1", "a.ts", "s1"), ("s1", "b.ts", "same")]
+
+
+def test_two_writers_and_lost_hints(spark, tmp_path):
+    root = str(tmp_path)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda i: snapshots._note(spark, root, 1, "main", f"s{i}", "building"), range(8)))
+    steps = snapshots.pointers(spark, root).collect()
+    assert sorted(r.version for r in steps) == list(range(1, 9)) and {r.commit_sha for r in steps} == {f"s{i}" for i in range(8)}
+    snapshots.publish(small_graph(spark), root, 1, "main", "s9")
+    snapshots.fail(spark, root, 1, "main", "s10")
+    hint = next(tmp_path.glob("pointers/*/hint"))
+    for text in ("", "{\"version\": 3}", "{\"version\": 99}"):
+        hint.write_text(text)
+        for crc in tmp_path.glob("pointers/*/.hint.crc"):
+            crc.unlink()
+        last = snapshots.pointer(spark, root, 1, "main")
+        assert (last["version"], last["status"], last["ready_sha"], last["ready_version"]) == (10, "failed", "s9", 9)
+        assert snapshots.load(spark, root, 1, "main").files.count() == 2
+    (hint.parent / "000000000011.json").write_text("")  # a writer that died
+    assert snapshots.pointer(spark, root, 1, "main")["ready_sha"] == "s9"
+    snapshots._note(spark, root, 1, "main", "s11", "building")
+    assert snapshots.pointer(spark, root, 1, "main")["version"] == 12 and snapshots.load(spark, root, 1, "main") is not None

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cycles, documents, facts, reachability, state, trees
+from . import cycles, documents, facts, reachability, state, stores, trees
 
-MODULES = [reachability, cycles, facts, state, documents, trees]
+MODULES = [reachability, cycles, facts, state, documents, trees, stores]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -2,9 +2,11 @@
 
 The format ``repository`` lists a directory of snapshots, ``<root>/<sha>/...``,
 on a file system that all executors see; a reader for another host has the
-same two tables. Listing and reading are separate scans. A directory keeps no
-digests of its files, so a listing hashes their bytes, but keeps no content;
-where the wanted paths are known, only those files are opened.
+same tables. ``publish`` adds an index of a snapshot, its paths and blob ids as
+Parquet under ``<root>/.index/<sha>``, and a numbered mark of the publication:
+with an index a tree is read without listing or opening a file, and a source
+scan opens only the files that the path rules want. The marks are the offsets
+of the stream reader, which tells the files of each publication once.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from ..functions import paths
 from ..operators.graph import change_status, comparison
+from .snapshots import claim
 
+NAMES = "sha string, path string"
 TREE = "sha string, path string, blob_sha string"
 SOURCE = "sha string, path string, blob_sha string, content string"
 #: Files that a task reads; the reader's concurrency is the number of tasks at work.
 PER_TASK = 256
 TRUNCATED = ".truncated"
+INDEX, MARKS = ".index", ".published"
 
 
 @dataclass
@@ -41,9 +46,45 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), root) if root.startswith("/") else fs.FileSystem.from_uri(root)
 
 
+def _text(name: str, data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError as error:
+        raise ValueError(f"{name} is not UTF-8") from error
+
+
+def _blob(data: bytes) -> str:
+    return hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest()
+
+
+def _listed(system: fs.FileSystem, root: str, sha: str) -> list[str]:
+    """The paths of a snapshot; a truncated one is an error."""
+    top = posixpath.join(root, sha)
+    found = sorted(i.path[len(top) + 1 :] for i in system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)) if i.type == fs.FileType.File)
+    if TRUNCATED in found:
+        raise ValueError(f"the tree of {sha} is truncated")
+    return found
+
+
+def _rows(root: str, partition: _Files, columns: list[str]):
+    """The named columns of a partition's files; files are opened only for their blob id or content."""
+    system, root = _open(root)
+    rows: dict[str, list] = {c: [] for c in columns}
+    for name in partition.names:
+        told = {"sha": partition.sha, "path": name}
+        if len(columns) > 2:
+            with system.open_input_stream(posixpath.join(root, partition.sha, name), compression=None) as f:
+                data = f.read()
+            told |= {"blob_sha": _blob(data), "content": _text(name, data) if "content" in columns else None}
+        for c in columns:
+            rows[c].append(told[c])
+    if partition.names:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows.values()], columns)
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, options, with_content: bool):
-        self.root, self.with_content = options["path"], with_content
+    def __init__(self, options, columns: list[str]):
+        self.root, self.columns = options["path"], columns
         self.sha = options.get("sha")
         self.only: set[str] | None = None
 
@@ -63,54 +104,115 @@ class _Reader(DataSourceReader):
         system, root = _open(self.root)
         shas = [self.sha] if self.sha else [posixpath.basename(i.path) for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory]
         out = []
-        for sha in sorted(shas):
-            top = posixpath.join(root, sha)
-            found = sorted(i.path[len(top) + 1 :] for i in system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)) if i.type == fs.FileType.File)
-            if TRUNCATED in found:
-                raise ValueError(f"the tree of {sha} is truncated")
-            found = [n for n in found if self.only is None or n in self.only]
+        for sha in sorted(s for s in shas if s not in (INDEX, MARKS)):
+            found = [n for n in _listed(system, root, sha) if self.only is None or n in self.only]
             out += [_Files(sha, tuple(found[i : i + PER_TASK])) for i in range(0, len(found), PER_TASK)]
         return out or [_Files("", ())]
 
     def read(self, partition):
+        yield from _rows(self.root, partition, self.columns)
+
+
+class _Stream(DataSourceStreamReader):
+    """Publications in order of their marks; an offset is the number of publications told."""
+
+    def __init__(self, options, columns: list[str]):
+        self.root, self.columns = options["path"], columns
+
+    def _marks(self) -> list[tuple[int, str]]:
         system, root = _open(self.root)
-        rows: list[list] = [[], [], [], []]
-        for name in partition.names:
-            with system.open_input_stream(posixpath.join(root, partition.sha, name), compression=None) as f:
-                data = f.read()
-            text = None
-            if self.with_content:
-                text = data.decode("utf-8", "replace")
-            for column, value in zip(rows, (partition.sha, name, hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest(), text), strict=True):
-                column.append(value)
-        names = ["sha", "path", "blob_sha", "content"][: 4 if self.with_content else 3]
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows[: len(names)]], names)
+        found = system.get_file_info(fs.FileSelector(posixpath.join(root, MARKS), allow_not_found=True))
+        return sorted((int(n), sha) for n, _, sha in (posixpath.basename(i.path).partition("-") for i in found if not posixpath.basename(i.path).startswith(".")))
+
+    def initialOffset(self):
+        return {"published": 0}
+
+    def latestOffset(self):
+        return {"published": max((n for n, _ in self._marks()), default=0)}
+
+    def partitions(self, start, end):
+        system, root = _open(self.root)
+        out = []
+        for n, sha in self._marks():
+            if start["published"] < n <= end["published"]:
+                found = _listed(system, root, sha)
+                out += [_Files(sha, tuple(found[i : i + PER_TASK])) for i in range(0, len(found), PER_TASK)]
+        return out
+
+    def read(self, partition):
+        yield from _rows(self.root, partition, self.columns)
 
 
 class RepositorySource(DataSource):
-    """Format ``repository``; options path, sha, and content=false for the tree alone."""
+    """Format ``repository``; options path, sha (for batches), and content=false for the tree alone or content=names for its paths."""
 
     @classmethod
     def name(cls):
         return "repository"
 
     def schema(self):
-        return SOURCE if self.options.get("content", "true") == "true" else TREE
+        return {"true": SOURCE, "false": TREE, "names": NAMES}[self.options.get("content", "true")]
+
+    def _columns(self) -> list[str]:
+        return [c.split()[0] for c in self.schema().split(", ")]
 
     def reader(self, schema):
-        return _Reader(self.options, self.options.get("content", "true") == "true")
+        return _Reader(self.options, self._columns())
 
+    def streamReader(self, schema):
+        return _Stream(self.options, self._columns())
 
-def _scan(spark: SparkSession, root: str, sha: str, content: bool) -> DataFrame:
+
+def _scan(spark: SparkSession, root: str, sha: str, content: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else a reader that takes filters is refused
     spark.dataSource.register(RepositorySource)
-    return spark.read.format("repository").option("sha", sha).option("content", str(content).lower()).load(root)
+    return spark.read.format("repository").option("sha", sha).option("content", content).load(root)
+
+
+def stream(spark: SparkSession, root: str, content: str = "true") -> DataFrame:
+    """The files of each publication, in the order of their marks; a restart goes on where the checkpoint stands."""
+    spark.dataSource.register(RepositorySource)
+    return spark.readStream.format("repository").option("content", content).load(root)
+
+
+def write(files: DataFrame, root: str, sha: str) -> int:
+    """The files (path, content) as a snapshot's folder; the number of files. Writing the same ones again changes nothing."""
+
+    def run(batches):
+        system, top = _open(root)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = posixpath.join(top, sha, name)
+                system.create_dir(posixpath.dirname(place), recursive=True)
+                with system.open_output_stream(place, compression=None) as f:
+                    f.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def publish(spark: SparkSession, root: str, sha: str) -> None:
+    """Write the index of a snapshot that is whole, then the mark of its publication; a snapshot is published once."""
+    if _indexed(root, sha):
+        raise ValueError(f"{sha} is published already")
+    _scan(spark, root, sha, "false").select("path", "blob_sha").write.mode("overwrite").parquet(f"{root}/{INDEX}/{sha}")
+    system, top = _open(root)
+    found = system.get_file_info(fs.FileSelector(posixpath.join(top, MARKS), allow_not_found=True))
+    n = max((int(posixpath.basename(i.path).partition("-")[0]) for i in found if posixpath.basename(i.path)[0] != "."), default=0)
+    while not claim(spark, f"{root}/{MARKS}/{n + 1:012d}-{sha}", sha):
+        n += 1
+
+
+def _indexed(root: str, sha: str) -> bool:
+    system, top = _open(root)
+    return system.get_file_info(posixpath.join(top, INDEX, sha, "_SUCCESS")).type == fs.FileType.File
 
 
 def tree(spark: SparkSession, root: str, sha: str) -> DataFrame:
-    """Path and blob_sha of every file; a truncated tree is an error."""
-    return _scan(spark, root, sha, False).select("path", "blob_sha")
+    """Path and blob_sha of every file, from the index; a snapshot without one is listed and hashed, and is an error if truncated."""
+    if _indexed(root, sha):
+        return spark.read.schema("path string, blob_sha string").parquet(f"{root}/{INDEX}/{sha}")
+    return _scan(spark, root, sha, "false").select("path", "blob_sha")
 
 
 def _opener(root: str, sha: str):
@@ -119,26 +221,20 @@ def _opener(root: str, sha: str):
     def run(batches):
         system, top = _open(root)
         for batch in batches:
-            rows = [[], [], []]
-            for name in batch.column(0).to_pylist():
-                place = posixpath.join(top, sha, name)
-                if system.get_file_info(place).type != fs.FileType.File:
-                    continue
-                with system.open_input_stream(place, compression=None) as f:
-                    data = f.read()
-                for column, value in zip(rows, (name, hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest(), data.decode("utf-8", "replace")), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], ["path", "blob_sha", "content"])
+            there = [n for n in batch.column(0).to_pylist() if system.get_file_info(posixpath.join(top, sha, n)).type == fs.FileType.File]
+            columns = ["sha", "path", "blob_sha", "content"]
+            for rows in _rows(root, _Files(sha, tuple(there)), columns):
+                yield rows.select(columns[1:])
 
     return run
 
 
 def source(spark: SparkSession, root: str, sha: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Contents of source and configuration files, or of the wanted paths (``path``)."""
-    if wanted is not None:
-        return wanted.select("path").distinct().mapInArrow(_opener(root, sha), "path string, blob_sha string, content string")
-    rows = _scan(spark, root, sha, True).select("path", "blob_sha", "content")
-    return rows.filter(paths.is_source(F.col("path")) | paths.is_config(F.col("path")))
+    """Contents of source and configuration files, or of the wanted paths (``path``); no other file is opened, and one that is not UTF-8 is an error."""
+    if wanted is None:
+        names = tree(spark, root, sha) if _indexed(root, sha) else _scan(spark, root, sha, "names")
+        wanted = names.filter(paths.is_source(F.col("path")) | paths.is_config(F.col("path")))
+    return wanted.select("path").distinct().mapInArrow(_opener(root, sha), "path string, blob_sha string, content string")
 
 
 def decoded(blobs: DataFrame) -> DataFrame:

@@ -6,12 +6,17 @@ lose nothing. Every step of a branch is a small file named by the branch and
 a version. A file is made only where there is none of its name, so of two
 writers one takes the version and the other the next. A write that fails
 before its pointer leaves the current snapshot as it was.
+
+Each step repeats which snapshot is current, and a hint names a version that
+was there, so the pointer of a branch is read from its hint on, whatever went
+before; hints may be old or lost. A ready commit has a file of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +25,9 @@ from pyspark.sql import functions as F
 from ..operators import graph as graphs
 from ..operators.graph import Graph
 
-POINTER = "repo_id long, branch string, commit_sha string, snapshot_id string, status string, version long"
+POINTER = "repo_id long, branch string, commit_sha string, snapshot_id string, status string, version long, ready_sha string, ready_id string, ready_version long"
+#: How often, and with how many seconds in between, a step is read that its writer has made but not filled.
+TRIES, WAIT = 60, 0.05
 
 
 def snapshot_id(repo_id: int, branch: str, sha: str) -> str:
@@ -39,17 +46,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def pointers(spark: SparkSession, root: str) -> DataFrame:
+    """Every step of every branch."""
     path = f"{root}/pointers"
-    return spark.read.schema(POINTER).json(path) if _exists(spark, path) else spark.createDataFrame([], POINTER)
+    return spark.read.schema(POINTER).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path) if _exists(spark, path) else spark.createDataFrame([], POINTER)
+
 
+def claim(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Make the file if there is none of its name (or in any case); whether it was made.
 
-def _claim(spark: SparkSession, path: str, text: str) -> bool:
-    """Make the file if there is none of its name; whether it was made."""
+    HDFS and local folders make a file exclusively. A store that takes
+    conditional puts does so through its Hadoop connector.
+    """
     system, target = _system(spark, path)
-    if system.exists(target):
+    if not replace and system.exists(target):
         return False
     try:
-        out = system.create(target, False)
+        out = system.create(target, replace)
     except Exception as error:
         if "AlreadyExists" in str(error) or "already exists" in str(error):
             return False
@@ -61,15 +73,58 @@ def _claim(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def _read(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, or None where there is none or it isn't whole."""
+    system, target = _system(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def _folder(root: str, repo_id: int, branch: str) -> str:
+    return f"{root}/pointers/{hashlib.sha256(f'{repo_id}:{branch}'.encode()).hexdigest()[:32]}"
+
+
+def _step(folder: str, version: int) -> str:
+    return f"{folder}/{version:012d}.json"
+
+
+def pointer(spark: SparkSession, root: str, repo_id: int, branch: str) -> dict | None:
+    """The last step of a branch, from its hint on, or from the first where it has none; nothing is listed."""
+    folder = _folder(root, repo_id, branch)
+    hint = _read(spark, f"{folder}/hint")
+    version = hint["version"] if hint and _exists(spark, _step(folder, hint["version"])) else 0
+    while _exists(spark, _step(folder, version + 1)):
+        version += 1
+    for at in range(version, 0, -1):  # a step that stays torn, as its writer died, tells nothing
+        for _ in range(TRIES if at == version else 1):
+            if (row := _read(spark, _step(folder, at))) is not None:
+                return row | {"version": version}
+            time.sleep(WAIT)
+    return None if not version else {"version": version, "status": None, "ready_sha": None, "ready_id": None, "ready_version": None}
+
+
 def _note(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str, status: str, snapshot: str | None = None) -> None:
     """K4: one more lifecycle row; the last by version counts."""
-    version = pointers(spark, root).filter((F.col("repo_id") == repo_id) & (F.col("branch") == branch)).agg(F.max("version")).first()[0] or 0
-    name = hashlib.sha256(f"{repo_id}:{branch}".encode()).hexdigest()[:32]
+    folder = _folder(root, repo_id, branch)
     while True:
-        version += 1
+        last = pointer(spark, root, repo_id, branch) or {"version": 0, "ready_sha": None, "ready_id": None, "ready_version": None}
+        version = last["version"] + 1
         row = {"repo_id": repo_id, "branch": branch, "commit_sha": sha, "snapshot_id": snapshot, "status": status, "version": version}
-        if _claim(spark, f"{root}/pointers/{name}-{version:012d}.json", json.dumps(row) + "\n"):
-            return
+        row |= {"ready_sha": sha, "ready_id": snapshot, "ready_version": version} if status == "ready" else {k: last[k] for k in ("ready_sha", "ready_id", "ready_version")}
+        if claim(spark, _step(folder, version), json.dumps(row) + "\n"):
+            break
+    if status == "ready":
+        claim(spark, f"{folder}/commits/{hashlib.sha256(sha.encode()).hexdigest()[:32]}", json.dumps({"snapshot_id": snapshot}), True)
+    claim(spark, f"{folder}/hint", json.dumps({"version": version}), True)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -81,8 +136,8 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 
 def begin(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str) -> None:
     """K4: a build begins; one that is current already is an error."""
-    mine = current(spark, root).filter((F.col("repo_id") == repo_id) & (F.col("branch") == branch) & (F.col("commit_sha") == sha))
-    if not mine.isEmpty():
+    last = pointer(spark, root, repo_id, branch)
+    if last and last["ready_sha"] == sha:
         raise ValueError(f"{branch} is at {sha} already")
     _note(spark, root, repo_id, branch, sha, "building")
 
@@ -117,14 +172,14 @@ def publish(graph: Graph, root: str, repo_id: int, branch: str, sha: str) -> str
 
 def load(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str | None = None) -> Graph | None:
     """A ready graph by its commit, or the branch's current one; None if there is none."""
-    mine = pointers(spark, root).filter((F.col("repo_id") == repo_id) & (F.col("branch") == branch) & (F.col("status") == "ready"))
-    if sha is not None:
-        mine = mine.filter(F.col("commit_sha") == sha)
-    row = mine.orderBy(F.desc("version")).first()
-    if row is None:
+    if sha is None:
+        found = (pointer(spark, root, repo_id, branch) or {}).get("ready_id")
+    else:
+        found = (_read(spark, f"{_folder(root, repo_id, branch)}/commits/{hashlib.sha256(sha.encode()).hexdigest()[:32]}") or {}).get("snapshot_id")
+    if found is None:
         return None
     names = ("projects", "files", "symbols", "imports", "entrypoints", "bindings")
-    return Graph(*[spark.read.parquet(f"{root}/snapshots/{row.snapshot_id}/{n}") for n in names])
+    return Graph(*[spark.read.parquet(f"{root}/snapshots/{found}/{n}") for n in names])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
