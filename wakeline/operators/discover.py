@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .lineage import cut
 
 #: Dependencies that tell a framework, procedure packages, and the adapters a committed configuration may name.
 FRAMEWORKS = (("next", ("next",)), ("remix", ("@remix-run/react", "@remix-run/node", "remix")), ("express", ("express",)), ("react_router", ("react-router-dom", "react-router")))
@@ -118,54 +120,77 @@ def parse_options(content: str) -> dict:
     return value
 
 
-def _options(configs: dict[str, str], path: str, seen: tuple[str, ...] = ()) -> dict:
-    """Compiler options of a configuration over those it extends."""
-    value = parse_options(configs[path])
-    base: dict = {}
-    extends = value.get("extends")
-    for parent in [extends] if isinstance(extends, str) else extends or []:
-        parts: list[str] = []
-        for part in f"{path.rpartition('/')[0]}/{parent}".split("/"):
-            parts = parts[:-1] if part == ".." else parts if part in ("", ".") else [*parts, part]
-        target = "/".join(parts)
-        target = target if target in configs else f"{target}.json"
-        if target in configs and target not in seen:
-            base.update(_options(configs, target, (*seen, path)))
-    own = value.get("compilerOptions") or {}
-    where = path.rpartition("/")[0]
-    if isinstance(own.get("paths"), dict) or "baseUrl" in own:
-        base["where"] = where if "baseUrl" not in own else "/".join(p for p in f"{where}/{own['baseUrl']}".split("/") if p not in ("", "."))
-        base["based"] = "baseUrl" in own
-    if isinstance(own.get("paths"), dict):
-        base["paths"] = own["paths"]
-    return base
+_CONFIG = "path string, error string, extends array<array<string>>, told boolean, based boolean, place string, aliases array<struct<pattern:string,targets:array<string>>>"
 
 
-def options(projects: DataFrame, source: DataFrame) -> DataFrame:
-    """root_path, base_url, aliases (array of struct(pattern, targets)) of each project.
+def _resolved(path: str, reference: str) -> list[str]:
+    """The files that a reference of a configuration may mean."""
+    parts: list[str] = []
+    for part in f"{path.rpartition('/')[0]}/{reference}".split("/"):
+        parts = parts[:-1] if part == ".." else parts if part in ("", ".") else [*parts, part]
+    return ["/".join(parts), "/".join(parts) + ".json"]
 
-    The configurations of one repository are a few small files; each project
-    meets those of its repository in one row, and is parsed there.
-    """
-    configs = source.filter(F.col("path").rlike(r"(^|/)(?:tsconfig|jsconfig)(?:\.[^/]+)?\.json$")).agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("configs"))
+
+def _parsed(path: str, content: str) -> dict:
+    """A row of _CONFIG: what one file says by itself."""
+    row = dict.fromkeys(c.split()[0] for c in _CONFIG.split(", ")) | {"path": path, "extends": [], "aliases": [], "told": False, "based": False}
+    try:
+        value = parse_options(content)
+    except ValueError as error:
+        return row | {"error": f"{path} is invalid: {error}"}
+    extends, own, where = value.get("extends"), value.get("compilerOptions") or {}, path.rpartition("/")[0]
+    row["extends"] = [_resolved(path, p) for p in ([extends] if isinstance(extends, str) else extends or [])]
+    if isinstance(own.get("paths"), dict):
+        row |= {"told": True, "aliases": [{"pattern": k, "targets": list(v)} for k, v in own["paths"].items()]}
+    if row["told"] or "baseUrl" in own:
+        row["based"] = "baseUrl" in own
+        row["place"] = "/".join(p for p in f"{where}/{own['baseUrl']}".split("/") if p not in ("", ".")) if row["based"] else where
+    return row
+
+
+def configurations(source: DataFrame) -> DataFrame:
+    """A row of _CONFIG for each compiler configuration of the source."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("pattern", pa.string()), ("targets", pa.list_(pa.string()))]))
+        kinds = {"extends": pa.list_(pa.list_(pa.string())), "told": pa.bool_(), "based": pa.bool_(), "aliases": pa.list_(pa.struct([("pattern", pa.string()), ("targets", pa.list_(pa.string()))]))}
+        names = [c.split()[0] for c in _CONFIG.split(", ")]
         for batch in batches:
-            roots, bases, aliases = [], [], []
-            for root, path, configs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                configs = dict(configs or [])
-                try:
-                    found = _options(configs, path) if path in configs else {}
-                except ValueError as error:
-                    raise ValueError(f"{path} is invalid: {error}") from error
-                roots.append(root)
-                bases.append(found.get("where", root) if found.get("based") or not path else None)
-                where = found.get("where", "")
-                aliases.append([{"pattern": k, "targets": [f"{where}/{t}" if where else t for t in v]} for k, v in found.get("paths", {}).items()])
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.string()), pa.array(bases, pa.string()), pa.array(aliases, kind)], ["root_path", "base_url", "aliases"])
-
-    rows = projects.select("root_path", "config_path").crossJoin(F.broadcast(configs))
-    parsed = rows.mapInArrow(run, "root_path string, base_url string, aliases array<struct<pattern:string,targets:array<string>>>")
-    # targets are whole paths already, so they aren't put behind the base again
-    return parsed.withColumn("aliases", F.transform("aliases", lambda a: F.struct(a["pattern"].alias("pattern"), F.transform(a["targets"], lambda t: F.concat(F.lit("/"), t)).alias("targets"))))
+            rows = [_parsed(p, t or "") for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names)
+
+    wanted = source.filter(F.col("path").rlike(r"(^|/)(?:tsconfig|jsconfig)(?:\.[^/]+)?\.json$"))
+    return wanted.select("path", "content").mapInArrow(run, _CONFIG)
+
+
+def options(projects: DataFrame, source: DataFrame) -> DataFrame:
+    """root_path, base_url, aliases (array of struct(pattern, targets)) of each project, with what its configuration extends.
+
+    A level of the loop joins the files that are reached with the
+    configurations: a row for each project and file. ``turn`` says which file
+    counts: a file before those it extends, of those a later one before an
+    earlier. A file that is extended again above itself is not followed.
+    """
+    configs = cut(configurations(source))
+    own = F.lit(2**31 - 1)
+    level = projects.filter("config_path is not null").select("root_path", F.col("config_path").alias("path"), F.array().cast("array<int>").alias("turn"), F.array().cast("array<string>").alias("above"))
+    found = []
+    while True:
+        met = level.join(configs, "path").withColumn("path", F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")).cast("string")))
+        met = cut(met)
+        if met.isEmpty():
+            break
+        found.append(met.select("root_path", F.concat("turn", F.array(own)).alias("turn"), "told", "based", "place", "aliases"))
+        further = met.select("root_path", F.array_append("above", F.col("path")).alias("above"), "turn", F.posexplode("extends").alias("nth", "named"))
+        further = further.select("root_path", "above", F.array_append("turn", F.col("nth")).alias("turn"), F.posexplode("named").alias("choice", "path"))
+        further = further.join(configs.select("path"), "path", "left_semi").groupBy("root_path", "above", "turn").agg(F.min_by("path", "choice").alias("path"))
+        level = further.filter(~F.array_contains("above", F.col("path")))
+    roots = projects.select("root_path", F.col("config_path").isNull().alias("bare"))
+    if not found:
+        told = roots.select("root_path", F.lit(None).cast("string").alias("place"), F.lit(False).alias("based"), F.array().cast("array<struct<pattern:string,targets:array<string>>>").alias("aliases"), "bare")
+    else:
+        rows = reduce(DataFrame.unionByName, found)
+        told = rows.groupBy("root_path").agg(F.max_by(F.struct("place", "based"), F.when(F.col("place").isNotNull(), F.col("turn"))).alias("w"), F.max_by("aliases", F.when(F.col("told"), F.col("turn"))).alias("aliases"))
+        told = roots.join(told, "root_path", "left").select("root_path", "w.place", F.coalesce("w.based", F.lit(False)).alias("based"), F.coalesce("aliases", F.array().cast("array<struct<pattern:string,targets:array<string>>>")).alias("aliases"), "bare")
+    base = F.when(F.col("based"), F.col("place")).when(F.col("bare"), F.col("root_path"))
+    whole = lambda t: F.concat(F.lit("/"), paths.join_root(F.coalesce("place", F.lit("")), t))  # noqa: E731  targets are whole paths, so that they aren't put behind the base again
+    return told.select("root_path", base.alias("base_url"), F.transform("aliases", lambda a: F.struct(a["pattern"].alias("pattern"), F.transform(a["targets"], whole).alias("targets"))).alias("aliases"))

@@ -14,6 +14,8 @@ from ..functions import linediff, paths
 #: Context lines, characters of an excerpt and of a target, anchors of a target, and the order of anchor kinds.
 CONTEXT, EXCERPT, TARGET, ANCHORS = 3, 1600, 9000, 8
 PRIORITY = {"changed_declaration": 0, "entrypoint": 1, "interaction": 2, "state": 3, "api_contract": 3, "dependency_use": 4, "test": 5}
+#: Characters of a hint that paths are met by.
+GRAM = 3
 BEHAVIOR = ("interaction", "state", "api_contract", "test")
 
 
@@ -114,9 +116,17 @@ def grounded(kind: Column, anchors: Column) -> Column:
 
 
 def related_tests(tree: DataFrame, hints: DataFrame, most: int = 8) -> DataFrame:
-    """The first test paths of the tree (by ``ord``) that name a hint. The hints of a change are few and broadcast."""
-    tests = tree.filter(paths.is_test(F.col("path")))
-    return tests.join(F.broadcast(hints.distinct()), F.contains(F.lower("path"), F.col("hint")), "left_semi").orderBy("ord").limit(most)
+    """The first test paths of the tree (by ``ord``) that name a hint: hold its text, whatever the case.
+
+    A path meets the hints whose first GRAM characters (or all, of shorter ones)
+    stand in it, by equality; only these are looked for in the whole path.
+    """
+    tests = tree.filter(paths.is_test(F.col("path"))).withColumn("low", F.lower("path"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(*[F.substring(F.col("low"), i, F.lit(n)) for n in range(1, GRAM + 1)]))
+    keyed = tests.select("path", "ord", "low", F.explode(F.array_distinct(F.flatten(starts))).alias("gram"))
+    asked = hints.filter("hint <> ''").select(F.col("hint"), F.substring("hint", 1, GRAM).alias("gram")).distinct()
+    named = keyed.join(asked, "gram").filter(F.contains("low", F.col("hint")))
+    return named.groupBy("path").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
 
 
 def script_hunks(script: list[tuple[str, str]]) -> list[tuple[int, int, int, int, str, str]]:

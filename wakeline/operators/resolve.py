@@ -1,4 +1,9 @@
-"""Import resolution as an equi-join of candidate paths with the tree."""
+"""Import resolution as an equi-join of the places an import may mean with an index of the tree.
+
+The index has a row for each suffix that a file's path ends with: the path
+without it, and the suffix's rank. So a place is probed once, whatever the
+number of suffixes.
+"""
 
 from __future__ import annotations
 
@@ -28,13 +33,21 @@ def alias_targets(specifier: Column, aliases: Column) -> Column:
     return F.flatten(F.transform(ranked, lambda r: F.transform(r["a"]["targets"], lambda t: F.replace(t, F.lit("*"), rest(r["a"])))))
 
 
-def candidates(imports: DataFrame, options: DataFrame, packages: DataFrame) -> DataFrame:
-    """(from_path, specifier, kind, seq, candidate, ord): every path an import may mean, in order.
+def stems(tree: DataFrame) -> DataFrame:
+    """(stem, rank, target): each path without each suffix of SUFFIXES that it ends with."""
+    path = F.col("path")
+    cuts = [F.when(path.endswith(x) | (path == x.lstrip("/")), F.struct(F.substring(path, F.lit(1), F.greatest(F.length(path) - len(x), F.lit(0))).alias("stem"), F.lit(k).alias("rank"))) for k, x in enumerate(SUFFIXES)]
+    return tree.select("path").distinct().select(F.explode(F.array_compact(F.array(*cuts))).alias("s"), path.alias("target")).select("s.stem", "s.rank", "target")
+
+
+def places(imports: DataFrame, options: DataFrame, packages: DataFrame) -> DataFrame:
+    """The imports with ``external`` (F16) and ``probes``: the stems an import may mean, in order, and the ranks that count.
 
     options: root_path, base_url, aliases of each project, with the importer's
-    project in ``project_root``. packages: package_name, root_path.
+    project in ``project_root``. packages: package_name, root_path. ranks are
+    null where all count; a script suffix in the specifier may stand for typed sources, which come first.
     """
-    rows = imports.join(F.broadcast(options.withColumnRenamed("root_path", "project_root")), "project_root", "left")
+    rows = imports.join(options.withColumnRenamed("root_path", "project_root"), "project_root", "left")
     named = packages.groupBy(F.col("package_name").alias("package")).agg(F.max("root_path").alias("package_root"))
     rows = rows.withColumn("package", paths.package_of(F.col("specifier"))).join(named, "package", "left")
     spec = F.col("specifier")
@@ -47,9 +60,12 @@ def candidates(imports: DataFrame, options: DataFrame, packages: DataFrame) -> D
     inside = F.when(root.isNotNull(), F.array(*[paths.join_root(root, x) for x in (sub, F.concat(F.lit("src/"), sub), F.lit("src/index"), F.lit("index"))])).otherwise(no)
     based = F.when(~local & F.col("base_url").isNotNull(), F.array(F.concat_ws("/", "base_url", spec))).otherwise(no)
     found = F.concat(F.when(local, F.array(relative)).otherwise(no), aliased, based, inside)
-    tries = F.flatten(F.transform(found, lambda c: F.concat(*[F.when(c.rlike(p), F.array(*[F.concat(F.regexp_replace(c, p, ""), F.lit(s)) for s in by])).otherwise(no) for p, by in TYPED], F.array(*[F.concat(c, F.lit(s)) for s in SUFFIXES]))))
-    rows = rows.select("from_path", "project_root", "specifier", "kind", "seq", F.col("package_root").isNotNull().alias("workspace"), "aliases", F.posexplode_outer(tries).alias("ord", "candidate"))
-    return rows.withColumn("candidate", paths.normalize(F.col("candidate")))
+    probe = lambda stem, ranks: F.struct(stem.alias("stem"), ranks.alias("ranks"))
+    all_ = F.lit(None).cast("array<int>")
+    typed = lambda c: [F.when(c.rlike(p), probe(F.regexp_replace(c, p, ""), F.array(*[F.lit(SUFFIXES.index(x)) for x in by]))) for p, by in TYPED]
+    probes = F.flatten(F.transform(F.transform(found, paths.normalize), lambda c: F.array_compact(F.array(*typed(c), probe(c, all_)))))
+    external = is_external(spec, root.isNotNull(), F.col("aliases"))
+    return rows.select("from_path", "specifier", "kind", "seq", external.alias("external"), probes.alias("probes"))
 
 
 def winners(rows: DataFrame, tree: DataFrame, key: list[str]) -> DataFrame:
@@ -69,12 +85,16 @@ def classify(target: Column, external: Column) -> Column:
 
 
 def resolve(imports: DataFrame, tree: DataFrame, options: DataFrame, packages: DataFrame) -> DataFrame:
-    """The imports with to_path, resolution_status, unresolved_reason; each distinct one once, the first by ``seq``."""
+    """The imports with to_path, resolution_status, unresolved_reason; each distinct one once, the first by ``seq``."""
     key = ["from_path", "specifier", "kind", "seq"]
-    rows = candidates(imports, options, packages)
-    found = winners(rows, tree, key)
-    facts = rows.groupBy(*key).agg(F.first(is_external(F.col("specifier"), F.col("workspace"), F.col("aliases"))).alias("external"))
-    out = facts.join(found, key, "left").withColumn("resolution_status", classify(F.col("target"), F.col("external")))
+    asked = places(imports, options, packages).select(*key, "external", F.posexplode_outer("probes").alias("pos", "probe"))
+    asked = asked.select(*key, "external", "pos", "probe.stem", "probe.ranks")
+    met = asked.join(stems(tree), "stem", "left")
+    counts = F.col("target").isNotNull() & (F.col("ranks").isNull() | F.array_contains("ranks", F.col("rank")))
+    # typed ranks ascend as their suffixes are tried, so a rank is an order in either case
+    order = F.when(counts, F.struct("pos", "rank"))
+    out = met.groupBy(*key).agg(F.first("external").alias("external"), F.min_by("target", order).alias("target"))
+    out = out.withColumn("resolution_status", classify(F.col("target"), F.col("external")))
     out = out.select(
         "from_path", F.when(F.col("resolution_status") == "resolved", F.col("target")).alias("to_path"), "specifier", "kind", "resolution_status",
         F.when(F.col("resolution_status") == "unresolved", F.lit(UNRESOLVED_REASON)).alias("unresolved_reason"), "seq",
