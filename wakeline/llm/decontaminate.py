@@ -44,7 +44,7 @@ BLOCK_CHARS = 1 << 21
 #: Characters of a document handled at once.
 PIECE = 1 << 20
 #: Shared q-grams of a document, and cells of alignments, handled at once.
-HITS = CELLS = 1 << 20
+HITS = CELLS = 1 << 17
 _GAP = re.compile(r"[\W_]+")
 MATCHES = "item_id long, doc_start long, doc_end long, item_start long, item_end long, edits int"
 
