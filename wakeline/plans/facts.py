@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys, paths, text
-from ..operators import discover, graph, resolve
+from ..operators import discover, extract, graph, resolve
 from . import bindings as b
+from . import trees
 
 PATHS = (
     "src/app/page.tsx", "src/app/(shop)/cart/[id]/page.tsx", "app/api/orders/route.ts", "app/docs/[...slug]/page.jsx", "src/pages/index.tsx", "pages/api/users/[id].ts", "pages/_app.tsx",
@@ -33,13 +34,31 @@ def _sql(name, rows):
     return f"(SELECT p_partkey, [{quoted}][(p_partkey % {len(rows)} + 1)::INT] AS {name} FROM part)"
 
 
+def _told(spark, sf, name, rows):
+    """What the tables and the source tree made of them say, as rows without a part."""
+    return rows.select(F.lit(None).cast("long").alias("p_partkey"), F.col(name).alias(name))
+
+
 def _paths(spark, sf):
-    """The paths in turn, and from the second turn on below a project of nine."""
+    """The paths in turn, from the second turn on below a project of nine; every path of the source tree, and of the pages."""
     below = F.concat(F.lit("apps/a"), (F.col("p_partkey") % 9).cast("string"), F.lit("/"), F.col("path"))
-    return _values(spark, sf, "path", PATHS).withColumn("path", F.when(F.col("p_partkey") < len(PATHS), F.col("path")).otherwise(below))
+    own = _values(spark, sf, "path", PATHS).withColumn("path", F.when(F.col("p_partkey") < len(PATHS), F.col("path")).otherwise(below))
+    return own.union(_told(spark, sf, "path", trees.source(spark, sf))).union(_told(spark, sf, "path", _page_paths(spark, sf)))
+
+
+_TREE = f"({trees._WITH} SELECT lib AS path FROM nat UNION ALL SELECT path FROM cus UNION ALL SELECT path FROM css UNION ALL SELECT unnest([{', '.join(repr(p) for p, _ in trees.FIXED)}]))"
+_STEMS = f"(SELECT regexp_replace(path, '\\.[a-z]+$', '') AS input FROM {_TREE})"
+_SAID = f"({trees._WITH} SELECT specifier FROM said)"
+_NAMED = f"({trees._WITH} SELECT name FROM symbols)"
+_PAGE = "(SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path FROM pages)"
+
+
+def _with(own, *more):
+    """A subquery of the literal rows in turn and of those without a part."""
+    return f"({own} " + " ".join(f"UNION ALL SELECT NULL, * FROM {m}" for m in more) + ")"
 
 
-_PATHS = f"(SELECT p_partkey, CASE WHEN p_partkey < {len(PATHS)} THEN path ELSE 'apps/a' || (p_partkey % 9) || '/' || path END AS path FROM {_sql('path', PATHS)})"
+_PATHS = f"(SELECT p_partkey, CASE WHEN p_partkey < {len(PATHS)} THEN path ELSE 'apps/a' || (p_partkey % 9) || '/' || path END AS path FROM {_sql('path', PATHS)} UNION ALL SELECT NULL, path FROM {_TREE} UNION ALL SELECT NULL, path FROM {_PAGE})"
 
 
 def path_predicates(spark, sf):
@@ -56,16 +75,20 @@ def technical_role(spark, sf):
 
 def route_normalize(spark, sf):
     a, c = (F.split_part("input", F.lit("|"), F.lit(i)) for i in (1, 2))
-    joined = _values(spark, sf, "input", ["|".join(r) for r in ROUTES]).select("p_partkey", "input", F.lit("join").alias("rule"), paths.join_route(a, c).alias("route"))
-    nexts = _values(spark, sf, "input", LOCALS).select("p_partkey", "input", F.lit("next").alias("rule"), paths.next_route(F.col("input")).alias("route"))
-    remix = _values(spark, sf, "input", REMIX).select("p_partkey", "input", F.lit("remix").alias("rule"), paths.remix_route(F.col("input")).alias("route"))
+    seen = _told(spark, sf, "input", _page_paths(spark, sf).select(F.col("path").alias("input")))
+    local = _told(spark, sf, "input", trees.source(spark, sf).select(F.regexp_replace("path", r"\.[a-z]+$", "").alias("input")))
+    joined = _values(spark, sf, "input", ["|".join(r) for r in ROUTES]).union(seen).select("p_partkey", "input", F.lit("join").alias("rule"), paths.join_route(a, c).alias("route"))
+    nexts = _values(spark, sf, "input", LOCALS).union(seen).union(local).select("p_partkey", "input", F.lit("next").alias("rule"), paths.next_route(F.col("input")).alias("route"))
+    remix = _values(spark, sf, "input", REMIX).union(local).select("p_partkey", "input", F.lit("remix").alias("rule"), paths.remix_route(F.col("input")).alias("route"))
     return joined.union(nexts).union(remix)
 
 
 def import_classification(spark, sf):
     aliases = F.array(F.struct(F.lit("@/*").alias("pattern"), F.array(F.lit("/src/*")).alias("targets")))
     spec = F.col("specifier")
-    rows = _values(spark, sf, "specifier", SPECIFIERS).withColumn("package", paths.package_of(spec))
+    code = trees.source(spark, sf).filter(paths.is_source(F.col("path")))
+    said = _told(spark, sf, "specifier", extract.imports(extract.facts(code), code))
+    rows = _values(spark, sf, "specifier", SPECIFIERS).union(said).withColumn("package", paths.package_of(spec))
     target = F.when(spec == "./util", "src/util.ts").when(spec == "../lib/db", "lib/db.svg")
     external = resolve.is_external(spec, F.col("package") == "@acme/ui", aliases)
     return rows.select("p_partkey", "specifier", "package", external.alias("external"), resolve.classify(target, external).alias("status"))
@@ -122,7 +145,8 @@ def entrypoint_dedupe_last(spark, sf):
 
 
 def identifier_labels(spark, sf):
-    rows = _values(spark, sf, "name", NAMES)
+    code = trees.source(spark, sf).filter(paths.is_source(F.col("path")))
+    rows = _values(spark, sf, "name", NAMES).union(_told(spark, sf, "name", extract.symbols(extract.facts(code))))
     return rows.select("p_partkey", "name", text.humanize(F.col("name")).alias("label"), text.path_label(F.concat(F.lit("src/"), F.col("name"), F.lit(".tsx"))).alias("module"))
 
 
@@ -196,14 +220,14 @@ k AS (SELECT *, {_KIND.format("'style'", "'tooling'", "'component'", "'component
        {_KIND.format("'stylesheet extension convention'", "'repository tooling/configuration convention'", "'component directory convention'", "'JSX module exports a component candidate'", "'generic JavaScript/TypeScript module'")} AS kind_reason FROM u)
 SELECT p_partkey, path, kind, kind_reason, {_PICK[0]} AS role, {_PICK[1]} AS role_reason, {_PICK[2]} AS strength FROM k""",
     "route_normalize": f"""
-SELECT p_partkey, input, 'join' AS rule, {_SEGMENTS.format("replace(input, '|', '/')")} AS route FROM {_sql('input', ['|'.join(r) for r in ROUTES])}
+SELECT p_partkey, input, 'join' AS rule, {_SEGMENTS.format("replace(input, '|', '/')")} AS route FROM {_with("SELECT * FROM " + _sql('input', ['|'.join(r) for r in ROUTES]), _PAGE)}
 UNION ALL SELECT p_partkey, input, 'next', '/' || array_to_string(list_transform(list_filter(string_split(input, '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^\\(.+\\)$') AND NOT starts_with(s, '@')),
   lambda s: CASE WHEN regexp_matches(s, '^\\[\\.\\.\\.(.+)\\]$') THEN ':' || regexp_extract(s, '^\\[\\.\\.\\.(.+)\\]$', 1) || '*' WHEN regexp_matches(s, '^\\[(.+)\\]$') THEN ':' || regexp_extract(s, '^\\[(.+)\\]$', 1) ELSE s END), '/')
-FROM {_sql('input', LOCALS)}
+FROM {_with("SELECT * FROM " + _sql('input', LOCALS), _PAGE, _STEMS)}
 UNION ALL SELECT p_partkey, input, 'remix', '/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(input, '(?:^|\\.)_index$', ''), '.'), lambda s: s <> ''),
-  lambda s: CASE WHEN starts_with(s, '$') THEN ':' || s[2:] ELSE s END), '/') FROM {_sql('input', REMIX)}""",
+  lambda s: CASE WHEN starts_with(s, '$') THEN ':' || s[2:] ELSE s END), '/') FROM {_with("SELECT * FROM " + _sql('input', REMIX), _STEMS)}""",
     "import_classification": f"""
-WITH s AS (SELECT p_partkey, specifier, array_to_string(string_split(specifier, '/')[1 : CASE WHEN starts_with(specifier, '@') THEN 2 ELSE 1 END], '/') AS package FROM {_sql('specifier', SPECIFIERS)}),
+WITH s AS (SELECT p_partkey, specifier, array_to_string(string_split(specifier, '/')[1 : CASE WHEN starts_with(specifier, '@') THEN 2 ELSE 1 END], '/') AS package FROM {_with("SELECT * FROM " + _sql('specifier', SPECIFIERS), _SAID)}),
 e AS (SELECT *, NOT (starts_with(specifier, '.') OR starts_with(specifier, '/')) AND package <> '@acme/ui' AND NOT starts_with(specifier, '@/') AS external FROM s)
 SELECT *, CASE WHEN specifier = './util' THEN 'resolved' WHEN specifier = '../lib/db' THEN 'asset' WHEN external THEN 'external' ELSE 'unresolved' END AS status FROM e""",
     "candidate_resolution": f"""
@@ -217,7 +241,7 @@ SELECT page_id, CASE WHEN t <> '' THEN t[1:120] END AS heading FROM (
   SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1(?:\\s[^>]*)?>(.*?)</h1>', 1, 'si'), '<[^>]+>', '', 'g'), '&apos;', ''''), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""",
     "import_dedupe_first": "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
     "entrypoint_dedupe_last": "SELECT max(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
-    "identifier_labels": f"""SELECT p_partkey, name, {_HUMAN.format('name')} AS label, {_HUMAN.format("CASE WHEN name = '' THEN 'module' ELSE name END")} || ' module' AS module FROM {_sql('name', NAMES)}""",
+    "identifier_labels": f"""SELECT p_partkey, name, {_HUMAN.format('name')} AS label, {_HUMAN.format("CASE WHEN name = '' THEN 'module' ELSE name END")} || ' module' AS module FROM {_with("SELECT * FROM " + _sql('name', NAMES), _NAMED)}""",
     "target_ids": """
 WITH t AS (SELECT o_orderkey, 'order/' || o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'web' END AS root, CASE WHEN o_orderkey % 2 = 0 THEN '/order/' || o_orderkey END AS route,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'GET' END AS method FROM orders)
