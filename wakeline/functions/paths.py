@@ -147,7 +147,7 @@ REMIX_ROUTE = rf"^app/routes/(.+)\.(?:{CODE_EXT})$"
 
 def pages_route(name: Column) -> Column:
     """An api path loses its ``api/``; ``index`` stays as it is."""
-    return next_route(F.when(name.startswith("api/"), F.substring(name, 5, 10_000)).otherwise(name))
+    return next_route(F.when(name.startswith("api/"), F.substr(name, F.lit(5))).otherwise(name))
 
 
 def package_of(specifier: Column) -> Column:

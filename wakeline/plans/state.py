@@ -18,6 +18,10 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
+#: Types of job, with two that have no deadline of their own.
+JOB_TYPES = ("installation.sync", "branch.reconcile", "branch.push", "pull_request.analyze", "report.deliver", "other")
+
+
 def _jobs(spark, sf):
     """Events as jobs: the type is the event's, value and id tell status, attempts and lease."""
     e = b.table(spark, sf, "events")
@@ -215,7 +219,7 @@ def error_class(spark, sf):
     typed = F.when(F.col("event_id") % 17 == 0, "timeout").when(F.col("event_id") % 19 == 0, "cancelled")
     code = F.when(F.col("event_id") % 13 == 0, "ECONNRESET").otherwise("EOTHER")
     message = F.when(F.col("event_type") == "error", "Database is Unavailable").otherwise(F.col("event_type"))
-    return e.select("event_id", classify.error_kind(typed, F.floor("value").cast("int"), code, message).alias("error_kind"), classify.deadline_seconds(F.col("event_type")).alias("deadline"))
+    return e.select("event_id", classify.error_kind(typed, F.floor("value").cast("int"), code, message).alias("error_kind"), classify.deadline_seconds(F.element_at(F.array(*map(F.lit, JOB_TYPES)), (F.col("event_id") % len(JOB_TYPES) + 1).cast("int"))).alias("deadline"))
 
 
 def gap_hunks(spark, sf):
@@ -328,7 +332,7 @@ f AS (
 SELECT repo_id, s AS access_state, n AS n_events FROM f WHERE i = n""",
     "error_class": """
 SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'timeout' WHEN event_id % 19 = 0 THEN 'cancelled' WHEN floor(value) = 429 OR floor(value) >= 500 THEN 'transient'
-  WHEN event_id % 13 = 0 THEN 'transient' WHEN event_type = 'error' THEN 'transient' ELSE 'permanent' END AS error_kind, 30::INT AS deadline FROM events""",
+  WHEN event_id % 13 = 0 THEN 'transient' WHEN event_type = 'error' THEN 'transient' ELSE 'permanent' END AS error_kind, [480, 480, 300, 300, 30, 30][event_id % 6 + 1]::INT AS deadline FROM events""",
     "gap_hunks": """
 WITH g AS (SELECT user_id, event_id, (event_id - lag(event_id) OVER w > 100)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 h AS (SELECT user_id, event_id, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS hunk FROM g)

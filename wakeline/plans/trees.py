@@ -81,7 +81,11 @@ def tree_symbols(spark, sf):
 
 
 def _resolved(spark, sf):
-    files = source(spark, sf)
+    return resolved(source(spark, sf))
+
+
+def resolved(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Projects, files with their project, facts and resolved imports of a tree of files (path, content)."""
     listed = tree(files)
     projects = cut(discover.discover(listed, files))
     code = files.filter(paths.is_source(F.col("path")))
@@ -148,11 +152,6 @@ def _told(made):
     bound = g.bindings.select(F.lit("binding"), "caller_file_path", F.concat_ws(" ", "operation", "handler_file_path"))
     return imports.union(symbols).union(routes).union(bound)
 
-
-
-
-
-
 QUERIES = {f.__name__: f for f in (tree_projects, tree_owners, tree_symbols, tree_imports, tree_entrypoints, tree_bindings, tree_files, tree_incremental)}
 
 _WITH = """
