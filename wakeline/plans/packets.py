@@ -15,7 +15,8 @@ from ..sources import delivery
 from . import bindings as b
 from . import trees
 
-_K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
 
 
 def _say(*parts):
@@ -25,13 +26,13 @@ def _say(*parts):
 def _items(spark, sf):
     """Every order as an affected item: a direct one, or reached from its customer, some by way of a nation."""
     o = b.table(spark, sf, "orders")
-    path, seed = _say("order/", _K), _say("customer/", F.col("o_custkey"))
+    path, seed = _say("order/", _k()), _say("customer/", F.col("o_custkey"))
     api = F.col("o_orderpriority") == "1-URGENT"
-    way = F.when(_K % 3 == 0, F.array(path)).when(_K % 5 == 0, F.array(seed, _say("nation/", _K % 25), path)).otherwise(F.array(seed, path))
+    way = F.when(_k() % 3 == 0, F.array(path)).when(_k() % 5 == 0, F.array(seed, _say("nation/", _k() % 25), path)).otherwise(F.array(seed, path))
     tier = F.when(F.col("o_orderstatus") == "F", "primary").when(F.col("o_orderstatus") == "O", "secondary").otherwise("technical_only")
     return o.select(
-        path.alias("path"), F.when(api, "api_route").otherwise("page").alias("kind"), F.when(_K % 7 == 0, "web").alias("project_root"), _say("/", path).alias("route_path"), F.when(api, "GET").alias("http_method"), tier.alias("tier"),
-        F.when(_K % 3 == 0, "direct").otherwise("indirect").alias("impact"), F.when(_K % 3 == 0, path).otherwise(seed).alias("changed_seed_path"), way.alias("dependency_path"), _K.alias("place"),
+        path.alias("path"), F.when(api, "api_route").otherwise("page").alias("kind"), F.when(_k() % 7 == 0, "web").alias("project_root"), _say("/", path).alias("route_path"), F.when(api, "GET").alias("http_method"), tier.alias("tier"),
+        F.when(_k() % 3 == 0, "direct").otherwise("indirect").alias("impact"), F.when(_k() % 3 == 0, path).otherwise(seed).alias("changed_seed_path"), way.alias("dependency_path"), _k().alias("place"),
     )
 
 
@@ -58,8 +59,8 @@ def report_details(spark, sf):
 def report_summary(spark, sf):
     """The first changed symbols; the first changed files where no symbol changed."""
     o = b.table(spark, sf, "orders")
-    kind = F.element_at(F.array(*map(F.lit, ("added", "deleted", "modified"))), (_K % 3 + 1).cast("int"))
-    symbols = o.select(_say("order/", _K, ":function:run", _K).alias("symbol_key"), kind.alias("change_kind"))
+    kind = F.element_at(F.array(*map(F.lit, ("added", "deleted", "modified"))), (_k() % 3 + 1).cast("int"))
+    symbols = o.select(_say("order/", _k(), ":function:run", _k()).alias("symbol_key"), kind.alias("change_kind"))
     files = b.table(spark, sf, "customer").select(_say("src/customer", F.col("c_custkey"), ".ts").alias("path"), F.lit("renamed").alias("status"))
     rows = None
     for name, some in (("symbols", symbols), ("files", symbols.limit(0))):
@@ -80,9 +81,9 @@ def evidence_ids(spark, sf):
 def comment_bodies(spark, sf):
     """The comment of every order's analysis, by its state."""
     o = b.table(spark, sf, "orders")
-    status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "building").otherwise(F.when(_K % 2 == 0, "failed").otherwise("insufficient_evidence"))
-    pointers = o.select(_K.alias("analysis_id"), F.col("o_custkey").alias("repo_id"), _K.alias("pull_request_number"), F.lit(None).cast("long").alias("comment_id"))
-    analyses = o.select(_K.alias("analysis_id"), status.alias("analysis_status"), _say("b", _K).alias("base_sha"), _say("h", _K).alias("head_sha"), F.when(F.col("o_orderstatus") == "F", _say("  # Report ", _K, "\n\n")).alias("markdown"))
+    status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "building").otherwise(F.when(_k() % 2 == 0, "failed").otherwise("insufficient_evidence"))
+    pointers = o.select(_k().alias("analysis_id"), F.col("o_custkey").alias("repo_id"), _k().alias("pull_request_number"), F.lit(None).cast("long").alias("comment_id"))
+    analyses = o.select(_k().alias("analysis_id"), status.alias("analysis_status"), _say("b", _k()).alias("base_sha"), _say("h", _k()).alias("head_sha"), F.when(F.col("o_orderstatus") == "F", _say("  # Report ", _k(), "\n\n")).alias("markdown"))
     return delivery.bodies(pointers, analyses).drop("comment_id")
 
 
@@ -91,7 +92,7 @@ def enclosing_declaration(spark, sf):
     orders, lines = b.table(spark, sf, "orders"), b.table(spark, sf, "lineitem")
     start = F.col("l_linenumber").cast("int")
     declared = lines.select(_say("order/", F.col("l_orderkey")).alias("path"), _say("line", F.col("l_linenumber")).alias("name"), F.lit("function").alias("kind"), start.alias("start_line"), (start + F.col("l_partkey") % 4).cast("int").alias("end_line"), F.col("l_linenumber").alias("decl_ord"))
-    hunks = orders.select(_say("order/", _K).alias("path"), F.lit(0).alias("ord"), (_K % 6 + 1).cast("int").alias("changed_start"), (_K % 6 + 1 + _K % 2).cast("int").alias("changed_end"))
+    hunks = orders.select(_say("order/", _k()).alias("path"), F.lit(0).alias("ord"), (_k() % 6 + 1).cast("int").alias("changed_start"), (_k() % 6 + 1 + _k() % 2).cast("int").alias("changed_end"))
     return evidence.enclosing(hunks, declared).select("path", "changed_start", "symbol_name", "symbol_kind")
 
 
@@ -155,9 +156,9 @@ def checked_scenarios(spark, sf):
         (n % 3).cast("int").alias("answer_ord"), _say("o", k).alias("target_id"), (n * 1_000_000 + F.col("l_partkey")).cast("int").alias("ord"), title.alias("title"), F.when(F.col("l_suppkey") % 2 == 0, "Sign in").alias("setup"),
         F.array(*[_say(f"Step {i} of ", n) for i in range(4)]).alias("actions"), F.array(F.lit("It shows")).alias("expected"), F.array(_say("h", k), F.when(F.col("l_suppkey") % 9 == 0, "no hunk").otherwise(_say("h", k))).alias("hunk_ids"), F.array(F.lit("a1")).alias("anchor_ids"),
     )
-    anchors = F.array(*[F.struct(F.lit(i).alias("id"), kind.alias("kind")) for i, kind in (("a1", F.lit("entrypoint")), ("a2", F.when(_K % 4 == 0, "dependency_use").otherwise("state")))])
-    targets = orders.select(_say("o", _K).alias("target_id"), F.when(_K % 5 == 0, "api_route").otherwise("page").alias("kind"), _say("order/", _K).alias("path"), _say("c/", F.col("o_custkey")).alias("changed_seed_path"), F.array(_say("c/", F.col("o_custkey")), _say("order/", _K)).alias("dependency_path"), (_K % 10 == 0).alias("api_verification_allowed"), anchors.alias("anchors"))
-    hunks = orders.select(_say("h", _K).alias("id"), F.when(_K % 6 == 0, "elsewhere").otherwise(_say("c/", F.col("o_custkey"))).alias("path"))
+    anchors = F.array(*[F.struct(F.lit(i).alias("id"), kind.alias("kind")) for i, kind in (("a1", F.lit("entrypoint")), ("a2", F.when(_k() % 4 == 0, "dependency_use").otherwise("state")))])
+    targets = orders.select(_say("o", _k()).alias("target_id"), F.when(_k() % 5 == 0, "api_route").otherwise("page").alias("kind"), _say("order/", _k()).alias("path"), _say("c/", F.col("o_custkey")).alias("changed_seed_path"), F.array(_say("c/", F.col("o_custkey")), _say("order/", _k())).alias("dependency_path"), (_k() % 10 == 0).alias("api_verification_allowed"), anchors.alias("anchors"))
+    hunks = orders.select(_say("h", _k()).alias("id"), F.when(_k() % 6 == 0, "elsewhere").otherwise(_say("c/", F.col("o_custkey"))).alias("path"))
     rows = validate.validate(told, targets, hunks)
     return rows.select("target_id", "ord", "title", "setup", F.size("actions").cast("bigint").alias("n_actions"), F.array_join("anchor_ids", ",").alias("anchor_ids"))
 
