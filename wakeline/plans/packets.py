@@ -49,6 +49,18 @@ def report_scenarios(spark, sf):
     return report.scenario_lines(items, _scenarios(_items(spark, sf)))
 
 
+def report_map(spark, sf):
+    """The lines of the map of all items: the first entrypoints, and the paths to them that keep within the nodes of a map."""
+    items, nation = _items(spark, sf), _say("nation/", F.col("place") % 25)
+    customer = F.when(F.element_at("dependency_path", 1).startswith("customer/"), F.element_at("dependency_path", 1)).otherwise(_say("customer/", F.col("place") % 100))
+    path = lambda tier, seed, way: F.struct(tier.alias("tier"), F.lit("indirect").alias("impact"), seed.alias("changed_seed_path"), F.lit("application").alias("technical_role"), way.alias("dependency_path"))
+    more = path(F.lit("technical_only"), customer, F.array(customer, nation, _say("region/", F.col("place") % 3), F.col("path")))
+    items = items.withColumn("supporting_paths", F.array(path(F.col("tier"), F.col("changed_seed_path"), F.col("dependency_path")), more))
+    c = F.col("c_custkey")
+    symbols = b.table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(_say("customer/", c).alias("file_path"), _say("k", c).alias("symbol_key"), _say("load", F.lit("All"), c).alias("name"))
+    return report.impact_map(items, symbols)
+
+
 def report_details(spark, sf):
     """The lines about what the report leaves open; every third item was chosen for checks."""
     items = report.labelled(_items(spark, sf))
@@ -198,7 +210,7 @@ def tree_anchors(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        report_scenarios, report_details, report_summary, evidence_ids, comment_bodies, enclosing_declaration, hunk_order, ranked_files, supporting_candidates,
+        report_scenarios, report_map, report_details, report_summary, evidence_ids, comment_bodies, enclosing_declaration, hunk_order, ranked_files, supporting_candidates,
         packet_anchors, anchor_histogram, checked_scenarios, related_tests, tree_options, tree_anchors,
     )
 }
@@ -228,6 +240,36 @@ l AS (
       WHEN len(way) = 2 THEN 'The changed ' || seed || ' module leads to the ' || w || '.' ELSE 'A chain of imports leads from the changed ' || seed || ' module to the ' || w || '.' END, '']) AS lines
   FROM (SELECT *, CASE kind WHEN 'page' THEN 'page' ELSE 'API' END AS w, split_part(way[1], '/', 2) AS seed FROM s))
 SELECT n * 100000 + generate_subscripts(lines, 1) - 1 AS ord, unnest(lines) AS line FROM l UNION ALL VALUES (0, '### Checks before merging'), (1, '')""",
+    "report_map": _ITEMS.replace("WITH items", "WITH RECURSIVE items")
+    + """,
+top AS (SELECT *, CASE WHEN way[1] LIKE 'customer/%' THEN way[1] ELSE 'customer/' || k % 100 END AS c FROM items ORDER BY k LIMIT 8),
+ps AS (
+  SELECT row_number() OVER (ORDER BY k, pos) AS i, * FROM (
+    SELECT k, 0 AS pos, tier, way[1] AS seed, way AS p FROM top UNION ALL SELECT k, 1, 'technical_only', c, [c, 'nation/' || k % 25, 'region/' || k % 3, path] FROM top)),
+fold AS (
+  SELECT 1::BIGINT AS i, list_distinct(p) AS nodes, true AS fits FROM ps WHERE i = 1
+  UNION ALL
+  SELECT i, CASE WHEN len(more) <= 24 THEN more ELSE nodes END, len(more) <= 24 FROM (SELECT ps.i, f.nodes, list_distinct(list_concat(f.nodes, ps.p)) AS more FROM fold f JOIN ps ON ps.i = f.i + 1)),
+used AS (SELECT * FROM ps WHERE p IN (SELECT p FROM ps JOIN fold USING (i) WHERE fits)),
+met AS (SELECT k, pos, tier, seed, generate_subscripts(p, 1) AS step, unnest(p) AS node FROM used),
+at_ AS (SELECT node, row_number() OVER (ORDER BY node) AS n FROM (SELECT DISTINCT node FROM met)),
+seeds AS (SELECT seed AS node, min({'k': k, 'p': pos}) AS first FROM used GROUP BY seed),
+labels AS (
+  SELECT n, CASE WHEN t.path IS NOT NULL THEN t.area || CASE t.kind WHEN 'page' THEN ' (page)' ELSE ' (API)' END
+    WHEN node LIKE 'customer/%' AND id % 2 = 0 AND id IN (SELECT c_custkey FROM customer) THEN 'Load All' || id || ' (changed)'
+    ELSE id || ' module' || CASE WHEN node IN (SELECT node FROM seeds) THEN ' (changed)' ELSE '' END END AS label
+  FROM (SELECT *, split_part(node, '/', 2)::BIGINT AS id FROM at_) a LEFT JOIN top t ON t.path = a.node),
+edges AS (
+  SELECT x.node AS src, y.node AS dst, CASE WHEN bool_or(x.tier <> 'technical_only') THEN '-->' ELSE '-.->' END AS arrow, min({'k': x.k, 'p': x.pos, 's': x.step}) AS first
+  FROM met x JOIN met y ON y.k = x.k AND y.pos = x.pos AND y.step = x.step + 1 GROUP BY ALL)
+SELECT 0::BIGINT AS ord, 'flowchart LR' AS line
+UNION ALL SELECT 1000 + n, '  n' || n || '["' || label || '"]' FROM labels
+UNION ALL SELECT 2000 + row_number() OVER (ORDER BY first), '  n' || a.n || ' ' || arrow || ' n' || b.n FROM edges JOIN at_ a ON a.node = src JOIN at_ b ON b.node = dst
+UNION ALL VALUES (3000, '  classDef changed fill:#ffedd5,stroke:#c2410c'), (3001, '  classDef entrypoint fill:#dcfce7,stroke:#15803d'), (3002, '  classDef technical fill:#f1f5f9,stroke:#475569,stroke-dasharray:3')
+UNION ALL SELECT 4000, '  class ' || string_agg('n' || n, ',' ORDER BY first) || ' changed' FROM seeds JOIN at_ USING (node)
+UNION ALL SELECT 4001, '  class ' || string_agg('n' || n, ',' ORDER BY k) || ' entrypoint' FROM top JOIN at_ ON node = path
+UNION ALL SELECT 4002, '  class ' || string_agg('n' || n, ',' ORDER BY first) || ' technical' FROM (
+  SELECT node, min({'k': k, 'p': pos, 's': step}) AS first FROM met WHERE tier = 'technical_only' AND node NOT IN (SELECT node FROM seeds) AND node NOT IN (SELECT path FROM top) GROUP BY node) JOIN at_ USING (node)""",
     "report_details": _ITEMS
     + """,
 c AS (SELECT *, k % 3 <> 2 AS chosen, k % 4 <> 0 AS told FROM told)
