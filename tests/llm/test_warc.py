@@ -108,3 +108,16 @@ def test_uncommitted_files_are_not_read(spark, tmp_path):
     x.write(spark.createDataFrame([(1, "a", "xx")], PAGES), str(tmp_path / "d"))
     (tmp_path / "d" / "part-lost.warc.gz").write_bytes(archive([b"ghost"]))
     assert [r.page_id for r in x.read(spark, str(tmp_path / "d")).collect()] == [1]
+
+
+def test_a_payload_of_many_pages(spark, monkeypatch):
+    """Rows of a hot payload meet its first page by a broadcast, others in a shuffle; the same either way."""
+    from wakeline.llm import vector_codes
+
+    pages = spark.createDataFrame([(i, f"u{i}", "shared" if i % 2 else f"own {i // 4}") for i in range(60)] + [(None, "n", "shared"), (1, "u1", "shared")], "page_id long, url string, html string")
+    told = []
+    for hot in (1, 4, 1 << 20):
+        monkeypatch.setattr(vector_codes, "HOT", hot)
+        told.append(sorted((repr(r.page_id), r.refers_to, r.revisit) for r in x.records(pages).collect()))
+    assert told[0] == told[1] == told[2]
+    assert ("5", 1, True) in told[0] and ("1", None, False) in told[0] and ("None", 1, True) in told[0] and ("2", 0, True) in told[0]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from . import common
+from . import common, vector_codes
 
 #: Bytes of a task's range.
 SPLIT_BYTES = 32 << 20
@@ -290,15 +290,16 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     A null html is an empty payload. Of equal payloads of at least ``least``
     bytes the record with the smallest page_id is the response (a row repeated
     under that id too, and null ids only among themselves); others revisit it.
-    Only ids and digests are shuffled to decide this, and the payloads at most
-    once to meet the decisions. A record is made and read whole, so a very long
+    Only ids and digests are shuffled to decide this (those of a payload that
+    many pages share meet its first page by a broadcast), and the payloads at
+    most once to meet the decisions. A record is made and read whole, so a very long
     payload takes memory for itself once. An empty table makes no record; other
     columns, whatever their names, are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    slim = rows.filter(F.octet_length("payload") >= least).select("page_id", "digest")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = slim.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    slim = common.cut(rows.filter(F.octet_length("payload") >= least).select("page_id", "digest"), "payloads")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    again = vector_codes.looked_up(slim, first, ["digest"], "n", slim.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
     again = again.select(F.col("page_id").alias("a_id"), F.col("digest").alias("a_digest"), "refers_to")
     out = rows.join(again, F.col("page_id").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest")), "left")
     return out.select("page_id", "url", "payload", "digest", "refers_to", F.col("a_digest").isNotNull().alias("revisit"))
