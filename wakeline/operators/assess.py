@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, keys
@@ -41,8 +41,13 @@ def assess(items: DataFrame, roles: DataFrame) -> DataFrame:
         F.transform("all", lambda s: F.struct(s["tier"].alias("tier"), s["impact"].alias("impact"), s["changed_seed_path"].alias("changed_seed_path"), s["technical_role"].alias("technical_role"), s["dependency_path"].alias("dependency_path"))).alias("supporting_paths"),
     )
     out = out.withColumn("reason", classify.policy_reason(F.col("tier"), F.col("technical_role"), F.col("changed_seed_path"), F.col("path"), F.size("dependency_path")))
+    return out.orderBy(*rank_order())
+
+
+def rank_order() -> list[Column]:
+    """O2: assessed items by tier, direct ones first, shorter paths first, then by project, route and paths in the root locale's order."""
     root, route = keys.or_empty("project_root", F.coalesce("route_path", "path"))
-    return out.orderBy(
+    return [
         classify.tier_rank(F.col("tier")), (F.col("impact") != "direct").cast("int"), F.size("dependency_path"),
         keys.icu(root), keys.icu(route), keys.icu(F.col("path")), keys.icu(F.array_join("dependency_path", "")),
-    )
+    ]

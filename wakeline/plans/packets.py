@@ -153,6 +153,22 @@ def packet_anchors(spark, sf):
     return guidance.packets(targets, anchors).select("target_id", F.col("kind").alias("target_kind"), F.explode("anchors").alias("a")).select("target_id", "target_kind", "a.id", "a.kind", "a.path", F.length("a.excerpt").cast("bigint").alias("n_chars"))
 
 
+class Echo:
+    """An analyzer that tells what it was given."""
+
+    def analyze(self, target: str, kind: str, anchors: list[dict]) -> list[dict]:
+        return [{"title": f"{kind} with {len(anchors)}", "actions": [a["kind"] for a in anchors], "expected": [target], "anchor_ids": [a["id"] for a in anchors], "hunk_ids": []}]
+
+
+def guidance_answers(spark, sf):
+    """What an injected analyzer answers to each packet."""
+    anchors = _packet_anchors(spark, sf)
+    n = F.substring("target_id", 2, 20).cast("long")
+    targets = anchors.select("target_id").distinct().select("target_id", n.alias("ord"), F.when(n % 3 == 0, "api_route").otherwise("page").alias("kind"))
+    rows = guidance.analyze(guidance.packets(targets, anchors), Echo)
+    return rows.select("target_id", F.col("ord").cast("bigint").alias("ord"), "title", F.array_join("actions", ",").alias("actions"), F.array_join("anchor_ids", ",").alias("anchor_ids"))
+
+
 def anchor_histogram(spark, sf):
     """The anchors of all packets by kind."""
     return evidence.histogram(_packet_anchors(spark, sf))
@@ -211,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_scenarios, report_map, report_details, report_summary, evidence_ids, comment_bodies, enclosing_declaration, hunk_order, ranked_files, supporting_candidates,
-        packet_anchors, anchor_histogram, checked_scenarios, related_tests, tree_options, tree_anchors,
+        packet_anchors, guidance_answers, anchor_histogram, checked_scenarios, related_tests, tree_options, tree_anchors,
     )
 }
 
@@ -229,6 +245,18 @@ WITH RECURSIVE d AS (
   SELECT 't' || doc_id // 10 AS target, doc_id // 10 AS nth, 'd' || doc_id AS path, doc_id % 50 AS line, coalesce(text, '')[1:1600] AS excerpt,
          ['entrypoint', 'changed_declaration', 'interaction', 'state', 'test', 'dependency_use', 'api_contract'][doc_id % 7 + 1] AS kind, [1, 0, 2, 3, 5, 4, 3][doc_id % 7 + 1] AS rank FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY rank, path, line) AS i FROM d)"""
+_PACKETS = (
+    _ANCHORS
+    + """,
+f AS (
+  SELECT target, 0::BIGINT AS i, 9000::BIGINT AS budget, 0::BIGINT AS kept, NULL::VARCHAR AS path, NULL::VARCHAR AS kind, 0::BIGINT AS n_chars FROM o WHERE i = 1
+  UNION ALL
+  SELECT f.target, o.i, CASE WHEN fits THEN budget - least(1600, budget, length(excerpt)) ELSE budget END, CASE WHEN fits THEN kept + 1 ELSE kept END,
+         CASE WHEN fits THEN o.path END, o.kind, CASE WHEN fits THEN least(1600, budget, length(excerpt)) ELSE 0 END
+  FROM (SELECT f.*, kept < 8 AND budget > 0 AND trim(excerpt[1:least(1600, budget)], ' ') <> '' AS fits FROM f JOIN o ON o.target = f.target AND o.i = f.i + 1) f JOIN o ON o.target = f.target AND o.i = f.i + 1),
+k AS (SELECT * FROM f WHERE path IS NOT NULL),
+g AS (SELECT target, target[2:]::BIGINT % 3 = 0 AS api FROM k GROUP BY target HAVING bool_or(kind = 'entrypoint') AND bool_or(kind = 'test' OR kind = CASE WHEN target[2:]::BIGINT % 3 = 0 THEN 'api_contract' ELSE 'interaction' END OR (kind = 'state' AND target[2:]::BIGINT % 3 <> 0)))"""
+)
 ORACLES = {
     "report_scenarios": _ITEMS
     + """,
@@ -303,17 +331,13 @@ WITH f AS (SELECT c_custkey AS k, ['src/a', 'tests', 'src/db', 'lib', 'scripts']
 s AS (SELECT d || '/u' || k || '.ts' AS path, CASE WHEN k % 3 = 0 THEN k % 11 END AS rank FROM f WHERE k % 2 = 0 AND d IN ('src/a', 'lib'))
 SELECT path, rank, row_number() OVER (ORDER BY rank NULLS LAST, path) AS place FROM s""",
     "supporting_candidates": _ITEMS + " SELECT path, kind, tier, impact, way[1] AS changed_seed_path, array_to_string(way, ' > ') AS dependency_path FROM told",
-    "packet_anchors": _ANCHORS
-    + """,
-f AS (
-  SELECT target, 0::BIGINT AS i, 9000::BIGINT AS budget, 0::BIGINT AS kept, NULL::VARCHAR AS path, NULL::VARCHAR AS kind, 0::BIGINT AS n_chars FROM o WHERE i = 1
-  UNION ALL
-  SELECT f.target, o.i, CASE WHEN fits THEN budget - least(1600, budget, length(excerpt)) ELSE budget END, CASE WHEN fits THEN kept + 1 ELSE kept END,
-         CASE WHEN fits THEN o.path END, o.kind, CASE WHEN fits THEN least(1600, budget, length(excerpt)) ELSE 0 END
-  FROM (SELECT f.*, kept < 8 AND budget > 0 AND trim(excerpt[1:least(1600, budget)], ' ') <> '' AS fits FROM f JOIN o ON o.target = f.target AND o.i = f.i + 1) f JOIN o ON o.target = f.target AND o.i = f.i + 1),
-k AS (SELECT * FROM f WHERE path IS NOT NULL),
-g AS (SELECT target, target[2:]::BIGINT % 3 = 0 AS api FROM k GROUP BY target HAVING bool_or(kind = 'entrypoint') AND bool_or(kind = 'test' OR kind = CASE WHEN target[2:]::BIGINT % 3 = 0 THEN 'api_contract' ELSE 'interaction' END OR (kind = 'state' AND target[2:]::BIGINT % 3 <> 0)))
+    "packet_anchors": _PACKETS
+    + """
 SELECT target AS target_id, CASE WHEN api THEN 'api_route' ELSE 'page' END AS target_kind, 'anchor:' || target[2:] || ':' || kept AS id, kind, path, n_chars FROM k JOIN g USING (target)""",
+    "guidance_answers": _PACKETS
+    + """
+SELECT target AS target_id, 0::BIGINT AS ord, CASE WHEN any_value(api) THEN 'api_route' ELSE 'page' END || ' with ' || count(*) AS title, string_agg(kind, ',' ORDER BY kept) AS actions,
+       string_agg('anchor:' || target[2:] || ':' || kept, ',' ORDER BY kept) AS anchor_ids FROM k JOIN g USING (target) GROUP BY target""",
     "anchor_histogram": _ANCHORS + " SELECT kind, count(*) AS n FROM d GROUP BY kind",
     "checked_scenarios": """
 WITH t AS (

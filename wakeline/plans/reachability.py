@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -31,10 +32,7 @@ def impact_entrypoints(spark, sf):
 def impact_assessment_ranked(spark, sf):
     roles = assess.seed_roles(b.files(spark, sf), b.files(spark, sf))
     rows = assess.assess(_items(spark, sf), roles)
-    order = [classify.tier_rank(F.col("tier")), (F.col("impact") != "direct").cast("int"), F.size("dependency_path"), F.col("route_path"), F.col("path")]
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("tier").orderBy(*order)).cast("bigint")
+    place = F.row_number().over(W.partitionBy("tier").orderBy(*assess.rank_order())).cast("bigint")
     return rows.select("path", "kind", "tier", "impact", "changed_seed_path", "technical_role", joined("dependency_path").alias("dependency_path"), "reason", place.alias("place_in_tier"))
 
 
