@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wakeline.operators import guidance
@@ -39,3 +40,14 @@ def test_log_lines(spark):
     rows, now = spark.createDataFrame([(7, "x")], "job_id long, branch string"), F.lit("2026-01-01 00:00:00").cast("timestamp")
     assert json.loads(lifecycle.log_lines(rows, "warn", "queued", now).first().line) == {"level": "warn", "message": "queued", "time": "2026-01-01T00:00:00.000Z", "job_id": 7, "branch": "x"}
     assert lifecycle.log_lines(rows, "debug", "quiet", now).count() == 0
+
+
+def test_arguments(spark):
+    from wakeline.functions import arguments
+
+    rows = spark.createDataFrame([(["--", "12"],), (["12", "--"],), (["--"],), ([],)], "a array<string>")
+    assert [r.p for r in rows.select(arguments.positional(F.col("a")).alias("p")).collect()] == [["12"], ["12", "--"], [], []]
+    texts = spark.createDataFrame([(t,) for t in ("7", " 7 ", "+7", "3.0", "3.5", "0", "-1", "x", "", None)], "t string")
+    assert [r.n for r in texts.select(arguments.positive_integer(F.col("t")).alias("n")).collect()] == [7, 7, 7, 3, None, None, None, None, None, None]
+    with pytest.raises(Exception, match="job must be a positive integer"):
+        texts.select(arguments.required(F.col("t"), "job")).collect()

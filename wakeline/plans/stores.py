@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut, shared_dir
+from ..operators.lineage import shared_dir
 from ..sources import repository, snapshots
 from ..streaming import ingest, queue
 from . import bindings as b
