@@ -47,6 +47,12 @@ def line_diff_hunks(spark, sf):
     return evidence.hunks(pairs)
 
 
+# The wording rules stated apart from the engine's own patterns, word by word.
+_BLOCKING = "typescript typecheck compile compiles compilation build lint linting eslint prettier".split()
+_CUT = "import imports export exports analytics telemetry instrumentation tracking callback callbacks interface interfaces wiring component components hook hooks handler handlers function functions prop props".split()
+_BARE = [f"{verb}{s}" for verb in ("update", "change") for s in ("", "s")] + ["modifie", "modifies"]
+_WORDS = lambda words: r"(?i)\b(" + "|".join(sorted(words, key=len, reverse=True)) + r")\b"
+
 QUERIES = {f.__name__: f for f in (budget_trim, anchor_topk, citation_integrity, product_text_sanitize, line_diff_hunks)}
 ORACLES = {
     "budget_trim": """
@@ -66,8 +72,8 @@ SELECT source, kept - 1 AS pos, path, kind, n_chars FROM f WHERE path IS NOT NUL
     "citation_integrity": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id + 1 IN (SELECT doc_id FROM labels)",
     "product_text_sanitize": rf"""
 WITH w AS (SELECT conv_id, turn, NULL::BIGINT AS doc_id, text AS t FROM conversations UNION ALL SELECT NULL, NULL, doc_id, text FROM documents),
-s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{text.NOUNS}', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM w)
-SELECT conv_id, turn, doc_id, CASE WHEN NOT regexp_matches(t, '{text.MECHANICAL}') AND NOT regexp_matches(x, '{text.BARE_UPDATE}') AND x <> '' THEN x END AS sanitized FROM s""",
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{_WORDS(_CUT)}', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM w)
+SELECT conv_id, turn, doc_id, CASE WHEN NOT regexp_matches(t, '{_WORDS(_BLOCKING)}') AND NOT regexp_matches(x, '(?i)^({'|'.join(_BARE)})\s+(for\s+)?[a-z0-9_-]+\.?$') AND x <> '' THEN x END AS sanitized FROM s""",
     # the grid of edit distances, row by row; far: the furthest line of each diagonal for each number of edits;
     # back: from the end, the diagonal that reached further, a deletion on ties
     "line_diff_hunks": """
