@@ -23,7 +23,8 @@ def _items(spark, sf):
 
 
 def impact_entrypoints(spark, sf):
-    items = _items(spark, sf).filter(F.col("kind").isin("page", "api_route"))
+    rows = reach.candidates(_reached(spark, sf), b.files(spark, sf), b.entrypoints(spark, sf))
+    items = impact.best_paths(rows).filter(F.col("kind").isin("page", "api_route"))
     level = impact.level(items, True).select("impact_level")
     out = items.select("path", "kind", "impact", joined("dependency_path").alias("dependency_path"), F.size("dependency_path").cast("bigint").alias("length"), F.col("http_method"), F.col("route_path"))
     return out.crossJoin(F.broadcast(level))
