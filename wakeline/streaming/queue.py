@@ -6,6 +6,7 @@ against the event times and, between events, by a processing-time timer.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,8 @@ from ..functions import classify
 
 JOB = "status string, attempts int, available_ms long, token string, lease_ms long, error string"
 CLAIMED = "id long, event string, status string, attempts int, available_ms long, token string, outcome string, seq long"
-#: Ids of a block of pending jobs.
-BLOCK = 256
+#: Ids of a block of jobs, and blocks of a group.
+BLOCK = 4096
 OUTPUT = "id long, event string, status string, attempts int, available_ms long, token string, outcome string"
 
 
@@ -85,75 +86,129 @@ def jobs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").applyInPandasWithState(_apply, OUTPUT, JOB, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class _Lane:
+    """A type's jobs while its events are handled: what they touch is read once, and written once at the end.
+
+    ``blocks`` holds BLOCK ids in an entry: which were told, which wait, which
+    run. ``groups`` lists the waiting blocks of BLOCK blocks, ``top`` the groups that have some.
+    """
+
+    def __init__(self, blocks, groups, top):
+        self.stored, self.listed, self.root = blocks, groups, top
+        self.blocks: dict[int, list] = {}
+        self.groups: dict[int, list[int]] = {}
+        self.dirty: set[int] = set()
+        self.moved: set[int] = set()
+        self.top = list(top.get()[0]) if top.exists() else []
+        self.before = list(self.top)
+
+    def block(self, n: int) -> list:
+        """The told ids as bits, the waiting jobs (id, available_ms, attempts) by id, and the running ones."""
+        if n not in self.blocks:
+            row = self.stored.getValue((n,))
+            told, pending, running = row if row is not None else (b"", (), ())
+            self.blocks[n] = [int.from_bytes(told, "little"), [tuple(j) for j in pending], {j[0]: ("running", *j[1:], None) for j in running}]
+        return self.blocks[n]
+
+    def group(self, n: int) -> list[int]:
+        if n not in self.groups:
+            row = self.listed.getValue((n,))
+            self.groups[n] = list(row[0]) if row is not None else []
+        return self.groups[n]
+
+    def put(self, id_: int, available: int, attempts: int) -> None:
+        n = id_ // BLOCK
+        pending = self.block(n)[1]
+        if not pending:
+            waiting = self.group(n // BLOCK)
+            if not waiting:
+                bisect.insort(self.top, n // BLOCK)
+            bisect.insort(waiting, n)
+            self.moved.add(n // BLOCK)
+        bisect.insort(pending, (id_, available, attempts))
+        self.dirty.add(n)
+
+    def take(self, at: int) -> tuple[int, int, int] | None:
+        for g in self.top:
+            for n in self.group(g):
+                pending = self.block(n)[1]
+                i = next((i for i, j in enumerate(pending) if j[1] <= at), None)
+                if i is None:
+                    continue
+                due = pending.pop(i)
+                self.dirty.add(n)
+                if not pending:
+                    self.group(g).remove(n)
+                    self.moved.add(g)
+                    if not self.group(g):
+                        self.top.remove(g)
+                return due
+        return None
+
+    def save(self) -> None:
+        for n in self.dirty:
+            told, pending, running = self.blocks[n]
+            self.stored.updateValue((n,), (told.to_bytes(BLOCK // 8, "little"), pending, [(i, *j[1:5]) for i, j in running.items()]))
+        for n in self.moved:
+            if self.groups[n]:
+                self.listed.updateValue((n,), (self.groups[n],))
+            elif self.listed.containsKey((n,)):
+                self.listed.removeKey((n,))
+        if self.top != self.before:
+            self.root.update((self.top,))
+
+
 class Claims(StatefulProcessor):
     """T3, O6 on a stream: the jobs of a type; a claim takes the due one with the lowest id.
 
-    Pending jobs lie in blocks of BLOCK ids, each an entry of a map: a claim
-    looks through the blocks in order, and stops at the first due job; other events
-    read and write one block. ``blocks`` lists those that hold jobs.
+    Jobs lie in blocks of BLOCK ids, each an entry of a map: a claim looks
+    through the blocks in order, and stops at the first due job; other events
+    touch one block. A batch reads and writes each block that it touches once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getMapState("pending", "block long", "jobs array<struct<id: long, available_ms: long, attempts: int>>")
-        self.blocks = handle.getValueState("blocks", "blocks array<long>")
-        self.running = handle.getMapState("running", "id long", JOB)
-        self.known = handle.getMapState("known", "id long", "known boolean")
+        self.blocks = handle.getMapState("blocks", "block long", "told binary, pending array<struct<id: long, available_ms: long, attempts: int>>, running array<struct<id: long, attempts: int, available_ms: long, token: string, lease_ms: long>>")
+        self.groups = handle.getMapState("groups", "group long", "waiting array<long>")
+        self.top = handle.getValueState("top", "groups array<long>")
 
     def close(self) -> None:
         pass
 
-    def _put(self, id_: int, available: int, attempts: int) -> None:
-        block = id_ // BLOCK
-        held = [tuple(j) for j in self.pending.getValue((block,))[0]] if self.pending.containsKey((block,)) else []
-        self.pending.updateValue((block,), (sorted([*held, (id_, available, attempts)]),))
-        blocks = list(self.blocks.get()[0]) if self.blocks.exists() else []
-        if block not in blocks:
-            self.blocks.update((sorted([*blocks, block]),))
-
-    def _take(self, at: int) -> tuple[int, int, int] | None:
-        blocks = list(self.blocks.get()[0]) if self.blocks.exists() else []
-        for block in blocks:
-            held = [tuple(j) for j in self.pending.getValue((block,))[0]]
-            due = next((j for j in held if j[1] <= at), None)
-            if due is None:
-                continue
-            held.remove(due)
-            if held:
-                self.pending.updateValue((block,), (held,))
-            else:
-                self.pending.removeKey((block,))
-                self.blocks.update(([b for b in blocks if b != block],))
-            return due
-        return None
-
-    def _one(self, e: Row) -> tuple[int | None, tuple, str]:
-        if e.event == "enqueue":
-            if self.known.containsKey((e.id,)):
-                return e.id, (None,) * 4, "known"
-            self.known.updateValue((e.id,), (True,))
-            self._put(e.id, e.at_ms, 0)
-            return e.id, ("pending", 0, e.at_ms, None), "ok"
+    @staticmethod
+    def _one(lane: _Lane, e: Row) -> tuple[int | None, tuple, str]:
         if e.event == "claim":
-            due = self._take(e.at_ms)
+            due = lane.take(e.at_ms)
             if due is None:
                 return None, (None,) * 4, "nothing due"
             job, outcome = step(("pending", due[2], due[1], None, None, None), "claim", e.at_ms, e.token, None)
-            self.running.updateValue((due[0],), job)
+            lane.block(due[0] // BLOCK)[2][due[0]] = job
             return due[0], job[:4], outcome
-        if not self.running.containsKey((e.id,)):
+        n = e.id // BLOCK
+        held = lane.block(n)
+        if e.event == "enqueue":
+            bit = 1 << (e.id - n * BLOCK)
+            if held[0] & bit:
+                return e.id, (None,) * 4, "known"
+            held[0] |= bit
+            lane.put(e.id, e.at_ms, 0)
+            return e.id, ("pending", 0, e.at_ms, None), "ok"
+        if e.id not in held[2]:
             return e.id, (None,) * 4, "lost lease"
-        job, outcome = step(tuple(self.running.getValue((e.id,))), e.event, e.at_ms, e.token, e.kind)
+        job, outcome = step(held[2][e.id], e.event, e.at_ms, e.token, e.kind)
         if job[0] == "running":
             return e.id, job[:4], outcome
-        self.running.removeKey((e.id,))
+        del held[2][e.id]
+        lane.dirty.add(n)
         if job[0] == "pending":
-            self._put(e.id, job[2], job[1])
+            lane.put(e.id, job[2], job[1])
         return e.id, job[:4], outcome
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        lane = _Lane(self.blocks, self.groups, self.top)
         for e in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
-            id_, job, outcome = self._one(e)
+            id_, job, outcome = self._one(lane, e)
             yield Row(id=id_, event=e.event, status=job[0], attempts=job[1], available_ms=job[2], token=job[3], outcome=outcome, seq=e.seq)
+        lane.save()
 
 
 def claimed(events: DataFrame) -> DataFrame:
