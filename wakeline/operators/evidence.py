@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import linediff, paths
+from .lineage import cut
 
 #: Context lines, characters of an excerpt and of a target, anchors of a target, and the order of anchor kinds.
 CONTEXT, EXCERPT, TARGET, ANCHORS = 3, 1600, 9000, 8
 PRIORITY = {"changed_declaration": 0, "entrypoint": 1, "interaction": 2, "state": 3, "api_contract": 3, "dependency_use": 4, "test": 5}
-#: Characters of a hint that paths are met by.
-GRAM = 3
+#: Characters of a hint that paths are met by, at most.
+GRAM = 32
 BEHAVIOR = ("interaction", "state", "api_contract", "test")
 
 
@@ -118,13 +119,15 @@ def grounded(kind: Column, anchors: Column) -> Column:
 def related_tests(tree: DataFrame, hints: DataFrame, most: int = 8) -> DataFrame:
     """The first test paths of the tree (by ``ord``) that name a hint: hold its text, whatever the case.
 
-    A path meets the hints whose first GRAM characters (or all, of shorter ones)
-    stand in it, by equality; only these are looked for in the whole path.
+    A path meets the hints by equality of its texts of their lengths; of a hint
+    longer than GRAM the first GRAM characters are met, then the whole is looked for.
     """
-    tests = tree.filter(paths.is_test(F.col("path"))).withColumn("low", F.lower("path"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(*[F.substring(F.col("low"), i, F.lit(n)) for n in range(1, GRAM + 1)]))
-    keyed = tests.select("path", "ord", "low", F.explode(F.array_distinct(F.flatten(starts))).alias("gram"))
-    asked = hints.filter("hint <> ''").select(F.col("hint"), F.substring("hint", 1, GRAM).alias("gram")).distinct()
+    asked = cut(hints.filter("hint <> ''").select(F.col("hint"), F.substring("hint", 1, GRAM).alias("gram")).distinct())
+    sizes = sorted(r.n for r in asked.select(F.length("gram").alias("n")).distinct().collect())
+    parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tests = tree.filter(paths.is_test(F.col("path"))).select("path", "ord", F.lower("path").alias("low")).repartition(parts)
+    at = F.explode(F.sequence(F.lit(1), F.length("low")))
+    keyed = tests.select("path", "ord", "low", at.alias("at")).select("path", "ord", "low", F.explode(F.array(*[F.substring(F.col("low"), F.col("at"), F.lit(n)) for n in sizes])).alias("gram"))
     named = keyed.join(asked, "gram").filter(F.contains("low", F.col("hint")))
     return named.groupBy("path").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
 
