@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -75,10 +76,12 @@ def route(deliveries: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def reconcile(branches: DataFrame, now, reason: str | Column) -> DataFrame:
-    """One reconciliation per payload and five-minute bucket, by the digest of both."""
+    """One reconciliation per payload and five-minute bucket, by the digest of both; an unknown part has no digest."""
     payload = [F.col("repo_id").alias("repoId"), F.col("branch"), F.col("sha"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")]
-    digest = keys.json_digest(*payload, keys.bucket(now).alias("window"))
-    return branches.select("repo_id", "branch", "sha", F.lit("branch.reconcile").alias("job_type"), digest.alias("idempotency_key"), keys.json_digest(*payload).alias("payload_sha256"))
+    window = keys.bucket(now)
+    known = lambda digest, *more: F.when(reduce(Column.__and__, [c.isNotNull() for c in (*payload, *more)]), digest)
+    digest, told = keys.json_digest(*payload, window.alias("window")), keys.json_digest(*payload)
+    return branches.select("repo_id", "branch", "sha", F.lit("branch.reconcile").alias("job_type"), known(digest, window).alias("idempotency_key"), known(told).alias("payload_sha256"))
 
 
 class First(StatefulProcessor):
