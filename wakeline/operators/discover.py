@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .lineage import cut
+from .lineage import cut, spread
 
 #: Dependencies that tell a framework, procedure packages, and the adapters a committed configuration may name.
 FRAMEWORKS = (("next", ("next",)), ("remix", ("@remix-run/react", "@remix-run/node", "remix")), ("express", ("express",)), ("react_router", ("react-router-dom", "react-router")))
@@ -159,7 +159,7 @@ def configurations(source: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names)
 
     wanted = source.filter(F.col("path").rlike(r"(^|/)(?:tsconfig|jsconfig)(?:\.[^/]+)?\.json$"))
-    return wanted.select("path", "content").mapInArrow(run, _CONFIG)
+    return spread(wanted.select("path", "content"), "path").mapInArrow(run, _CONFIG)
 
 
 def options(projects: DataFrame, source: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.scripts import Script
+from .lineage import spread
 
 SYMBOL = "symbol_key:string,name:string,kind:string,is_exported:boolean,start_line:int,start_column:int,end_line:int,end_column:int,source_hash:string"
 FACTS = (
@@ -54,7 +55,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def facts(source: DataFrame) -> DataFrame:
     """A row of FACTS for each code file (path, content)."""
-    return source.filter(F.col("path").rlike(paths.CODE)).select("path", "content").mapInArrow(_read, FACTS)
+    return spread(source.filter(F.col("path").rlike(paths.CODE)).select("path", "content"), "path").mapInArrow(_read, FACTS)
 
 
 def symbols(found: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def anchors(source: DataFrame) -> DataFrame:
                 out.append([dict(zip(names, r, strict=True)) for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _struct(ANCHOR))], ["path", "anchors"])
 
-    return source.filter(F.col("path").rlike(paths.CODE)).select("path", "content").mapInArrow(run, f"path string, anchors array<struct<{ANCHOR}>>")
+    return spread(source.filter(F.col("path").rlike(paths.CODE)).select("path", "content"), "path").mapInArrow(run, f"path string, anchors array<struct<{ANCHOR}>>")
 
 
 def dependency_uses(source: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def dependency_uses(source: DataFrame, edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
 
     consumers = source.join(edges.select(F.col("consumer").alias("path")).distinct(), "path", "left_semi")
-    places = consumers.select("path", "content").mapInArrow(run, "path string, specifier string, start_line int, end_line int, excerpt string")
+    places = spread(consumers.select("path", "content"), "path").mapInArrow(run, "path string, specifier string, start_line int, end_line int, excerpt string")
     hinted = edges.select(F.col("consumer").alias("path"), "dependency", F.explode(paths.import_hints(F.col("dependency"))).alias("hint"))
     hits = places.join(hinted, "path").filter(F.contains(F.lower("specifier"), F.col("hint")))
     return hits.groupBy("path", "dependency").agg(F.min_by(F.struct("start_line", "end_line", "excerpt"), "start_line").alias("a")).select("path", "dependency", "a.*")

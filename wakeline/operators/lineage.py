@@ -40,6 +40,11 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by the keys to as many tasks as a shuffle has partitions, ahead of work that costs far more than the bytes it reads: small files would be read by few tasks."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bucketed(frame: DataFrame, *keys: str) -> DataFrame:
     """Like ``cut``, with the rows in as many buckets of the keys as a shuffle has partitions: joins and groupings by the keys don't move them again."""
     spark = frame.sparkSession
