@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import posixpath
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..functions import paths
 from ..operators.graph import change_status, comparison
+from ..operators.lineage import cut, spread
 from .snapshots import claim
 
 NAMES = "sha string, path string"
@@ -30,6 +33,8 @@ TREE = "sha string, path string, blob_sha string"
 SOURCE = "sha string, path string, blob_sha string, content string"
 #: Files that a task reads; the reader's concurrency is the number of tasks at work.
 PER_TASK = 256
+#: Folders that a writer remembers to have made.
+FOLDERS = 10_000
 TRUNCATED = ".truncated"
 INDEX, MARKS = ".index", ".published"
 
@@ -40,6 +45,13 @@ class _Files(InputPartition):
     names: tuple[str, ...]
 
 
+@dataclass
+class _Indexed(InputPartition):
+    sha: str
+    file: str
+    group: int
+
+
 def _open(root: str) -> tuple[fs.FileSystem, str]:
     if root.startswith("file:"):
         root = "/" + root.removeprefix("file:").lstrip("/")
@@ -131,16 +143,27 @@ class _Stream(DataSourceStreamReader):
         return {"published": max((n for n, _ in self._marks()), default=0)}
 
     def partitions(self, start, end):
+        """A partition for each row group of the indexes: names and blob ids lie there, so nothing is listed and the driver holds no name."""
         system, root = _open(self.root)
         out = []
         for n, sha in self._marks():
             if start["published"] < n <= end["published"]:
-                found = _listed(system, root, sha)
-                out += [_Files(sha, tuple(found[i : i + PER_TASK])) for i in range(0, len(found), PER_TASK)]
+                for i in sorted(system.get_file_info(fs.FileSelector(posixpath.join(root, INDEX, sha))), key=lambda i: i.path):
+                    if i.path.endswith(".parquet"):
+                        out += [_Indexed(sha, i.path, g) for g in range(pq.ParquetFile(i.path, filesystem=system).num_row_groups)]
         return out
 
     def read(self, partition):
-        yield from _rows(self.root, partition, self.columns)
+        system, _ = _open(self.root)
+        with pq.ParquetFile(partition.file, filesystem=system) as f:
+            rows = f.read_row_group(partition.group, columns=["path", "blob_sha"])
+        for batch in rows.to_batches(PER_TASK):
+            names = batch.column(0).to_pylist()
+            if "content" in self.columns:
+                yield from _rows(self.root, _Files(partition.sha, tuple(names)), self.columns)
+            elif names:
+                held = {"sha": pa.array([partition.sha] * len(names), pa.string()), "path": batch.column(0).cast(pa.string()), "blob_sha": batch.column(1).cast(pa.string())}
+                yield pa.RecordBatch.from_arrays([held[c] for c in self.columns], self.columns)
 
 
 class RepositorySource(DataSource):
@@ -180,22 +203,57 @@ def write(files: DataFrame, root: str, sha: str) -> int:
 
     def run(batches):
         system, top = _open(root)
+        made: set[str] = set()
         for batch in batches:
+            if len(made) > FOLDERS:
+                made.clear()
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place = posixpath.join(top, sha, name)
-                system.create_dir(posixpath.dirname(place), recursive=True)
+                if (folder := posixpath.dirname(place)) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(place, compression=None) as f:
                     f.write((content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return spread(files.select("path", "content"), "path").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _lister(root: str, sha: str):
+    """The files and folders of a batch of folders of a snapshot; a truncated one is an error."""
+
+    def run(batches):
+        system, top = _open(root)
+        top = posixpath.join(top, sha)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                infos = system.get_file_info(fs.FileSelector(posixpath.join(top, folder) if folder else top, allow_not_found=True))
+                names = [i.path[len(top) + 1 :] for i in infos]
+                if TRUNCATED in names:
+                    raise ValueError(f"the tree of {sha} is truncated")
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i.type == fs.FileType.Directory for i in infos], pa.bool_())], ["path", "folder"])
+
+    return run
+
+
+def _found(spark: SparkSession, root: str, sha: str) -> DataFrame:
+    """The paths of a snapshot's files: a level of folders is listed by tasks at a time, so no name comes to the driver."""
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = cut(spread(level, "path").mapInArrow(_lister(root, sha), "path string, folder boolean"))
+        found.append(listed.filter("not folder").select("path"))
+        level = listed.filter("folder").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def publish(spark: SparkSession, root: str, sha: str) -> None:
     """Write the index of a snapshot that is whole, then the mark of its publication; a snapshot is published once."""
     if _indexed(root, sha):
         raise ValueError(f"{sha} is published already")
-    _scan(spark, root, sha, "false").select("path", "blob_sha").write.mode("overwrite").parquet(f"{root}/{INDEX}/{sha}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = _found(spark, root, sha).repartitionByRange(parts, "path").sortWithinPartitions("path")  # the stream tells a tree in order
+    names.mapInArrow(_opener(root, sha, False), "path string, blob_sha string").write.mode("overwrite").parquet(f"{root}/{INDEX}/{sha}")
     system, top = _open(root)
     found = system.get_file_info(fs.FileSelector(posixpath.join(top, MARKS), allow_not_found=True))
     n = max((int(posixpath.basename(i.path).partition("-")[0]) for i in found if posixpath.basename(i.path)[0] != "."), default=0)
@@ -215,16 +273,19 @@ def tree(spark: SparkSession, root: str, sha: str) -> DataFrame:
     return _scan(spark, root, sha, "false").select("path", "blob_sha")
 
 
-def _opener(root: str, sha: str):
+def _opener(root: str, sha: str, content: bool = True):
     """Reads the files of a batch of paths; a path that the snapshot doesn't have gives no row."""
 
     def run(batches):
         system, top = _open(root)
         for batch in batches:
-            there = [n for n in batch.column(0).to_pylist() if system.get_file_info(posixpath.join(top, sha, n)).type == fs.FileType.File]
-            columns = ["sha", "path", "blob_sha", "content"]
-            for rows in _rows(root, _Files(sha, tuple(there)), columns):
-                yield rows.select(columns[1:])
+            names = batch.column(0).to_pylist()
+            columns = ["sha", "path", "blob_sha", "content"][: 4 if content else 3]
+            for i in range(0, len(names), PER_TASK):
+                some = names[i : i + PER_TASK]
+                there = tuple(n for n, f in zip(some, system.get_file_info([posixpath.join(top, sha, n) for n in some]), strict=True) if f.type == fs.FileType.File)
+                for rows in _rows(root, _Files(sha, there), columns):
+                    yield rows.select(columns[1:])
 
     return run
 
@@ -234,7 +295,7 @@ def source(spark: SparkSession, root: str, sha: str, wanted: DataFrame | None =
     if wanted is None:
         names = tree(spark, root, sha) if _indexed(root, sha) else _scan(spark, root, sha, "names")
         wanted = names.filter(paths.is_source(F.col("path")) | paths.is_config(F.col("path")))
-    return wanted.select("path").distinct().mapInArrow(_opener(root, sha), "path string, blob_sha string, content string")
+    return spread(wanted.select("path"), "path").distinct().mapInArrow(_opener(root, sha), "path string, blob_sha string, content string")
 
 
 def decoded(blobs: DataFrame) -> DataFrame:
