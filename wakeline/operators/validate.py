@@ -29,8 +29,8 @@ def sanitize_scenario(title: Column, setup: Column, actions: Column, expected: C
     name = text.strip_target(text.sanitize(title))
     where, steps, ends = text.sanitize(setup), F.transform(actions, text.sanitize), F.transform(expected, text.sanitize)
     lost = lambda xs: (F.size(xs) == 0) | F.exists(xs, lambda x: x.isNull())
-    fine = name.isNotNull() & (setup.isNull() | where.isNotNull()) & ~lost(steps) & ~lost(ends)
-    return F.when(fine, F.struct(name.alias("title"), where.alias("setup"), steps.alias("actions"), ends.alias("expected")))
+    fine = lambda s: s["title"].isNotNull() & (setup.isNull() | s["setup"].isNotNull()) & ~lost(s["actions"]) & ~lost(s["expected"])
+    return text.once(F.struct(name.alias("title"), where.alias("setup"), steps.alias("actions"), ends.alias("expected")), lambda s: F.when(fine(s), s))
 
 
 def cite(anchor_ids: Column, anchors: Column) -> Column:
@@ -58,18 +58,21 @@ def validate(scenarios: DataFrame, targets: DataFrame, hunks: DataFrame) -> Data
     rows = scenarios.withColumn("_first", F.min("answer_ord").over(own)).filter("answer_ord = _first").drop("_first")
     rows = rows.withColumn("actions", F.slice("actions", 1, STEPS)).withColumn("expected", F.slice("expected", 1, STEPS)).withColumn("_id", F.concat_ws(":", "target_id", F.col("ord").cast("string")))
     rows = rows.join(targets, "target_id").filter("kind <> 'api_route' or api_verification_allowed")
-    rows = integral(rows, "_id", "hunk_ids", hunks)
+    # all cited hunks are known (J15), and one lies on the target's path: both from one pass over what is cited
     allowed = F.concat(F.array("path", "changed_seed_path"), "dependency_path")
-    cited = rows.select("_id", allowed.alias("allowed"), F.explode("hunk_ids").alias("id")).join(hunks.select("id", F.col("path").alias("hunk_path")), "id")
-    rows = rows.join(cited.filter(F.array_contains("allowed", F.col("hunk_path"))).select("_id").distinct(), "_id", "left_semi")
+    cited = rows.select("_id", allowed.alias("allowed"), F.explode(F.array_distinct("hunk_ids")).alias("id")).join(hunks.select("id", F.col("path").alias("hunk_path"), F.lit(True).alias("known")), "id", "left")
+    told = cited.groupBy("_id").agg(F.bool_and(F.col("known").isNotNull()).alias("known"), F.bool_or(F.array_contains("allowed", F.col("hunk_path"))).alias("fits"))
+    rows = rows.join(told.filter("known and fits").select("_id"), "_id", "left_semi")
     ids = F.transform("anchors", lambda a: a["id"])
     rows = rows.filter(F.size(F.array_except("anchor_ids", ids)) == 0).withColumn("anchor_ids", cite(F.col("anchor_ids"), F.col("anchors")))
     kinds = F.transform(F.filter("anchors", lambda a: F.array_contains(F.col("anchor_ids"), a["id"])), lambda a: a["kind"])
     rows = rows.filter(F.array_contains(kinds, "entrypoint") & F.arrays_overlap(kinds, F.array(*map(F.lit, BEHAVIOR))))
-    rows = rows.withColumn("_s", sanitize_scenario(F.col("title"), F.col("setup"), F.col("actions"), F.col("expected"))).filter("_s is not null")
-    once = W.partitionBy("target_id", "title").orderBy("ord")
+    # a generator, as a filter would be pushed below and sanitize all texts a second time
+    said = F.inline(F.array_compact(F.array(sanitize_scenario(F.col("title"), F.col("setup"), F.col("actions"), F.col("expected")))))
+    rows = rows.select("target_id", "ord", F.col("title").alias("_title"), "hunk_ids", "anchor_ids", said)
+    once = W.partitionBy("target_id", "_title").orderBy("ord")
     rows = rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return rows.select("target_id", "ord", "_s.title", "_s.setup", "_s.actions", "_s.expected", "hunk_ids", "anchor_ids")
+    return rows.select("target_id", "ord", "title", "setup", "actions", "expected", "hunk_ids", "anchor_ids")
 
 
 def validate_summaries(summaries: DataFrame, hunks: DataFrame) -> DataFrame:
