@@ -1,10 +1,11 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as p
-from wakeline.llm import registry
+from wakeline.llm import common, exact_dedup, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,3 +79,24 @@ def test_one_query_for_each_operator():
     names = sorted(registry.QUERIES)
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and len(names) == 13
     assert set(registry.ORACLES) <= set(names)
+
+
+def test_executors_hold_little_beside_their_heap(docs, spark, tmp_path):
+    """Rows go to Python a few MB at a time, a smaller bound of the session stays, and small tables need no Python worker."""
+    key = common.BATCH_BYTES
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        p.language(spark, docs([(1, "a text", "en", "s")]), str(tmp_path))
+        assert spark.conf.get(key) == f"{common.BATCH}b" and common.BATCH <= 4 << 20
+        rows = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) AS t")
+        sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+        assert sum(sizes) >= 9000 * 2000 and max(sizes) < 2 * common.BATCH
+        spark.conf.set(key, "64k")
+        p.exact(spark, docs([(1, "a")]), str(tmp_path))
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.set(key, before)
+    for frame in (exact_dedup._winners(exact_dedup._slim(docs([(1, "a"), (2, "a")])), 4), common.local(spark, [], "a string, b double")):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().toString()
+    assert common.local(spark, [(None, 1), ("x", 2)], "a string, b int").collect() == [(None, 1), ("x", 2)]

@@ -362,7 +362,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.int32()) for i, c in enumerate(columns)], ["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits"])
 
-        part = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, " + MATCHES)
+        part = common.mapped(documents.select("doc_id", "text"), run, "doc_id long, " + MATCHES)
         out = part if out is None else out.unionByName(part)
     return out.select("doc_id", F.lit(True).alias("contaminated"), "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits")
 
@@ -378,7 +378,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not leaks(t, shared.value, first=True) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = common.mapped(documents, run, documents.schema)
     return documents.toDF(*names)
 
 

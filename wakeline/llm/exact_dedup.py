@@ -67,7 +67,7 @@ def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list[str]:
     what it leaves out of a task, however few rows the task has.
     """
     shape = "digest string, n long"
-    summary = digests.mapInArrow(_summaries(k, True), shape)
+    summary = common.mapped(digests, _summaries(k, True), shape)
     merged = common.gather(summary, digests.rdd.getNumPartitions(), _summaries(k, False), shape)
     return [row.digest for row in merged.collect()]
 
@@ -88,10 +88,10 @@ def _slim(documents: DataFrame) -> DataFrame:
 def _winners(slim: DataFrame, k: int) -> DataFrame:
     """Of each frequent digest: its best rank, that rank's first row, and its size; at most k rows, to be broadcast."""
     spark = slim.sparkSession
-    found = spark.createDataFrame([(d,) for d in frequent_digests(slim.select("text_sha256"), k)], "text_sha256 string")
+    found = common.local(spark, [(d,) for d in frequent_digests(slim.select("text_sha256"), k)], "text_sha256 string")
     best = slim.join(F.broadcast(found), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min(F.struct(_rank().alias("r"), "row")).alias("b"), F.count("*").alias("n"))
     rows = best.select("text_sha256", F.col("b.r.chars").alias("k_chars"), F.col("b.r.doc_id").alias("k_id"), F.col("b.r.hash").alias("k_hash"), F.col("b.row").alias("k_row"), "n").collect()
-    return F.broadcast(spark.createDataFrame(rows, "text_sha256 string, k_chars int, k_id long, k_hash long, k_row long, n long"))
+    return F.broadcast(common.local(spark, rows, "text_sha256 string, k_chars int, k_id long, k_hash long, k_row long, n long"))
 
 
 def _several(light: DataFrame) -> DataFrame:

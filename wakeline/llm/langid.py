@@ -26,7 +26,7 @@ ORDERS = (1, 2, 3)
 #: Added to every count.
 SMOOTHING = 0.5
 #: Code points handled at once, so that memory doesn't follow the length of texts.
-PIECE = 1 << 18
+PIECE = 1 << 16
 #: The answer where there is nothing to judge by.
 UNKNOWN = "und"
 
@@ -104,7 +104,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     What comes to the driver is at most BUCKETS + 1 counts for each language.
     """
-    found = rows.select(F.coalesce("text", F.lit("")), "lang").filter(F.col("lang").isNotNull()).mapInArrow(_count, "lang string, bucket int, n long")
+    found = common.mapped(rows.select(F.coalesce("text", F.lit("")), "lang").filter(F.col("lang").isNotNull()), _count, "lang string, bucket int, n long")
     got = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(langs)))
@@ -150,7 +150,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
             lang, sure = score(batch.column(at).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    out = held.mapInArrow(run, StructType([*held.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    out = common.mapped(held, run, StructType([*held.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     return out.toDF(*rows.columns, "lang_pred", "score")
 
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -95,8 +94,8 @@ def _runs(spark: SparkSession, names: list[str | None], quota: np.ndarray) -> Da
     stop = np.cumsum(quota, axis=0)
     shard, source = np.nonzero(quota)
     rows = {"n": source, "shard": shard, "start": (stop - quota)[shard, source], "stop": stop[shard, source]}
-    of = spark.createDataFrame(list(enumerate(names)), "n long, of string")
-    return spark.createDataFrame(pd.DataFrame(rows), "n long, shard int, start long, stop long").join(of, "n").drop("n")
+    of = common.local(spark, list(enumerate(names)), "n long, of string")
+    return common.local(spark, list(zip(*rows.values(), strict=True)), "n long, shard int, start long, stop long").join(of, "n").drop("n")
 
 
 def _extra(slim: DataFrame, split: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def draws(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
     goal = targets(sizes) if sizes else {}
     plan = [(s, sizes[s], goal[s], int(goal[s] // sizes[s]) if sizes[s] else 0) for s in goal]
     plan = [(s, n, t, e, t - e * n if n else 0.0) for s, n, t, e in plan]
-    sources = spark.createDataFrame(plan, "t_source string, source_size long, target double, whole int, rest double")
+    sources = common.local(spark, plan, "t_source string, source_size long, target double, whole int, rest double")
     sources = F.broadcast(sources) if len(plan) <= FEW else sources
 
     # Blocks in the permutation's order: whole once more, split, or not drawn again.

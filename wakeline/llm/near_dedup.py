@@ -250,7 +250,7 @@ def groups(links: DataFrame) -> DataFrame:
     links, and along labels themselves, until none changes. The driver sees
     counts only, and nodes with many links or followers are met by broadcast.
     """
-    links = links.mapInArrow(_contract, "a binary, b binary")
+    links = common.mapped(links, _contract, "a binary, b binary")
     both = common.cut(links.union(links.select("b", "a")).distinct(), "links")
     many = _many(both.count())
     first = common.cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), "d"), "labels")
@@ -344,7 +344,7 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     any order that both share; here rare ones come first.
     """
     nodes = members.select("node", "root", "n").distinct()
-    tokens = common.cut(nodes.select("node").join(sets, "node").mapInArrow(_tokens, "node binary, token long"), "tokens")
+    tokens = common.cut(common.mapped(nodes.select("node").join(sets, "node"), _tokens, "node binary, token long"), "tokens")
     often = common.cut(tokens.groupBy("token").agg(F.count("*").alias("often")), "often")
     hot = often.filter(F.col("often") >= _many(tokens.count())).select("token")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -355,7 +355,7 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """A row per document: doc_id, hash (of its text), n, node (null without words) and more; a row per node: root (of its group), component_id."""
-    signed = common.cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")).mapInArrow(_signed, "doc_id long, n long, node binary, bands array<long>, slots binary, hash long"), "signed")
+    signed = common.cut(common.mapped(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text")), _signed, "doc_id long, n long, node binary, bands array<long>, slots binary, hash long"), "signed")
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     classes = common.cut(classes, "classes")
     places = classes.select("node", F.explode("bands").alias("key"))
@@ -372,7 +372,7 @@ def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     needed = common.cut(buckets.select("node").distinct().join(classes.select("node", "rep"), "node").select("rep").distinct(), "needed")
     few = F.broadcast(needed) if needed.count() <= IDS else needed
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]), "left_semi").select("text").mapInArrow(_sets, "node binary, own binary").filter("node is not null")
+    sets = common.mapped(texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]), "left_semi").select("text"), _sets, "node binary, own binary").filter("node is not null")
     sets = common.cut(sets.dropDuplicates(["node"]), "sets")
 
     links, labels = None, None
@@ -384,7 +384,7 @@ def _grouped(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         fits = lambda p: (p["root"] != F.col("root")) & (100 * F.least("n", p["n"]) >= percent * F.greatest("n", p["n"]))
         pairs = meet(open_, "key", pivots.drop("size"), hot).select("node", F.explode(F.transform(F.filter("pivots", fits), lambda p: p["node"])).alias("pivot")).distinct()
         pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("own").alias("other")), "pivot").select("node", "pivot", "own", "other")
-        new = common.cut(pairs.mapInArrow(_verifier(percent), "node binary, pivot binary").toDF("a", "b"), "verified")
+        new = common.cut(common.mapped(pairs, _verifier(percent), "node binary, pivot binary").toDF("a", "b"), "verified")
         links = new if links is None else links.union(new)
         labels = groups(links)
         open_ = common.cut(_relabel(open_, labels), "open")
