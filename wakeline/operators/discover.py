@@ -120,6 +120,8 @@ def parse_options(content: str) -> dict:
     return value
 
 
+#: The turn of a file itself, before those it extends.
+_OWN = 2**31 - 1
 _CONFIG = "path string, error string, extends array<array<string>>, told boolean, based boolean, place string, aliases array<struct<pattern:string,targets:array<string>>>"
 
 
@@ -162,35 +164,70 @@ def configurations(source: DataFrame) -> DataFrame:
     return spread(wanted.select("path", "content"), "path").mapInArrow(run, _CONFIG)
 
 
-def options(projects: DataFrame, source: DataFrame) -> DataFrame:
-    """root_path, base_url, aliases (array of struct(pattern, targets)) of each project, with what its configuration extends.
+def _met(level: DataFrame, configs: DataFrame) -> DataFrame:
+    """The level's files with what they say; one that can't be read is an error."""
+    return level.join(configs, "path").withColumn("path", F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")).cast("string")))
+
+
+def _walk(level: DataFrame, configs: DataFrame) -> list[DataFrame]:
+    """What each start (root_path) reaches: root_path, path, turn, told, based, place, aliases, a table for each level.
 
     A level of the loop joins the files that are reached with the
-    configurations: a row for each project and file. ``turn`` says which file
+    configurations: a row for each start and file. ``turn`` says which file
     counts: a file before those it extends, of those a later one before an
     earlier. A file that is extended again above itself is not followed.
     """
-    configs = cut(configurations(source))
-    own = F.lit(2**31 - 1)
-    level = projects.filter("config_path is not null").select("root_path", F.col("config_path").alias("path"), F.array().cast("array<int>").alias("turn"), F.array().cast("array<string>").alias("above"))
+    level = level.select("root_path", "path", F.array().cast("array<int>").alias("turn"), F.array().cast("array<string>").alias("above"))
     found = []
     while True:
-        met = level.join(configs, "path").withColumn("path", F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")).cast("string")))
-        met = cut(met)
+        met = cut(_met(level, configs))
         if met.isEmpty():
-            break
-        found.append(met.select("root_path", F.concat("turn", F.array(own)).alias("turn"), "told", "based", "place", "aliases"))
+            return found
+        found.append(met.select("root_path", "path", F.concat("turn", F.array(F.lit(_OWN))).alias("turn"), "told", "based", "place", "aliases"))
         further = met.select("root_path", F.array_append("above", F.col("path")).alias("above"), "turn", F.posexplode("extends").alias("nth", "named"))
         further = further.select("root_path", "above", F.array_append("turn", F.col("nth")).alias("turn"), F.posexplode("named").alias("choice", "path"))
         further = further.join(configs.select("path"), "path", "left_semi").groupBy("root_path", "above", "turn").agg(F.min_by("path", "choice").alias("path"))
         level = further.filter(~F.array_contains("above", F.col("path")))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """root_path, w (place, based), aliases by the rows of each root that count."""
+    return rows.groupBy("root_path").agg(F.max_by(F.struct("place", "based"), F.when(F.col("place").isNotNull(), F.col("turn"))).alias("w"), F.max_by("aliases", F.when(F.col("told"), F.col("turn"))).alias("aliases"))
+
+
+def options(projects: DataFrame, source: DataFrame) -> DataFrame:
+    """root_path, base_url, aliases (array of struct(pattern, targets)) of each project, with what its configuration extends.
+
+    Many projects extend the same few files: these are walked once, and each
+    project meets what they come to. Only projects whose own configuration is
+    met on such a walk, so that a file may be extended above itself, are walked
+    one by one.
+    """
+    configs = cut(configurations(source))
+    starts = projects.filter("config_path is not null").select("root_path", F.col("config_path").alias("path"))
+    own = cut(_met(starts, configs).select("root_path", "path", "extends", "told", "based", "place", "aliases"))
+    named = own.select("root_path", "path", F.posexplode("extends").alias("nth", "named")).select("root_path", F.col("path").alias("own"), "nth", F.posexplode("named").alias("choice", "path"))
+    there = cut(named.select("path").distinct().join(configs.select("path"), "path", "left_semi"))
+    named = cut(named.join(there, "path").groupBy("root_path", "own", "nth").agg(F.min_by("path", "choice").alias("path")))
+    found = _walk(named.select(F.col("path").alias("root_path"), "path").distinct(), configs)
+    if found:
+        shared = reduce(DataFrame.unionByName, found)
+        again = cut(own.select("root_path", "path").join(shared.select("path").distinct(), "path", "left_semi"))
+        plain, few = own.join(again, ["root_path", "path"], "left_anti"), []
+        if not again.isEmpty():
+            few = [rows.drop("path") for rows in _walk(again, configs)]
+            named = named.join(again.select("root_path", F.col("path").alias("own")), ["root_path", "own"], "left_anti")
+        come = cut(_first(shared).select(F.col("root_path").alias("path"), "w.place", F.coalesce("w.based", F.lit(False)).alias("based"), F.col("aliases").isNotNull().alias("told"), "aliases"))
+        below = named.join(come, "path").select("root_path", F.array(F.col("nth")).alias("turn"), "told", "based", "place", "aliases")
+        found = [plain.select("root_path", F.array(F.lit(_OWN)).alias("turn"), "told", "based", "place", "aliases"), below, *few]
+    elif not own.isEmpty():
+        found = [own.select("root_path", F.array(F.lit(_OWN)).alias("turn"), "told", "based", "place", "aliases")]
     roots = projects.select("root_path", F.col("config_path").isNull().alias("bare"))
     if not found:
         told = roots.select("root_path", F.lit(None).cast("string").alias("place"), F.lit(False).alias("based"), F.array().cast("array<struct<pattern:string,targets:array<string>>>").alias("aliases"), "bare")
     else:
         rows = reduce(DataFrame.unionByName, found)
-        told = rows.groupBy("root_path").agg(F.max_by(F.struct("place", "based"), F.when(F.col("place").isNotNull(), F.col("turn"))).alias("w"), F.max_by("aliases", F.when(F.col("told"), F.col("turn"))).alias("aliases"))
-        told = roots.join(told, "root_path", "left").select("root_path", "w.place", F.coalesce("w.based", F.lit(False)).alias("based"), F.coalesce("aliases", F.array().cast("array<struct<pattern:string,targets:array<string>>>")).alias("aliases"), "bare")
+        told = roots.join(_first(rows), "root_path", "left").select("root_path", "w.place", F.coalesce("w.based", F.lit(False)).alias("based"), F.coalesce("aliases", F.array().cast("array<struct<pattern:string,targets:array<string>>>")).alias("aliases"), "bare")
     base = F.when(F.col("based"), F.col("place")).when(F.col("bare"), F.col("root_path"))
     whole = lambda t: F.concat(F.lit("/"), paths.join_root(F.coalesce("place", F.lit("")), t))  # noqa: E731  targets are whole paths, so that they aren't put behind the base again
     return told.select("root_path", base.alias("base_url"), F.transform("aliases", lambda a: F.struct(a["pattern"].alias("pattern"), F.transform(a["targets"], whole).alias("targets"))).alias("aliases"))
