@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as graphs
 from ..operators.graph import Graph
+from ..operators.lineage import bucketed
 
 POINTER = "repo_id long, branch string, commit_sha string, snapshot_id string, status string, version long, ready_sha string, ready_id string, ready_version long"
 #: How often, and with how many seconds in between, a step is read that its writer has made but not filled.
@@ -147,15 +148,19 @@ def fail(spark: SparkSession, root: str, repo_id: int, branch: str, sha: str, un
 
 
 def check(graph: Graph) -> Graph:
-    """K3: a file of an unknown project, or an import from or to an unknown file, is an error; loose entrypoints and bindings are left out."""
-    known = graph.files.select("path").distinct()
+    """K3: a file of an unknown project, or an import from or to an unknown file, is an error; loose entrypoints and bindings are left out.
+
+    Paths are gathered once, in buckets: each table meets them by one shuffle of its own.
+    """
+    known = bucketed(graph.files.select("path").distinct(), "path")
     orphans = graph.files.join(graph.projects.select(F.col("root_path").alias("project_root")), "project_root", "left_anti").limit(1).collect()
-    orphans += graph.imports.select(F.col("from_path").alias("path")).join(known, "path", "left_anti").limit(1).collect()
-    orphans += graph.imports.filter("resolution_status = 'resolved'").select(F.col("to_path").alias("path")).join(known, "path", "left_anti").limit(1).collect()
+    ends = F.when(F.col("resolution_status") == "resolved", F.array("from_path", "to_path")).otherwise(F.array("from_path"))
+    orphans += graph.imports.select(F.explode(ends).alias("path")).distinct().join(known, "path", "left_anti").limit(1).collect()
     if orphans:
         raise ValueError(f"the graph refers to what it doesn't have: {orphans[0]}")
-    entrypoints, bindings = graphs.attached(graph.entrypoints, graph.bindings, graph.files)
-    both = bindings.join(known.select(F.col("path").alias("caller_file_path")), "caller_file_path", "left_semi").join(known.select(F.col("path").alias("handler_file_path")), "handler_file_path", "left_semi")
+    of = lambda rows, end: rows.join(known.select(F.col("path").alias(end)), end, "left_semi")
+    entrypoints = of(graph.entrypoints, "file_path").select(*graph.entrypoints.columns)
+    both = of(of(graph.bindings.distinct(), "caller_file_path"), "handler_file_path")
     last = graphs.last_of(graph.symbols, ["symbol_key"], "start_line") if "start_line" in graph.symbols.columns else graph.symbols
     return Graph(graph.projects, graph.files, last, graph.imports, entrypoints, both.select(*graph.bindings.columns))
 
