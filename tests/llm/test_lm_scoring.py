@@ -3,6 +3,7 @@ import resource
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import AWKWARD
 from pyspark.sql import functions as F
@@ -109,6 +110,74 @@ def test_gradients_by_differences():
         assert step == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.25, abs=2e-1)
 
 
+def test_tokens_are_those_of_a_bytes_split():
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b" \t\n\r\x0b\x0c\x1c\x1f\x00\x85\xa0abAZ\xc3\xa9\xff", np.uint8)
+    texts = [None, b"", b" ", b" \n a", "É Ab ".encode(), *(rng.choice(letters, rng.integers(0, 12)).tobytes() for _ in range(2000))]
+    own, bounds = x.tokens(pa.array([b"other", *texts], pa.binary()).slice(1))
+    own = own.to_pylist()
+    assert [own[a:b] for a, b in zip(bounds, bounds[1:])] == [[*(t or b"").lower().split(), b""] for t in texts]
+
+
+def vocabulary(words):
+    top = [b"", *words]
+    output = np.arange(len(top), dtype=np.int32)
+    return x.Vocabulary(pa.array(top, pa.binary()), np.full(len(top), 9), output, np.ones(x.OUTPUTS), np.ones(x.CLASS), 9 * len(top), len(top))
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_scoring_task_runs_its_lanes_together_over_all_its_batches(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [b" ".join(rng.choice([b"a", b"bb", b"ccc", b"DDD", b"x%d" % i], 40 + i)) for i in range(60)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(61), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    score, steps, step = x._scorer(Shared(network().flat()), Shared(vocabulary([b"a", b"bb", b"ddd"]))), [], x.Network.step
+    monkeypatch.setattr(x.Network, "step", lambda *args: steps.append(1) or step(*args))
+
+    def scored(size):
+        steps.clear()
+        found = pa.Table.from_batches(score(batch.slice(i, size) for i in range(0, 61, size))).to_pylist()
+        return [r | {"rare": sorted(r["rare"], key=lambda o: o["token"])} for r in found], len(steps)
+
+    (whole, once), (apart, often) = scored(61), scored(1)
+    assert once == often == 100  # the tokens of the longest text
+    monkeypatch.setattr(x, "SCORED", 500)
+    monkeypatch.setattr(x, "ROWS", 2)
+    for got in (apart, scored(7)[0]):
+        assert [(r["doc_id"], r["n_tokens"], r["known"], r["rare"]) for r in got] == [(r["doc_id"], r["n_tokens"], r["known"], r["rare"]) for r in whole]
+        assert np.allclose([[r["base"], r["score"]] for r in got], [[r["base"], r["score"]] for r in whole], rtol=1e-5)
+    for r, text in zip(whole, texts, strict=True):
+        own = Counter((text or b"").lower().split())
+        assert {o["token"]: o["times"] for o in r["rare"]} == {w: n for w, n in own.items() if w not in (b"a", b"bb", b"ddd")}
+
+
+def test_counts_are_merged_where_a_task_holds_many(monkeypatch):
+    texts = [b"a b w%d" % (i // 3) for i in range(200)]
+    for held in (1, 7, 1 << 20):
+        monkeypatch.setattr(x, "COUNTED", held)
+        got = Counter()
+        for batch in x._counter(pa.RecordBatch.from_arrays([pa.array(texts[i : i + 9], pa.binary())], ["text"]) for i in range(0, 200, 9)):
+            for token, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[token] += n
+        assert got == Counter(w for t in texts for w in [*t.split(), b""])
+
+
+def test_nothing_is_predicted_behind_an_end():
+    net, rng = network(), np.random.default_rng(8)
+    states, targets = rng.uniform(-1, 1, (50, x.HIDDEN)).astype(np.float32), rng.integers(0, x.OUTPUTS, 50)
+    targets[::7] = x.START
+    live = targets != x.START
+    given, wanted = ([None, *[np.zeros_like(p) for p in net.parts[1:]]] for _ in range(2))
+    said, dh = (a.copy() for a in net.output(states, targets, given))
+    assert not said[~live].any() and not dh[~live].any()
+    alone, own = net.output(states[live], targets[live], wanted)
+    assert np.allclose(said[live], alone) and np.allclose(dh[live], own)
+    assert all(np.allclose(a, b) for a, b in zip(given[2:], wanted[2:], strict=True))
+
+
 def rows():
     base = [f"the w{i % 17} of a w{i % 5} and w{i * 7 % 13}" for i in range(300)]
     return [(i, t + (" UNIQUE%d" % i if i % 9 == 0 else "")) for i, t in enumerate(base)]

@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +51,10 @@ RATES = (0.6, 0.4, 0.2)
 LIMIT = np.float32(60)
 #: Replicas averaged by one task.
 FAN = 16
-#: Tokens held at once by a task.
-HELD = 1 << 21
+#: Tokens held at once by a training task, and by a scoring one, whose lanes run together for longer the more there are.
+HELD, SCORED = 1 << 21, 6 << 20
+#: A text held by a scoring task counts as so many tokens more; rows it hands on at once.
+TEXT, ROWS = 8, 10_000
 #: Different tokens a counting task holds before it hands them on.
 COUNTED = 1 << 20
 #: Steps of a doubling by which counts are told apart where the frequent tokens end.
@@ -62,9 +63,13 @@ LEVELS = 16
 END = b""
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The text's words in order, A-Z lower-cased, then the end."""
-    return [*text.lower().split(), END] if text else [END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of binary texts, one text after the other: words in order, A-Z lower-cased, then the end; and the bounds of the texts in them."""
+    texts = texts.cast(pa.binary()).fill_null(b"").view(pa.string())
+    # a space behind each text leaves an empty word there, its end; none is left before it
+    spaced = pc.ascii_ltrim_whitespace(pc.binary_join_element_wise(pc.ascii_lower(texts), "", " "))
+    lists = pc.ascii_split_whitespace(spaced)
+    return lists.values.view(pa.binary()), lists.offsets.to_numpy()
 
 
 def tail(token: bytes) -> int:
@@ -72,10 +77,10 @@ def tail(token: bytes) -> int:
     return OUTPUTS - CLASS + zlib.crc32(token[-2:]) % CLASS
 
 
-def tails(words: list[bytes]) -> np.ndarray:
+def tails(words: pa.Array) -> np.ndarray:
     """tail() of each word."""
-    crc = zlib.crc32
-    return OUTPUTS - CLASS + np.fromiter((crc(w[-2:]) for w in words), np.int64, len(words)) % CLASS
+    ends = pc.binary_slice(words, -2).dictionary_encode()
+    return np.array([tail(w) for w in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
 
 
 def tail_column(token: Column) -> Column:
@@ -84,9 +89,9 @@ def tail_column(token: Column) -> Column:
 
 @dataclass
 class Vocabulary:
-    """The frequent tokens by number with their counts and outputs, the outputs' counts, and what the tail's classes hold."""
+    """The frequent tokens in order of their numbers, with their counts and outputs, the outputs' counts, and what the tail's classes hold."""
 
-    number: dict[bytes, int]
+    words: pa.Array
     count: np.ndarray
     output: np.ndarray
     output_counts: np.ndarray
@@ -99,23 +104,25 @@ class Vocabulary:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["token", "n"])
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(tokens(text))
-            if len(found) >= COUNTED:
-                yield rows()
-                found.clear()
-    yield rows()
+        found = pc.value_counts(tokens(batch.column(0))[0])
+        held.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
+        if sum(map(len, held)) >= COUNTED:
+            held = [merged()]
+            if len(held[0]) >= COUNTED // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
 
 
 def count(texts: DataFrame) -> DataFrame:
     """How often each token occurs in the texts (one binary column): token, n."""
-    return texts.mapInArrow(_counter, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return common.mapped(texts, _counter, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -140,7 +147,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     output_counts[: len(words)] = [n for _, n in words]
     output_counts[OUTPUTS - CLASS :] = held[:, 0]
     output = np.array([i if i < len(words) else tail(w) for i, (w, _) in enumerate(top)], np.int32)
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top]), output, output_counts, held.sum(1) + 1, total, distinct)
+    return Vocabulary(pa.array([w for w, _ in top], pa.binary()), np.array([n for _, n in top]), output, output_counts, held.sum(1) + 1, total, distinct)
 
 
 class Space:
@@ -164,8 +171,9 @@ class Network:
     """
 
     SHAPES = ((3, OUTPUTS + 1, HIDDEN), (3, HIDDEN, HIDDEN), (HIDDEN + 1, CLASSES), (CLASSES, HIDDEN + 1, CLASS))
-    KIND = (np.arange(OUTPUTS) // CLASS).astype(np.uint8)
-    WORD = np.arange(OUTPUTS) % CLASS
+    #: The class of each output, START's behind all others, and its place in it.
+    KIND = (np.arange(OUTPUTS + 1) // CLASS).astype(np.uint8)
+    WORD = np.arange(OUTPUTS + 1) % CLASS
 
     def __init__(self, flat: np.ndarray):
         self.parts, at = [], 0
@@ -193,10 +201,10 @@ class Network:
         gates, back = self.x.take(inputs, axis=1), h @ self.u
         rz = gates[:2]
         rz += back[:2]
-        rz *= 0.5
-        np.tanh(rz, out=rz)
-        rz *= 0.5
-        rz += 0.5
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)  # where that is infinite the gate is 0
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz
         new = r * back[2]
         new += gates[2]
@@ -207,15 +215,18 @@ class Network:
         return out, (h, r, z, new, back[2])
 
     def output(self, states: np.ndarray, targets: np.ndarray, gradients: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target; with gradients, those of the outputs are added and that of the states returned.
+        """Natural log-probability of each target; with gradients, those of the outputs are set and that of the states returned.
 
+        States are within -1 and 1. Where the target is START nothing is predicted: both are 0.
         Rows are put in the order of their targets' classes, so that a class is one product of a run of rows.
         """
-        n, kind = len(targets), self.KIND[targets]
+        kind = self.KIND[targets]
         order = np.argsort(kind, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))]).tolist()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES + 1))]).tolist()
         runs = [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
-        kind, word, at = kind[order], self.WORD[targets[order]], np.arange(n)
+        n = ends[CLASSES]
+        order, none = order[:n], order[n:]
+        kind, word, at = kind[order], self.WORD[targets[order]], np.arange(n) * CLASS
         of = self.space.of
         part, classes, words, back = of("part", n, HIDDEN + 1), of("classes", n, CLASSES), of("words", n, CLASS), of("back", n, HIDDEN)
         part[:, :HIDDEN], part[:, HIDDEN] = states.take(order, axis=0, out=back, mode="clip"), 1
@@ -223,26 +234,28 @@ class Network:
         for c, a, b in runs:
             np.matmul(part[a:b], self.wo[c], out=words[a:b])
         got = np.zeros(n, np.float32)
-        for logits, index in ((classes, kind), (words, word)):
-            np.clip(logits, -LIMIT, LIMIT, out=logits)
-            got += logits[at, index]
+        for logits, index, weights in ((classes, kind, self.wc), (words, word, self.wo)):
+            flat, index = logits.reshape(-1), at + index
+            if not np.abs(weights).sum(-2).max() <= LIMIT:  # else no logit is beyond it
+                np.clip(logits, -LIMIT, LIMIT, out=logits)
+            got += flat.take(index)
             np.exp(logits, out=logits)
             norm = logits @ np.ones(logits.shape[1], np.float32)
             got -= np.log(norm)
             if gradients is not None:
                 logits *= (1 / norm)[:, None]
-                logits[at, index] -= 1
-        out = np.empty(n, np.float32)
-        out[order] = got
+                flat[index] -= 1
+        out = np.empty(len(targets), np.float32)
+        out[order], out[none] = got, 0
         if gradients is None:
             return out, None
-        gradients[2] += part.T @ classes
-        np.matmul(classes, self.wc[:HIDDEN].T, out=back)
+        np.matmul(part.T, classes, out=gradients[2])
         for c, a, b in runs:
-            gradients[3][c] += part[a:b].T @ words[a:b]
-            back[a:b] += words[a:b] @ self.wo[c, :HIDDEN].T
-        dh = of("dh", n, HIDDEN)
-        dh[order] = back
+            np.matmul(part[a:b].T, words[a:b], out=gradients[3][c])
+            np.matmul(words[a:b], self.wo[c, :HIDDEN].T, out=back[a:b])
+        back += np.matmul(classes, self.wc[:HIDDEN].T, out=of("more", n, HIDDEN))
+        dh = of("dh", len(targets), HIDDEN)
+        dh[order], dh[none] = back, 0
         return out, dh
 
 
@@ -253,6 +266,7 @@ class Trainer:
         self.net, self.rate = net, rate
         self.seen = [np.full(p.shape, 1e-2, np.float32) for p in net.parts]
 
+    @np.errstate(over="ignore")
     def run(self, ids: np.ndarray) -> None:
         """ids: the texts of a task one after the other, each as START, its outputs, without a mark at its end."""
         streams = max(1, min(STREAMS, len(ids) // (2 * STEPS)))
@@ -273,23 +287,15 @@ class Trainer:
         begins = inputs == START
         fresh = begins.any(1)
         for t in range(steps):
-            if fresh[t]:
-                h = np.where(begins[t][:, None], np.float32(0), h)
             before[t] = h
-            h, cache = net.step(inputs[t], h)
+            if fresh[t]:
+                before[t, begins[t]] = 0
+            h, cache = net.step(inputs[t], before[t])
             kept.append(cache)
             states[t] = h
         gradients = [None, *[np.zeros_like(p) for p in net.parts[1:]]]
-        live = (targets != START).ravel()  # behind a text's end nothing is predicted
-        flat, said = states.reshape(-1, HIDDEN), targets.ravel()
-        if live.all():
-            dflat = net.output(flat, said, gradients)[1]
-        else:
-            dflat = of("dflat", *flat.shape)
-            dflat[:] = 0
-            dflat[live] = net.output(flat[live], said[live], gradients)[1]
-        dflat = dflat.reshape(states.shape)
-        n = max(1, int(live.sum()))
+        dflat = net.output(states.reshape(-1, HIDDEN), targets.ravel(), gradients)[1].reshape(states.shape)
+        n = max(1, np.count_nonzero(targets != START))  # behind a text's end nothing is predicted
         # of each gate's sum, and of the new gate's recurrent part
         d = of("gates", 4, steps, width, HIDDEN)
         dh, (ur, uz, un) = np.zeros_like(h), net.u.transpose(0, 2, 1)
@@ -328,20 +334,24 @@ class Trainer:
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         rows, sorted_ = rows[first], of("sorted", len(order), HIDDEN)
         for gate in range(3):
-            g = np.add.reduceat(d[gate].reshape(-1, HIDDEN).take(order, axis=0, out=sorted_, mode="clip"), first, axis=0) / n
+            own = d[gate].reshape(-1, HIDDEN).take(order, axis=0, out=sorted_, mode="clip")
+            # two numbers at a time, as a complex one, are half the sums
+            g = np.add.reduceat(own.view(np.complex64), first, axis=0).view(np.float32) / n
             s = self.seen[0][gate, rows] + g * g
             self.seen[0][gate, rows] = s
             net.x[gate, rows] -= self.rate * g / np.sqrt(s)
         return h
 
 
-def encode(own: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The output of each token, and its number among the frequent ones (-1 for the others)."""
-    number = np.fromiter(map(words.number.get, own, repeat(-1)), np.int64, len(own))
-    rare = np.flatnonzero(number < 0)
+def encode(texts: pa.Array, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The output of each token of the texts, its number among the frequent ones (-1 for the others), the bounds of the texts, and the others."""
+    own, bounds = tokens(texts)
+    number = pc.index_in(own, value_set=words.words).fill_null(-1).to_numpy()
+    others = np.flatnonzero(number < 0)
+    rare = own.take(pa.array(others))
     out = words.output[number] if len(words.output) else np.zeros(len(own), np.int32)
-    out[rare] = tails([own[i] for i in rare])
-    return out, number
+    out[others] = tails(rare)
+    return out, number, bounds, rare
 
 
 def _replica(shared, words, rate: float):
@@ -349,9 +359,12 @@ def _replica(shared, words, rate: float):
         trainer, ids, held, n = Trainer(Network(shared.value), rate), [], 0, 0
         mark = np.array([START], np.int32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids += [mark, encode(tokens(text), words.value)[0]]
-                held += len(ids[-1]) + 1
+            if not batch.num_rows:
+                continue
+            own, _, bounds, _ = encode(batch.column(0), words.value)
+            for text in np.split(own, bounds[1:-1]):
+                ids += [mark, text]
+                held += len(text) + 1
                 if held >= HELD:
                     trainer.run(np.concatenate(ids))
                     n, held, ids = n + held, 0, []
@@ -383,13 +396,14 @@ def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
     tasks = rows.rdd.getNumPartitions()
     for (low, high), rate in zip(ROUNDS, RATES, strict=True):
         mine = rows.filter((part >= low) & (part < high)).select("text")
-        replicas = mine.mapInArrow(_replica(context.broadcast(weights), output, rate), shape)
+        replicas = common.mapped(mine, _replica(context.broadcast(weights), output, rate), shape)
         found = common.gather(replicas, tasks, _average, shape, FAN).collect()
         if found:
             weights = np.frombuffer(found[0].weights, np.float32)
     return weights
 
 
+@np.errstate(over="ignore")
 def likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole text (its outputs, the end's last).
 
@@ -449,36 +463,42 @@ def _scorer(shared, words):
         gain = np.log10(v.count + 1.0)
         # what a frequent token adds to the model's score beside its output's probability
         extra = np.where(v.output >= OUTPUTS - CLASS, gain - size[np.maximum(v.output - OUTPUTS + CLASS, 0)], 0.0) if len(v.output) else gain
+        texts, held, rows = [], 0, []
+
+        def scored() -> list[pa.RecordBatch]:
+            columns = pa.Table.from_batches(rows).combine_chunks()
+            model = likelihood(net, texts) / math.log(10) + columns["score"].to_numpy()
+            return columns.set_column(4, "score", pa.array(model)).to_batches(ROWS)
+
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            begin = 0
-            while begin < len(texts):
-                rows, rares, times, held, end = [], [], [], 0, begin
-                while end < len(texts) and held < HELD:
-                    own = tokens(texts[end])
-                    codes, number = encode(own, v)
-                    rare = Counter(own[i] for i in np.flatnonzero(number < 0))
-                    number = number[number >= 0]
-                    rows.append((codes, len(number), float(gain[number].sum()) - base * len(number), float(extra[number].sum()), len(rare)))
-                    rares += rare.keys()
-                    times += rare.values()
-                    held += len(own)
-                    end += 1
-                model = likelihood(net, [r[0] for r in rows]) / math.log(10)
-                own = [pa.array(rares, pa.binary()), pa.array(times, pa.int32()), pa.array(size[tails(rares) - OUTPUTS + CLASS])]
-                rare = pa.StructArray.from_arrays(own, ["token", "times", "tail"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(begin, end - begin),
-                        pa.array([len(r[0]) for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.float64()),
-                        pa.array([m + r[3] for m, r in zip(model, rows, strict=True)], pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), rare),
-                    ],
-                    names,
-                )
-                begin = end
+            if not batch.num_rows:
+                continue
+            codes, number, bounds, rare = encode(batch.column(1), v)
+            places, n = np.repeat(np.arange(batch.num_rows), np.diff(bounds)), batch.num_rows
+            known, at = number[number >= 0], places[number >= 0]
+            often, rare = np.bincount(at, minlength=n), rare.dictionary_encode()
+            # the different other tokens of each text, and how often they occur in it
+            width = max(1, len(rare.dictionary))
+            found, times = np.unique(places[number < 0] * width + rare.indices.to_numpy(), return_counts=True)
+            others = rare.dictionary.take(pa.array(found % width))
+            own = [others, pa.array(times, pa.int32()), pa.array(size[tails(others) - OUTPUTS + CLASS])]
+            more = pa.StructArray.from_arrays(own, ["token", "times", "tail"])
+            columns = [
+                batch.column(0),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.array(often, pa.int64()),
+                pa.array(np.bincount(at, gain[known], n) - base * often),
+                pa.array(np.bincount(at, extra[known], n)),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(found, np.arange(n + 1) * width), pa.int32()), more),
+            ]
+            rows.append(pa.RecordBatch.from_arrays(columns, names))
+            texts += np.split(codes, bounds[1:-1])
+            held += len(codes) + TEXT * n
+            if held >= SCORED:
+                yield from scored()
+                texts, held, rows = [], 0, []
+        if rows:
+            yield from scored()
 
     return run
 
@@ -501,7 +521,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     words = vocabulary(counts)
     weights = train(rows.filter(~F.col("held_out")), words)
     shape = "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<token:binary,times:int,tail:double>>"
-    scored = rows.select("doc_id", "text").mapInArrow(_scorer(context.broadcast(weights), context.broadcast(words)), shape)
+    scored = common.mapped(rows.select("doc_id", "text"), _scorer(context.broadcast(weights), context.broadcast(words)), shape)
     scored = common.cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.inline("rare")).join(counts, "token", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     gain = F.log10(F.col("c") + 1)
